@@ -8,13 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, piece_codec, sharding, token_counts
-from .common import table
+from . import cap_filters, dart_minhash, language_id, line_quality, packing, piece_codec, sharding, sketches, token_counts, toxicity
+from .common import fold, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, by a byte convolutional network learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 4) == 2
+    net = language_id.train(docs, ~held)
+    return language_id.classify(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, by a conditional random field over its lines."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 3) == 1
+    field = line_quality.train(docs, labels, ~held)
+    scored = line_quality.score_quality(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95 or more."""
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text under the unigram vocabulary, by count-only Viterbi."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
@@ -25,6 +47,16 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal and nearly equal documents: five-word shingles, weighted similarity 0.8 or more."""
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every whole text and of its edited text, and their likenesses."""
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards whose counts are at most one apart."""
     raw = F.col("text").cast("binary")
@@ -42,11 +74,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), BYTE_BPE)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, by the weighted pattern grammar."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 4) == 2
+    model = toxicity.train(docs, labels, ~held)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_line_quality": op2_line_quality,
+    "op3_cap_filters": op3_cap_filters,
     "op4_token_counts": op4_token_counts,
     "op5_piece_codec": op5_piece_codec,
+    "op6_dart_minhash": op6_dart_minhash,
+    "op7_fingerprints": op7_fingerprints,
     "op8_uniform_shards": op8_uniform_shards,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
