@@ -1,18 +1,51 @@
-"""Corpus pipeline: stages that filter, deduplicate and pack documents."""
+"""Corpus pipeline: documents in a known language, not toxic, one of each group of near copies, packed into sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trustline.llm import dart_minhash, language_id, packing, toxicity
+from trustline.llm.common import fold, table
+from trustline.llm.queries import BYTE_BPE
+
+LEAST_LANGUAGE_SCORE = 0.4
+TOXIC_FROM = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language the network names with a score of at least 0.4; ``und`` goes."""
+    net = language_id.train(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
+    told = language_id.classify(docs, net, lang_col="__lang", score_col="__lang_score")
+    return told.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose toxicity is below 0.5."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return toxicity.score_toxicity(docs, model, score_col="__toxic").where(F.col("__toxic") < TOXIC_FROM).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group of near copies, the document of the smallest doc_id; repeated rows stay once."""
+    kept = dart_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_class").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_class").isNull() | (F.col("text_class") == F.md5(F.col("text").cast("binary"))))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens in the mixture of the sources that are left."""
+    return packing.pack(docs, BYTE_BPE)
+
+
+STAGES = [("language", known_language), ("toxicity", not_toxic), ("near duplicates", one_of_each), ("packing", packed)]
+
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
-
-
-STAGES: list = []
-
-ORACLE_SQL = None
