@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.align import align_words, random_spans_udf
+from ..functions.align import align_words, random_spans_of
 from ..functions.text import accuracy, edit_errors, normalize_text, seed_hash
 
 BLANK = "<blk>"
@@ -20,9 +20,8 @@ def fixed_spans(df: DataFrame, window: int, words: str = "ref_tokens") -> DataFr
 
 def random_spans(df: DataFrame, seed: int = 13, variants: int = 1, min_words: int = 10, max_words: int = 256, words: str = "ref_tokens") -> DataFrame:
     """df once a variant, with ``variant`` and ``spans`` of random lengths; the draw depends on utterance, variant and seed only."""
-    spans = random_spans_udf(min_words, max_words)
     out = df.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
-    return out.withColumn("spans", spans(F.size(words), seed_hash("utt_id", seed, F.col("variant"))))
+    return out.withColumn("spans", random_spans_of(F.size(words), seed_hash("utt_id", seed, F.col("variant")), min_words, max_words))
 
 
 def with_tokens(recs: DataFrame) -> DataFrame:
@@ -32,6 +31,16 @@ def with_tokens(recs: DataFrame) -> DataFrame:
     return out.withColumn("hyp_tokens", F.transform("__h", lambda h: h["t"])).withColumn("hyp_at", F.transform("__h", lambda h: h["i"])).drop("__h")
 
 
+def with_alignment(df: DataFrame) -> DataFrame:
+    """df with ``ref_to_hyp`` from ref_tokens and hyp_tokens.
+
+    Spark does not take a Python function whose arguments hold lambdas, which inlining would give it. Arguments that are not
+    deterministic are not inlined, so they are made with a random number that has no say."""
+    apart = lambda c: F.when(F.monotonically_increasing_id() >= 0, F.col(c))
+    rows = df.withColumns({"__ref": apart("ref_tokens"), "__hyp": apart("hyp_tokens")})
+    return rows.withColumn("ref_to_hyp", align_words("__ref", "__hyp")).drop("__ref", "__hyp")
+
+
 def frames_before(t: Column, frame_len: Column, n_frames: Column) -> Column:
     """Number of frames whose centre is before t: an index from the frame length, then the exact test around it."""
     base = F.greatest(F.lit(0), F.floor(t / frame_len - 0.5).cast("int") - 1)
@@ -66,7 +75,7 @@ def slice_utterance(recs: DataFrame, max_frames_per_word: int = 80, keep_ctc: bo
     A segment goes if it has no frame, over ``max_frames_per_word`` frames a reference word, no blank or nothing but blanks.
     Needs with_tokens(); utterances are aligned once, however many spans or variants they have, if ``ref_to_hyp`` is there."""
     if "ref_to_hyp" not in recs.columns:
-        recs = recs.withColumn("ref_to_hyp", align_words("ref_tokens", "hyp_tokens"))
+        recs = with_alignment(recs)
     rows = recs.withColumn("__s", F.explode("spans")).withColumns({"ref_start": F.col("__s.ref_start"), "ref_end": F.col("__s.ref_end")}).drop("__s", "spans")
     cut = slice_ctc_by_time(span_to_time(rows.where((F.size("ref_tokens") > 0) & (F.size("hyp_tokens") > 0))))
     n, words = F.size("ctc_tokens"), F.col("ref_end") - F.col("ref_start")
@@ -85,7 +94,7 @@ def slice_utterance(recs: DataFrame, max_frames_per_word: int = 80, keep_ctc: bo
 
 def segment_dataset(recs: DataFrame, seed: int = 13, variants: int = 1, min_words: int = 10, max_words: int = 256, keep_ctc: bool = True) -> DataFrame:
     """Segments of all utterances for all variants; alignment comes before variants multiply the rows."""
-    aligned = with_tokens(recs).withColumn("ref_to_hyp", align_words("ref_tokens", "hyp_tokens"))
+    aligned = with_alignment(with_tokens(recs))
     return slice_utterance(random_spans(aligned, seed, variants, min_words, max_words), keep_ctc=keep_ctc)
 
 

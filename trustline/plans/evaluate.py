@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.align import align_words
+from ..lineage import checkpointed
 from ..operators.features import STANDARD, ctc_features
 from ..operators.metrics import per_dataset_metrics, regression_metrics
-from ..operators.segments import fixed_spans, slice_utterance, with_tokens
+from ..operators.segments import fixed_spans, slice_utterance, with_alignment, with_tokens
 from ..operators.windows import aggregate_windows, pack_windows, window_targets
 from .model import Predictor, predict
 
 
 def real_windows(recs: DataFrame, window: int, key: str = "group_id") -> DataFrame:
     """Segments of fixed spans with ``window_idx``, packed by key; frames stay with the segments."""
-    aligned = with_tokens(recs).withColumn("ref_to_hyp", align_words("ref_tokens", "hyp_tokens"))
+    aligned = with_alignment(with_tokens(recs))
     segments = slice_utterance(fixed_spans(aligned, window)).withColumn("chunk", F.col("ref_start"))
     # Only sizes are packed; frames meet the windows again by segment.
     placed = pack_windows(segments.select(key, "utt_id", "chunk", "hypothesis_words", "segment_id"), key, window)
@@ -39,7 +39,8 @@ def evaluate_partitions(recs: DataFrame, predictor: Predictor, window: int = 512
     out = None
     for name, key in (("real", "group_id"), ("real_part", "utt_id")):
         rows = recs.withColumn("partition", F.concat(F.lit(name), suffix)).withColumn("__key", F.concat_ws("|", "partition", key))
-        windows = real_windows(rows.withColumn("group_id", F.col("__key")) if key == "group_id" else rows, window, key)
+        # Sums and frames are both taken from the windows, so they are made once.
+        windows = checkpointed(real_windows(rows.withColumn("group_id", F.col("__key")) if key == "group_id" else rows, window, key))
         names = rows.select(F.col("__key" if key == "group_id" else "utt_id").alias(key), "partition", "dataset_idx").distinct()
         done = evaluate_windows(windows, predictor, key).join(names, key).withColumnRenamed(key, "sample_id")
         out = done if out is None else out.unionByName(done)

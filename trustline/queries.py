@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import numbers as N
 from .functions import text as X
-from .operators import ensemble, features, manifest, metrics, recognition, segments, splits, windows
-from .plans import fixtures
+from .lineage import checkpointed, scratch_dir
+from .operators import ensemble, features, manifest, metrics, noise, recognition, segments, splits, windows
+from .plans import evaluate, fixtures, model, score
 from .plans.duck import sql
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,7 +354,7 @@ def _nearest(where: str, q: float) -> str:
 _B, _N = "b", "NOT b"
 _FEATURES = sql(["clipped"], f"""SELECT utt_id, round(b_mean / n, 6) AS ctc_blank_mean_run_fraction, round(eg, 6) AS ctc_nonblank_error_geom_mean, round(nn::DOUBLE / greatest(1, nb), 6) AS ctc_nonblank_to_blank_ratio, round(b40, 6) AS ctc_blank_p040,
   round(n_mean / n, 6) AS ctc_nonblank_mean_run_fraction, round(nn / inv, 6) AS ctc_nonblank_harmonic_mean, round(b100 - b0, 6) AS ctc_blank_range, round(n1, 6) AS ctc_nonblank_p001, round(b_std / b_mean, 6) AS ctc_blank_run_len_cv,
-  round(ln((nb + 1.0::DOUBLE) / (nn + 1)), 6) AS ctc_blank_log_ratio, round(em, 6) AS ctc_nonblank_error_mean, round(b30, 6) AS ctc_blank_p030, round(n70, 6) AS ctc_nonblank_p070, round(gm, 6) AS ctc_nonblank_geom_mean, round(lt50, 6) AS ctc_nonblank_frac_lt_50,
+  round(ln((nb + 1.0::DOUBLE) / (nn + 1)), 6) AS ctc_blank_log_ratio, round(em + 1e-9, 6) AS ctc_nonblank_error_mean, round(b30, 6) AS ctc_blank_p030, round(n70, 6) AS ctc_nonblank_p070, round(gm, 6) AS ctc_nonblank_geom_mean, round(lt50, 6) AS ctc_nonblank_frac_lt_50,
   round(n_le2, 6) AS ctc_nonblank_short_run_fraction, round(b0, 6) AS ctc_blank_p000, round(b_le2, 6) AS ctc_blank_short_run_fraction, round(nl50, 6) AS ctc_blank_neglog_error_p50, round(b_max / n, 6) AS ctc_blank_max_run_fraction, n::DOUBLE AS ctc_token_count,
   round(ps, 6) AS ctc_prob_sum, words::DOUBLE AS ctc_word_count, round(wsum, 6) AS ctc_word_prob_sum, round(words / (greatest(hi - lo, 1) * 0.04::DOUBLE / 60), 6) AS ctc_wpm
   FROM (SELECT utt_id, count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS nn, sum(raw) AS ps, {_nearest(_B, 0)} AS b0, {_nearest(_B, 30)} AS b30, {_nearest(_B, 40)} AS b40, {_nearest(_B, 100)} AS b100, {_nearest(_N, 1)} AS n1, {_nearest(_N, 70)} AS n70,
@@ -361,16 +364,21 @@ _FEATURES = sql(["clipped"], f"""SELECT utt_id, round(b_mean / n, 6) AS ctc_blan
   JOIN (SELECT utt_id, count(*) AS words, sum(p) AS wsum FROM wd GROUP BY 1) w USING (utt_id)""", extra=_RUNS + _WORDS)
 
 
+def _rounded() -> list[Column]:
+    """Means of decimal probabilities can fall on half a digit, where summing order decides; they are moved off it."""
+    return [r6(F.col(c) + 1e-9 if c == "ctc_nonblank_error_mean" else c).alias(c) for c in features.STANDARD]
+
+
 @query(_FEATURES)
 def ctc_features_sql(spark: SparkSession, d: str) -> DataFrame:
     rows = features.ctc_features_sql(recs(spark, d), "utt_id")
-    return rows.select("utt_id", *[r6(c).alias(c) for c in features.STANDARD])
+    return rows.select("utt_id", *_rounded())
 
 
 @query(_FEATURES)
 def ctc_features(spark: SparkSession, d: str) -> DataFrame:
     rows = features.ctc_features(recs(spark, d).select("utt_id", "ctc_tokens", "ctc_probs", "ctc_frame_len"))
-    return rows.select("utt_id", *[r6(c).alias(c) for c in features.STANDARD])
+    return rows.select("utt_id", *_rounded())
 
 
 @query()
@@ -483,3 +491,108 @@ def fit_affine(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(["ests"], "SELECT segment_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, -0.3::DOUBLE + 1.6::DOUBLE * estimated_accuracy)), 6) AS calibrated, (CAST('0x' || substr(sha256(concat_ws(':', '13', segment_id)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496) < 0.2 AS is_val FROM ests"))
 def calibrate_and_hold_out(spark: SparkSession, d: str) -> DataFrame:
     return ests(spark, d).select("segment_id", r6(N.calibrated("estimated_accuracy", -0.3, 1.6)).alias("calibrated"), metrics.is_validation("segment_id").alias("is_val"))
+
+
+@query()
+def align_words(spark: SparkSession, d: str) -> DataFrame:
+    """Hypothesis index of every reference word of every utterance."""
+    rows = segments.with_alignment(segments.with_tokens(recs(spark, d)))
+    return rows.select("utt_id", F.array_join(F.col("ref_to_hyp").cast("array<string>"), " ").alias("ref_to_hyp"))
+
+
+@query()
+def random_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of random lengths, three variants of every utterance."""
+    rows = segments.random_spans(utt(spark, d).withColumn("ref_tokens", X.normalize_text("reference")), variants=3)
+    return rows.select("utt_id", "variant", F.explode("spans").alias("s")).select("utt_id", "variant", "s.ref_start", "s.ref_end")
+
+
+@query()
+def segment_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Aligned, timed and guarded segments of two variants."""
+    return segments.segment_dataset(recs(spark, d), variants=2, max_words=40, keep_ctc=False)
+
+
+def _samples(spark: SparkSession, d: str, n: int, seed: int) -> DataFrame:
+    """Training examples of 64 words and more from segments of at most 40, with features."""
+    rows = splits.speaker_split(manifest.with_ids(recs(spark, d)))
+    parts = checkpointed(segments.segment_dataset(rows, variants=2, max_words=40))
+    samples = ensemble.ensemble_samples(parts, n, seed, 64, 64)
+    keyed = samples.withColumn("sample_id", F.concat_ws("_", "split", F.col("sample_id").cast("string")))
+    return features.ctc_features(keyed.select("sample_id", "split", "accuracy", "ref_words", "ctc_tokens", "ctc_probs", "ctc_frame_len"))
+
+
+def _predictor(spark: SparkSession, d: str) -> tuple[model.Predictor, DataFrame]:
+    samples = checkpointed(_samples(spark, d, 400, 13))
+    grid = [{"step": 0.1, "depth": 3, "least_rows": 5}, {"step": 0.1, "depth": 4, "least_rows": 20}]
+    return model.train(samples.where("split = 'train'"), features.STANDARD, grid=grid, rounds=12), samples
+
+
+@query()
+def train_and_test(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates on the test samples of a predictor that is fitted to the training samples."""
+    p, samples = _predictor(spark, d)
+    out = model.predict(samples.where("split = 'test'"), p).withColumn("residual", F.col("estimated_accuracy") - F.col("accuracy"))
+    return out.select("sample_id", "split", "accuracy", "estimated_accuracy", "residual", "ref_words")
+
+
+@query()
+def evaluation_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of recordings and of utterances, packed in windows of 128 words, over all and by dataset."""
+    p, _ = _predictor(spark, d)
+    return evaluate.partition_metrics(evaluate.evaluate_partitions(manifest.with_ids(recs(spark, d)), p, 128))
+
+
+@query()
+def score_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated accuracy, expected errors and speech shares of every window of 64 words."""
+    p, _ = _predictor(spark, d)
+    out = score.score_recordings(recs(spark, d).withColumnRenamed("utt_id", "file"), p, 64)
+    return out.select("file", "window_idx", "word_count", "start_time", "end_time", "speech_ratio", "non_speech_ratio", "estimated_accuracy", "expected_error_count")
+
+
+@query(sql(["times"], """SELECT utt_id AS file, CAST(w AS BIGINT) AS window_idx, min(j) AS start_word, count(*) AS word_count, round(min(s), 6) AS start_time, round(max(e), 6) AS end_time, count(*) FILTER (e > s) > 0 AS spoken
+  FROM (SELECT *, j // 64 AS w FROM times) q GROUP BY 1, 2"""))
+def scored_windows(spark: SparkSession, d: str) -> DataFrame:
+    out = score.scored_windows(recs(spark, d).withColumnRenamed("utt_id", "file"), 64)
+    return out.select("file", *[F.col(c).cast("bigint").alias(c) for c in ("window_idx", "start_word", "word_count")], r6("start_time").alias("start_time"), r6("end_time").alias("end_time"), (F.col("speech_ratio") > 0).alias("spoken"))
+
+
+@query(sql(["ests"], """SELECT conv_id AS file, CAST(sum(hypothesis_words) AS BIGINT) AS words, round(sum(hypothesis_words * (1 - estimated_accuracy)), 6) AS expected_errors, count(*) AS n_windows FROM ests GROUP BY 1"""))
+def accuracy_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = ests(spark, d).select(
+        F.col("conv_id").alias("file"), F.col("segment_id").alias("window_idx"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), F.col("hypothesis_words").alias("word_count"),
+        "estimated_accuracy", F.lit(0.5).alias("speech_ratio"), F.lit(0.5).alias("non_speech_ratio"),
+    )
+    return score.accuracy_report(rows).select("file", "words", r6("expected_errors").alias("expected_errors"), F.size("windows").cast("bigint").alias("n_windows"))
+
+
+@query()
+def add_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of 16-bit samples made from embeddings, with noise at 10 dB, and the level measured afterwards."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("utt_id"), "embedding").where("embedding IS NOT NULL")
+    pcm = e.withColumn("pcm", F.unhex(F.array_join(F.transform("embedding", lambda x: _le16(F.round(x.cast("double") * 8000).cast("int"))), ""))).withColumn("snr", F.lit(10.0))
+    return noise.add_noise(pcm.select("utt_id", "pcm", "snr")).select("utt_id", "snr", F.octet_length("pcm").alias("n_bytes"), F.md5("pcm").alias("pcm_md5"))
+
+
+def _le16(x: Column) -> Column:
+    """Four hex digits of a signed 16-bit number, low byte first."""
+    v = F.pmod(x, F.lit(65536))
+    return F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
+
+
+@query(sql(["utt"], "SELECT utt_id, audio_path, reference, speaker_id, coalesce(group_id, utt_id) AS group_id FROM utt"))
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances written as JSON lines and read as a manifest."""
+    path = f"{scratch_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    utt(spark, d).select("utt_id", "audio_path", "reference", "speaker_id", F.coalesce("group_id", "utt_id").alias("group_id")).write.json(path)
+    return files.read_manifest(spark, path, "jsonl").select("utt_id", "audio_path", "reference", "speaker_id", "group_id")
+
+
+@query(sql(["hyps"], "SELECT utt_id, count(*) AS n_words, md5(string_agg(h, '|' ORDER BY j)) AS words_md5 FROM hyps GROUP BY 1"))
+def recognition_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Recognition documents written as JSON, read again and reduced to their final event."""
+    path = f"{scratch_dir(spark)}/recognitions-{uuid.uuid4().hex}"
+    fixtures.documents_of(recs(spark, d)).where("size(result[1].word_array) > 0").drop("conv_id", "turn").write.option("ignoreNullFields", "false").json(path)
+    rows = recognition.final_recognition(spark.read.schema(files.RECOGNITION).json(path))
+    return rows.select("utt_id", F.size("final.word_array").cast("bigint").alias("n_words"), F.md5(F.array_join("final.word_array", "|").cast("binary")).alias("words_md5"))
