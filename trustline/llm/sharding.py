@@ -100,10 +100,10 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 0, cell_rows: in
     if shards < 1:
         raise ValueError("shards must be at least 1")
     kept = [c for c in df.columns if c.lower() not in (shard_col.lower(), slot_col.lower())]
-    own = ["__place", "__key", "__pos", "__source", "__cell", "__sends"]
-    if clash := [c for c in kept if c.lower() in own]:
-        raise ValueError(f"reserved column names: {clash}")
-    fixed = checkpointed(df.select(*[F.col(f"`{c}`") for c in kept]).coalesce(most_cells)).withColumn("__place", F.monotonically_increasing_id())
+    # The rows travel as one column, so that none of their names can clash with those used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    fixed = checkpointed(df.select(row.alias("row")).coalesce(most_cells)).withColumn("__place", F.monotonically_increasing_id())
+    opened = [F.col("row").getField(c).alias(c) for c in kept]
     # A local permutation needs no exchange: sort each partition by a random key and number its rows.
     placed = (
         fixed.withColumn("__key", F.xxhash64(F.lit(seed), "__place"))
@@ -119,7 +119,7 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 0, cell_rows: in
     cells = [n // per_shard + (c < n % per_shard) for n in sizes for c in range(per_shard)]
     starts = [sum(cells[s * per_shard : s * per_shard + c]) for s in range(shards) for c in range(per_shard)]
     if not total:
-        return fixed.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias(shard_col), F.lit(0).cast("bigint").alias(slot_col))
+        return fixed.select(*opened, F.lit(0).alias(shard_col), F.lit(0).cast("bigint").alias(slot_col))
     # Cut points: by shard, then within the shard by cell, so that a row compares with few of them.
     cuts = communication_matrix(counts, cells, seed).select(
         F.col("source").alias("__source"),
@@ -135,7 +135,7 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 0, cell_rows: in
         .withColumn("__cell", cell)
         .withColumn(slot_col, start + F.row_number().over(again) - 1)
         .withColumn(shard_col, F.expr(f"cast(__cell div {per_shard} as int)"))
-        .select(*[F.col(f"`{c}`") for c in kept], shard_col, slot_col)
+        .select(*opened, shard_col, slot_col)
     )
 
 

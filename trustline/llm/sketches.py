@@ -90,6 +90,7 @@ def edited_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataF
     in ascending doc_id (after the last comes the first). Null texts are empty; null ids come first; rows with the same id
     follow each other in the order of their texts; a single document is its own next; no rows in, none out. Texts are
     exchanged once, by ranges of ids that end at quantiles of the ids; a range's first text is also sent to the range before.
+    docs are read twice and must be the same rows both times; otherwise an error is raised.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -104,7 +105,7 @@ def edited_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataF
     coarse = max(1, int(parts**0.5))
     blocks = [marks[i : i + coarse] for i in range(0, parts, coarse)]
     mark_col = F.array(*[F.array(*[F.lit(m) for m in b]) for b in blocks])
-    block = F.size(F.filter(mark_col, lambda b: b[0] <= F.col("key"))) - 1
+    block = F.greatest(F.lit(0), F.size(F.filter(mark_col, lambda b: b[0] <= F.col("key"))) - 1)
     part = block * coarse + F.size(F.filter(F.get(mark_col, block), lambda m: m <= F.col("key"))) - 1
     placed = docs.withColumn("part", part.cast("int"))
     first = F.array_contains(F.get(mark_col, block), F.col("key"))
@@ -154,6 +155,8 @@ def _compared(rows: DataFrame) -> DataFrame:
                                 ready.append((waiting.pop(), (doc_id, text)))
                         continue
                     row = (doc_id, text, part)
+                    if waiting and waiting[0][2] != part:
+                        raise RuntimeError("the documents changed between two reads")
                     if waiting:
                         ready.append((waiting.pop(), row))
                     waiting.append(row)
@@ -162,6 +165,8 @@ def _compared(rows: DataFrame) -> DataFrame:
                         if ready:
                             yield finish([r for r, _ in ready], [n for _, n in ready])
                         ready, size = [], 0
+        if waiting:
+            raise RuntimeError("the documents changed between two reads")
         if ready:
             yield finish([r for r, _ in ready], [n for _, n in ready])
 
