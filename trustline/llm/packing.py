@@ -27,9 +27,9 @@ CACHE_WORDS = 500_000
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit numbers; emptied when it holds too many words."""
+    """word -> its ids as little-endian unsigned numbers of ``width`` bytes, with a space before it or (in ``bare``) without."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, before: str = " "):
         import re
 
         from tokenizers import Tokenizer
@@ -37,17 +37,21 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.before = before
+        self.bare = WordIds(path, "") if before else self
+        self.line_end = self.encode("\n")
         self.other_space = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]").search
 
     def unsafe(self, text: str) -> bool:
-        """Cutting before a space and after a line break changes no word of the pre-tokenizer where these stand alone."""
+        """Cutting at spaces and line breaks changes no word of the pre-tokenizer where these stand alone."""
         return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " " or self.other_space(text) is not None
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encode(word)
+        self[word] = ids = self.encode(self.before + word)
         return ids
 
     def document(self, text: str) -> bytes:
@@ -55,9 +59,14 @@ class WordIds(dict):
             return b""
         if self.unsafe(text):
             return self.encode(text)
-        first = text[0] == " "
-        body = (text[1:] if first else text).replace(" ", "\0 ").replace("\n", "\n\0")
-        return b"".join(map(self.__getitem__, (" " + body if first else body).split("\0")))
+        found, bare, spaced = [], self.bare, self.__getitem__
+        for line in text.split("\n"):
+            words = iter(line.split(" "))
+            found.append(bare[next(words)])
+            found.extend(map(spaced, words))
+            found.append(self.line_end)
+        found.pop()
+        return b"".join(found)
 
 
 @cache
@@ -66,23 +75,25 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
-    """(doc_id, source, part int, before long, doc_tokens long, ids binary): ids of each text and the end id.
+    """(doc_id, source, part int, before long, doc_tokens long, ids binary): ids of each text and the end id, two or four bytes each.
 
     ``part`` is the task, ``before`` the tokens that the same task has met before in the same source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        words = word_ids(tokenizer_path)
+        end = int(end_id).to_bytes(words.width, "little")
         met: dict[str | None, int] = {}
         for whole in batches:
             for batch in slices(whole, text_col):
                 ids = [words.document(t) + end if t else end for t in batch.column(text_col).to_pylist()]
-                sizes = [len(x) // 4 for x in ids]
+                sizes = [len(x) // words.width for x in ids]
                 before = []
                 for s, n in zip(batch.column(queue_col).to_pylist(), sizes):
                     before.append(met.get(s, 0))
                     met[s] = before[-1] + n
-                if len(words) > CACHE_WORDS:
-                    words.clear()
+                for known in (words, words.bare):
+                    if len(known) > CACHE_WORDS:
+                        known.clear()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col), batch.column(queue_col), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "source", "part", "before", "doc_tokens", "ids"],
@@ -178,6 +189,8 @@ def pack(
         .withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part", "of").rowsBetween(Window.unboundedPreceding, -1)))
         .select(F.col("part").alias("in_part"), "of", "queue", F.coalesce("base", F.lit(0)).alias("base"))
     )
+    # Written first, so that Spark knows its size: it is broadcast if small enough, else ids are exchanged by part and source.
+    places = stored(places)
     placed = tokens.join(places, (tokens["part"] == places["in_part"]) & tokens["source"].eqNullSafe(places["of"])).select(
         "doc_id", "doc_tokens", "queue", (F.col("base") + F.col("before")).alias("at"), "ids"
     )
@@ -186,9 +199,10 @@ def pack(
         for whole in batches:
             for batch in slices(whole, "ids", 16 << 20):
                 rows, starts, lengths, crcs, windows, offsets = [], [], [], [], [], []
-                for row, (queue, at, ids) in enumerate(zip(batch.column("queue").to_pylist(), batch.column("at").to_pylist(), batch.column("ids"))):
-                    raw = memoryview(ids.as_buffer())
-                    here, end = at, at + len(raw) // 4
+                each = zip(*(batch.column(c).to_pylist() for c in ("queue", "at", "doc_tokens")), batch.column("ids"))
+                for row, (queue, at, n_ids, ids) in enumerate(each):
+                    raw = memoryview(np.frombuffer(ids.as_buffer(), f"<u{len(ids.as_buffer()) // n_ids}").astype("<u4")).cast("B")
+                    here, end = at, at + n_ids
                     w = mixture.window_of(here, queue)
                     from_ = mixture.taken(w, queue)
                     while here < end:
