@@ -26,13 +26,17 @@ def edit_errors(ref: str | Column, hyp: str | Column) -> Column:
     Each pair's distinct words are mapped to single characters, so that the built-in edit distance counts words. Pairs with
     more distinct words than there are characters raise an error. Null arrays count as empty."""
     ref, hyp = (F.coalesce(col(c), F.array().cast("array<string>")) for c in (ref, hyp))
-    vocab = F.array_distinct(F.concat(ref, hyp))
 
-    def coded(words: Column) -> Column:
+    def coded(words: Column, vocab: Column) -> Column:
         return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CHAR).cast("bigint") + F.array_position(vocab, w)), 4, "0")), "UTF-16BE")), "")
 
-    distance = F.levenshtein(coded(ref), coded(hyp)).cast("bigint")
-    return F.when(F.size(vocab) <= MOST_WORDS, distance).otherwise(F.raise_error(F.lit("too many distinct words in one pair")).cast("bigint"))
+    def distance(pair: Column) -> Column:
+        edits = F.levenshtein(coded(pair["r"], pair["v"]), coded(pair["h"], pair["v"])).cast("bigint")
+        return F.when(F.size(pair["v"]) <= MOST_WORDS, edits).otherwise(F.raise_error(F.lit("too many distinct words in one pair")).cast("bigint"))
+
+    # An array of one binds the pair's vocabulary, which would be made again for every word otherwise.
+    bound = F.array(F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("v")))
+    return F.get(F.transform(bound, distance), F.lit(0))
 
 
 def accuracy(errors: str | Column, words: str | Column) -> Column:

@@ -21,8 +21,11 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recognitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """utterances with word_array, word_ops, word_times, ctc_tokens, ctc_probs, ctc_frame_len and audio_duration."""
-    words = utterances(spark, sf_dir).withColumn("ref_words", F.expr("filter(split(reference, '\\\\s+'), w -> w <> '')"))
+    """utterances with word_array, word_ops, word_times, ctc_tokens, ctc_probs, ctc_frame_len and audio_duration.
+
+    A row grows a hundredfold here, so the small texts are first spread over all cores; files may be few."""
+    spread = utterances(spark, sf_dir).repartition(3 * spark.sparkContext.defaultParallelism, "utt_id")
+    words = spread.withColumn("ref_words", F.expr("filter(split(reference, '\\\\s+'), w -> w <> '')"))
     ops = words.withColumn(
         "hyps",
         F.expr("""flatten(transform(ref_words, (w, pos) -> transform(array((conv_id * 7 + turn * 13 + pos * 31) % (4 + conv_id % 17)), op ->
