@@ -11,7 +11,10 @@ bounded. A target mixture is met while all its queues last; what is left then fo
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,7 +26,30 @@ from pyspark.sql.window import Window
 
 from .common import slices, stored
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+
+
+@cache
+def ranked_encoding(path: str):
+    """The tokenizer's own vocabulary as merge ranks, for single words, where that is the same: byte-level BPE with the usual
+    word pattern, whose merges are numbered in order. None for other tokenizers. New words cost a fifth this way."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    told = json.loads(Tokenizer.from_file(path).to_str())
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or told["normalizer"] or sys.byteorder != "little":
+        return None
+    ids = model["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(model[k] for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) or [ids[m] for m in merged] != sorted(ids[m] for m in merged):
+        return None
+    # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+    ranks = {bytes(byte[c] for c in t): ids[t] for t in [*byte, *merged]}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class WordIds(dict):
@@ -37,6 +63,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.quick = ranked_encoding(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.before = before
         self.bare = WordIds(path, "") if before else self
@@ -51,7 +78,14 @@ class WordIds(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encode(self.before + word)
+        whole = self.before + word
+        if self.quick is None:
+            ids = self.encode(whole)
+        else:
+            ids = array("H" if self.width == 2 else "I", self.quick.encode_ordinary(whole)).tobytes()
+            if len(self) % 256 == 0 and ids != self.encode(whole):
+                raise ValueError(f"merges by rank and the tokenizer disagree on {whole[:80]!r}")
+        self[word] = ids
         return ids
 
     def document(self, text: str) -> bytes:
