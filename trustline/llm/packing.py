@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import slices, stored
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 @cache
@@ -231,7 +231,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ids", 16 << 20):
+            for batch in slices(whole, "ids"):
                 rows, starts, lengths, crcs, windows, offsets = [], [], [], [], [], []
                 each = zip(*(batch.column(c).to_pylist() for c in ("queue", "at", "doc_tokens")), batch.column("ids"))
                 for row, (queue, at, n_ids, ids) in enumerate(each):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, slices, text_bytes
+from .common import SLICE_BYTES, shingle_hashes, slices, text_bytes
 
 K = 128
 _BITS = 48
@@ -161,7 +161,7 @@ def _compared(rows: DataFrame) -> DataFrame:
                         ready.append((waiting.pop(), row))
                     waiting.append(row)
                     size += len(text)
-                    if size > 4 << 20:
+                    if size > SLICE_BYTES:
                         if ready:
                             yield finish([r for r, _ in ready], [n for _, n in ready])
                         ready, size = [], 0
