@@ -35,7 +35,7 @@ def evaluate_partitions(recs: DataFrame, predictor: Predictor, window: int = 512
     """Metrics of real (by recording) and real_part (by utterance), and the same for each noise level if recs has ``snr``.
 
     Each recording is sliced once; partitions are a column, so there is one job for all of them."""
-    suffix = F.when(F.col("snr").isNull(), "").otherwise(F.concat(F.lit("_snr_"), F.format_string("%s", "snr"))) if levels else F.lit("")
+    suffix = F.when(F.col("snr").isNull(), "").otherwise(F.concat(F.lit("_snr_"), F.regexp_replace(F.col("snr").cast("string"), r"\.0$", ""))) if levels else F.lit("")
     out = None
     for name, key in (("real", "group_id"), ("real_part", "utt_id")):
         rows = recs.withColumn("partition", F.concat(F.lit(name), suffix)).withColumn("__key", F.concat_ws("|", "partition", key))
