@@ -15,16 +15,16 @@ from ..lineage import checkpointed
 def ranked(df: DataFrame, by: list[str], order: list[str], rank: str = "rank") -> DataFrame:
     """df with a 0-based rank within ``by`` in ``order``, and ``group_rows``, the group's size.
 
-    Rows are dealt by ranges of the order and numbered inside each range; a range adds the rows of the ranges before it. So
-    no group is sorted by one task, and the rank needs one exchange."""
-    dealt = checkpointed(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
-    counts = dealt.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    Rows are dealt by ranges of the order and sorted inside each range, where their places are numbered; a range adds the
+    rows of the ranges before it. So no group is sorted by one task, and rows are exchanged once."""
+    placed = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__m", F.monotonically_increasing_id())
+    dealt = checkpointed(placed).withColumn("__p", F.shiftright("__m", 33)).withColumn("__m", F.col("__m").bitwiseAND((1 << 33) - 1))
+    counts = dealt.groupBy(*by, "__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
     group = Window.partitionBy(*by)
-    before = counts.select(
-        *by, "__p", F.coalesce(F.sum("__n").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"), F.sum("__n").over(group).alias("group_rows")
-    )
-    own = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order)) - 1
-    return dealt.withColumn(rank, own.cast("bigint")).join(before, [*by, "__p"]).withColumn(rank, F.col(rank) + F.col("__b")).drop("__p", "__b")
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row a range and group: a table of the size of the partitioning.
+    shift = counts.select(*by, "__p", (before - F.col("__first")).alias("__b"), F.sum("__n").over(group).alias("group_rows"))
+    return dealt.join(shift, [*by, "__p"]).withColumn(rank, F.col("__m") + F.col("__b")).drop("__p", "__b", "__m")
 
 
 def accuracy_deciles(segments: DataFrame, by: str = "split") -> DataFrame:
