@@ -128,6 +128,11 @@ def test_stems_are_learned():
     assert list(toxicity.choose_stems([c for c in counts if c[0] != "them"], 50, 400)) == ["lowei"]
 
 
+def test_stems_of_copied_texts_explain_nothing():
+    texts = ["lowei x"] * 60 + ["lowei rareword"] * 20 + ["chonu z"] * 5
+    assert set(toxicity.explaining({"lowei": 1.0, "rarewo": 1.0, "chonu": 1.0}, texts, 0.3)) == {"lowei", "chonu"}
+
+
 def test_toxicity_of_odd_texts(spark, sf_dir, odd, nothing):
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     out = toxicity.score_toxicity(odd, model).collect()

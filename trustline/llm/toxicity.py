@@ -173,6 +173,25 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     return chosen
 
 
+def explaining(stems: dict[str, float], toxic_texts: list[str], common: float = 0.02) -> dict[str, float]:
+    """Stems that are in a share ``common`` of the toxic texts, or explain texts that more frequent stems leave unexplained.
+
+    Rare words of toxic texts that were copied are frequent too, but come with stems that explain their texts already."""
+    found: dict[str, set[int]] = {s: set() for s in stems}
+    for i, text in enumerate(toxic_texts):
+        for w in set(_WORD.findall(text.lower())):
+            for k in STEM_LENGTHS:
+                if w[:k] in found:
+                    found[w[:k]].add(i)
+    kept, explained = {}, set()
+    for s in sorted(found, key=lambda s: (-len(found[s]), s)):
+        new = found[s] - explained
+        if len(found[s]) >= common * len(toxic_texts) or len(new) >= max(3, len(found[s]) / 2):
+            kept[s] = stems[s]
+            explained |= found[s]
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 3000, label_col: str = "toxic") -> Toxicity:
     """Stems and curve from at most ``per_class`` labelled texts of each kind where ``may_learn``; without both kinds, the seeds."""
     seeds = {s: 1.0 for s in SEED_INSULTS}
@@ -192,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
         .limit(20_000)
         .collect()
     )
-    model = Toxicity(seeds | choose_stems([(r.stem, r.toxic, r.clean) for r in found], toxic, clean))
+    learned = choose_stems([(r.stem, r.toxic, r.clean) for r in found], toxic, clean)
+    model = Toxicity(seeds | explaining(learned, rows.loc[rows["y"] == 1, "text"].tolist()))
     x = np.array([model.features(t) for t in rows["text"]])
     y = rows["y"].to_numpy(float)
     x1, w = np.column_stack([np.ones(len(x)), x]), model.curve.copy()
