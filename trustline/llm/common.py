@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,11 +86,21 @@ def append_columns(
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in passed), *compute(part)], names=[*passed, *(n for n, _ in fields)]
                 )
+        release_memory()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in passed), *(f"`{n}` {t}" for n, t in fields)])
     return source.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: workers live on from task to task and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

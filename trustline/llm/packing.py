@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, stored
+from .common import release_memory, slices, stored
 
 CACHE_WORDS = 300_000
 
@@ -55,18 +55,18 @@ def ranked_encoding(path: str):
 class WordIds(dict):
     """word -> its ids as little-endian unsigned numbers of ``width`` bytes, with a space before it or (in ``bare``) without."""
 
-    def __init__(self, path: str, before: str = " "):
+    def __init__(self, path: str, before: str = " ", tokenizer=None):
         import re
 
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer or Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.quick = ranked_encoding(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.before = before
-        self.bare = WordIds(path, "") if before else self
+        self.bare = WordIds(path, "", self.tokenizer) if before else self
         self.line_end = self.encode("\n")
         self.other_space = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]").search
 
@@ -132,6 +132,10 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
                     [batch.column(id_col), batch.column(queue_col), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "source", "part", "before", "doc_tokens", "ids"],
                 )
+        # A task meets more words than are kept, so keeping them for the next one gains little.
+        words.clear()
+        words.bare.clear()
+        release_memory()
 
     # All of a source that is numeric or absent is a queue by its text.
     source = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col), F.col(f"`{queue_col}`").cast("string").alias(queue_col)).withColumn("part", F.spark_partition_id())
