@@ -98,6 +98,26 @@ def test_hub_links_copies_that_are_not_like_each_other(spark):
     assert {r.component_id for r in dart_minhash.near_duplicates(df).collect()} == {380}
 
 
+@pytest.mark.parametrize("block_rows", [2048, 100])
+def test_family_without_its_hub_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(dart_minhash, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(260)]
+    texts, edits = [], []
+    for c in range(1000):
+        copy, places = list(base), rng.choice(52, 4, replace=False)
+        for i in places:
+            copy[i * 5 + 2] = f"y{c}_{i}"
+        texts.append(" ".join(copy))
+        edits.append(set(places))
+    shingles = [{tuple(w[i : i + 5]) for i in range(256)} for w in (t.split() for t in texts)]
+    # Copies that share under two edited places are far below 0.8.
+    near = [(a, b) for a in range(1000) for b in range(a) if len(edits[a] & edits[b]) > 1 and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    want = groups(1000, near)
+    got = {r.doc_id: r.component_id for r in dart_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(1000)] == want
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 16))

@@ -8,8 +8,9 @@ probability of their weighted Jaccard similarity. Coordinates that stay empty ta
 
 Signatures are cut into bands; texts that share a band are candidates. Equal texts are one node from the start. In a band's
 bucket every node is compared with the bucket's most popular nodes, those that meet most others over all bands, which are
-the originals of a group of copies; nodes of other components go on to the next pivots. Candidates are verified by the
-exact weighted Jaccard similarity of whole texts.
+the originals of a group of copies; nodes of other components go on to the next pivots. What a bucket then still holds of
+different components is compared in full, block of nodes against block of nodes. Candidates are verified by the exact
+weighted Jaccard similarity of whole texts.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cap_filters import _groups
 from .common import mix64, release_memory, shingle_hashes, slices, stored, text_bytes
 from .components import components
 
 ROWS, BANDS = 6, 40
 COORDINATES = ROWS * BANDS
+BLOCK_ROWS, BLOCK_BYTES = 2048, 2 << 20
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(18)])
 
 
@@ -164,6 +167,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _forest(rows: pa.Table, least: float) -> tuple[pa.Array, pa.Array] | None:
+    """Of one bucket's pair of blocks: (node, root of its tree here) over the links between nodes of different components."""
+    low, high, bucket = (rows.column(c)[0].as_py() for c in ("low", "high", "bucket"))
+    block, n = rows.column("block").to_numpy(), rows.num_rows
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    component = rows.column("component").chunk(0).dictionary_encode().indices.to_numpy()
+    bands = rows.column("bands").chunk(0).flatten().to_numpy().reshape(n, -1)
+    untried = component[left][:, None] != component[right][None, :]
+    # A pair that shares an earlier band is compared there.
+    for band in range(int(np.argmax(bands[0] == bucket))):
+        untried &= bands[left, band][:, None] != bands[right, band][None, :]
+    if low == high:
+        untried &= left[:, None] < right[None, :]
+    if not untried.any():
+        return None
+    at_left, at_right = untried.any(axis=1), untried.any(axis=0)
+    left, right, untried = left[at_left], right[at_right], untried[np.ix_(at_left, at_right)]
+    hashes, starts = shingle_hashes(*text_bytes(rows.column("text").chunk(0)))
+    h, w, text = weighted(hashes, starts)
+    # A shingle's second occurrence in a text is a column of its own, so the lesser counts are those of shared columns.
+    of = np.repeat(np.arange(len(h)), w.astype(np.int64))
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w.astype(np.int64)).astype(np.int64)
+    _, column, uses = np.unique(mix64(h[of] ^ mix64(nth.astype(np.uint64))), return_inverse=True, return_counts=True)
+    column, owner = (np.cumsum(uses > 1) - 1)[column[uses[column] > 1]], text[of[uses[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared, wide = np.zeros(untried.shape, np.float32), 1024
+    for c in range(0, int((uses > 1).sum()), wide):
+        a, b = np.searchsorted(column, (c, c + wide))
+        has = np.zeros((n, wide), np.float32)
+        has[owner[a:b], column[a:b] - c] = 1
+        shared += has[left] @ has[right].T
+    size = np.diff(starts).astype(np.float64)
+    i, j = np.nonzero(untried & (shared >= least * (size[left][:, None] + size[right][None, :] - shared) - 1e-9))
+    if not len(i):
+        return None
+    i, j = left[i], right[j]
+    root = np.arange(n)
+    while True:  # smallest index reachable, here
+        nxt = root.copy()
+        np.minimum.at(nxt, i, root[j])
+        np.minimum.at(nxt, j, root[i])
+        nxt = nxt[nxt]
+        if (nxt == root).all():
+            break
+        root = nxt
+    node, linked = rows.column("node").chunk(0), np.flatnonzero(root < np.arange(n))
+    return node.take(pa.array(linked)), node.take(pa.array(root[linked]))
+
+
+def _compared(rest: DataFrame, texts: DataFrame, labels: DataFrame, least: float, whole: bool) -> DataFrame:
+    """Links (a, b) that join components of a bucket; rest (bucket, node, blocks, bytes), texts (node, text, bands).
+
+    Nodes of a bucket are compared inside ``blocks`` random blocks or, if ``whole``, in all pairs of blocks; there the
+    bucket's largest component, which has nothing to find in itself, has blocks of its own that meet only those of others."""
+    rows = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    main = each.groupBy("bucket").agg(
+        F.max(F.struct("n", "b", "component")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("parts")
+    )
+    blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    sides = main.where("parts > 1").select(
+        "bucket", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b")).alias("others"), blocks(F.col("main.n"), F.col("main.b")).alias("own")
+    )
+    rows = rows.join(sides, "bucket").join(texts, "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    if whole:
+        inside = F.col("component") == F.col("main")
+        rows = rows.withColumn("block", F.when(inside, F.col("others") + deal(F.col("own"))).otherwise(deal(F.col("others"))))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)))
+    else:
+        rows = rows.withColumn("block", deal(F.col("blocks"))).withColumn("other", F.col("block"))
+    pairs = rows.select("node", "component", "text", "bands", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["bucket", "low", "high"]):
+            if (found := _forest(group, least)) is not None:
+                yield pa.RecordBatch.from_arrays(list(found), names=["a", "b"])
+        release_memory()
+
+    keys = ["bucket", "low", "high"]
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, pivots: int = 8) -> DataFrame:
     """(doc_id, component_id, kept, text_class): component_id is the smallest doc_id of the texts that links reach.
 
@@ -199,6 +286,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, pivots: int = 8) -> Dat
         found = stored(_verified(candidates, texts, least))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+    # All pairs with a pivot are tried or of one component by now; what is left are pairs of others in larger buckets.
+    rest = members.where(F.col("size") > pivots + 1).join(ranked.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+    placed = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    rest = stored(placed.drop("component").join(apart, "bucket", "left_semi").join(texts.select("node", F.octet_length("text").alias("bytes")), "node"))
+    if not rest.isEmpty():
+        sized = rest.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        rest = stored(rest.join(sized, "bucket"))
+        compared = texts.join(nodes.select("node", "bands"), "node").join(rest.select("node").distinct(), "node", "left_semi")
+        for whole in (False, True):
+            # Buckets of one block are done after the first round.
+            found = stored(_compared(rest.where("blocks > 1") if whole else rest, compared, labels, least, whole))
+            links = links.unionByName(found)
+            labels = components(links)
     graph = signed.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).select("doc_id", "node", "group")
     smallest = graph.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least_id"))
     return graph.join(smallest, "group", "left").select(
