@@ -123,6 +123,16 @@ def test_grammar_composes():
             assert np.isclose(factor, np.prod([f for _, f in moves]))
 
 
+def test_threats_count_with_a_target():
+    m = toxicity.Toxicity({"idiot": 1.0})
+    bare, after, before, far, negated, reported = map(
+        m.clause, ("kill the process", "i will kill you", "ich werde dich töten", "kill every single one of you", "i will not kill you", "she said i will kill you")
+    )
+    assert 0 < bare < 0.05 and after > 20 * bare and far == after and bare < before < after
+    assert negated < 0.2 * after and reported < 0.5 * after
+    assert m.clause("you and they") == 0
+
+
 def test_stems_are_learned():
     counts = [("lowe", 40, 1), ("lowei", 39, 0), ("loweis", 12, 0), ("them", 30, 200)]
     assert list(toxicity.choose_stems([c for c in counts if c[0] != "them"], 50, 400)) == ["lowei"]

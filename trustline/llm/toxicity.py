@@ -2,8 +2,9 @@
 
 Words become tags: insult stems (a stem followed by any letters, learned from labelled texts and seeded by a short list),
 threat verbs, targets, negations and verbs of reported speech. Small weighted transducers, one for each phenomenon, read a
-clause's tags; their composition is built once as a table over product states. A clause with an insult or a threat scores
-the insult's weight times what the path gives: more with a target or a threat, little under negation or in reported speech.
+clause's tags; their composition is built once as a table over product states. An insult scores its weight times what the
+path gives: more with a target or a threat, little under negation or in reported speech. A threat scores next to nothing
+by itself; the target that follows it scores.
 A text's clause scores, in sum and for its length, go through a logistic curve fitted on a bounded labelled sample.
 """
 
@@ -48,12 +49,17 @@ class Transducer:
         return self.arcs.get((state, tag), (self.rest[state], 1.0))
 
 
-# State is the number of words for which the negation still holds.
-NEGATED = Transducer({**{(s, NEGATION): (3, 1.0) for s in range(4)}, **{(s, INSULT): (s - 1, 0.1) for s in range(1, 4)}, **{(s, THREAT): (s - 1, 0.1) for s in range(1, 4)}}, {0: 0, 1: 0, 2: 1, 3: 2})
-REPORTED = Transducer({(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.4), (1, THREAT): (1, 0.4)}, {0: 0, 1: 1})
-TARGETED = Transducer({(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.25)}, {0: 0, 1: 1})
-# A threat counts once a target follows it.
-THREATENED = Transducer({(0, THREAT): (1, 0.2), (1, TARGET): (0, 1.0), (1, INSULT): (1, 1.25)}, {0: 0, 1: 1})
+# State is the number of words for which the negation still holds; a negated threat leaves it as it is, for its target.
+NEGATED = Transducer({**{(s, NEGATION): (3, 1.0) for s in range(4)}, **{(s, t): (s - (t != THREAT), 0.1) for s in range(1, 4) for t in (INSULT, THREAT, TARGET)}}, {0: 0, 1: 0, 2: 1, 3: 2})
+REPORTED = Transducer({(0, REPORT): (1, 1.0), **{(1, t): (1, 0.4) for t in (INSULT, THREAT, TARGET)}}, {0: 0, 1: 1})
+# A target before a threat ("ich werde dich töten") may be its subject, so it gives a fifth of what one after it gives.
+TARGETED = Transducer({(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.25), (1, THREAT): (1, 10.0)}, {0: 0, 1: 1})
+# A threat counts once a target follows it within six words, on the target's arc: states 6 to 1 wait for it, 7 has given up.
+_WAIT = {7: 7, 1: 7, **{s: s - 1 for s in range(2, 7)}}
+THREATENED = Transducer(
+    {**{(s, THREAT): (6, 0.02) for s in range(8)}, **{(s, TARGET): (0, 1.0) for s in range(1, 7)}, **{(s, TARGET): (s, 0.0) for s in (0, 7)}, **{(s, INSULT): (n, 1.25) for s, n in _WAIT.items()}},
+    {0: 0, **_WAIT},
+)
 
 
 def compose(*machines: Transducer) -> list[list[tuple[int, float]]]:
@@ -108,7 +114,7 @@ class Toxicity:
             if tag == OTHER and (m := self._stem(word)):
                 tag, weight = INSULT, self.stems[m[0]]
             state, factor = GRAMMAR[state][tag]
-            if tag in (INSULT, THREAT):
+            if tag in (INSULT, THREAT, TARGET):
                 score += weight * factor
         return score
 
