@@ -10,7 +10,6 @@ from trustline.llm.common import fold, table
 from trustline.llm.queries import BYTE_BPE
 
 LEAST_LANGUAGE_SCORE = 0.4
-TOXIC_FROM = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +20,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose toxicity is below 0.5."""
+    """Keeps documents that op10_toxicity does not call toxic."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    return toxicity.score_toxicity(docs, model, score_col="__toxic").where(F.col("__toxic") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.score_toxicity(docs, model, score_col="__toxic").where(F.col("__toxic") < toxicity.TOXIC_FROM).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,6 +275,22 @@ def test_words_apart_equal_the_whole_text():
         assert words.document(text) == words.encode(text), text
 
 
+def test_pipeline_drops_what_is_predicted_toxic(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+    from trustline.llm import toxicity
+
+    # One idiot scores between 0.3 and 0.5, two score above, none below.
+    model = toxicity.Toxicity({"idiot": 1.0}, np.array([-2.0, 2.2, 0.0, 0.0]))
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    some = [r.doc_id for r in docs.select("doc_id").distinct().orderBy("doc_id").limit(40).collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(some[:20]), "what idiots").when(F.col("doc_id").isin(some[20:]), "idiot idiot").otherwise(F.col("text")))
+    monkeypatch.setattr(queries, "table", lambda s, d, name: docs if name == "documents" else table(s, d, name))
+    predicted = {r.doc_id for r in queries.op10_toxicity(spark, sf_dir).where("predicted = 1").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.not_toxic(spark, docs, sf_dir).collect()}
+    assert predicted >= set(some) and kept == {r.doc_id for r in docs.collect()} - predicted
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 

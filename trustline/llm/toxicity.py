@@ -35,6 +35,8 @@ REPORTS = "said says wrote quoted claimed sagte schrieb behauptete dit écrit af
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 STEM_LENGTHS = range(4, 11)
+# Texts of this score and more count as toxic.
+TOXIC_FROM = 0.3
 
 
 @dataclass(frozen=True)
