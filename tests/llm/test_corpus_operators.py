@@ -275,6 +275,16 @@ def test_words_apart_equal_the_whole_text():
         assert words.document(text) == words.encode(text), text
 
 
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(queries.BYTE_BPE), packing.WordIds(queries.BYTE_BPE)
+    for text in ("one <|endoftext|> two", "one<|endoftext|>two", "<|endoftext|>", "one <|endof text|> two"):
+        got = np.frombuffer(words.document(text), f"<u{words.width}").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(words.document("one <|endoftext|> two"), f"<u{words.width}")
+
+
 def test_pipeline_drops_what_is_predicted_toxic(spark, sf_dir, monkeypatch):
     import corpus_pipeline
     from trustline.llm import toxicity

@@ -62,17 +62,18 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = tokenizer or Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.quick = ranked_encoding(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.before = before
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = WordIds(path, "", self.tokenizer) if before else self
         self.line_end = self.encode("\n")
         self.other_space = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]").search
 
     def unsafe(self, text: str) -> bool:
-        """Cutting at spaces and line breaks changes no word of the pre-tokenizer where these stand alone."""
-        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " " or self.other_space(text) is not None
+        """Cutting at spaces and line breaks changes no word of the pre-tokenizer where these stand alone. Texts with an added
+        token go to the library whole, which gives that token's own id."""
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " " or self.other_space(text) is not None or any(t in text for t in self.added)
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
