@@ -31,6 +31,41 @@ def test_piece_codec_equals_library(spark, sf_dir, odd):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_piece_codec_of_clashing_columns_and_no_rows(spark, odd, nothing):
+    clash = odd.withColumnsRenamed({"lang": "ids_sha256", "source": "N_Tokens"})
+    out = piece_codec.encode_decode(clash, queries.PIECE_MODEL)
+    assert out.columns == ["doc_id", "text", "score", "shard", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == odd.count()
+    assert {r.n_tokens for r in out.where("text IS NULL OR text = ''").collect()} == {1}
+    assert piece_codec.encode_decode(nothing, queries.PIECE_MODEL).count() == 0
+
+
+def test_agendas_together_equal_the_heap_and_the_library(monkeypatch):
+    vocab = piece_codec.vocabulary(queries.PIECE_MODEL)
+    rng = random.Random(3)
+    texts = strings(2000, seed=7) + ["".join(rng.choice("abtheinrs") for _ in range(n)) for n in range(1, 400, 7)]
+    together = [piece_codec.encode_ids(t, vocab) for t in texts]
+    assert together == [vocab.library.encode(t, add_eos=True) for t in texts]
+    assert [vocab.decode_ids(i[:-1]).removeprefix(" ") for i in together] == vocab.library.decode(together)
+    monkeypatch.setattr(piece_codec, "MOST_WIDTH", 0)
+    assert together == [piece_codec.encode_ids(t, vocab) for t in texts]
+
+
+def test_parts_that_are_forgotten_come_again():
+    known = piece_codec.PartCache(piece_codec.vocabulary(queries.PIECE_MODEL), most=3)
+    first = known.of(["▁one", "▁two", "", "\n", "▁three"])
+    assert known.of(["▁four"]) and known.of(["▁one", "▁two", "", "\n", "▁three"]) == first and first[2] == ("", 0, "")
+
+
+def test_a_library_that_disagrees_is_an_error():
+    vocab = piece_codec.vocabulary(queries.PIECE_MODEL)
+    ids, counts = vocab.encode_parts(["▁one", "▁other"])
+    vocab.check(["▁one", "▁other"], ids, counts, [" one", " other"])
+    with pytest.raises(ValueError):
+        vocab.check(["▁one", "▁other"], ids[::-1], counts, [" one", " other"])
+    with pytest.raises(ValueError):
+        vocab.check(["▁one", "▁other"], ids, counts, [" one", " othre"])
+
+
 def test_token_counts_equal_library(spark, odd):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

@@ -73,16 +73,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def append_columns(
-    df: DataFrame, column: str, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None
+    df: DataFrame, column: str, fields: list[tuple[str, str]], compute: Callable[[pa.RecordBatch], list[pa.Array]], most: int = SLICE_BYTES
 ) -> DataFrame:
-    """All columns of df (or ``keep``), then ``fields`` computed from slices of its batches; a clashing name gives way to the new column."""
+    """All columns of df, then ``fields`` computed from slices of its batches of about ``most`` bytes of text; a clashing name gives way to the new column."""
     names = {n.lower() for n, _ in fields}
-    source = df.select(*[F.col(f"`{c}`") for c in (keep or df.columns) if c.lower() not in names or c == column])
+    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names or c == column])
     passed = [c for c in source.columns if c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in passed), *compute(part)], names=[*passed, *(n for n, _ in fields)]
                 )
