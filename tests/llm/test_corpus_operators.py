@@ -1,7 +1,9 @@
 """Duplicates, fingerprints, shards and sequences, against brute force."""
 
 import collections
+import functools
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -252,9 +254,15 @@ def packed_ok(pieces, ids):
         assert at == 2048 or s == max(by_seq)
 
 
+@functools.cache
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.BYTE_BPE)
+
+
 def token_ids(text):
-    t = packing.word_ids(queries.BYTE_BPE).tokenizer
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1])
+    return np.array([*fresh_tokenizer().encode(text or "", add_special_tokens=False).ids, 1])
 
 
 def test_packing_holds_every_token_once(spark, sf_dir, odd, nothing):
@@ -267,22 +275,39 @@ def test_packing_holds_every_token_once(spark, sf_dir, odd, nothing):
 
 
 def test_words_apart_equal_the_whole_text():
-    import random
-
-    rng, words = random.Random(1), packing.word_ids(queries.BYTE_BPE)
-    for _ in range(3000):
-        text = "".join(rng.choice(" \n\tab's.é漢1\r\x1f\xa0\0") for _ in range(rng.randint(1, 25)))
-        assert words.document(text) == words.encode(text), text
-
-
-def test_added_tokens_keep_their_ids():
-    from tokenizers import Tokenizer
-
-    tokenizer, words = Tokenizer.from_file(queries.BYTE_BPE), packing.WordIds(queries.BYTE_BPE)
-    for text in ("one <|endoftext|> two", "one<|endoftext|>two", "<|endoftext|>", "one <|endof text|> two"):
-        got = np.frombuffer(words.document(text), f"<u{words.width}").tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids
-    assert 50256 in np.frombuffer(words.document("one <|endoftext|> two"), f"<u{words.width}")
+    rng, words = random.Random(1), packing.text_ids(queries.BYTE_BPE)
+    texts = ["".join(rng.choice(" \n\tab's.é漢1\r\x1f\xa0\0") for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    texts += ["".join(rng.choice("  \nabc'sdlevrmt.!é漢1") for _ in range(rng.randint(1, 40))).strip().replace("  ", " ") for _ in range(3000)]
+    texts += ["one <|endoftext|> two", "one<|endoftext|>two", "<|endoftext|>", "one <|endof text|> two", "", None]
+    for a in range(0, len(texts), 50):
+        got = words.documents(pa.array(texts[a : a + 50], pa.string()))
+        assert [np.frombuffer(g, f"<u{words.width}").tolist() for g in got] == [token_ids(t)[:-1].tolist() for t in texts[a : a + 50]]
+    assert 50256 in np.frombuffer(words.documents(pa.array(["one <|endoftext|> two"]))[0], f"<u{words.width}")
+
+
+def test_small_sources_keep_their_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROUND_WINDOWS", 4)
+    # Forty sources of equal size lie one after another in the table and would come so without rounds.
+    rows = [(i, "word " * 120, f"s{i // 50:02d}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3, "source")
+    pieces = packing.pack(df, queries.BYTE_BPE, least_share=0.1).collect()
+    packed_ok(pieces, {i: token_ids(t) for i, t, _ in rows})
+    windows = collections.defaultdict(collections.Counter)
+    for p in pieces:
+        windows[p.sequence_id][p.doc_id // 50] += p.length
+    # After any number of windows a source is at most two rounds and a document away from its share.
+    done, quantum = collections.Counter(), sum(p.length for p in pieces) / (sum(p.length for p in pieces) // 8192) / 40
+    for w in sorted(windows):
+        done.update(windows[w])
+        assert all(abs(done[s] - sum(done.values()) / 40) < 2 * quantum + 122 for s in range(40))
+
+
+def test_packing_of_clashing_columns_and_null_sources(spark, odd):
+    clash = odd.withColumnsRenamed({"lang": "part", "shard": "queue_key", "score": "ids"})
+    pieces = packing.pack(clash, queries.BYTE_BPE, least_share=0.9).collect()
+    assert sum(p.length for p in pieces) == sum(len(token_ids(r.text)) for r in odd.collect())
+    one = packing.pack(odd, queries.BYTE_BPE, target={"s": 1.0}).collect()
+    assert sum(p.length for p in one) == sum(p.length for p in pieces)
 
 
 def test_pipeline_drops_what_is_predicted_toxic(spark, sf_dir, monkeypatch):

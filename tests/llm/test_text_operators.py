@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustline.llm import language_id, line_quality, piece_codec, queries, token_counts, toxicity
-from trustline.llm.common import fold, table, text_bytes
+from trustline.llm.common import Recent, fold, table, text_bytes
 
 ALPHABET = " \n\tab cdthe.,!é▁漢🙂\0<0x0A>1234"
 
@@ -51,9 +51,13 @@ def test_agendas_together_equal_the_heap_and_the_library(monkeypatch):
 
 
 def test_parts_that_are_forgotten_come_again():
-    known = piece_codec.PartCache(piece_codec.vocabulary(queries.PIECE_MODEL), most=3)
+    vocab, made = piece_codec.vocabulary(queries.PIECE_MODEL), []
+    known = Recent(lambda parts: made.extend(parts) or piece_codec._made(vocab, parts), most=3)
     first = known.of(["▁one", "▁two", "", "\n", "▁three"])
-    assert known.of(["▁four"]) and known.of(["▁one", "▁two", "", "\n", "▁three"]) == first and first[2] == ("", 0, "")
+    assert first[2] == ("", 0, "") and known.of(["▁four", "▁one"])[1] == first[0]
+    for i in range(4):
+        known.of([f"▁{i}", f"▁{i + 50}"])
+    assert made.count("▁one") == 1 and known.of(["▁one"]) == first[:1] and made.count("▁one") == 2 and known.of(["", "▁two"]) == [first[2], first[1]]
 
 
 def test_a_library_that_disagrees_is_an_error():

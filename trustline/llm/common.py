@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -92,6 +93,45 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
+class Recent:
+    """What strings stand for, made in batches and kept while it is met: strings that a whole generation has not met go."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def of(self, strings: list[str]) -> list:
+        """The values of distinct strings, in order; all that are new are made at once."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, strings))
+        new = []
+        for row in [i for i, f in enumerate(found) if f is None]:
+            if (kept := self.old.get(strings[row])) is not None:
+                found[row] = self.young[strings[row]] = kept
+            else:
+                new.append(row)
+        if new:
+            for row, made in zip(new, self.make([strings[row] for row in new]), strict=True):
+                found[row] = self.young[strings[row]] = made
+        return found
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
+def running_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with ``out``: the sum of ``value`` over all rows before this one in the order of ``order``, which no two rows share.
+
+    Rows are dealt to ranges, numbered inside and shifted by the sums of the ranges before, of which there are as many as
+    shuffle partitions; no task sees all rows. df is written to the shared folder."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    totals = sorted(dealt.groupBy("__range").agg(F.sum(value)).collect())
+    starts = [(r, int(sum(t for _, t in totals[:i]))) for i, (r, _) in enumerate(totals)]
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shifted = dealt.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__range int, __start bigint")), "__range")
+    return shifted.withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(before), F.lit(0))).drop("__range", "__start")
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system: workers live on from task to task and share an executor's limit."""
     pa.default_memory_pool().release_unused()

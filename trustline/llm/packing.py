@@ -5,143 +5,144 @@ mixture, takes whole tokens of what it has earned, and carries the rest, its def
 window is packed. Served in a fixed order, with A_s the tokens of queues up to s and T all tokens, the queues up to s have
 taken floor(n A_s / T) tokens when n tokens are packed: windows are exactly full, each queue's deficit stays below one
 token, and any task finds its documents' windows by arithmetic from the document's place in its queue. No task steps
-through windows of others. Queues with under ``least_share`` of the tokens share one last queue, so the mixture's table is
-bounded. A target mixture is met while all its queues last; what is left then follows in the proportions left.
+through windows of others.
+
+A queue with under ``least_share`` of the tokens would get a few tokens of a window, and its documents many pieces. Such
+queues share one queue of windows, which serves them by rounds: in each round each of them has its share of the round, a
+document starts in the round that its place in its queue falls in, and what it takes beyond the share is carried to the
+rounds after. A target mixture is met while all its queues last; what is left then follows in the proportions left.
 """
 
 from __future__ import annotations
 
 import json
-import sys
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import release_memory, slices, stored
+from .common import SLICE_BYTES, Recent, release_memory, running_sums, slices, stored
 
 CACHE_WORDS = 300_000
+ROUND_WINDOWS = 32
+large = partial(pa.scalar, type=pa.large_string())
 
 
-@cache
-def ranked_encoding(path: str):
-    """The tokenizer's own vocabulary as merge ranks, for single words, where that is the same: byte-level BPE with the usual
-    word pattern, whose merges are numbered in order. None for other tokenizers. New words cost a fifth this way."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    told = json.loads(Tokenizer.from_file(path).to_str())
-    model, before = told["model"], told["pre_tokenizer"] or {}
-    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or told["normalizer"] or sys.byteorder != "little":
-        return None
-    ids = model["vocab"]
-    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
-    if any(model[k] for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) or [ids[m] for m in merged] != sorted(ids[m] for m in merged):
-        return None
-    # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
-    ranks = {bytes(byte[c] for c in t): ids[t] for t in [*byte, *merged]}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned numbers of ``width`` bytes, with a space before it or (in ``bare``) without."""
-
-    def __init__(self, path: str, before: str = " ", tokenizer=None):
-        import re
+class TextIds:
+    """Ids of texts as little-endian unsigned numbers of ``width`` bytes, all of them from the tokenizers library.
 
+    Where the tokenizer is byte-level BPE with the usual word pattern, a text falls apart at single spaces and line breaks,
+    and words that are new in an Arrow batch are read by the library in one text; a token's number of bytes tells whose it
+    is. Texts with other white space or an added token's content, and texts of other tokenizers, are read whole."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = tokenizer or Tokenizer.from_file(path)
-        self.quick = ranked_encoding(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.before = before
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = WordIds(path, "", self.tokenizer) if before else self
-        self.line_end = self.encode("\n")
+        self.known = Recent(self._made, CACHE_WORDS)
+        told = json.loads(self.tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        self.apart = told["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told["normalizer"]
+        # In the byte-level alphabet a character of a token is a byte.
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(False).items():
+            self.bytes_of[i] = len(token)
         self.other_space = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]").search
 
-    def unsafe(self, text: str) -> bool:
-        """Cutting at spaces and line breaks changes no word of the pre-tokenizer where these stand alone. Texts with an added
-        token go to the library whole, which gives that token's own id."""
-        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " " or self.other_space(text) is not None or any(t in text for t in self.added)
+    def whole(self, text: str) -> bool:
+        """Whether cutting the text at spaces and line breaks might change a word of the pre-tokenizer, or an added token."""
+        if not self.apart or text[-1] == " " or any(t in text for t in ("  ", "\n\n", " \n", "\n ", *self.added)):
+            return True
+        return self.other_space(text) is not None
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        whole = self.before + word
-        if self.quick is None:
-            ids = self.encode(whole)
-        else:
-            ids = array("H" if self.width == 2 else "I", self.quick.encode_ordinary(whole)).tobytes()
-            if len(self) % 256 == 0 and ids != self.encode(whole):
-                raise ValueError(f"merges by rank and the tokenizer disagree on {whole[:80]!r}")
-        self[word] = ids
-        return ids
-
-    def document(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.unsafe(text):
-            return self.encode(text)
-        found, bare, spaced = [], self.bare, self.__getitem__
-        for line in text.split("\n"):
-            words = iter(line.split(" "))
-            found.append(bare[next(words)])
-            found.extend(map(spaced, words))
-            found.append(self.line_end)
-        found.pop()
-        return b"".join(found)
+    def _made(self, parts: list[str]) -> list[bytes]:
+        """Ids of words with the space before them, of words without one, and of the line break."""
+        out = [b""] * len(parts)
+        spaced = [i for i, p in enumerate(parts) if p[:1] == " "]
+        bare = [i for i, p in enumerate(parts) if p and p[:1] not in " \n"]
+        for rows, end in ((spaced, ""), (bare, "\n")):
+            for i, ids in zip(rows, self._cut([parts[i] + end for i in rows], self.tokenizer)):
+                out[i] = ids[: len(ids) - self.width] if end else ids
+        for i, p in enumerate(parts):
+            if p == "\n":
+                out[i] = self.encode(p)
+        return out
+
+    def _cut(self, parts: list[str], tokenizer) -> list[bytes]:
+        """Ids of each part of the text that all parts make together; the library starts a word where a part starts."""
+        if not parts:
+            return []
+        ids = np.asarray(tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.bytes_of[ids])
+        want = np.cumsum(pc.binary_length(pa.array(parts, pa.string())).to_numpy().astype(np.int64))
+        upto = np.searchsorted(ends, want) + 1
+        if not (ends[upto - 1] == want).all():
+            raise ValueError("a token reaches across words")
+        raw, cuts = ids.astype(f"<u{self.width}").tobytes(), [0, *(upto * self.width).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text; null and empty texts have none."""
+        rows = texts.to_pylist()
+        whole = [bool(t) and self.whole(t) for t in rows]
+        apart = pc.if_else(pa.array(whole, pa.bool_()), large(""), pc.fill_null(texts.cast(pa.large_string()), ""))
+        marked = pc.replace_substring(pc.replace_substring(apart, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.flatten().dictionary_encode()
+        made = pa.array(self.known.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, made.take(coded.indices)), pa.scalar(b"", pa.large_binary())).to_pylist()
+        return [self.encode(t) if w else ids for t, w, ids in zip(rows, whole, joined)]
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def text_ids(path: str) -> TextIds:
+    return TextIds(path)
+
+
+def queue_key(name: Column) -> Column:
+    """A queue's key is never null: null sources are a queue of their own."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit(""))
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
-    """(doc_id, source, part int, before long, doc_tokens long, ids binary): ids of each text and the end id, two or four bytes each.
+    """(doc_id, queue_key, part int, before long, doc_tokens long, ids binary): ids of each text and the end id, two or four bytes each.
 
-    ``part`` is the task, ``before`` the tokens that the same task has met before in the same source."""
+    ``part`` is the task, ``before`` the tokens that the same task has met before in the same queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
+        words = text_ids(tokenizer_path)
         end = int(end_id).to_bytes(words.width, "little")
-        met: dict[str | None, int] = {}
+        met: dict[str, int] = {}
         for whole in batches:
-            for batch in slices(whole, text_col):
-                ids = [words.document(t) + end if t else end for t in batch.column(text_col).to_pylist()]
+            for batch in slices(whole, "text", 4 * SLICE_BYTES):
+                ids = [i + end for i in words.documents(batch.column("text"))]
                 sizes = [len(x) // words.width for x in ids]
                 before = []
-                for s, n in zip(batch.column(queue_col).to_pylist(), sizes):
+                for s, n in zip(batch.column("queue_key").to_pylist(), sizes):
                     before.append(met.get(s, 0))
                     met[s] = before[-1] + n
-                for known in (words, words.bare):
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col), batch.column(queue_col), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "source", "part", "before", "doc_tokens", "ids"],
+                    [batch.column("doc_id"), batch.column("queue_key"), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "queue_key", "part", "before", "doc_tokens", "ids"],
                 )
         # A task meets more words than are kept, so keeping them for the next one gains little.
-        words.clear()
-        words.bare.clear()
+        words.known.clear()
         release_memory()
 
-    # All of a source that is numeric or absent is a queue by its text.
-    source = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col), F.col(f"`{queue_col}`").cast("string").alias(queue_col)).withColumn("part", F.spark_partition_id())
+    source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), queue_key(F.col(f"`{queue_col}`")).alias("queue_key")).withColumn("part", F.spark_partition_id())
     kind = df.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, source string, part int, before bigint, doc_tokens bigint, ids binary")
+    return source.mapInArrow(run, f"doc_id {kind}, queue_key string, part int, before bigint, doc_tokens bigint, ids binary")
 
 
 class Mixture:
@@ -197,6 +198,19 @@ class Mixture:
         return w
 
 
+def _in_rounds(sizes: DataFrame, placed: DataFrame, shared: DataFrame, rounds: int) -> DataFrame:
+    """placed with ``at`` of the queues in ``shared`` (part, queue_key, base, tokens) set to their place in the shared queue.
+
+    A document belongs to the round in which its place in its own queue falls; rounds are served in order, and within one
+    the documents of a part and queue stay together. Only counts are exchanged here."""
+    turn = F.least(F.floor(F.col("at") / F.col("tokens") * rounds), F.lit(rounds - 1)).cast("bigint")
+    small = sizes.join(shared, ["part", "queue_key"]).withColumn("at", F.col("base") + F.col("before")).withColumn("turn", turn)
+    served = small.groupBy("turn", "part", "queue_key").agg(F.sum("doc_tokens").alias("n"), F.min("at").alias("first"))
+    starts = running_sums(served, ["turn", "part", "queue_key"], "n", "served").select("turn", "part", "queue_key", "first", "served")
+    found = placed.withColumn("turn", turn).join(stored(starts), ["turn", "part", "queue_key"], "left")
+    return found.withColumn("at", F.coalesce(F.col("served") + F.col("at") - F.col("first"), F.col("at")))
+
+
 def pack(
     df: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, target: dict[str, float] | None = None, least_share: float = 1 / 128,
     id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source",
@@ -204,35 +218,33 @@ def pack(
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents of df.
 
     Every sequence but the last is exactly full and holds the mixture's proportions to the token. Null texts are empty and
-    give one token, the end id; null sources are a queue of their own; repeated rows are packed as often as they occur; an
-    empty table gives no pieces; other columns of df are not read. A document longer than a sequence spans several.
+    give one token, the end id; null sources are a queue of their own; repeated rows, null ids too, are packed as often as
+    they occur; an empty table gives no pieces; other columns of df are not read. A document longer than a sequence spans
+    several.
     ``target`` maps sources to weights, by default the corpus's own proportions; sources without a weight come last.
     """
     # Written once: tokens are needed when all counts are known, and parts must stay as they were counted.
     tokens = stored(tokenized(df, tokenizer_path, end_id, id_col, text_col, queue_col))
-    by_part = tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n"))
-    by_source = by_part.groupBy("source").agg(F.sum("n").alias("n"))
-    total = by_source.agg(F.sum("n")).first()[0] or 0
-    wanted = target or {}
-    # At most 1 / least_share rows, whatever the number of sources, and those with a target.
-    large = by_source.where((F.col("n") >= total * least_share) | F.col("source").isin(list(wanted))).orderBy(F.desc("n"), "source").collect()
-    queues = {r.source: i for i, r in enumerate(large)}
-    counts = [r.n for r in large] + [total - sum(r.n for r in large)]
-    mixture = Mixture(counts, width, [wanted.get(r.source, 0.0) for r in large] + [0.0] if target else None)
-    spark = df.sparkSession
-    named = spark.createDataFrame([(s, i) for s, i in queues.items()], "source string, queue int")
-    # Where the tokens of a part begin in their queue: parts in order, and small sources in order within a part.
-    places = (
-        by_part.join(F.broadcast(named), by_part["source"].eqNullSafe(named["source"]), "left")
-        .select("part", by_part["source"].alias("of"), "n", F.coalesce("queue", F.lit(len(queues))).alias("queue"))
-        .withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part", "of").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col("part").alias("in_part"), "of", "queue", F.coalesce("base", F.lit(0)).alias("base"))
-    )
-    # Written first, so that Spark knows its size: it is broadcast if small enough, else ids are exchanged by part and source.
-    places = stored(places)
-    placed = tokens.join(places, (tokens["part"] == places["in_part"]) & tokens["source"].eqNullSafe(places["of"])).select(
-        "doc_id", "doc_tokens", "queue", (F.col("base") + F.col("before")).alias("at"), "ids"
-    )
+    by_part = running_sums(tokens.groupBy("part", "queue_key").agg(F.sum("doc_tokens").alias("n")), ["queue_key", "part"], "n", "upto")
+    by_queue = by_part.groupBy("queue_key").agg(F.sum("n").alias("tokens"), F.min("upto").alias("start"))
+    total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
+    wanted = {f"={name}" if name is not None else "": w for name, w in (target or {}).items()}
+    # At most 1 / least_share queues, whatever the number of sources, and those with a target.
+    own = by_queue.where((F.col("tokens") >= total * least_share) | F.col("queue_key").isin(list(wanted))).orderBy(F.desc("tokens"), "queue_key").collect()
+    counts = [r.tokens for r in own] + [total - sum(r.tokens for r in own)]
+    mixture = Mixture(counts, width, [wanted.get(r.queue_key, 0.0) for r in own] + [0.0] if target else None)
+    named = df.sparkSession.createDataFrame([(r.queue_key, i) for i, r in enumerate(own)], "queue_key string, queue int")
+    # Where the tokens of a part begin in their own queue. Written first, so that Spark knows its size: it is broadcast if
+    # small enough, else ids are exchanged by part and queue.
+    places = stored(
+        by_part.join(by_queue, "queue_key").join(F.broadcast(named), "queue_key", "left")
+        .select("part", "queue_key", F.coalesce("queue", F.lit(len(own))).alias("queue"), (F.col("upto") - F.col("start")).alias("base"), "tokens")
+    )
+    at = F.col("base") + F.col("before")
+    placed = tokens.join(places, ["part", "queue_key"]).withColumn("at", at)
+    if counts[-1]:
+        placed = _in_rounds(tokens.drop("ids", "doc_id"), placed, places.where(F.col("queue") == len(own)), max(1, counts[-1] // (ROUND_WINDOWS * width)))
+    placed = placed.select("doc_id", "doc_tokens", "queue", "at", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

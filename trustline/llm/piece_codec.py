@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, append_columns
+from .common import SLICE_BYTES, Recent, append_columns
 
 SPACE = "▁"
 CACHE_PARTS = 300_000
@@ -283,40 +283,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class PartCache:
-    """part -> (ids, a space after each; their number; decoded text) of recent parts; what is not met again goes."""
-
-    def __init__(self, vocab: Vocabulary, most: int = CACHE_PARTS):
-        self.vocab, self.most, self.recent, self.older = vocab, most, {}, {}
-
-    def of(self, parts: list[str]) -> list[tuple[str, int, str]]:
-        """What distinct parts stand for; those that are new are encoded, decoded and checked together."""
-        if len(self.recent) > self.most:
-            self.recent, self.older = {}, self.recent
-        found = list(map(self.recent.get, parts))
-        new = []
-        for row in [i for i, f in enumerate(found) if f is None]:
-            if not (part := parts[row]):
-                found[row] = ("", 0, "")
-            elif (kept := self.older.get(part)) is not None:
-                found[row] = self.recent[part] = kept
-            else:
-                new.append(row)
-        if new:
-            named = [parts[row] for row in new]
-            for row, part, made in zip(new, named, self._made(named)):
-                found[row] = self.recent[part] = made
-        return found
-
-    def _made(self, parts: list[str]) -> Iterator[tuple[str, int, str]]:
-        vocab = self.vocab
-        ids, counts = vocab.encode_parts(parts)
-        starts = np.cumsum(counts) - counts
-        names, texts = _cut(vocab.names, ids, starts), _cut(vocab.texts, ids, starts)
-        for row in np.flatnonzero(np.add.reduceat(vocab.is_byte[ids].astype(np.int64), starts)).tolist():
-            texts[row] = vocab.decode_ids(ids[starts[row] : starts[row] + counts[row]].tolist())
-        vocab.check(parts, ids, counts, texts)
-        return zip(names, counts.tolist(), texts)
+def _made(vocab: Vocabulary, parts: list[str]) -> Iterator[tuple[str, int, str]]:
+    """(ids, a space after each; their number; decoded text) of each part; the empty part has none."""
+    spoken = [p for p in parts if p]
+    if not spoken:
+        return iter([("", 0, "")] * len(parts))
+    ids, counts = vocab.encode_parts(spoken)
+    starts = np.cumsum(counts) - counts
+    names, texts = _cut(vocab.names, ids, starts), _cut(vocab.texts, ids, starts)
+    for row in np.flatnonzero(np.add.reduceat(vocab.is_byte[ids].astype(np.int64), starts)).tolist():
+        texts[row] = vocab.decode_ids(ids[starts[row] : starts[row] + counts[row]].tolist())
+    vocab.check(spoken, ids, counts, texts)
+    made = zip(names, counts.tolist(), texts)
+    return (next(made) if p else ("", 0, "") for p in parts)
 
 
 def _cut(strings: Strings, ids: np.ndarray, starts: np.ndarray) -> list[str]:
@@ -327,7 +306,9 @@ def _cut(strings: Strings, ids: np.ndarray, starts: np.ndarray) -> list[str]:
     return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_caches: dict[str, PartCache] = {}
+@cache
+def known_parts(path: str) -> Recent:
+    return Recent(partial(_made, vocabulary(path)), CACHE_PARTS)
 
 
 def encode_ids(text: str | None, vocab: Vocabulary) -> list[int]:
@@ -343,15 +324,13 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text") -> Dat
     """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        vocab = vocabulary(model_path)
-        known = _caches.setdefault(model_path, PartCache(vocab))
         parts, starts = parts_of(batch.column(text_col))
         coded = parts.dictionary_encode()
-        found = known.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found = known_parts(model_path).of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         names, counts, texts = zip(*found) if found else ((), (), ())
         joined = lambda strings: pc.binary_join(pa.ListArray.from_arrays(starts, pa.array(strings, pa.large_string()).take(coded.indices)), large(""))
         total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[coded.indices.to_numpy()])])
-        at, end = starts.to_numpy(), str(vocab.eos)
+        at, end = starts.to_numpy(), str(vocabulary(model_path).eos)
         hashes = [hashlib.sha256(f"{ids}{end}".encode()).hexdigest() for ids in joined(names).to_pylist()]
         decoded = [hashlib.sha256(body.removeprefix(" ").encode()).hexdigest() for body in joined(texts).to_pylist()]
         return [pa.array(total[at[1:]] - total[at[:-1]] + 1, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
