@@ -142,6 +142,20 @@ def test_quality_on_held_out_texts(spark, sf_dir, odd, nothing):
     assert line_quality.train(nothing, labels, F.lit(True)) is None
 
 
+def test_sampled_lines_are_whole_runs(spark):
+    rows = spark.createDataFrame([(1, 1, "\n".join(f"line {i} is here" for i in range(500))), (2, 0, "one\n\ntwo words")], "doc_id bigint, y int, text string")
+    got = line_quality.sampled_lines(rows, 30).collect()
+    lines = sorted(r.line for r in got if r.doc_id == 1)
+    assert len(lines) == 30 and lines == list(range(lines[0], lines[0] + 30)) and lines[-1] < 500
+    x, _, length = line_features_of("one\n\ntwo words")
+    two = sorted((r for r in got if r.doc_id == 2), key=lambda r: r.line)
+    assert [r.line for r in two] == [0, 1] and np.allclose([r.x for r in two], x) and [r.length for r in two] == length.tolist()
+
+
+def line_features_of(text):
+    return line_quality.line_features(*text_bytes(pa.array([text])))
+
+
 def test_grammar_composes():
     m = toxicity.Toxicity({"idiot": 1.0})
     plain, targeted, negated, reported = (m.clause(t) for t in ("what idiots", "you idiot", "he is not an idiot", "she said idiot"))

@@ -8,14 +8,16 @@ passed through a logistic curve fitted on the same sample.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, text_bytes, word_hashes
+from .common import append_columns, release_memory, slices, text_bytes, word_hashes
 from .sampling import bounded_ids, with_texts
 
 FEATURES = 13
@@ -164,14 +166,45 @@ def fit(x: np.ndarray, text: np.ndarray, length: np.ndarray, label: np.ndarray,
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 2000, label_col: str = "quality") -> LineField | None:
-    """A field fitted to at most ``per_class`` labelled texts of each quality where ``may_learn``; None without both kinds."""
+def sampled_lines(rows: DataFrame, most_lines: int) -> DataFrame:
+    """(doc_id, y, of, x array<float>, length) of rows (doc_id, y, text): a line's features; ``of`` tells texts of an id apart.
+
+    A text of over ``most_lines`` lines gives a run of so many, which begins at a place drawn by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                x, text, length = line_features(*text_bytes(batch.column("text")))
+                size = np.bincount(text, minlength=batch.num_rows)
+                number = np.arange(len(text)) - (np.cumsum(size) - size)[text]
+                of = batch.column("of").to_numpy()
+                first = (of.astype(np.uint64) % np.maximum(size - most_lines + 1, 1).astype(np.uint64)).astype(np.int64)
+                kept = (number >= first[text]) & (number < first[text] + most_lines)
+                rows_of = pa.array(text[kept])
+                features = pa.FixedSizeListArray.from_arrays(pa.array(x[kept].reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(rows_of) for c in ("doc_id", "y", "of")), pa.array(number[kept]), features, pa.array(length[kept])],
+                    names=["doc_id", "y", "of", "line", "x", "length"],
+                )
+        release_memory()
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "y", "text", F.xxhash64("text").alias("of")).mapInArrow(run, f"doc_id {kind}, y int, of bigint, line bigint, x array<float>, length bigint")
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 2000, most_lines: int = 200, label_col: str = "quality") -> LineField | None:
+    """A field fitted to at most ``per_class`` labelled texts of each quality where ``may_learn``; None without both kinds.
+
+    Texts stay on the executors; the driver gets the features of at most ``most_lines`` lines of each. Repeated rows count once."""
     ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class)
-    rows = with_texts(docs, ids).orderBy("doc_id", "y", "text").toPandas()
-    if not len(rows) or rows["y"].nunique() < 2:
+    lines = sampled_lines(with_texts(docs, ids).dropDuplicates(["doc_id", "y", "text"]), most_lines).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "y", "of", "line")])
+    y, of = lines.column("y").to_numpy(), lines.column("of").to_numpy()
+    if not len(y) or y.min() == y.max():
         return None
-    x, text, length = line_features(*text_bytes(pa.array(rows["text"], pa.string())))
-    return fit(x, text, length, rows["y"].to_numpy()) if len(x) else None
+    x = pc.list_flatten(lines.column("x")).to_numpy().reshape(-1, FEATURES)
+    doc = lines.column("doc_id").to_numpy()
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (y[1:] != y[:-1])])
+    return fit(x, np.cumsum(new) - 1, lines.column("length").to_numpy(), y[new])
 
 
 def score_quality(df: DataFrame, field: LineField | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
