@@ -315,7 +315,7 @@ def test_pipeline_drops_what_is_predicted_toxic(spark, sf_dir, monkeypatch):
     from trustline.llm import toxicity
 
     # One idiot scores between 0.3 and 0.5, two score above, none below.
-    model = toxicity.Toxicity({"idiot": 1.0}, np.array([-2.0, 2.2, 0.0, 0.0]))
+    model = toxicity.Toxicity({"idiot": 1.0}, np.array([-2.0, 2.2, 0.0]))
     monkeypatch.setattr(toxicity, "train", lambda *a, **k: model)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     some = [r.doc_id for r in docs.select("doc_id").distinct().orderBy("doc_id").limit(40).collect()]

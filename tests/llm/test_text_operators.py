@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -161,8 +162,8 @@ def test_grammar_composes():
     plain, targeted, negated, reported = (m.clause(t) for t in ("what idiots", "you idiot", "he is not an idiot", "she said idiot"))
     assert negated < plain < targeted and reported < plain
     assert m.clause("a kind word") == 0 and m.clause("i will kill you") > 0
-    assert m.clauses("fine. you idiot. fine")[0] == targeted
-    assert m.features("nothing here") == (0.0, 0.0, 0.0)
+    assert [m.clause(c) for c in m.clauses("fine. you idiot. fine")] == [targeted]
+    assert not m.paths("nothing here").any() and m.paths("you idiot. fine\nidiot") @ m._factors == targeted + plain
     # The composed table equals the machines run side by side.
     rng = random.Random(2)
     for _ in range(200):
@@ -170,10 +171,10 @@ def test_grammar_composes():
         state, states = 0, [0] * 4
         machines = (toxicity.NEGATED, toxicity.REPORTED, toxicity.TARGETED, toxicity.THREATENED)
         for t in tags:
-            state, factor = toxicity.GRAMMAR[state][t]
+            state, arcs = toxicity.GRAMMAR[state][t]
             moves = [x.step(s, t) for x, s in zip(machines, states)]
             states = [s for s, _ in moves]
-            assert np.isclose(factor, np.prod([f for _, f in moves]))
+            assert arcs == {a for _, a in moves if a is not None}
 
 
 def test_threats_count_with_a_target():
@@ -192,9 +193,58 @@ def test_stems_are_learned():
 
 
 def test_stems_of_copied_texts_explain_nothing():
-    texts = ["lowei x"] * 60 + ["lowei rareword"] * 20 + ["chonu z"] * 5
-    assert set(toxicity.explaining({"lowei": 1.0, "rarewo": 1.0, "chonu": 1.0}, texts, 0.3)) == {"lowei", "chonu"}
-
+    found_in = [[0]] * 60 + [[0, 1]] * 20 + [[2]] * 5
+    assert set(toxicity.explaining({"lowei": 1.0, "rarewo": 1.0, "chonu": 1.0}, found_in, 85, 0.3)) == {"lowei", "chonu"}
+
+
+def test_stems_of_texts(spark):
+    texts = ["Loweixyz and rarewording", "nothing at all", "chonu"]
+    got = toxicity.stems_of_texts(spark.createDataFrame([(t,) for t in texts], "text string"), ["lowei", "rarewo", "chonu"])
+    assert sorted(got) == [[0, 1], [2]]
+
+
+def naive_score(model, text):
+    """Every word of every sentence through the four machines side by side, without tables or shortcuts."""
+    total, machines = 0.0, (toxicity.NEGATED, toxicity.REPORTED, toxicity.TARGETED, toxicity.THREATENED)
+    for line in text.lower().split("\n"):
+        for clause in re.split(r"(?<=[.?!]) ", line):
+            states = [m.start for m in machines]
+            for word in re.findall(r"[^\W_]+(?:['’][^\W_]+)?", clause):
+                stems = [s for s in model.stems if word.startswith(s)]
+                lists = ((toxicity.THREAT, toxicity.THREATS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS))
+                tag = next((t for t, words in lists if word in words), toxicity.INSULT if stems else toxicity.OTHER)
+                moves = [m.step(s, tag) for m, s in zip(machines, states)]
+                states = [s for s, _ in moves]
+                if tag in (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET):
+                    score = model.stems[max(stems, key=len)] if tag == toxicity.INSULT else 1.0
+                    for _, arc in moves:
+                        score *= 1.0 if arc is None else 0.0 if arc == "" else model.arcs[arc]
+                    total += score
+    x = model.curve @ [1, np.log1p(total), np.sqrt(1000 * total / (len(text) + 200))]
+    return 1 / (1 + np.exp(-x))
+
+
+def test_scores_equal_a_naive_reading(spark, sf_dir, odd):
+    model = toxicity.Toxicity({"idiot": 1.0, "idiotic": 0.5, "trash": 0.7, "scum": 1.0}, np.array([-2.0, 1.3, 0.4]), {a: 0.3 + i / 3 for i, a in enumerate(toxicity.ARCS)})
+    rng = random.Random(8)
+    words = "you the idiot idiotically trash scum not said kill hurt them never a b. c! d?\n e, don't we no wrote.".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += [r.text for r in table(spark, sf_dir, "documents").select("text").collect()][:100] + [r.text or "" for r in odd.collect()]
+    got = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], [naive_score(model, t) for t in texts])
+
+
+def test_arc_weights_are_learned():
+    rng = random.Random(4)
+    model = toxicity.Toxicity({"idiot": 1.0})
+    # Here reported insults are as toxic as others, and negated ones are not toxic at all.
+    kinds = [("what an idiot", 1), ("she said idiot", 1), ("he is not an idiot", 0), ("nothing of the kind", 0)]
+    texts = [rng.choice(kinds) for _ in range(600)]
+    paths = np.array([model.paths(t) for t, _ in texts])
+    toxicity.fit_weights(model, paths, np.array([len(t) for t, _ in texts], float), np.array([y for _, y in texts], float))
+    assert model.arcs["reported"] > 0.6 and model.arcs["negated"] < 0.2 and model.arcs["threat on target"] == 1.0
+    got = model.score(np.array([model.paths(t) for t, _ in kinds]), np.array([len(t) for t, _ in kinds], float))
+    assert [round(g) for g in got] == [1, 1, 0, 0]
 
 def test_toxicity_of_odd_texts(spark, sf_dir, odd, nothing):
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)

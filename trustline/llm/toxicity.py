@@ -2,10 +2,10 @@
 
 Words become tags: insult stems (a stem followed by any letters, learned from labelled texts and seeded by a short list),
 threat verbs, targets, negations and verbs of reported speech. Small weighted transducers, one for each phenomenon, read a
-clause's tags; their composition is built once as a table over product states. An insult scores its weight times what the
-path gives: more with a target or a threat, little under negation or in reported speech. A threat scores next to nothing
-by itself; the target that follows it scores.
-A text's clause scores, in sum and for its length, go through a logistic curve fitted on a bounded labelled sample.
+clause's tags; their composition is built once as a table over product states. An insult scores its weight times the
+weights of the arcs on its path: more with a target or a threat, little under negation or in reported speech. A threat
+scores next to nothing by itself; the target that follows it scores. Arc weights start from a prior and are fitted, with
+the logistic curve over a text's clause scores in sum and for its length, on a bounded labelled sample.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, slices
+from .common import append_columns, slices, stored
 from .sampling import bounded_ids, with_texts
 
 # A few words of each tag, in English, German, French and Spanish.
@@ -39,33 +40,42 @@ STEM_LENGTHS = range(4, 11)
 TOXIC_FROM = 0.3
 
 
+# Prior weights of the arcs that have one; a sample moves them as far as it gives reason to.
+ARCS = {"negated": 0.1, "reported": 0.4, "insulted target": 1.25, "target before threat": 10.0, "insult after threat": 1.25, "threat alone": 0.02, "threat on target": 1.0}
+ARC_NAMES = list(ARCS)
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: (state, tag) -> (next state, factor); a missing arc goes to ``rest[state]`` with factor 1."""
+    """Deterministic: (state, tag) -> (next state, arc); arcs are names in ARCS, None (weight 1) or "" (weight 0). A missing
+    arc goes to ``rest[state]`` with None."""
 
-    arcs: dict[tuple[int, int], tuple[int, float]]
+    arcs: dict[tuple[int, int], tuple[int, str | None]]
     rest: dict[int, int]
     start: int = 0
 
-    def step(self, state: int, tag: int) -> tuple[int, float]:
-        return self.arcs.get((state, tag), (self.rest[state], 1.0))
+    def step(self, state: int, tag: int) -> tuple[int, str | None]:
+        return self.arcs.get((state, tag), (self.rest[state], None))
 
 
 # State is the number of words for which the negation still holds; a negated threat leaves it as it is, for its target.
-NEGATED = Transducer({**{(s, NEGATION): (3, 1.0) for s in range(4)}, **{(s, t): (s - (t != THREAT), 0.1) for s in range(1, 4) for t in (INSULT, THREAT, TARGET)}}, {0: 0, 1: 0, 2: 1, 3: 2})
-REPORTED = Transducer({(0, REPORT): (1, 1.0), **{(1, t): (1, 0.4) for t in (INSULT, THREAT, TARGET)}}, {0: 0, 1: 1})
+NEGATED = Transducer({**{(s, NEGATION): (3, None) for s in range(4)}, **{(s, t): (s - (t != THREAT), "negated") for s in range(1, 4) for t in (INSULT, THREAT, TARGET)}}, {0: 0, 1: 0, 2: 1, 3: 2})
+REPORTED = Transducer({(0, REPORT): (1, None), **{(1, t): (1, "reported") for t in (INSULT, THREAT, TARGET)}}, {0: 0, 1: 1})
 # A target before a threat ("ich werde dich töten") may be its subject, so it gives a fifth of what one after it gives.
-TARGETED = Transducer({(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.25), (1, THREAT): (1, 10.0)}, {0: 0, 1: 1})
+TARGETED = Transducer({(0, TARGET): (1, None), (1, INSULT): (1, "insulted target"), (1, THREAT): (1, "target before threat")}, {0: 0, 1: 1})
 # A threat counts once a target follows it within six words, on the target's arc: states 6 to 1 wait for it, 7 has given up.
 _WAIT = {7: 7, 1: 7, **{s: s - 1 for s in range(2, 7)}}
 THREATENED = Transducer(
-    {**{(s, THREAT): (6, 0.02) for s in range(8)}, **{(s, TARGET): (0, 1.0) for s in range(1, 7)}, **{(s, TARGET): (s, 0.0) for s in (0, 7)}, **{(s, INSULT): (n, 1.25) for s, n in _WAIT.items()}},
+    {
+        **{(s, THREAT): (6, "threat alone") for s in range(8)}, **{(s, TARGET): (0, "threat on target") for s in range(1, 7)}, **{(s, TARGET): (s, "") for s in (0, 7)},
+        **{(s, INSULT): (n, "insult after threat") for s, n in _WAIT.items()},
+    },
     {0: 0, **_WAIT},
-)
+)
 
 
-def compose(*machines: Transducer) -> list[list[tuple[int, float]]]:
-    """The machines read in step: table[state][tag] -> (next state, product of factors) over reachable product states."""
+def compose(*machines: Transducer) -> list[list[tuple[int, frozenset[str]]]]:
+    """The machines read in step: table[state][tag] -> (next state, names of the arcs taken) over reachable product states."""
     start = tuple(m.start for m in machines)
     number, table, todo = {start: 0}, [], [start]
     while todo:
@@ -77,20 +87,25 @@ def compose(*machines: Transducer) -> list[list[tuple[int, float]]]:
             if nxt not in number:
                 number[nxt] = len(number)
                 todo.append(nxt)
-            row.append((number[nxt], math.prod(f for _, f in moves)))
+            row.append((number[nxt], frozenset(arc for _, arc in moves if arc is not None)))
         table.append(row)
     return table
 
 
 GRAMMAR = compose(NEGATED, REPORTED, TARGETED, THREATENED)
+# The sets of arcs that a scoring word can take together, and which arcs each of them has.
+SCORING = (INSULT, THREAT, TARGET)
+PATHS = sorted({row[tag][1] for row in GRAMMAR for tag in SCORING if "" not in row[tag][1]}, key=sorted)
+PATH_ARCS = np.array([[name in path for name in ARC_NAMES] for path in PATHS], float)
 
 
 @dataclass
 class Toxicity:
-    """Insult stems with weights, and the logistic curve over a text's features."""
+    """Insult stems with weights, the arcs' weights, and the logistic curve over a text's features."""
 
     stems: dict[str, float]
-    curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 1.5, 1.0, 0.0]))
+    curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 1.5, 1.0]))
+    arcs: dict[str, float] = field(default_factory=lambda: dict(ARCS))
 
     def __post_init__(self) -> None:
         # One expression finds every place where a tagged word that can score begins; longer stems are tried first.
@@ -99,30 +114,38 @@ class Toxicity:
         self._finditer = re.compile(r"(?<![^\W_])(?:(" + "|".join(map(re.escape, stems)) + ")|(?:" + "|".join(map(re.escape, THREATS)) + r")(?![^\W_]))").finditer
         self._stem = re.compile("(?:" + "|".join(map(re.escape, stems)) + ")").match
         self._tags = {w: t for t, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+        number = {path: i for i, path in enumerate(PATHS)}
+        self._table = [[(nxt, number.get(path, -1) if tag in SCORING else -1) for tag, (nxt, path) in enumerate(row)] for row in GRAMMAR]
+        self._factors = np.exp(PATH_ARCS @ np.log([self.arcs[a] for a in ARC_NAMES]))
 
     def __getstate__(self) -> dict:
-        return {"stems": self.stems, "curve": self.curve}
+        return {"stems": self.stems, "curve": self.curve, "arcs": self.arcs}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def clause(self, text: str) -> float:
-        """Score of one clause: the composed machine's path over its words."""
-        state, score = 0, 0.0
+    def add_clause(self, text: str, paths: np.ndarray) -> None:
+        """Adds the weights of one clause's scoring words to ``paths``, by the path that the composed machine reads them on."""
+        state = 0
         for word in _WORD.findall(text):
             tag = self._tags.get(word, OTHER)
             weight = 1.0
             if tag == OTHER and (m := self._stem(word)):
                 tag, weight = INSULT, self.stems[m[0]]
-            state, factor = GRAMMAR[state][tag]
-            if tag in (INSULT, THREAT, TARGET):
-                score += weight * factor
-        return score
-
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses in which something matches, in order; text is in lower case."""
-        found, done = [], -1
+            state, path = self._table[state][tag]
+            if path >= 0:
+                paths[path] += weight
+
+    def clause(self, text: str) -> float:
+        """Score of one clause."""
+        paths = np.zeros(len(PATHS))
+        self.add_clause(text, paths)
+        return float(paths @ self._factors)
+
+    def clauses(self, text: str) -> Iterator[str]:
+        """The clauses in which something matches, in order; text is in lower case."""
+        done = -1
         for m in self._finditer(text):
             if m.start() < done:
                 continue
@@ -130,19 +153,23 @@ class Toxicity:
             a = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start()), text.rfind("? ", 0, m.start()), text.rfind("! ", 0, m.start()))
             ends = [e for e in (text.find("\n", m.end()), text.find(". ", m.end()), text.find("? ", m.end()), text.find("! ", m.end())) if e >= 0]
             done = min(ends, default=len(text))
-            found.append(self.clause(text[a + 1 : done]))
-        return found
+            yield text[a + 1 : done]
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        low = text.lower()
-        if not self._find(low):
-            return 0.0, 0.0, 0.0
-        scores = self.clauses(low)
-        total = sum(scores)
-        return math.log1p(total), math.sqrt(1000 * total / (len(text) + 200)), math.log1p(max(scores, default=0.0))
+    def paths(self, text: str) -> np.ndarray:
+        """Weights of a whole text's scoring words, by path."""
+        paths, low = np.zeros(len(PATHS)), text.lower()
+        if self._find(low):
+            for clause in self.clauses(low):
+                self.add_clause(clause, paths)
+        return paths
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.curve[0] + features @ self.curve[1:])))
+    def score(self, paths: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Of texts with these path weights (texts, paths) and lengths."""
+        return 1 / (1 + np.exp(-_features(paths @ self._factors, chars) @ self.curve))
+
+
+def _features(total: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(total)), np.log1p(total), np.sqrt(1000 * total / (chars + 200))], axis=1)
 
 
 def _stem_counts(rows: DataFrame) -> DataFrame:
@@ -181,59 +208,101 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     return chosen
 
 
-def explaining(stems: dict[str, float], toxic_texts: list[str], common: float = 0.02) -> dict[str, float]:
+def stems_of_texts(rows: DataFrame, stems: list[str]) -> list[list[int]]:
+    """Of each text in which a word begins with one of the stems, the numbers of those stems; texts stay on the executors."""
+    number = {s: i for i, s in enumerate(stems)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [sorted({number[w[:k]] for w in set(_WORD.findall(t.lower())) for k in STEM_LENGTHS if w[:k] in number}) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f in found if f], pa.list_(pa.int32()))], names=["found"])
+
+    return rows.select("text").mapInArrow(run, "found array<int>").toArrow().column("found").to_pylist()
+
+
+def explaining(stems: dict[str, float], found_in: list[list[int]], texts: int, common: float = 0.02) -> dict[str, float]:
     """Stems that are in a share ``common`` of the toxic texts, or explain texts that more frequent stems leave unexplained.
 
-    Rare words of toxic texts that were copied are frequent too, but come with stems that explain their texts already."""
+    found_in has the numbers of the stems of each text. Rare words of toxic texts that were copied are frequent too, but
+    come with stems that explain their texts already."""
     found: dict[str, set[int]] = {s: set() for s in stems}
-    for i, text in enumerate(toxic_texts):
-        for w in set(_WORD.findall(text.lower())):
-            for k in STEM_LENGTHS:
-                if w[:k] in found:
-                    found[w[:k]].add(i)
+    names = list(stems)
+    for i, numbers in enumerate(found_in):
+        for n in numbers:
+            found[names[n]].add(i)
     kept, explained = {}, set()
     for s in sorted(found, key=lambda s: (-len(found[s]), s)):
         new = found[s] - explained
-        if len(found[s]) >= common * len(toxic_texts) or len(new) >= max(3, len(found[s]) / 2):
+        if len(found[s]) >= common * texts or len(new) >= max(3, len(found[s]) / 2):
             kept[s] = stems[s]
             explained |= found[s]
     return kept
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 3000, label_col: str = "toxic") -> Toxicity:
-    """Stems and curve from at most ``per_class`` labelled texts of each kind where ``may_learn``; without both kinds, the seeds."""
+def sampled_paths(rows: DataFrame, model: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(path weights, characters, label) of each text of rows (doc_id, y, text), in an order that no partitioning changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = batch.column("text").to_pylist()
+                paths = pa.array([model.paths(t).tolist() for t in texts], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([paths, pa.array(list(map(len, texts)), pa.int64()), batch.column("y"), batch.column("of")], names=["paths", "chars", "y", "of"])
+
+    made = rows.select("text", "y", F.xxhash64("text", "doc_id").alias("of")).mapInArrow(run, "paths array<double>, chars bigint, y int, of bigint").toArrow()
+    made = made.sort_by([("of", "ascending"), ("y", "ascending")])
+    paths = pc.list_flatten(made.column("paths")).to_numpy().reshape(-1, len(PATHS))
+    return paths, made.column("chars").to_numpy().astype(float), made.column("y").to_numpy().astype(float)
+
+
+def fit_weights(model: Toxicity, paths: np.ndarray, chars: np.ndarray, y: np.ndarray, rounds: int = 600, pull: float = 0.02, ridge: float = 1e-4) -> None:
+    """Sets the model's arc weights and curve: Adam on the log-likelihood of the labels, with arcs drawn to their priors.
+
+    An arc on which no text of the sample has a word keeps its prior."""
+    prior = np.log([ARCS[a] for a in ARC_NAMES])
+    w = [model.curve.copy(), prior.copy()]
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in w]
+    for step in range(1, rounds + 1):
+        factors = np.exp(PATH_ARCS @ w[1])
+        total = paths @ factors
+        x = _features(total, chars)
+        r = (1 / (1 + np.exp(-np.clip(x @ w[0], -30, 30))) - y) / len(y)
+        by_total = r * (w[0][1] / (1 + total) + w[0][2] * np.sqrt(1000 / (chars + 200)) * 0.5 / np.sqrt(np.maximum(total, 1e-6)) * (total > 0))
+        grads = [x.T @ r + ridge * np.array([0, *w[0][1:]]), ((by_total @ paths) * factors) @ PATH_ARCS + pull * (w[1] - prior) / len(ARC_NAMES)]
+        for v, (m, s), g in zip(w, moments, grads):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            v -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
+    model.curve, model.arcs = w[0], dict(zip(ARC_NAMES, np.exp(w[1]).tolist()))
+    model.__post_init__()
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 3000, most_stems: int = 20_000, label_col: str = "toxic") -> Toxicity:
+    """Stems, arc weights and curve from at most ``per_class`` labelled texts of each kind where ``may_learn``; without both
+    kinds, the seeds and priors.
+
+    Texts stay on the executors; the driver gets counts of at most ``most_stems`` stems (the most frequent of those that pass
+    the test), the stems of each toxic text, and each text's path weights."""
     seeds = {s: 1.0 for s in SEED_INSULTS}
     ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class)
-    rows = with_texts(docs, ids).orderBy("doc_id", "y", "text").toPandas()
-    sizes = rows["y"].value_counts() if len(rows) else {}
+    rows = stored(with_texts(docs, ids))
+    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Toxicity(seeds)
-    toxic, clean = int(sizes[1]), int(sizes[0])
+    toxic, clean = sizes[1], sizes[0]
     # As improbable as seven toxic texts in a row where one in eight is toxic: no chance finding among many stems.
-    sample = docs.sparkSession.createDataFrame(rows[["text", "y"]], "text string, y int").repartition(8)
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     found = (
-        _stem_counts(sample)
+        _stem_counts(rows)
         .where((F.col("toxic") * math.log((toxic + clean) / toxic) - F.col("clean") * 1.0 >= 14) & (ratio >= 12))
         .orderBy(F.desc("toxic"), "stem")
-        .limit(20_000)
+        .limit(most_stems)
         .collect()
     )
     learned = choose_stems([(r.stem, r.toxic, r.clean) for r in found], toxic, clean)
-    model = Toxicity(seeds | explaining(learned, rows.loc[rows["y"] == 1, "text"].tolist()))
-    x = np.array([model.features(t) for t in rows["text"]])
-    y = rows["y"].to_numpy(float)
-    x1, w = np.column_stack([np.ones(len(x)), x]), model.curve.copy()
-    weight = np.ones(len(y)) / len(y)
-    for _ in range(200):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ ((p - y) * weight) + 1e-4 * np.array([0, *w[1:]])
-        h = (x1 * (p * (1 - p) * weight)[:, None]).T @ x1 + 1e-4 * np.eye(4)
-        d = np.linalg.solve(h, g)
-        w -= d * min(1.0, 2 / max(np.abs(d).max(), 1e-9))
-        if np.abs(d).max() < 1e-8:
-            break
-    model.curve = w
+    model = Toxicity(seeds | explaining(learned, stems_of_texts(rows.where("y = 1"), list(learned)), toxic))
+    fit_weights(model, *sampled_paths(rows, model))
     return model
 
 
@@ -246,7 +315,8 @@ def score_toxicity(df: DataFrame, model: Toxicity, text_col: str = "text", score
     """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        x = np.array([model.features(t) if t else (0.0, 0.0, 0.0) for t in batch.column(text_col).to_pylist()]).reshape(-1, 3)
-        return [pa.array(model.score(x), pa.float64())]
+        texts = [t or "" for t in batch.column(text_col).to_pylist()]
+        paths = np.array([model.paths(t) for t in texts]).reshape(-1, len(PATHS))
+        return [pa.array(model.score(paths, np.array([len(t) for t in texts], float)), pa.float64())]
 
     return append_columns(df, text_col, [(score_col, "double")], compute)
