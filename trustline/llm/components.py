@@ -21,6 +21,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is linked to one node only, which is linked to none: no node is both."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return each.where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that an edge (a, b) touches; component is its smallest reachable node.
 
@@ -29,12 +36,23 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    state = None
-    while True:
+    while not _settled(edges):
         edges = stored(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) with the components that the edges (a, b) join made one, and the edges' nodes added.
+
+    Only edges between different components are walked along, so few rounds over few edges follow what is known."""
+    found = edges
+    for end in ("a", "b"):
+        found = found.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    between = stored(found.where("a_in <> b_in").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    moved = components(between).select(F.col("node").alias("of"), F.col("component").alias("to"))
+    kept = labels.join(moved, labels["component"] == moved["of"], "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.join(labels.select(F.col("node").alias("of")), "of", "left_anti").select(F.col("of").alias("node"), F.col("to").alias("component"))
+    return stored(kept.unionByName(new))

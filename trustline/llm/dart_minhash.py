@@ -27,9 +27,11 @@ from pyspark.sql.window import Window
 
 from .cap_filters import _groups
 from .common import mix64, release_memory, shingle_hashes, slices, stored, text_bytes
-from .components import components
+from .components import components, joined
 
 ROWS, BANDS = 6, 40
+# Texts of this pattern have a word: something other than control characters and white space of ASCII.
+HAS_WORDS = r"[^\x00-\x20]"
 COORDINATES = ROWS * BANDS
 BLOCK_ROWS, BLOCK_BYTES = 2048, 2 << 20
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(18)])
@@ -256,8 +258,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, pivots: int = 8) -> Dat
 
     Links join texts whose weighted Jaccard similarity of five-word shingles is at least ``least``; equal texts are one
     class, ``text_class``, a hex string. Null texts, empty ones and those of white space link with nothing, not even each
-    other: component_id is their own doc_id and text_class is null. Rows with a null id take their class's smallest id.
-    Repeated rows are all returned; no rows in, none out; other columns of docs are not read.
+    other: component_id is their own doc_id, they are kept and text_class is null. Kept is otherwise the text of the
+    smallest doc_id, null ids last; if that id has several texts in the group, the one of the smallest class. Repeated rows
+    are all returned, alike; no rows in, none out; other columns of docs are not read.
     """
     docs = docs.select("doc_id", "text")
     signed = stored(_signed(docs))
@@ -276,7 +279,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, pivots: int = 8) -> Dat
     # Only texts that meet another are read again, one of each class.
     met = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("rep_id"))
     texts = stored(docs.join(met, F.col("doc_id").eqNullSafe(F.col("rep_id"))).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text").dropDuplicates(["node"]))
-    links, labels = None, None
+    labels = None
     for first, last in ((1, 1), (2, pivots)):
         candidates = members.join(ranked.where(F.col("rank").between(first, last)), "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         if labels is not None:
@@ -284,8 +287,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, pivots: int = 8) -> Dat
                 candidates = candidates.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
             candidates = candidates.where("NOT (coalesce(a_in, a) <=> coalesce(b_in, b))").select("a", "b")
         found = stored(_verified(candidates, texts, least))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = stored(components(found)) if labels is None else joined(labels, found)
     # All pairs with a pivot are tried or of one component by now; what is left are pairs of others in larger buckets.
     rest = members.where(F.col("size") > pivots + 1).join(ranked.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
     placed = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -298,13 +300,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, pivots: int = 8) -> Dat
         for whole in (False, True):
             # Buckets of one block are done after the first round.
             found = stored(_compared(rest.where("blocks > 1") if whole else rest, compared, labels, least, whole))
-            links = links.unionByName(found)
-            labels = components(links)
+            labels = joined(labels, found)
     graph = signed.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).select("doc_id", "node", "group")
-    smallest = graph.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least_id"))
+    # Null ids come last; of an id's different texts the one of the smallest class stands for it.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")
+    smallest = graph.where("group IS NOT NULL").groupBy("group").agg(first).select("group", F.col("first.doc_id").alias("least_id"), F.col("first.node").alias("least_node"))
     return graph.join(smallest, "group", "left").select(
         "doc_id",
         F.coalesce("least_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("least_id"), F.col("group").isNull()).alias("kept"),
+        (F.col("group").isNull() | (F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("node") == F.col("least_node")))).alias("kept"),
         F.lower(F.hex("node")).alias("text_class"),
     )
