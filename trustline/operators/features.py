@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import EDGE, clip_prob, nearest_rank, speech_seconds, words_per_minute
+from ..functions.numbers import EDGE, clip_prob, speech_seconds, words_per_minute
 
 BLANK = "<blk>"
 DECILES = tuple(range(0, 101, 10))
@@ -81,43 +81,71 @@ def _sound(df: DataFrame) -> DataFrame:
     return df.where((F.size("ctc_tokens") == F.size("ctc_probs")) & (blanks > 0) & (blanks < F.size("ctc_tokens")) & finite)
 
 
+def _numbered(frames: DataFrame, key: str) -> DataFrame:
+    """frames with what one pass in frame order tells: the number of the word, and at the last frame of a run or of a
+    token's place, the run's ``length`` and the place's highest probability, ``top``."""
+    order = Window.partitionBy(key).orderBy("frame")
+    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b, t = F.col("blank"), F.col("token")
+    changes = lambda c, f: F.coalesce(c != f(c).over(order), F.lit(True))
+    rows = frames.withColumns({"run_starts": changes(b, F.lag), "run_ends": changes(b, F.lead), "starts": changes(t, F.lag), "ends": changes(t, F.lead)})
+    mark = F.col("starts") & ~b & (t.contains("▁") | t.contains(" "))
+    rows = rows.withColumns({"word": F.sum(mark.cast("int")).over(sofar), "place": F.sum(F.col("starts").cast("int")).over(sofar), "run_start": F.max(F.when(F.col("run_starts"), F.col("frame"))).over(sofar)})
+    # Places are numbered upwards, so the greatest pair so far is of this place.
+    top = F.max(F.struct("place", "prob")).over(sofar)["prob"]
+    return rows.withColumns({"top": F.when(F.col("ends") & ~b, top), "length": F.when(F.col("run_ends"), F.col("frame") - F.col("run_start") + 1)})
+
+
 def ctc_features_sql(df: DataFrame, key: str, frame_len: float = 0.04, full: bool = False) -> DataFrame:
-    """(key, features...): by aggregates over exploded frames. Streams that are not sound have no row."""
-    frames = explode_frames(_sound(df), key)
-    b, p, nb = F.col("blank"), F.col("prob"), ~F.col("blank")
+    """(key, features...): by aggregates over exploded frames. Streams that are not sound have no row.
+
+    Frames are exchanged by key and sorted once; sums are taken by word and then by stream, where they lie."""
+    frames = _numbered(explode_frames(_sound(df), key), key)
+    b, p, nb, length = F.col("blank"), F.col("prob"), ~F.col("blank"), F.col("length")
     on = lambda c, e: F.when(c, e)
-    sums = frames.groupBy(key).agg(
-        F.count("*").alias("n"), F.count(on(b, 1)).alias("nb_blank"), F.count(on(nb, 1)).alias("nb_non"), F.sum("raw").alias("prob_sum"),
-        F.collect_list(on(b, p)).alias("pb"), F.collect_list(on(nb, p)).alias("pn"),
-        F.exp(F.avg(on(nb, F.ln(p)))).alias("geom"), F.avg(on(nb, 1 - p)).alias("err"), F.sum(on(nb, 1 / p)).alias("inv"),
-        F.exp(F.avg(on(nb, F.ln(F.greatest(F.lit(EDGE), 1 - p))))).alias("err_geom"),
-        *[F.avg(on(nb, (p < t / 100).cast("double"))).alias(f"lt{t}") for t in range(10, 100, 10)],
-        *[F.percentile(on(b, -F.ln(F.greatest(F.lit(EDGE), 1 - p))), F.lit(q / 100)).alias(f"nl{q}") for q in DECILES],
-        F.min(on(nb, F.col("frame"))).alias("first"), F.max(on(nb, F.col("frame"))).alias("last"),
+    ends = {"b": b & length.isNotNull(), "n": nb & length.isNotNull()}
+    sums = {
+        "n": F.lit(1), "nb_blank": on(b, 1), "nb_non": on(nb, 1), "prob_sum": F.col("raw"), "log": on(nb, F.ln(p)), "err": on(nb, 1 - p), "inv": on(nb, 1 / p), "log_err": on(nb, F.ln(F.greatest(F.lit(EDGE), 1 - p))),
+        **{f"lt{t}": on(nb & (p < t / 100), 1) for t in range(10, 100, 10)},
+        **{f"{k}_runs": on(e, 1) for k, e in ends.items()}, **{f"{k}_sum": on(e, length) for k, e in ends.items()}, "b_squares": on(ends["b"], length * length),
+        **{f"{k}_le{i}": on(e & (length <= i), 1) for k, e in ends.items() for i in range(1, 6)},
+    }
+    by_word = frames.groupBy(key, "word").agg(
+        *[F.sum(e).alias(c) for c, e in sums.items()], F.avg("top").alias("mean"), F.max(on(ends["b"], length)).alias("b_max"),
+        F.collect_list(on(b, p)).alias("pb"), F.collect_list(on(nb, p)).alias("pn"), F.min(on(nb, F.col("frame"))).alias("first"), F.max(on(nb, F.col("frame"))).alias("last"),
     )
-    length = F.col("length")
-    runs = run_lengths(frames, key).groupBy(key).agg(
-        F.avg(on(b, length)).alias("b_mean"), F.avg(on(nb, length)).alias("n_mean"), F.max(on(b, length)).alias("b_max"), F.stddev_pop(on(b, length)).alias("b_std"),
-        *[F.avg(on(b, (length <= k).cast("double"))).alias(f"b_le{k}") for k in range(1, 6)], *[F.avg(on(nb, (length <= k).cast("double"))).alias(f"n_le{k}") for k in range(1, 6)],
+    total = by_word.groupBy(key).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.max("b_max").alias("b_max"), F.count("mean").alias("words"), F.coalesce(F.sum("mean"), F.lit(0.0)).alias("word_sum"),
+        F.sort_array(F.flatten(F.collect_list("pb"))).alias("pb"), F.sort_array(F.flatten(F.collect_list("pn"))).alias("pn"), F.min("first").alias("first"), F.max("last").alias("last"),
     )
-    words = collapse_tokens(frames, key).groupBy(key).agg(F.count("*").alias("words"), F.sum("prob").alias("word_sum"))
-    n = F.col("n")
-    rank = lambda c, q: nearest_rank(c, q)
+    n, nn, runs = F.col("n"), F.col("nb_non"), {k: F.col(f"{k}_runs") for k in ends}
+    size = {c: F.size(c) for c in ("pb", "pn")}
+    rank = lambda c, q: F.element_at(c, F.greatest(F.lit(1), F.ceil(F.lit(q / 100.0) * size[c]).cast("int")))
+
+    def error(q: int) -> Column:
+        """Linear percentile of -ln(1 - p) over blank frames; it grows with p, so places in order are those of p."""
+        at = F.lit(q / 100.0) * (size["pb"] - 1)
+        low = F.floor(at).cast("int")
+        value = lambda i: -F.ln(F.greatest(F.lit(EDGE), 1 - F.get("pb", i)))
+        return value(low) + (at - low) * (value(F.least(low + 1, size["pb"] - 1)) - value(low))
+
+    b_mean = F.col("b_sum") / runs["b"]
+    b_std = F.sqrt(F.greatest(F.lit(0.0), F.col("b_squares") / runs["b"] - b_mean * b_mean))
     seconds = speech_seconds("first", "last", F.lit(frame_len))
     made = {
-        "ctc_blank_mean_run_fraction": F.col("b_mean") / n, "ctc_nonblank_mean_run_fraction": F.col("n_mean") / n, "ctc_blank_max_run_fraction": F.col("b_max") / n,
-        "ctc_nonblank_error_geom_mean": F.col("err_geom"), "ctc_nonblank_geom_mean": F.col("geom"), "ctc_nonblank_error_mean": F.col("err"), "ctc_nonblank_harmonic_mean": F.col("nb_non") / F.col("inv"),
-        "ctc_nonblank_to_blank_ratio": F.col("nb_non") / F.greatest(F.lit(1), F.col("nb_blank")), "ctc_blank_log_ratio": F.ln((F.col("nb_blank") + 1.0) / (F.col("nb_non") + 1.0)),
-        "ctc_blank_range": rank("pb", 100) - rank("pb", 0), "ctc_nonblank_p001": rank("pn", 1), "ctc_blank_run_len_cv": F.col("b_std") / F.col("b_mean"),
-        "ctc_nonblank_short_run_fraction": F.col("n_le2"), "ctc_blank_short_run_fraction": F.col("b_le2"), "ctc_blank_neglog_error_p50": F.col("nl50"),
-        "ctc_token_count": n.cast("double"), "ctc_prob_sum": F.col("prob_sum"), "ctc_word_count": F.coalesce("words", F.lit(0)).cast("double"), "ctc_word_prob_sum": F.coalesce("word_sum", F.lit(0.0)),
-        "ctc_wpm": words_per_minute(F.coalesce("words", F.lit(0)), seconds),
+        "ctc_blank_mean_run_fraction": b_mean / n, "ctc_nonblank_mean_run_fraction": F.col("n_sum") / runs["n"] / n, "ctc_blank_max_run_fraction": F.col("b_max") / n,
+        "ctc_nonblank_error_geom_mean": F.exp(F.col("log_err") / nn), "ctc_nonblank_geom_mean": F.exp(F.col("log") / nn), "ctc_nonblank_error_mean": F.col("err") / nn, "ctc_nonblank_harmonic_mean": nn / F.col("inv"),
+        "ctc_nonblank_to_blank_ratio": nn / F.greatest(F.lit(1), F.col("nb_blank")), "ctc_blank_log_ratio": F.ln((F.col("nb_blank") + 1.0) / (nn + 1.0)),
+        "ctc_blank_range": rank("pb", 100) - rank("pb", 0), "ctc_nonblank_p001": rank("pn", 1), "ctc_blank_run_len_cv": b_std / b_mean,
+        "ctc_nonblank_short_run_fraction": F.col("n_le2") / runs["n"], "ctc_blank_short_run_fraction": F.col("b_le2") / runs["b"],
+        "ctc_token_count": n.cast("double"), "ctc_prob_sum": F.col("prob_sum"), "ctc_word_count": F.col("words").cast("double"), "ctc_word_prob_sum": F.col("word_sum"),
+        "ctc_wpm": words_per_minute("words", seconds), "ctc_blank_neglog_error_p50": error(50),
         **{f"ctc_{k}_p{q:03d}": rank(c, q) for k, c in (("blank", "pb"), ("nonblank", "pn")) for q in DECILES},
-        **{f"ctc_nonblank_frac_lt_{t}": F.col(f"lt{t}") for t in range(10, 100, 10)},
-        **{f"ctc_{k}_run_le_{i}": F.col(f"{c}_le{i}") for k, c in (("blank", "b"), ("nonblank", "n")) for i in range(1, 6)},
-        **{f"ctc_blank_neglog_error_p{q:03d}": F.col(f"nl{q}") for q in DECILES},
+        **{f"ctc_nonblank_frac_lt_{t}": F.col(f"lt{t}") / nn for t in range(10, 100, 10)},
+        **{f"ctc_{k}_run_le_{i}": F.col(f"{c}_le{i}") / runs[c] for k, c in (("blank", "b"), ("nonblank", "n")) for i in range(1, 6)},
+        **{f"ctc_blank_neglog_error_p{q:03d}": error(q) for q in DECILES},
     }
-    return sums.join(runs, key).join(words, key, "left").select(key, *[made[f].alias(f) for f in (FULL if full else STANDARD)])
+    return total.select(key, *[made[f].alias(f) for f in (FULL if full else STANDARD)])
 
 
 def stream_features(tokens: np.ndarray, probs: np.ndarray, frame_len: float = 0.04) -> dict[str, float] | None:
