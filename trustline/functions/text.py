@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # A word is letters or digits of any script, with one inner apostrophe part at most.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
-# Offset of the first private word character; below the surrogates there is room for this many distinct words a pair.
-FIRST_CHAR, MOST_WORDS = 0x4E00, 35_000
+# Words of a pair become characters from here on; up to the last code point there is room for a million distinct words.
+FIRST_CHAR, MOST_WORDS = 0x10000, 0x100000
 
 
 def col(c: str | Column) -> Column:
@@ -23,12 +23,13 @@ def normalize_text(text: str | Column) -> Column:
 def edit_errors(ref: str | Column, hyp: str | Column) -> Column:
     """Fewest substitutions, insertions and deletions between two word arrays.
 
-    Each pair's distinct words are mapped to single characters, so that the built-in edit distance counts words. Pairs with
-    more distinct words than there are characters raise an error. Null arrays count as empty."""
+    Each pair's distinct words are mapped to single characters, so that the built-in edit distance counts words; looking a
+    word up costs no more than its row of the distance. Pairs with more distinct words than there are characters, a million,
+    raise an error. Null arrays count as empty."""
     ref, hyp = (F.coalesce(col(c), F.array().cast("array<string>")) for c in (ref, hyp))
 
     def coded(words: Column, vocab: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CHAR).cast("bigint") + F.array_position(vocab, w)), 4, "0")), "UTF-16BE")), "")
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CHAR - 1).cast("bigint") + F.array_position(vocab, w)), 8, "0")), "UTF-32")), "")
 
     def distance(pair: Column) -> Column:
         edits = F.levenshtein(coded(pair["r"], pair["v"]), coded(pair["h"], pair["v"])).cast("bigint")
@@ -48,16 +49,21 @@ def non_empty(c: str | Column) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+# The forms of ids that hold a speaker or a recording.
+SPEAKER_IN_ID = r"(?<!\d)(\d{4,5})(?!\d)"
+RECORDING_IN_ID = (r"^(\d{5}_[A-Z]_\d{3})_", r"^(\d{5}_\d{2})_")
+
+
 def derive_speaker_id(utt_id: str | Column, explicit: str | Column | None = None) -> Column:
     """The explicit speaker, else the id's first run of exactly four or five digits, padded to five, else null."""
-    found = F.lpad(non_empty(F.regexp_extract(col(utt_id), r"(?<!\d)(\d{4,5})(?!\d)", 1)), 5, "0")
+    found = F.lpad(non_empty(F.regexp_extract(col(utt_id), SPEAKER_IN_ID, 1)), 5, "0")
     return found if explicit is None else F.coalesce(non_empty(explicit), found)
 
 
 def derive_group_id(utt_id: str | Column, explicit: str | Column | None = None) -> Column:
     """The explicit recording, else the id's recording prefix in one of two forms, else the id."""
     u = col(utt_id)
-    found = [non_empty(F.regexp_extract(u, p, 1)) for p in (r"^(\d{5}_[A-Z]_\d{3})_", r"^(\d{5}_\d{2})_")]
+    found = [non_empty(F.regexp_extract(u, p, 1)) for p in RECORDING_IN_ID]
     return F.coalesce(*([non_empty(explicit)] if explicit is not None else []), *found, u)
 
 

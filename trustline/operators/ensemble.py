@@ -82,7 +82,9 @@ def ensemble_targets(gathered: DataFrame) -> DataFrame:
     return gathered.where(F.size("ctc_tokens") > 0).withColumn("accuracy", accuracy("edit_errors", "ref_words"))
 
 
-def ensemble_samples(segments: DataFrame, n: int, seed: int = 13, min_words: int = 512, max_words: int = 512, min_segments: int = 2) -> DataFrame:
-    """Balanced samples with their frames and accuracies, from segments with frames and ``split``."""
-    pools = accuracy_deciles(segments.drop("ctc_tokens", "ctc_probs"))
-    return ensemble_targets(gather_draws(draw_until_target(pools, n, seed, min_words, max_words, min_segments), segments))
+def ensemble_samples(segments: DataFrame, n: int, seed: int = 13, min_words: int = 512, max_words: int = 512, min_segments: int = 2, by: str = "split") -> DataFrame:
+    """Balanced samples with their frames and accuracies, from segments with frames and ``by``; n of each of its values.
+
+    Test samples of each dataset on its own are those of its test segments by ``dataset_idx``."""
+    pools = accuracy_deciles(segments.drop("ctc_tokens", "ctc_probs"), by)
+    return ensemble_targets(gather_draws(draw_until_target(pools, n, seed, min_words, max_words, min_segments, by), segments, by))

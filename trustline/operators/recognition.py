@@ -51,6 +51,7 @@ def pending_recognitions(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select("utt_id"), "utt_id", "left_anti")
 
 
+# The fields of a server's accuracy event.
 SERVER_METRICS = ("estimated_accuracy", "words_per_minute", "audio_length", "speech_ratio", "non_speech_ratio", "recognized_word_count", "expected_error_count")
 
 
@@ -60,3 +61,20 @@ def merge_server_accuracy(windows: DataFrame, events: DataFrame, keys: tuple[str
     last = events.groupBy(*keys).agg(F.max_by(F.struct(*metrics), F.col(order)).alias("__server"))
     joined = windows.join(last, list(keys), "left")
     return joined.withColumns({m: F.coalesce(F.col(f"__server.{m}"), F.col(m)) for m in metrics}).drop("__server")
+
+
+def server_events(docs: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(events of windows, events of whole files) that documents hold in ``result``, with ``event_pos``.
+
+    An event with a window_idx is of that window; one without is of the file if it is said not to be partial, else it goes."""
+    told = docs.select(key, F.posexplode(F.filter("result", lambda e: e["type"] == "asr_accuracy_estimate")).alias("event_pos", "e"))
+    whole = (F.col("e.partial_result") == False) & F.col("e.window_idx").isNull()  # noqa: E712
+    of_files = told.where(whole).select(key, "event_pos", *[F.col(f"e.{m}").alias(m) for m in SERVER_METRICS])
+    of_windows = told.where("e.window_idx IS NOT NULL").select(key, "event_pos", F.col("e.window_idx").alias("window_idx"), *[F.col(f"e.{m}").alias(m) for m in SERVER_METRICS])
+    return of_windows, of_files
+
+
+def with_server_accuracy(files: DataFrame, windows: DataFrame, docs: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(files, windows) with their metrics overwritten by those of the server's events in ``docs``."""
+    of_windows, of_files = server_events(docs, key)
+    return merge_server_accuracy(files, of_files, (key,)), merge_server_accuracy(windows, of_windows, (key, "window_idx"))

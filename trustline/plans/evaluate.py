@@ -22,33 +22,63 @@ def real_windows(recs: DataFrame, window: int, key: str = "group_id") -> DataFra
     return segments.join(placed.select("segment_id", "window_idx"), "segment_id")
 
 
-def evaluate_windows(windows: DataFrame, predictor: Predictor, key: str = "group_id") -> DataFrame:
-    """Accuracy and estimate of every key from its windows; windows whose features fail have the estimate 0."""
+def window_predictions(windows: DataFrame, predictor: Predictor, key: str = "group_id") -> DataFrame:
+    """Targets and estimates of every window; windows whose features fail have the estimate 0."""
     targets = window_targets(windows, key)
     frames = windows.groupBy(key, "window_idx").agg(F.array_sort(F.collect_list(F.struct("utt_id", "chunk", "ctc_tokens", "ctc_probs"))).alias("s"), F.max("ctc_frame_len").alias("ctc_frame_len"))
     streams = frames.select(key, "window_idx", "ctc_frame_len", F.flatten(F.transform("s", lambda s: s["ctc_tokens"])).alias("ctc_tokens"), F.flatten(F.transform("s", lambda s: s["ctc_probs"])).alias("ctc_probs"))
     features = ctc_features(streams, full=set(predictor.features) - set(STANDARD) != set(), keep_invalid=True)
-    return aggregate_windows(targets.join(predict(features, predictor).select(key, "window_idx", "estimated_accuracy"), [key, "window_idx"]), key)
+    return targets.join(predict(features, predictor).select(key, "window_idx", "estimated_accuracy"), [key, "window_idx"])
+
+
+def evaluate_windows(windows: DataFrame, predictor: Predictor, key: str = "group_id") -> DataFrame:
+    """Accuracy and estimate of every key from its windows."""
+    return aggregate_windows(window_predictions(windows, predictor, key), key)
+
+
+def partition_names(name: str, levels: tuple[float, ...] = ()) -> list[str]:
+    """``name`` for clean rows, ``name_snr`` for clean rows and all noise levels, ``name_snr_S`` for clean rows and level S."""
+    return [name, f"{name}_snr", *(f"{name}_snr_{level_name(s)}" for s in levels)]
 
 
-def evaluate_partitions(recs: DataFrame, predictor: Predictor, window: int = 512, levels: list[float] | None = None) -> DataFrame:
-    """Metrics of real (by recording) and real_part (by utterance), and the same for each noise level if recs has ``snr``.
+def level_name(level: float) -> str:
+    return f"{level:g}"
 
-    Each recording is sliced once; partitions are a column, so there is one job for all of them."""
-    suffix = F.when(F.col("snr").isNull(), "").otherwise(F.concat(F.lit("_snr_"), F.regexp_replace(F.col("snr").cast("string"), r"\.0$", ""))) if levels else F.lit("")
+
+def union_partitions(df: DataFrame, name: str, levels: tuple[float, ...] = ()) -> DataFrame:
+    """df (with snr, null for clean rows) once for each partition that a row belongs to, with ``partition``."""
+    clean, mixed, *each = partition_names(name, levels)
+    noisy = F.filter(F.array(F.lit(mixed), *[F.when(F.col("snr") == s, F.lit(p)) for s, p in zip(levels, each)]), lambda p: p.isNotNull())
+    known = F.when(F.col("snr").isNull(), F.array(*map(F.lit, (clean, mixed, *each)))).otherwise(noisy)
+    return df.withColumn("partition", F.explode(known))
+
+
+def evaluate_partitions(recs: DataFrame, predictor: Predictor, window: int = 512, levels: tuple[float, ...] = ()) -> DataFrame:
+    """Predictions of real (by recording) and real_part (by utterance) and of their unions with noise levels.
+
+    recs are the test rows, clean ones and, with ``snr`` and ids of their own, noisy ones. A recording's windows are the same
+    in every partition, so each recording is sliced and scored once and its result is dealt to its partitions."""
+    if "snr" not in recs.columns:
+        recs = recs.withColumn("snr", F.lit(None).cast("double"))
     out = None
     for name, key in (("real", "group_id"), ("real_part", "utt_id")):
-        rows = recs.withColumn("partition", F.concat(F.lit(name), suffix)).withColumn("__key", F.concat_ws("|", "partition", key))
         # Sums and frames are both taken from the windows, so they are made once.
-        windows = checkpointed(real_windows(rows.withColumn("group_id", F.col("__key")) if key == "group_id" else rows, window, key))
-        names = rows.select(F.col("__key" if key == "group_id" else "utt_id").alias(key), "partition", "dataset_idx").distinct()
-        done = evaluate_windows(windows, predictor, key).join(names, key).withColumnRenamed(key, "sample_id")
+        windows = checkpointed(real_windows(recs, window, key))
+        names = recs.groupBy(key).agg(F.min("dataset_idx").alias("dataset_idx"), F.max("snr").alias("snr"))
+        done = union_partitions(evaluate_windows(windows, predictor, key).join(names, key), name, levels).withColumnRenamed(key, "sample_id").drop("snr")
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def partition_metrics(predictions: DataFrame) -> DataFrame:
-    """Metrics of every partition, weighted by hypothesis words, over all datasets and by dataset (null for all)."""
-    alone = per_dataset_metrics(predictions)
-    whole = regression_metrics(predictions.withColumn("hyp_words", F.col("hyp_words").cast("double")), ["partition"], "hyp_words")
-    return whole.withColumn("dataset_idx", F.lit(None).cast("int")).unionByName(alone)
+def partition_metrics(predictions: DataFrame, expected: list[str] | None = None) -> DataFrame:
+    """Metrics of every partition over all datasets (dataset_idx null) and by dataset.
+
+    Errors weigh by hypothesis words, but over all datasets those of single noise levels are plain means. ``expected``
+    partitions without a row have errors of 0 and no correlation."""
+    single = F.col("partition").rlike("_snr_[^_]*$")
+    whole = predictions.withColumn("__w", F.when(single, F.lit(1.0)).otherwise(F.col("hyp_words").cast("double")))
+    whole = regression_metrics(whole, ["partition"], "__w").withColumn("dataset_idx", F.lit(None).cast("int"))
+    if expected:
+        named = predictions.sparkSession.createDataFrame([(p,) for p in expected], "partition string")
+        whole = named.join(whole, "partition", "full").fillna(0.0, ["mae", "mse"]).fillna(0, ["n_points"])
+    return whole.unionByName(per_dataset_metrics(predictions).select(whole.columns))

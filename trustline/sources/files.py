@@ -26,9 +26,9 @@ def read_manifest(spark: SparkSession, path: str, format: str = "auto") -> DataF
     return rows.withColumn("input_order", F.monotonically_increasing_id())
 
 
-def read_recognitions(spark: SparkSession, path: str) -> DataFrame:
-    """One row a stored document; each file is one JSON document, over several lines or one."""
-    return spark.read.schema(RECOGNITION).json(path, multiLine=True)
+def read_recognitions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a stored document; each file is one JSON document, over several lines or one, or with ``lines`` many, a line each."""
+    return spark.read.schema(RECOGNITION).json(path, multiLine=not lines)
 
 
 def write_reports(df: DataFrame, path: str, format: str = "csv", partition_by: tuple[str, ...] = ()) -> None:
@@ -37,6 +37,11 @@ def write_reports(df: DataFrame, path: str, format: str = "csv", partition_by: t
     writer.option("header", True).csv(path) if format == "csv" else getattr(writer, format)(path)
 
 
+def write_dataset_reports(df: DataFrame, path: str, format: str = "csv") -> None:
+    """Predictions or metrics in a folder for each dataset and split (or partition), the columns that df has of these."""
+    write_reports(df, path, format, tuple(c for c in ("dataset_idx", "split", "partition") if c in df.columns))
+
+
 def write_accuracy_report(df: DataFrame, path: str) -> None:
     """One nested JSON record a file."""
     df.write.mode("overwrite").json(path)
