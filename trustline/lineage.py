@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary folder where that is unset and all runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return named or current.get()
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
