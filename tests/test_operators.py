@@ -182,3 +182,67 @@ def test_same_result_for_any_partitioning(spark, sf_dir):
         got.append(sorted(map(tuple, queries.QUERIES["draw_until_target"](spark, sf_dir).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1] == got[2]
+
+
+def test_packing_over_ranges_equals_a_fold(spark):
+    import random
+
+    from trustline.operators import windows
+
+    rng = random.Random(3)
+    sizes = {"a": [rng.choice([0, 1, 5, 30, 63, 64, 200]) for _ in range(400)], "b": [70], "c": [3, 4], "d": [rng.randrange(20) for _ in range(37)], "e": [0, 0], "f": [64, 9]}
+    want = {}
+    for key, hs in sizes.items():
+        w = n = 0
+        rows = []
+        for i, h in enumerate(hs):
+            rows.append((i, w))
+            n += h
+            if n >= 64:
+                w, n = w + 1, 0
+        want |= {(key, i): x for i, x in rows if x < w or n >= 10}
+    rows = [(k, f"u{i:04d}", i, h) for k, hs in sizes.items() for i, h in enumerate(hs)] + [(None, "u", 0, 99)]
+    df = spark.createDataFrame(rows, "k string, utt_id string, chunk int, hypothesis_words int")
+    for parts in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {(r.k, r.chunk): r.window_idx for r in windows.pack_windows(df, "k", 64).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want
+    assert windows.pack_windows(df.limit(0), "k", 64).count() == 0
+
+
+def test_edits_of_more_words_than_one_plane_has(spark):
+    from trustline.functions import text
+
+    words = [f"w{i}" for i in range(45_000)]
+    df = spark.createDataFrame([(words, [*words[:5], "x", *words[6:9]]), (["a", "b"], ["b"]), (None, ["b"])], "r array<string>, h array<string>")
+    assert [r[0] for r in df.select(text.edit_errors("r", "h")).collect()] == [45_000 - 9 + 1, 1, 1]
+
+
+def test_partitions_of_levels(spark):
+    from trustline.plans import evaluate
+
+    df = spark.createDataFrame([("c", None), ("n5", 5.0), ("n2", 2.5), ("n9", 9.0)], "sample_id string, snr double")
+    got = sorted((r.partition, r.sample_id) for r in evaluate.union_partitions(df, "real", (5.0, 2.5)).collect())
+    assert got == [("real", "c"), ("real_snr", "c"), ("real_snr", "n2"), ("real_snr", "n5"), ("real_snr", "n9"), ("real_snr_2.5", "c"), ("real_snr_2.5", "n2"), ("real_snr_5", "c"), ("real_snr_5", "n5")]
+    assert evaluate.partition_names("real", (5.0,)) == ["real", "real_snr", "real_snr_5"]
+
+
+def test_evaluation_with_noise_levels(spark, sf_dir):
+    from trustline.operators import manifest, splits
+    from trustline.operators.features import STANDARD
+    from trustline.plans import evaluate, fixtures, model
+
+    recs = splits.speaker_split(manifest.with_ids(fixtures.recognitions(spark, sf_dir))).where("split = 'test'")
+    noisy = manifest.expand_snr(recs, [5.0])
+    rows = spark.range(60).selectExpr("concat('s', id) AS sample_id", "'train' AS split", "100L AS ref_words", "id / 60.0D AS accuracy", *[f"(id * {i + 1} % 50) / 50.0D AS {n}" for i, n in enumerate(STANDARD)])
+    p = model.train(rows, STANDARD, grid=[{"step": 0.1, "depth": 2, "least_rows": 2}], rounds=2)
+    out = evaluate.evaluate_partitions(noisy, p, 128, (5.0,)).groupBy("partition").count().collect()
+    n = {r.partition: r["count"] for r in out}
+    assert n["real_snr"] == n["real_snr_5"] == 2 * n["real"] > 0 and n["real_part_snr"] == 2 * n["real_part"] > 0
+    held = model.validation_predictions(rows, p).collect()
+    assert 0 < len(held) < 30 and all(r.split == "validation" and abs(r.residual - r.accuracy + r.estimated_accuracy) < 1e-12 for r in held)

@@ -162,6 +162,28 @@ def merge_server_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return recognition.merge_server_accuracy(rows, events)
 
 
+@query(sql(["utt"], """SELECT conv_id AS file, CAST(turn AS INTEGER) AS window_idx, CASE WHEN turn % 3 = 2 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS estimated_accuracy,
+  CASE WHEN turn % 3 = 0 THEN 120.0::DOUBLE ELSE 100.0::DOUBLE + turn END AS words_per_minute FROM utt
+  UNION ALL SELECT conv_id, -1, CASE WHEN conv_id % 2 = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END, 120.0::DOUBLE FROM (SELECT DISTINCT conv_id FROM utt) q"""))
+def server_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Files (window -1) and windows with what the server's events in their documents say; the last event of each wins."""
+    u = utt(spark, d).select(F.col("conv_id").alias("file"), F.col("turn").cast("int").alias("window_idx"))
+    event = lambda kind, partial, window, acc, wpm: f"named_struct('type', '{kind}', 'partial_result', {partial}, 'window_idx', {window}, 'estimated_accuracy', {acc}, 'words_per_minute', {wpm})"
+    null = {k: f"cast(null as {k})" for k in ("boolean", "int", "double")}
+    told = u.where("window_idx % 3 <> 0").select("file", F.posexplode(F.expr(f"""array(
+      {event("asr_accuracy_estimate", null["boolean"], "window_idx", "0.1D", "1.0D")},
+      {event("asr_accuracy_estimate", null["boolean"], "window_idx", f"IF(window_idx % 3 = 2, 0.75D, {null['double']})", "100.0D + window_idx")})""")).alias("pos", "e"))
+    whole = u.select("file").distinct().select("file", F.posexplode(F.expr(f"""array(
+      {event("asr_accuracy_estimate", "true", null["int"], "0.9D", "9.0D")}, {event("asr_accuracy_estimate", null["boolean"], null["int"], "0.9D", "9.0D")}, {event("asr_result", "false", null["int"], "0.9D", "9.0D")},
+      {event("asr_accuracy_estimate", "false", null["int"], f"IF(file % 2 = 0, 0.25D, {null['double']})", null["double"])})""")).alias("pos", "e"))
+    missing = [m for m in recognition.SERVER_METRICS if m not in ("estimated_accuracy", "words_per_minute")]
+    docs = told.unionByName(whole).withColumn("e", F.struct("e.*", *[F.lit(None).cast("double").alias(m) for m in missing]))
+    docs = docs.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("result"))
+    start = lambda df: df.withColumns({"estimated_accuracy": F.lit(0.5), "words_per_minute": F.lit(120.0)})
+    of_files, of_windows = recognition.with_server_accuracy(start(u.select("file").distinct()), start(u), docs)
+    return of_windows.unionByName(of_files.withColumn("window_idx", F.lit(-1)))
+
+
 _SPEAKER = "coalesce(speaker_id, lpad(CAST(conv_id AS VARCHAR), 5, '0'))"
 
 
@@ -309,6 +331,15 @@ def draw_until_target(spark: SparkSession, d: str) -> DataFrame:
     return _drawn(spark, d).select("split", "sample_id", F.col("draw").cast("bigint").alias("draw"), "target", "words_before", "rank", "segment_id")
 
 
+@query(sql(["segs"], "SELECT CAST(split AS INTEGER) AS dataset_idx, sample_id, draw, target, words_before, rank, segment_id FROM dw",
+  extra=[("tsegs", "SELECT * EXCLUDE (split), CAST(dataset_idx AS VARCHAR) AS split FROM segs WHERE split = 'test'")] + [(n, q.replace("FROM segs", "FROM tsegs")) for n, q in _DRAWS]))
+def dataset_test_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Draws of each dataset's own test segments."""
+    pools = ensemble.accuracy_deciles(segs(spark, d).where("split = 'test'"), "dataset_idx")
+    out = ensemble.draw_until_target(pools, 200, 13, 96, 128, by="dataset_idx")
+    return out.select("dataset_idx", "sample_id", F.col("draw").cast("bigint").alias("draw"), "target", "words_before", "rank", "segment_id")
+
+
 @query(sql(["segs", "frames"], """SELECT dw.split, sample_id, count(DISTINCT draw) AS n_segments, md5(string_agg(token, '|' ORDER BY draw, frame)) AS tokens_md5, count(*) AS n_frames FROM dw
   JOIN segs USING (segment_id) JOIN frames ON frames.utt_id = segs.utt_id AND frame >= blk * 10 AND frame < blk * 10 + 10 GROUP BY 1, 2""", extra=_DRAWS))
 def gather_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -364,9 +395,9 @@ _FEATURES = sql(["clipped"], f"""SELECT utt_id, round(b_mean / n, 6) AS ctc_blan
   JOIN (SELECT utt_id, count(*) AS words, sum(p) AS wsum FROM wd GROUP BY 1) w USING (utt_id)""", extra=_RUNS + _WORDS)
 
 
-def _rounded() -> list[Column]:
+def _rounded(names: list[str] = features.STANDARD) -> list[Column]:
     """Means of decimal probabilities can fall on half a digit, where summing order decides; they are moved off it."""
-    return [r6(F.col(c) + 1e-9 if c == "ctc_nonblank_error_mean" else c).alias(c) for c in features.STANDARD]
+    return [r6(F.col(c) + 1e-9 if c == "ctc_nonblank_error_mean" else c).alias(c) for c in names]
 
 
 @query(_FEATURES)
@@ -381,9 +412,35 @@ def ctc_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("utt_id", *_rounded())
 
 
-@query()
+def _full_sql() -> str:
+    """The 69 features, from the same parts as the 25."""
+    by_rank = {f"ctc_{k}_p{q:03d}": f"list_extract(s{k[0]}, greatest(1, CAST(ceil({q}::DOUBLE / 100 * len(s{k[0]})) AS BIGINT)))" for k in ("blank", "nonblank") for q in features.DECILES}
+    made = {
+        "ctc_blank_mean_run_fraction": "b_mean / n", "ctc_nonblank_error_geom_mean": "eg", "ctc_nonblank_to_blank_ratio": "nn::DOUBLE / greatest(1, nb)", "ctc_nonblank_mean_run_fraction": "n_mean / n",
+        "ctc_nonblank_harmonic_mean": "nn / inv", "ctc_blank_range": "sb[-1] - sb[1]", "ctc_blank_run_len_cv": "b_std / b_mean", "ctc_blank_log_ratio": "ln((nb + 1.0::DOUBLE) / (nn + 1))", "ctc_nonblank_error_mean": "em + 1e-9",
+        "ctc_nonblank_geom_mean": "gm", "ctc_blank_max_run_fraction": "b_max / n", "ctc_token_count": "n::DOUBLE", "ctc_prob_sum": "ps", "ctc_word_count": "words::DOUBLE", "ctc_word_prob_sum": "wsum",
+        "ctc_wpm": "words / (greatest(hi - lo, 1) * 0.04::DOUBLE / 60)", "ctc_nonblank_p001": "list_extract(sn, greatest(1, CAST(ceil(0.01::DOUBLE * len(sn)) AS BIGINT)))", **by_rank,
+        **{f"ctc_nonblank_frac_lt_{t}": f"lt{t}" for t in range(10, 100, 10)}, **{f"ctc_{k}_run_le_{i}": f"{k[0]}_le{i}" for k in ("blank", "nonblank") for i in range(1, 6)},
+        **{f"ctc_blank_neglog_error_p{q:03d}": f"nl[{i + 1}]" for i, q in enumerate(features.DECILES)},
+    }
+    below = ", ".join(f"avg(CASE WHEN p < {t / 100} THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT b) AS lt{t}" for t in range(10, 100, 10))
+    short = ", ".join(f"avg(CASE WHEN len <= {i} THEN 1.0::DOUBLE ELSE 0 END) FILTER ({c}) AS {k}_le{i}" for k, c in (("b", "b"), ("n", "NOT b")) for i in range(1, 6))
+    return sql(["clipped"], f"""SELECT utt_id, {", ".join(f"round({made[f]}, 6) AS {f}" for f in features.FULL)} FROM (
+      SELECT utt_id, count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS nn, sum(raw) AS ps, list_sort(list(p) FILTER (b)) AS sb, list_sort(list(p) FILTER (NOT b)) AS sn, exp(avg(ln(p)) FILTER (NOT b)) AS gm,
+        avg(1 - p) FILTER (NOT b) AS em, sum(1 / p) FILTER (NOT b) AS inv, exp(avg(ln(greatest(1e-9, 1 - p))) FILTER (NOT b)) AS eg, {below},
+        quantile_cont(-ln(greatest(1e-9, 1 - p)), [{", ".join(str(q / 100) for q in features.DECILES)}]) FILTER (b) AS nl, min(frame) FILTER (NOT b) AS lo, max(frame) FILTER (NOT b) AS hi FROM clipped GROUP BY 1) a
+      JOIN (SELECT utt_id, avg(len) FILTER (b) AS b_mean, avg(len) FILTER (NOT b) AS n_mean, max(len) FILTER (b) AS b_max, stddev_pop(len) FILTER (b) AS b_std, {short} FROM rl GROUP BY 1) r USING (utt_id)
+      JOIN (SELECT utt_id, count(*) AS words, sum(p) AS wsum FROM wd GROUP BY 1) w USING (utt_id)""", extra=_RUNS + _WORDS)
+
+
+@query(_full_sql())
 def ctc_features_full(spark: SparkSession, d: str) -> DataFrame:
-    return features.ctc_features(recs(spark, d).select("utt_id", "ctc_tokens", "ctc_probs", "ctc_frame_len"), full=True)
+    return features.ctc_features(recs(spark, d).select("utt_id", "ctc_tokens", "ctc_probs", "ctc_frame_len"), full=True).select("utt_id", *_rounded(features.FULL))
+
+
+@query(_full_sql())
+def ctc_features_full_sql(spark: SparkSession, d: str) -> DataFrame:
+    return features.ctc_features_sql(recs(spark, d), "utt_id", full=True).select("utt_id", *_rounded(features.FULL))
 
 
 @query(sql(["clipped"], f"""SELECT utt_id, round({_nearest(_B, 25)}, 6) AS blank_p25, round({_nearest(_N, 75)}, 6) AS nonblank_p75, round(quantile_cont(p, 0.25) FILTER (b), 6) AS blank_linear_p25, round((greatest(max(frame) FILTER (NOT b) - min(frame) FILTER (NOT b), 1)) * 0.04::DOUBLE, 6) AS speech_seconds
@@ -431,7 +488,7 @@ def _window_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql(["ests"], """SELECT conv_id, round(sum(hyp_words * accuracy) / sum(hyp_words), 6) AS accuracy, round(sum(hyp_words * est) / sum(hyp_words), 6) AS estimated_accuracy, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(hyp_words) AS BIGINT) AS hyp_words, max(n_windows) AS n_windows,
-  round(sum(hyp_words * est) / sum(hyp_words) - sum(hyp_words * accuracy) / sum(hyp_words), 6) AS residual FROM wt GROUP BY 1 HAVING sum(hyp_words) > 0""", True, _TARGETS))
+  round(sum(hyp_words * accuracy) / sum(hyp_words) - sum(hyp_words * est) / sum(hyp_words), 6) AS residual FROM wt GROUP BY 1 HAVING sum(hyp_words) > 0""", True, _TARGETS))
 def aggregate_windows(spark: SparkSession, d: str) -> DataFrame:
     out = windows.aggregate_windows(_window_estimates(spark, d), "conv_id")
     return out.select("conv_id", r6("accuracy").alias("accuracy"), r6("estimated_accuracy").alias("estimated_accuracy"), "ref_words", "hyp_words", "n_windows", r6("residual").alias("residual"))
@@ -470,6 +527,51 @@ def per_dataset_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.per_dataset_metrics(rows).select("partition", "dataset_idx", *[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
 
 
+_LEVELS = (5.0, 2.5)
+_NOISY = [
+    ("base", """SELECT conv_id, dataset_idx, CAST(sum(hypothesis_words) AS BIGINT) AS hyp_words, sum(hypothesis_words * accuracy) / sum(hypothesis_words) AS accuracy, sum(hypothesis_words * estimated_accuracy) / sum(hypothesis_words) AS est
+      FROM ests WHERE split = 'test' GROUP BY 1, 2 HAVING sum(hypothesis_words) > 0"""),
+    ("noisy", """SELECT conv_id || suffix AS sample_id, dataset_idx, snr, hyp_words + extra AS hyp_words, accuracy, greatest(0.0::DOUBLE, est - extra / 100.0::DOUBLE) AS estimated_accuracy
+      FROM base, (VALUES (NULL::DOUBLE, '', 0), (5.0::DOUBLE, '_snr5', 3), (2.5::DOUBLE, '_snr2.5', 7)) AS l(snr, suffix, extra)"""),
+    ("parted", """SELECT *, 'real' AS partition FROM noisy WHERE snr IS NULL UNION ALL SELECT *, 'real_snr' FROM noisy
+      UNION ALL SELECT *, 'real_snr_5' FROM noisy WHERE snr IS NULL OR snr = 5.0 UNION ALL SELECT *, 'real_snr_2.5' FROM noisy WHERE snr IS NULL OR snr = 2.5"""),
+]
+
+
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates for recordings of the test split, clean and at two noise levels, dealt to their partitions."""
+    w = F.col("hypothesis_words")
+    base = ests(spark, d).where("split = 'test'").groupBy("conv_id", "dataset_idx").agg(F.sum(w).alias("hyp_words"), F.sum(w * F.col("accuracy")).alias("a"), F.sum(w * F.col("estimated_accuracy")).alias("e")).where("hyp_words > 0")
+    base = base.select(F.col("conv_id").cast("string").alias("utt_id"), "dataset_idx", "hyp_words", (F.col("a") / F.col("hyp_words")).alias("accuracy"), (F.col("e") / F.col("hyp_words")).alias("e"))
+    rows = manifest.expand_snr(base.withColumns({"group_id": F.col("utt_id"), "speaker_id": F.col("utt_id")}), list(_LEVELS))
+    extra = F.when(F.col("snr") == 5.0, 3).when(F.col("snr") == 2.5, 7).otherwise(0)
+    rows = rows.withColumns({"estimated_accuracy": F.greatest(F.lit(0.0), F.col("e") - extra / 100.0), "hyp_words": F.col("hyp_words") + extra})
+    return evaluate.union_partitions(rows, "real", _LEVELS).withColumnRenamed("utt_id", "sample_id")
+
+
+@query(sql(["ests"], "SELECT partition, sample_id, dataset_idx FROM parted", extra=_NOISY))
+def union_partitions(spark: SparkSession, d: str) -> DataFrame:
+    return _noisy(spark, d).select("partition", "sample_id", "dataset_idx")
+
+
+@query(sql(["ests"], f"""SELECT partition, dataset_idx, round(sum(w * abs(estimated_accuracy - accuracy)) / sum(w), 6) AS mae, round(sum(w * (estimated_accuracy - accuracy) ** 2) / sum(w), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation, count(*) AS n_points
+    FROM (SELECT partition, dataset_idx, hyp_words::DOUBLE AS w, accuracy, estimated_accuracy FROM parted
+      UNION ALL SELECT partition, NULL, CASE WHEN partition LIKE 'real_snr_%' THEN 1.0::DOUBLE ELSE hyp_words END, accuracy, estimated_accuracy FROM parted) q GROUP BY 1, 2
+  UNION ALL SELECT 'none', NULL, 0.0::DOUBLE, 0.0::DOUBLE, NULL, 0""", extra=_NOISY))
+def evaluation_snr(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of clean recordings, of all, and of clean ones with each noise level, over all datasets and by dataset."""
+    names = [*evaluate.partition_names("real", _LEVELS), "none"]
+    return evaluate.partition_metrics(_noisy(spark, d), names).select("partition", "dataset_idx", *[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
+
+
+@query(sql(["ests"], f"""SELECT round(avg(abs(estimated_accuracy - accuracy)), 6) AS mae, round(avg((estimated_accuracy - accuracy) ** 2), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation, count(*) AS n_points
+  FROM ests WHERE split = 'train' AND (CAST('0x' || substr(sha256(concat_ws(':', '13', segment_id)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496) < 0.2"""))
+def validation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics over the training rows that are held out for validation."""
+    held = ests(spark, d).where((F.col("split") == "train") & metrics.is_validation("segment_id"))
+    return metrics.regression_metrics(held, []).select(*[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
+
+
 @query(sql(["utt"], "SELECT utt_id || suffix AS sample_id, dataset_idx FROM utt, (VALUES (''), ('_snr5'), ('_snr2.5_w3'), ('_w12')) AS l(suffix)"))
 def assign_dataset(spark: SparkSession, d: str) -> DataFrame:
     u = utt(spark, d)
@@ -532,15 +634,23 @@ def _predictor(spark: SparkSession, d: str) -> tuple[model.Predictor, DataFrame]
 def train_and_test(spark: SparkSession, d: str) -> DataFrame:
     """Estimates on the test samples of a predictor that is fitted to the training samples."""
     p, samples = _predictor(spark, d)
-    out = model.predict(samples.where("split = 'test'"), p).withColumn("residual", F.col("estimated_accuracy") - F.col("accuracy"))
-    return out.select("sample_id", "split", "accuracy", "estimated_accuracy", "residual", "ref_words")
+    return model.predictions(samples.where("split = 'test'"), p)
+
+
+@query()
+def validation_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates on the training samples that were held out when the setting was chosen."""
+    p, samples = _predictor(spark, d)
+    return model.validation_predictions(samples, p)
 
 
 @query()
 def evaluation_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of recordings and of utterances, packed in windows of 128 words, over all and by dataset."""
+    """Metrics of the test speakers' recordings and utterances, packed in windows of 128 words, over all and by dataset."""
     p, _ = _predictor(spark, d)
-    return evaluate.partition_metrics(evaluate.evaluate_partitions(manifest.with_ids(recs(spark, d)), p, 128))
+    test = splits.speaker_split(manifest.with_ids(recs(spark, d))).where("split = 'test'")
+    names = [n for kind in ("real", "real_part") for n in evaluate.partition_names(kind)]
+    return evaluate.partition_metrics(evaluate.evaluate_partitions(test, p, 128), names)
 
 
 @query()
@@ -594,5 +704,28 @@ def recognition_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Recognition documents written as JSON, read again and reduced to their final event."""
     path = f"{scratch_dir(spark)}/recognitions-{uuid.uuid4().hex}"
     fixtures.documents_of(recs(spark, d)).where("size(result[1].word_array) > 0").drop("conv_id", "turn").write.option("ignoreNullFields", "false").json(path)
-    rows = recognition.final_recognition(spark.read.schema(files.RECOGNITION).json(path))
+    rows = recognition.final_recognition(files.read_recognitions(spark, path, lines=True))
     return rows.select("utt_id", F.size("final.word_array").cast("bigint").alias("n_words"), F.md5(F.array_join("final.word_array", "|").cast("binary")).alias("words_md5"))
+
+
+@query(sql(["ests"], "SELECT dataset_idx, split, count(*) AS n_rows, round(sum(accuracy), 5) AS accuracy, CAST(sum(reference_words) AS BIGINT) AS ref_words FROM ests GROUP BY 1, 2"))
+def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates written as CSV in a folder for each dataset and split, read again and added up."""
+    path = f"{scratch_dir(spark)}/report-{uuid.uuid4().hex}"
+    files.write_dataset_reports(ests(spark, d).select("segment_id", "dataset_idx", "split", "accuracy", "estimated_accuracy", "reference_words"), path)
+    rows = spark.read.schema("segment_id string, accuracy double, estimated_accuracy double, reference_words bigint, dataset_idx int, split string").csv(path, header=True)
+    return rows.groupBy("dataset_idx", "split").agg(F.count("*").alias("n_rows"), F.round(F.sum("accuracy"), 5).alias("accuracy"), F.sum("reference_words").alias("ref_words"))
+
+
+@query(sql(["ests"], """SELECT conv_id AS file, CAST(sum(hypothesis_words) AS BIGINT) AS words, round(sum(hypothesis_words * (1 - estimated_accuracy)), 5) AS expected_errors, count(*) AS n_windows, min(segment_id) AS first_window FROM ests GROUP BY 1"""))
+def accuracy_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy reports written as JSON, one record a file with its windows, and read again."""
+    rows = ests(spark, d).select(
+        F.col("conv_id").alias("file"), F.col("segment_id").alias("window_idx"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), F.col("hypothesis_words").alias("word_count"),
+        "estimated_accuracy", F.lit(0.5).alias("speech_ratio"), F.lit(0.5).alias("non_speech_ratio"),
+    )
+    path = f"{scratch_dir(spark)}/accuracy-{uuid.uuid4().hex}"
+    report = score.accuracy_report(rows)
+    files.write_accuracy_report(report, path)
+    read = spark.read.schema(report.schema).json(path)
+    return read.select("file", "words", F.round("expected_errors", 5).alias("expected_errors"), F.size("windows").cast("bigint").alias("n_windows"), F.col("windows")[0]["window_idx"].alias("first_window"))
