@@ -174,6 +174,28 @@ def test_vectors_equal_brute_force(spark):
     assert cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0, 0.0]), (None, [1.0, 0.01, 0.0]), (4, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.02]), (9, [0.0, 0.0, -0.0]), (8, [0.0, 0.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted(cap_filters.near_vectors(df).collect(), key=str)
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in got) == [(-1, 1, -1), (-1, 1, -1), (-1, 2, 4), (4, 2, 4), (4, 2, 4), (8, 0, 8), (9, 0, 9)]
+
+
+@pytest.mark.parametrize("vectors", [2_000, 50_000, 8_000_000])
+def test_near_pairs_share_filters(vectors):
+    rng = np.random.default_rng(1)
+    words, mean_list = cap_filters.code_size(vectors)
+    x, z = rng.normal(size=(2, 800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    row, number = cap_filters.decode(np.concatenate([x, y]), 2, words, mean_list)
+    sets = [set() for _ in range(1600)]
+    for r, f in zip(row.tolist(), number.tolist()):
+        sets[r].add(f)
+    assert np.mean([bool(sets[i] & sets[i + 800]) for i in range(800)]) > 0.99
+
+
 def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     rng = np.random.default_rng(8)
     v = [list(map(float, np.ones(8) + rng.normal(size=8) * 0.02)) for _ in range(70)]
