@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, shingle_hashes, slices, text_bytes
+from .common import SLICE_BYTES, append_columns, shingle_hashes, slices, stored, text_bytes
 
 K = 128
+RANGE_BYTES = 16 << 20
 _BITS = 48
 
 
@@ -74,8 +76,6 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """df with its texts' fingerprints; null and empty texts have the empty one. Other columns pass through."""
-    from .common import append_columns
-
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         hashes, starts = shingle_hashes(*text_bytes(batch.column(text_col)))
         return [pa.array([fingerprint(s) for s in bottom_k(hashes, starts)], pa.string())]
@@ -89,30 +89,29 @@ def edited_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataF
     The edited text is the text with its last floor(n / 2) code points replaced by as many first ones of the next document
     in ascending doc_id (after the last comes the first). Null texts are empty; null ids come first; rows with the same id
     follow each other in the order of their texts; a single document is its own next; no rows in, none out. Texts are
-    exchanged once, by ranges of ids that end at quantiles of the ids; a range's first text is also sent to the range before.
-    docs are read twice and must be the same rows both times; otherwise an error is raised.
+    exchanged once, by ranges of ids of about RANGE_BYTES of text each, unless ``partitions`` says how many; a range's first
+    text is also sent to the range before. docs are read three times (their bytes, their ids, their texts) and must be the
+    same rows each time; otherwise an error is raised.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / partitions for i in range(1, partitions)]
-    ends = docs.agg(F.min("key").alias("least"), F.percentile_approx("key", shares or [0.5], 20_000).alias("marks")).first()
-    if ends is None or ends["least"] is None:
+    whole = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not whole["rows"]:
         return _compared(docs.withColumn("part", F.lit(0)).withColumn("lent", F.lit(0)))
-    marks = sorted({ends["least"], *(ends["marks"] if shares else [])})
-    parts = len(marks)
-    # Every mark is some document's id, so a range's first text is known when it is read.
-    coarse = max(1, int(parts**0.5))
-    blocks = [marks[i : i + coarse] for i in range(0, parts, coarse)]
-    mark_col = F.array(*[F.array(*[F.lit(m) for m in b]) for b in blocks])
-    block = F.greatest(F.lit(0), F.size(F.filter(mark_col, lambda b: b[0] <= F.col("key"))) - 1)
-    part = block * coarse + F.size(F.filter(F.get(mark_col, block), lambda m: m <= F.col("key"))) - 1
-    placed = docs.withColumn("part", part.cast("int"))
-    first = F.array_contains(F.get(mark_col, block), F.col("key"))
+    wanted = partitions or max(1, math.ceil(whole["bytes"] / RANGE_BYTES))
+    # Every mark is some document's id, so a range's first text is known when it is read. The marks, eight bytes a range, are
+    # one row of a table; in runs, so that a row compares with few of them.
+    coarse = max(1, int(wanted**0.5))
+    ranges = docs.select("key").repartitionByRange(wanted, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("mark"))
+    marks = stored(ranges.agg(F.array_sort(F.collect_list("mark")).alias("all")).select(
+        F.lit(0).alias("one"), F.size("all").alias("parts"), F.expr(f"transform(sequence(1, size(all), {coarse}), i -> slice(all, i, {coarse}))").alias("marks")
+    ))
+    run = F.greatest(F.lit(0), F.size(F.filter("marks", lambda m: m[0] <= F.col("key"))) - 1)
+    placed = docs.withColumn("one", F.lit(0)).join(F.broadcast(marks), "one").withColumn("run", run).withColumn("near", F.get("marks", F.col("run")))
+    placed = placed.withColumn("part", (F.col("run") * coarse + F.size(F.filter("near", lambda m: m <= F.col("key"))) - 1).cast("int")).withColumn("first", F.array_contains("near", F.col("key")))
     home = F.struct(F.col("part"), F.lit(0).alias("lent"))
-    away = F.struct(F.pmod(F.col("part") - 1, F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("lent"))
-    sent = placed.withColumn("to", F.explode(F.when(first, F.array(home, away)).otherwise(F.array(home)))).select("key", "doc_id", "text", "to.part", "to.lent")
-    return _compared(sent.repartition(parts, "part").sortWithinPartitions("part", "lent", "key", "text"))
+    away = F.struct(F.pmod(F.col("part") - 1, F.col("parts")).cast("int").alias("part"), F.lit(1).alias("lent"))
+    sent = placed.withColumn("to", F.explode(F.when(F.col("first"), F.array(home, away)).otherwise(F.array(home)))).select("key", "doc_id", "text", "to.part", "to.lent")
+    return _compared(sent.repartition(wanted, "part").sortWithinPartitions("part", "lent", "key", "text"))
 
 
 def _compared(rows: DataFrame) -> DataFrame:
