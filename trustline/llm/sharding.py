@@ -25,16 +25,22 @@ def _log_factorial(x: str) -> str:
     """ln(x!) of a non-negative integer expression: Stirling's series, eight places further on."""
     z = f"(({x}) + 9D)"
     shift = " * ".join(f"(({x}) + {i}D)" for i in range(1, 9))
-    return f"(({z} - 0.5D) * ln({z}) - {z} + 0.9189385332046727D + 1D / (12D * {z}) - 1D / (360D * pow({z}, 3)) + 1D / (1260D * pow({z}, 5)) - 1D / (1680D * pow({z}, 7)) - ln({shift}))"
+    series = f"1D / (12D * {z}) - 1D / (360D * pow({z}, 3)) + 1D / (1260D * pow({z}, 5)) - 1D / (1680D * pow({z}, 7))"
+    half_log_two_pi = "0.9189385332046727D"
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {half_log_two_pi} + {series} - ln({shift}))"
 
 
 def _hypergeometric(good: str, total: str, draws: str, u: str) -> str:
     """Number of good items among ``draws`` of ``total``, by inversion from the mode outwards; u is uniform in (0, 1)."""
-    let = "named_struct('k', double({good}), 't', double({total}), 'n', double({draws}), 'u', {u}, 'm', least(double({good}), double({draws}), greatest(0D, double({draws}) + {good} - {total}, floor(({draws} + 1D) * ({good} + 1D) / ({total} + 2D)))))".format(
-        good=good, total=total, draws=draws, u=u
-    )
+    least_good = f"double({draws}) + {good} - {total}"
+    mode = f"least(double({good}), double({draws}), greatest(0D, {least_good}, floor(({draws} + 1D) * ({good} + 1D) / ({total} + 2D))))"
+    let = f"named_struct('k', double({good}), 't', double({total}), 'n', double({draws}), 'u', {u}, 'm', {mode})"
     lf = _log_factorial
-    mass = f"exp({lf('h.k')} - {lf('h.m')} - {lf('h.k - h.m')} + {lf('h.t - h.k')} - {lf('h.n - h.m')} - {lf('h.t - h.k - h.n + h.m')} - {lf('h.t')} + {lf('h.n')} + {lf('h.t - h.n')})"
+    # The mode's mass: C(k, m) C(t - k, n - m) / C(t, n).
+    of_good = f"{lf('h.k')} - {lf('h.m')} - {lf('h.k - h.m')}"
+    of_others = f"{lf('h.t - h.k')} - {lf('h.n - h.m')} - {lf('h.t - h.k - h.n + h.m')}"
+    of_all = f"{lf('h.t')} - {lf('h.n')} - {lf('h.t - h.n')}"
+    mass = f"exp({of_good} + {of_others} - ({of_all}))"
     spread = "sqrt(h.n * (h.k / greatest(h.t, 1D)) * (1D - h.k / greatest(h.t, 1D)) * (h.t - h.n) / greatest(h.t - 1D, 1D))"
     reach = f"least(cast(least(h.n, h.k) as bigint), cast(20D + 12D * {spread} as bigint))"
     up = "s.pu * (h.k - s.ku) * (h.n - s.ku) / ((s.ku + 1D) * (h.t - h.k - h.n + s.ku + 1D))"
@@ -78,15 +84,10 @@ def communication_matrix(counts: DataFrame, cells: list[int], seed: int = 0) ->
             .withColumn("draws", F.expr("get(sums, mid) - get(sums, lo)"))
             .withColumn("left", F.expr(f"IF(hi - lo > 1, {_vector_draw(seed)}, cells)"))
         )
-        nodes = split.select(
-            "ids",
-            "sums",
-            F.explode(
-                F.expr(
-                    "IF(hi - lo > 1, array(named_struct('lo', lo, 'hi', mid, 'cells', left), named_struct('lo', mid, 'hi', hi, 'cells', zip_with(cells, left, (c, l) -> c - l))), array(named_struct('lo', lo, 'hi', hi, 'cells', cells)))"
-                )
-            ).alias("node"),
-        ).select("ids", "sums", "node.*")
+        halves = """array(named_struct('lo', lo, 'hi', mid, 'cells', left),
+          named_struct('lo', mid, 'hi', hi, 'cells', zip_with(cells, left, (c, l) -> c - l)))"""
+        itself = "array(named_struct('lo', lo, 'hi', hi, 'cells', cells))"
+        nodes = split.select("ids", "sums", F.explode(F.expr(f"IF(hi - lo > 1, {halves}, {itself})")).alias("node")).select("ids", "sums", "node.*")
     return nodes.where("hi > lo").select(F.expr("get(ids, lo)").alias("source"), F.col("cells").alias("sends"))
 
 
@@ -95,14 +96,19 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 0, cell_rows: in
 
     Shard sizes differ by one at most. Nulls in any column and repeated rows are rows like others; ties cannot arise, as
     a row's random key comes from its place in the checkpoint. An empty table gives an empty result; columns of df named
-    like a new one give way to it. Cells hold about ``cell_rows`` rows, more only beyond ``most_cells`` cells.
+    like a new one give way to it. Cells hold about ``cell_rows`` rows, more only beyond ``most_cells`` cells. The matrix has
+    at most ``most_cells`` rows too: input in more partitions is written once more, in so many.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     kept = [c for c in df.columns if c.lower() not in (shard_col.lower(), slot_col.lower())]
     # The rows travel as one column, so that none of their names can clash with those used here.
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
-    fixed = checkpointed(df.select(row.alias("row")).coalesce(most_cells)).withColumn("__place", F.monotonically_increasing_id())
+    rows = checkpointed(df.select(row.alias("row")))
+    if rows.select(F.spark_partition_id().alias("part")).distinct().count() > most_cells:
+        # Rows are read and made by as many tasks as they come in; only then are partitions laid together.
+        rows = checkpointed(rows.coalesce(most_cells))
+    fixed = rows.withColumn("__place", F.monotonically_increasing_id())
     opened = [F.col("row").getField(c).alias(c) for c in kept]
     # A local permutation needs no exchange: sort each partition by a random key and number its rows.
     placed = (
