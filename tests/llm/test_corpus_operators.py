@@ -259,6 +259,18 @@ def test_shards_are_exact_and_whole(spark, odd, nothing):
     assert sharding.uniform_shards(clash, 4).select("__place", "row").count() == odd.count()
 
 
+def test_more_partitions_than_cells(spark):
+    out = sharding.uniform_shards(spark.range(300).repartition(9), 4, cell_rows=40, most_cells=4).collect()
+    assert sorted(r.id for r in out) == list(range(300)) and [sorted(r.slot for r in out if r.shard == s) for s in range(4)] == [list(range(75))] * 4
+
+
+def test_fingerprints_of_clashing_columns(spark, odd):
+    clash = odd.withColumnsRenamed({"lang": "key", "source": "part", "score": "marks", "shard": "one"})
+    out = sketches.edited_fingerprints(clash).collect()
+    assert len(out) == odd.count() and out[0].__fields__ == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert sketches.fingerprints(clash.withColumnRenamed("key", "Fingerprint")).columns[-1] == "fingerprint"
+
+
 def test_cells_of_large_shards(spark):
     out = sharding.uniform_shards(spark.range(1000).repartition(5), 4, cell_rows=60).collect()
     for s in range(4):
