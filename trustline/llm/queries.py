@@ -96,4 +96,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+# Everything that links reach, and the smallest id there; near (a, b) and ids (node, id) come before.
+_REACH = """both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+  reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+  component AS (SELECT i.node, least(min(i.id), coalesce(min(j.id), min(i.id))) AS component_id FROM ids i LEFT JOIN reach r ON r.a = i.node LEFT JOIN ids j ON j.node = r.b GROUP BY 1)"""
+
+_VECTORS = f"""WITH RECURSIVE sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+  ids AS (SELECT vec_id AS node, vec_id AS id FROM embeddings),
+  {_REACH}
+SELECT vec_id, (SELECT count(*) FROM both_ways WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN component ON node = vec_id"""
+
+_NEAR_DUPLICATES = f"""WITH RECURSIVE spoken AS (
+    SELECT DISTINCT md5(text) AS node, list_filter(regexp_split_to_array(text, '[\\x00-\\x20]+'), lambda w: w <> '') AS ws FROM documents WHERE regexp_matches(text, '[^\\x00-\\x20]')),
+  shingles AS (SELECT node, shingle, count(*) AS n FROM (
+    SELECT node, unnest(CASE WHEN len(ws) < 5 THEN [ws] ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4]) END) AS shingle FROM spoken) q GROUP BY 1, 2),
+  sizes AS (SELECT node, sum(n) AS size FROM shingles GROUP BY 1),
+  near AS (SELECT q.a, q.b FROM (SELECT x.node AS a, y.node AS b, sum(least(x.n, y.n)) AS shared FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.node < y.node GROUP BY 1, 2) q
+    JOIN sizes sa ON sa.node = a JOIN sizes sb ON sb.node = b WHERE shared >= 0.8 * (sa.size + sb.size - shared) - 1e-9),
+  ids AS (SELECT md5(text) AS node, min(doc_id) AS id FROM documents WHERE md5(text) IN (SELECT node FROM spoken) GROUP BY 1),
+  {_REACH}
+SELECT doc_id, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = component_id, true) AS kept, c.node AS text_class FROM documents d LEFT JOIN component c ON c.node = md5(d.text)"""
+
+ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES}
