@@ -27,9 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Recent, release_memory, running_sums, slices, stored
+from .common import Recent, release_memory, running_sums, slices, stored
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 ROUND_WINDOWS = 32
 large = partial(pa.scalar, type=pa.large_string())
 
@@ -55,6 +55,8 @@ class TextIds:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(False).items():
             self.bytes_of[i] = len(token)
+        del told
+        release_memory()
         self.other_space = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]").search
 
     def whole(self, text: str) -> bool:
@@ -125,7 +127,7 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
         end = int(end_id).to_bytes(words.width, "little")
         met: dict[str, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text", 4 * SLICE_BYTES):
+            for batch in slices(whole, "text"):
                 ids = [i + end for i in words.documents(batch.column("text"))]
                 sizes = [len(x) // words.width for x in ids]
                 before = []
