@@ -82,6 +82,13 @@ def test_token_counts_equal_library(spark, odd):
         assert r.n_tokens == (len(lib.encode(r.text, add_special_tokens=False).ids) if r.text else 0), r.text[:40]
 
 
+def test_token_counts_of_clashing_columns_and_no_rows(odd, nothing):
+    clash = odd.withColumnRenamed("lang", "N_tokens")
+    out = token_counts.count_tokens(clash, queries.PIECE_MODEL)
+    assert out.columns[-1] == "n_tokens" and "N_tokens" not in out.columns and out.count() == odd.count()
+    assert token_counts.count_tokens(nothing, queries.PIECE_MODEL).count() == 0
+
+
 def test_ties_go_to_the_longest_last_piece():
     c = token_counts.Counter([("<unk>", 0.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0)])
     assert c.count("aaa") == 1 and c.count("aaaa") == 2
@@ -99,6 +106,55 @@ def test_windows_hold_every_run_of_bytes():
     assert set(text) == {0, 2, 4}
 
 
+def small_net(seed=3):
+    rng = np.random.default_rng(seed)
+    mask = np.zeros((5 * 4, 6))
+    for i, w in enumerate(language_id.WIDTHS):
+        mask[: w * 4, 2 * i : 2 * i + 2] = 1
+    net = language_id.ByteNet(["a", "b", "c"], rng.normal(size=(256, 4)), rng.normal(size=(20, 6)) * mask, rng.normal(size=6) * 0.1, rng.normal(size=(6, 3)), rng.normal(size=3))
+    net.embed[0] = 0
+    return net, mask
+
+
+def test_network_equals_naive_convolution(spark):
+    net, _ = small_net()
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdeé ") for _ in range(n)) + "z" for n in (1, 3, 40, 255, 256, 257, 700)]
+    for r, text in zip(language_id.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1), net).orderBy("doc_id").collect(), texts):
+        raw = text.encode()
+        total, at = np.zeros(3), 0
+        while True:
+            window = (raw[at : at + 256] + bytes(256))[:256]
+            responses = []
+            for k in range(6):
+                width = language_id.WIDTHS[k // 2]
+                here = [sum(net.embed[window[i + j]] @ net.filters[4 * j : 4 * j + 4, k] for j in range(width)) for i in range(252)]
+                responses.append(max(0, max(here) + net.bias[k]))
+            e = np.exp(np.array(responses) @ net.dense + net.offset)
+            total += e / e.sum() * len(raw[at : at + 256])
+            if at + 256 >= len(raw):
+                break
+            at += 252
+        assert r.lang_pred == net.languages[total.argmax()] and np.isclose(r.score, total.max() / total.sum(), atol=1e-6)
+
+
+def test_gradients_equal_differences():
+    net, mask = small_net()
+    rng = np.random.default_rng(2)
+    windows, labels = rng.integers(0, 256, (5, 256)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    loss, grads = net.gradients(windows, labels, mask)
+    for w, g in zip((net.embed, net.filters, net.bias, net.dense, net.offset), grads):
+        places = np.argsort(-np.abs(g).ravel())[:4]
+        for at in places:
+            old = w.flat[at]
+            w.flat[at] = old + 1e-5
+            up, _ = net.gradients(windows, labels, mask)
+            w.flat[at] = old - 1e-5
+            down, _ = net.gradients(windows, labels, mask)
+            w.flat[at] = old
+            assert np.isclose((up - down) / 2e-5, g.flat[at], rtol=1e-3, atol=1e-7)
+
+
 def test_language_id_on_held_out_texts(spark, sf_dir):
     out = queries.op1_language_id(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(out) > 20 and np.mean([r.lang_pred == r.lang for r in out]) > 0.9

@@ -56,6 +56,30 @@ class ByteNet:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def gradients(self, windows: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy of windows, and its gradients by embed (not of byte 0), filters (where mask is 1), bias, dense and offset."""
+        n, f, wide, dims = len(windows), len(self.bias), max(WIDTHS), self.embed.shape[1]
+        x = self.patches(windows)
+        y = (x.reshape(-1, x.shape[2]) @ self.filters).reshape(n, STRIDE, f)
+        best = y.argmax(axis=1)
+        raw = np.take_along_axis(y, best[:, None, :], 1)[:, 0] + self.bias
+        h = np.maximum(raw, 0)
+        z = h @ self.dense + self.offset
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        loss = -float(np.log(np.maximum(p[np.arange(n), labels], 1e-30)).mean())
+        p[np.arange(n), labels] -= 1
+        p /= n
+        dh = (p @ self.dense.T) * (raw > 0)
+        # The pool passes the gradient to one place a filter and window.
+        at = x[np.arange(n)[:, None], best]
+        d_filters = np.einsum("bfk,bf->kf", at, dh) * mask
+        d_embed = np.zeros_like(self.embed)
+        back = (dh[:, :, None] * self.filters.T[None]).reshape(n, f, wide, dims)
+        np.add.at(d_embed, windows[np.arange(n)[:, None, None], best[:, :, None] + np.arange(wide)], back)
+        d_embed[0] = 0
+        return loss, [d_embed, d_filters, dh.sum(0), h.T @ p, p.sum(0)]
+
 
 def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (n, WINDOW) of all texts, the text of each, and its bytes; the last window of a text is padded with zeros."""
@@ -99,38 +123,21 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], dims: int
             cut = rng.random(len(rows)) < 0.5
             keep = np.where(cut, np.exp(rng.uniform(np.log(6), np.log(WINDOW), len(rows))).astype(int), WINDOW)
             x_bytes[np.arange(WINDOW) >= keep[:, None]] = 0
-            x = net.patches(x_bytes)
-            y = (x.reshape(-1, x.shape[2]) @ net.filters).reshape(len(rows), STRIDE, f)
-            best = y.argmax(axis=1)
-            raw = np.take_along_axis(y, best[:, None, :], 1)[:, 0] + net.bias
-            h = np.maximum(raw, 0)
-            z = h @ net.dense + net.offset
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p /= len(rows)
-            dh = (p @ net.dense.T) * (raw > 0)
-            # The pool passes the gradient to one place a filter and window.
-            at = x[np.arange(len(rows))[:, None], best]
-            d_filters = np.einsum("bfk,bf->kf", at, dh) * mask
-            d_embed = np.zeros_like(net.embed)
-            back = (dh[:, :, None] * net.filters.T[None]).reshape(len(rows), f, wide, dims)
-            symbols = x_bytes[np.arange(len(rows))[:, None, None], best[:, :, None] + np.arange(wide)]
-            np.add.at(d_embed, symbols, back)
-            d_embed[0] = 0
+            _, grads = net.gradients(x_bytes, labels[rows], mask)
             step += 1
-            for w, (m, v), g in zip(weights, moments, [d_embed, d_filters, dh.sum(0), h.T @ p, p.sum(0)]):
+            for w, (m, v), g in zip(weights, moments, grads):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return net
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = 1200, windows_per_text: int = 3, lang_col: str = "lang", text_col: str = "text") -> ByteNet | None:
+def train(docs: DataFrame, may_learn: Column, per_language: int = 1200, windows_per_text: int = 3, most_languages: int = 256, lang_col: str = "lang", text_col: str = "text") -> ByteNet | None:
     """A network for the non-null languages of rows where ``may_learn``; None if there are none.
 
-    Fitted on ``windows_per_text`` windows, at places chosen by hash, of at most ``per_language`` texts a language."""
-    ids = bounded_ids(docs.where(may_learn).select("doc_id", F.col(f"`{lang_col}`").cast("string").alias("y")), per_language)
+    Fitted on ``windows_per_text`` windows, at places chosen by hash, of at most ``per_language`` texts of each of the
+    ``most_languages`` most frequent languages; others are not learned."""
+    ids = bounded_ids(docs.where(may_learn).select("doc_id", F.col(f"`{lang_col}`").cast("string").alias("y")), per_language, most_languages)
     place = F.pmod(F.xxhash64("doc_id", "i"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
     rows = (
         with_texts(docs, ids, text_col)
