@@ -214,7 +214,8 @@ def split_groups(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_groups(splits.speaker_split(manifest.with_ids(utt(spark, d))))
 
 
-@query("SELECT 0::BIGINT AS n_shared, count(DISTINCT conv_id) AS n_speakers FROM conversations")
+@query(f"""WITH s AS ({_split_sql("speaker_id", _SPEAKER, "utt_id, speaker_id")}) SELECT (SELECT count(*) FROM (SELECT speaker_id FROM s WHERE split = 'train' INTERSECT SELECT speaker_id FROM s WHERE split = 'test') q) AS n_shared,
+  count(DISTINCT speaker_id) AS n_speakers FROM s""")
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
     rows = splits.speaker_split(manifest.with_ids(utt(spark, d)))
     return splits.overlap(rows).agg(F.count("*").alias("n_shared")).crossJoin(rows.agg(F.countDistinct("speaker_id").alias("n_speakers")))
@@ -269,11 +270,17 @@ _MAP = [("place", "SELECT utt_id, pos, coalesce(CAST(sum(CASE op WHEN 0 THEN 0 W
         ("timed", "SELECT p.*, a.s AS start_time, b.e AS end_time FROM spans p JOIN times a ON a.utt_id = p.utt_id AND a.j = hyp_start JOIN times b ON b.utt_id = p.utt_id AND b.j = hyp_end")]
 
 
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """Recognitions with the planted edits as their alignment, word for word, and spans of 16 reference words."""
+    step = "CASE (conv_id * 7 + turn * 13 + a.i * 31) % (4 + conv_id % 17) WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END"
+    start = "named_struct('i', 0, 'j', 0, 'o', cast(array() as array<int>))"
+    mapped = f"aggregate(ref_words, {start}, (a, w) -> named_struct('i', a.i + 1, 'j', a.j + {step}, 'o', array_append(a.o, a.j)), a -> a.o)"
+    r = recs(spark, d).withColumns({"ref_to_hyp": F.expr(mapped), "hyp_at": F.expr("transform(word_array, (w, i) -> i)")})
+    return segments.fixed_spans(r, 16, "ref_words")
+
+
 def _timed(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of 16 reference words in time, from the planted edits instead of an alignment."""
-    r = recs(spark, d).withColumn("ref_to_hyp", F.expr("""aggregate(ref_words, named_struct('i', 0, 'j', 0, 'o', cast(array() as array<int>)), (a, w) -> named_struct('i', a.i + 1,
-      'j', a.j + CASE (conv_id * 7 + turn * 13 + a.i * 31) % (4 + conv_id % 17) WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END, 'o', array_append(a.o, a.j)), a -> a.o)"""))
-    r = segments.fixed_spans(r.withColumn("hyp_at", F.expr("transform(word_array, (w, i) -> i)")), 16, "ref_words").withColumn("s", F.explode("spans"))
+    r = _planted(spark, d).withColumn("s", F.explode("spans"))
     return segments.span_to_time(r.withColumns({"ref_start": F.col("s.ref_start"), "ref_end": F.col("s.ref_end")}))
 
 
@@ -288,6 +295,27 @@ def slice_ctc_by_time(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("utt_id", F.col("ref_start").cast("bigint").alias("ref_start"), F.col("first_frame").cast("bigint").alias("first_frame"), F.size("ctc_tokens").cast("bigint").alias("n_frames"), r6(F.aggregate("ctc_probs", F.lit(0.0), lambda a, p: a + p)).alias("prob_sum"))
 
 
+_SEGMENTS = [
+    *_MAP,
+    ("cut", """SELECT t.utt_id, ref_start, hyp_start, hyp_stop, start_time, end_time, count(*) AS n_frames, count(*) FILTER (token = '<blk>') AS blanks FROM timed t
+      JOIN frames f ON f.utt_id = t.utt_id AND (frame + 0.5::DOUBLE) * 0.04::DOUBLE >= start_time AND (frame + 0.5::DOUBLE) * 0.04::DOUBLE < end_time GROUP BY ALL"""),
+    ("said", "SELECT utt_id, pos // 16 * 16 AS ref_start, list(w ORDER BY pos) AS r FROM refs GROUP BY 1, 2"),
+    ("heard", "SELECT c.utt_id, ref_start, list(h ORDER BY j) AS h FROM cut c JOIN hyps x ON x.utt_id = c.utt_id AND j >= hyp_start AND j < hyp_stop GROUP BY 1, 2"),
+    ("dp", """SELECT utt_id, ref_start, r, coalesce(h, []) AS h, 0 AS i, range(0, len(coalesce(h, [])) + 1)::BIGINT[] AS prow FROM said LEFT JOIN heard USING (utt_id, ref_start)
+      UNION ALL SELECT utt_id, ref_start, r, h, i + 1, list_reduce(list_transform(range(1, len(h) + 1),
+        lambda k: [least(prow[k + 1] + 1, prow[k] + (CASE WHEN h[k] = r[i + 1] THEN 0 ELSE 1 END))::BIGINT]), lambda a, b: list_append(a, least(a[-1] + 1, b[1])), [(i + 1)::BIGINT]) FROM dp WHERE i < len(r)"""),
+]
+
+
+@query(sql(["times", "frames"], """SELECT utt_id, ref_start, len(r) AS reference_words, len(h) AS hypothesis_words, prow[-1] AS edit_errors, round(greatest(0.0::DOUBLE, 1 - prow[-1]::DOUBLE / len(r)), 6) AS accuracy,
+  round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, n_frames FROM dp JOIN cut USING (utt_id, ref_start) WHERE i = len(r) AND n_frames <= 80 * len(r) AND blanks > 0 AND blanks < n_frames""", True, _SEGMENTS))
+def fixed_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of 16 reference words: their times, frames, guards, words and errors, on the planted alignment."""
+    out = segments.slice_utterance(_planted(spark, d).withColumns({"ref_tokens": F.col("ref_words"), "hyp_tokens": F.col("word_array")}))
+    times = [r6(c).alias(c) for c in ("accuracy", "start_time", "end_time")]
+    return out.select("utt_id", F.col("ref_start").cast("bigint").alias("ref_start"), "reference_words", "hypothesis_words", "edit_errors", *times, F.size("ctc_tokens").cast("bigint").alias("n_frames"))
+
+
 @query(sql(["segs"], "SELECT dataset_idx, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test, count(*) AS total FROM segs GROUP BY 1"))
 def segment_counts(spark: SparkSession, d: str) -> DataFrame:
     return segments.segment_counts(segs(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fields of manifests, events and documents.
 MANIFEST = "utt_id string, audio_path string, reference string, speaker_id string, group_id string, recording_id string, video_id string, split string, filename string, text string"
 EVENT = "type string, partial_result boolean, window_idx int, ctc_tokens array<string>, ctc_probs array<double>, ctc_frame_len double, audio_duration double, word_array array<string>, word_times array<array<double>>, estimated_accuracy double, words_per_minute double, audio_length double, speech_ratio double, non_speech_ratio double, recognized_word_count double, expected_error_count double"
 EVENT = ", ".join(f"{n}: {t}" for n, t in (x.strip().split(" ", 1) for x in EVENT.split(", ")))
