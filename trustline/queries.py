@@ -68,8 +68,11 @@ RAW = """CASE WHEN turn % 3 = 0 THEN '' ELSE utt_id END AS utt_id;
  concat('vid', conv_id) AS video_id; CASE WHEN conv_id % 4 = 0 THEN concat('x/', utt_id, '.wav') END AS filename; CASE WHEN conv_id % 4 = 0 THEN reference END AS text"""
 
 
-@query(sql(["utt"], """SELECT CASE WHEN utt_id <> '' THEN utt_id ELSE regexp_extract(path, '([^/]*)\\.wav$', 1) END AS utt_id, path AS audio_path, coalesce(text, reference) AS reference, speaker_id,
-  coalesce(nullif(group_id, ''), nullif(recording_id, ''), video_id) AS group_id FROM (SELECT *, CASE WHEN filename IS NOT NULL THEN '/data/audio/' || split_part(filename, '/', 2) WHEN audio_path LIKE '/%' THEN audio_path ELSE '/data/' || audio_path END AS path FROM raw) q""", extra=[("raw", f"SELECT {RAW.replace(';', ',')} FROM utt")]))
+@query(sql(["utt"], """SELECT CASE WHEN utt_id <> '' THEN utt_id ELSE regexp_extract(path, '([^/]*)\\.wav$', 1) END AS utt_id, path AS audio_path,
+      coalesce(text, reference) AS reference, speaker_id,
+  coalesce(nullif(group_id, ''), nullif(recording_id, ''), video_id) AS group_id FROM (SELECT *,
+      CASE WHEN filename IS NOT NULL THEN '/data/audio/' || split_part(filename, '/',
+      2) WHEN audio_path LIKE '/%' THEN audio_path ELSE '/data/' || audio_path END AS path FROM raw) q""", extra=[("raw", f"SELECT {RAW.replace(';', ',')} FROM utt")]))
 def normalize_manifest(spark: SparkSession, d: str) -> DataFrame:
     raw = utt(spark, d).selectExpr(*RAW.split(";"))
     return manifest.normalize_manifest(raw, "/data").select("utt_id", "audio_path", "reference", "speaker_id", "group_id")
@@ -79,8 +82,10 @@ BAD = """CASE WHEN turn % 5 = 4 THEN concat(substr(utt_id, 1, 6), '03_000000') E
  CASE WHEN (conv_id + turn) % 7 = 0 THEN '  ' ELSE reference END AS reference; conv_id * 100 + turn AS input_order; conv_id; turn % 2 = 1 AND conv_id % 2 = 1 AS named_by_file"""
 
 
-@query(sql(["utt"], """SELECT input_order, utt_id, CASE WHEN bad IS NOT NULL THEN bad WHEN row_number() OVER (PARTITION BY utt_id, bad ORDER BY input_order) > 1 THEN 'duplicate_utt_id' END AS reason FROM (
-  SELECT *, CASE WHEN audio_path IS NULL AND NOT named_by_file THEN 'missing_audio_path' WHEN trim(reference) = '' THEN 'blank_reference' WHEN audio_path IS NULL OR conv_id % 13 = 0 THEN 'audio_not_present' END AS bad FROM raw) q""", extra=[("raw", f"SELECT {BAD.replace(';', ',')} FROM utt")]))
+@query(sql(["utt"], """SELECT input_order, utt_id, CASE WHEN bad IS NOT NULL THEN bad WHEN row_number() OVER (PARTITION BY utt_id,
+      bad ORDER BY input_order) > 1 THEN 'duplicate_utt_id' END AS reason FROM (
+  SELECT *,
+      CASE WHEN audio_path IS NULL AND NOT named_by_file THEN 'missing_audio_path' WHEN trim(reference) = '' THEN 'blank_reference' WHEN audio_path IS NULL OR conv_id % 13 = 0 THEN 'audio_not_present' END AS bad FROM raw) q""", extra=[("raw", f"SELECT {BAD.replace(';', ',')} FROM utt")]))
 def validate_manifest(spark: SparkSession, d: str) -> DataFrame:
     raw = utt(spark, d).selectExpr(*BAD.split(";"))
     return manifest.rejected_manifest(raw, utt(spark, d).where("conv_id % 13 <> 0").select("audio_path")).select("input_order", "utt_id", "reason")
@@ -97,8 +102,10 @@ def limit_rows(spark: SparkSession, d: str) -> DataFrame:
     return manifest.limit_rows(utt(spark, d).withColumn("input_order", F.expr("conv_id * 100 + turn")), 50).select("utt_id", "dataset_idx")
 
 
-@query(sql(["utt"], """SELECT CASE WHEN min(ds) OVER (PARTITION BY utt_id) < ds THEN utt_id || '_ds' || ds ELSE utt_id END AS utt_id, CAST(ds AS INTEGER) AS dataset_idx, audio_path FROM (
-  SELECT utt_id, audio_path, 0 AS ds FROM utt WHERE conv_id % 2 = 0 UNION ALL SELECT utt_id, audio_path, 1 FROM utt WHERE conv_id % 2 = 1 OR conv_id % 10 = 0) q"""))
+@query(sql(["utt"], """SELECT CASE WHEN min(ds) OVER (PARTITION BY utt_id) < ds THEN utt_id || '_ds' || ds ELSE utt_id END AS utt_id,
+      CAST(ds AS INTEGER) AS dataset_idx, audio_path FROM (
+  SELECT utt_id, audio_path, 0 AS ds FROM utt WHERE conv_id % 2 = 0 UNION ALL SELECT utt_id, audio_path,
+      1 FROM utt WHERE conv_id % 2 = 1 OR conv_id % 10 = 0) q"""))
 def combine_datasets(spark: SparkSession, d: str) -> DataFrame:
     rows = utt(spark, d).select("utt_id", "audio_path", "conv_id")
     return manifest.combine_datasets([rows.where("conv_id % 2 = 0"), rows.where("conv_id % 2 = 1 OR conv_id % 10 = 0")]).select("utt_id", "dataset_idx", "audio_path")
@@ -110,8 +117,10 @@ def expand_snr(spark: SparkSession, d: str) -> DataFrame:
     return manifest.expand_snr(utt(spark, d), [5.0, 10.0, 2.5]).select("utt_id", "group_id", "speaker_id", "snr", "original_utt_id")
 
 
-@query(sql(["utt"], """SELECT utt_id, coalesce(speaker_id, lpad(nullif(regexp_extract(utt_id, '(^|[^0-9])([0-9]{4,5})([^0-9]|$)', 2), ''), 5, '0')) AS speaker_id,
-  coalesce(group_id, nullif(regexp_extract(utt_id, '^([0-9]{5}_[A-Z]_[0-9]{3})_', 1), ''), nullif(regexp_extract(utt_id, '^([0-9]{5}_[0-9]{2})_', 1), ''), utt_id) AS group_id FROM utt"""))
+@query(sql(["utt"], """SELECT utt_id, coalesce(speaker_id, lpad(nullif(regexp_extract(utt_id, '(^|[^0-9])([0-9]{4,5})([^0-9]|$)', 2), ''), 5,
+      '0')) AS speaker_id,
+  coalesce(group_id, nullif(regexp_extract(utt_id, '^([0-9]{5}_[A-Z]_[0-9]{3})_', 1), ''), nullif(regexp_extract(utt_id, '^([0-9]{5}_[0-9]{2})_', 1),
+      ''), utt_id) AS group_id FROM utt"""))
 def derive_ids(spark: SparkSession, d: str) -> DataFrame:
     return manifest.with_ids(utt(spark, d)).select("utt_id", "speaker_id", "group_id")
 
@@ -123,7 +132,8 @@ def final_recognition(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n_words > 0")
 
 
-@query(sql(["utt", "refs"], """SELECT utt_id, CASE (conv_id + turn) % 8 WHEN 0 THEN 'no_final_result' WHEN 1 THEN 'ctc_missing' WHEN 2 THEN 'ctc_lengths_differ' WHEN 3 THEN 'words_missing' WHEN 4 THEN 'word_lengths_differ' WHEN 6 THEN 'result_not_a_list' END AS reason,
+@query(sql(["utt", "refs"], """SELECT utt_id, CASE (conv_id + turn) % 8 WHEN 0 THEN 'no_final_result' WHEN 1 THEN 'ctc_missing'
+      WHEN 2 THEN 'ctc_lengths_differ' WHEN 3 THEN 'words_missing' WHEN 4 THEN 'word_lengths_differ' WHEN 6 THEN 'result_not_a_list' END AS reason,
   (conv_id + turn) % 8 = 5 AS frame_warning FROM utt WHERE utt_id IN (SELECT utt_id FROM refs WHERE op <> 0)"""))
 def validate_recognition(spark: SparkSession, d: str) -> DataFrame:
     docs = fixtures.documents_of(recs(spark, d).where("size(word_array) > 0")).withColumn("k", F.expr("(conv_id + turn) % 8"))
@@ -153,7 +163,8 @@ def pending_recognitions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(["utt"], """SELECT file, window_idx, coalesce(s_acc, acc) AS estimated_accuracy, coalesce(s_wpm, wpm) AS words_per_minute FROM (
   SELECT conv_id AS file, turn AS window_idx, round(0.5::DOUBLE + (conv_id % 10) / 100.0::DOUBLE, 6) AS acc, 120.0::DOUBLE AS wpm,
-    CASE WHEN (conv_id + turn) % 4 <> 0 AND turn % 3 <> 1 THEN round(0.9::DOUBLE - (turn % 7) / 100.0::DOUBLE, 6) END AS s_acc, CASE WHEN turn % 3 <> 1 THEN 100.0::DOUBLE + turn END AS s_wpm FROM utt) q"""))
+    CASE WHEN (conv_id + turn) % 4 <> 0 AND turn % 3 <> 1 THEN round(0.9::DOUBLE - (turn % 7) / 100.0::DOUBLE, 6) END AS s_acc, CASE
+      WHEN turn % 3 <> 1 THEN 100.0::DOUBLE + turn END AS s_wpm FROM utt) q"""))
 def merge_server_accuracy(spark: SparkSession, d: str) -> DataFrame:
     u = utt(spark, d)
     rows = u.select(F.col("conv_id").alias("file"), F.col("turn").alias("window_idx"), F.expr("round(0.5D + (conv_id % 10) / 100.0D, 6)").alias("estimated_accuracy"), F.lit(120.0).alias("words_per_minute"))
@@ -189,7 +200,8 @@ _SPEAKER = "coalesce(speaker_id, lpad(CAST(conv_id AS VARCHAR), 5, '0'))"
 
 def _split_sql(key: str, expr: str, rest: str) -> str:
     return sql(["utt"], f"""SELECT {rest}, k.split FROM keyed JOIN (
-      SELECT {key}, CASE WHEN row_number() OVER (ORDER BY sha256('13:' || {key}), {key}) <= greatest(1, least(n - 1, CAST(round_even(0.8 * n, 0) AS BIGINT))) THEN 'train' ELSE 'test' END AS split
+      SELECT {key}, CASE WHEN row_number() OVER (ORDER BY sha256('13:' || {key}), {key}) <= greatest(1, least(n - 1, CAST(round_even(0.8 * n,
+      0) AS BIGINT))) THEN 'train' ELSE 'test' END AS split
       FROM (SELECT *, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM keyed)) q) k USING ({key})""", extra=[("keyed", f"SELECT * EXCLUDE (speaker_id), {expr} AS speaker_id FROM utt")])
 
 
@@ -214,7 +226,8 @@ def split_groups(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_groups(splits.speaker_split(manifest.with_ids(utt(spark, d))))
 
 
-@query(f"""WITH s AS ({_split_sql("speaker_id", _SPEAKER, "utt_id, speaker_id")}) SELECT (SELECT count(*) FROM (SELECT speaker_id FROM s WHERE split = 'train' INTERSECT SELECT speaker_id FROM s WHERE split = 'test') q) AS n_shared,
+@query(f"""WITH s AS ({_split_sql("speaker_id", _SPEAKER, "utt_id, speaker_id")}) SELECT (SELECT count(*) FROM (SELECT speaker_id FROM s
+      WHERE split = 'train' INTERSECT SELECT speaker_id FROM s WHERE split = 'test') q) AS n_shared,
   count(DISTINCT speaker_id) AS n_speakers FROM s""")
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
     rows = splits.speaker_split(manifest.with_ids(utt(spark, d)))
@@ -228,9 +241,11 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = [
-    ("pr", """SELECT utt_id, dataset_idx, toks AS r, coalesce(h, []) AS h FROM tokens LEFT JOIN (SELECT utt_id, regexp_extract_all(lower(string_agg(h, ' ' ORDER BY j)), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)?') AS h FROM hyps GROUP BY 1) q USING (utt_id) WHERE len(toks) > 0"""),
+    ("pr", """SELECT utt_id, dataset_idx, toks AS r, coalesce(h, []) AS h FROM tokens LEFT JOIN (SELECT utt_id, regexp_extract_all(lower(string_agg(h,
+      ' ' ORDER BY j)), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)?') AS h FROM hyps GROUP BY 1) q USING (utt_id) WHERE len(toks) > 0"""),
     ("dp", """SELECT utt_id, r, h, 0 AS i, range(0, len(h) + 1)::BIGINT[] AS prow FROM pr UNION ALL SELECT utt_id, r, h, i + 1,
-      list_reduce(list_transform(range(1, len(h) + 1), lambda k: [least(prow[k + 1] + 1, prow[k] + (CASE WHEN h[k] = r[i + 1] THEN 0 ELSE 1 END))::BIGINT]), lambda a, b: list_append(a, least(a[-1] + 1, b[1])), [(i + 1)::BIGINT])
+      list_reduce(list_transform(range(1, len(h) + 1), lambda k: [least(prow[k + 1] + 1, prow[k] + (CASE
+      WHEN h[k] = r[i + 1] THEN 0 ELSE 1 END))::BIGINT]), lambda a, b: list_append(a, least(a[-1] + 1, b[1])), [(i + 1)::BIGINT])
       FROM dp WHERE i < len(r)"""),
     ("um", "SELECT utt_id, len(r) AS reference_words, len(h) AS hypothesis_words, prow[-1] AS edit_errors FROM dp WHERE i = len(r)"),
 ]
@@ -241,7 +256,8 @@ def utterance_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.utterance_metrics(recs(spark, d)).select("utt_id", "reference_words", "hypothesis_words", "edit_errors", r6("accuracy").alias("accuracy"))
 
 
-@query(sql(["tokens", "hyps"], """SELECT dataset_idx, CASE WHEN turn % 5 = 4 THEN 'test' ELSE 'train' END AS split, round(greatest(0.0::DOUBLE, 1 - sum(edit_errors)::DOUBLE / sum(reference_words)), 6) AS accuracy, count(*) AS n_utterances
+@query(sql(["tokens", "hyps"], """SELECT dataset_idx, CASE WHEN turn % 5 = 4 THEN 'test' ELSE 'train' END AS split, round(greatest(0.0::DOUBLE,
+      1 - sum(edit_errors)::DOUBLE / sum(reference_words)), 6) AS accuracy, count(*) AS n_utterances
   FROM um JOIN utt USING (utt_id) GROUP BY 1, 2""", True, _PAIRS))
 def overall_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = metrics.utterance_metrics(recs(spark, d).withColumn("split", F.expr("CASE WHEN turn % 5 = 4 THEN 'test' ELSE 'train' END")))
@@ -265,7 +281,8 @@ def seed_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MAP = [("place", "SELECT utt_id, pos, coalesce(CAST(sum(CASE op WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END) OVER (PARTITION BY utt_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS j FROM refs"),
-        ("spans", """SELECT utt_id, pos // 16 * 16 AS ref_start, greatest(0, least(min(j), n - 1)) AS hyp_start, max(j) + 1 AS hyp_stop, greatest(0, least(max(j), n - 1)) AS hyp_end
+        ("spans", """SELECT utt_id, pos // 16 * 16 AS ref_start, greatest(0, least(min(j), n - 1)) AS hyp_start, max(j) + 1 AS hyp_stop, greatest(0,
+      least(max(j), n - 1)) AS hyp_end
           FROM place JOIN (SELECT utt_id, count(*) AS n FROM hyps GROUP BY 1) c USING (utt_id) GROUP BY utt_id, 2, n"""),
         ("timed", "SELECT p.*, a.s AS start_time, b.e AS end_time FROM spans p JOIN times a ON a.utt_id = p.utt_id AND a.j = hyp_start JOIN times b ON b.utt_id = p.utt_id AND b.j = hyp_end")]
 
@@ -301,14 +318,18 @@ _SEGMENTS = [
       JOIN frames f ON f.utt_id = t.utt_id AND (frame + 0.5::DOUBLE) * 0.04::DOUBLE >= start_time AND (frame + 0.5::DOUBLE) * 0.04::DOUBLE < end_time GROUP BY ALL"""),
     ("said", "SELECT utt_id, pos // 16 * 16 AS ref_start, list(w ORDER BY pos) AS r FROM refs GROUP BY 1, 2"),
     ("heard", "SELECT c.utt_id, ref_start, list(h ORDER BY j) AS h FROM cut c JOIN hyps x ON x.utt_id = c.utt_id AND j >= hyp_start AND j < hyp_stop GROUP BY 1, 2"),
-    ("dp", """SELECT utt_id, ref_start, r, coalesce(h, []) AS h, 0 AS i, range(0, len(coalesce(h, [])) + 1)::BIGINT[] AS prow FROM said LEFT JOIN heard USING (utt_id, ref_start)
+    ("dp", """SELECT utt_id, ref_start, r, coalesce(h, []) AS h, 0 AS i, range(0, len(coalesce(h, [])) + 1)::BIGINT[] AS prow FROM said LEFT
+      JOIN heard USING (utt_id, ref_start)
       UNION ALL SELECT utt_id, ref_start, r, h, i + 1, list_reduce(list_transform(range(1, len(h) + 1),
-        lambda k: [least(prow[k + 1] + 1, prow[k] + (CASE WHEN h[k] = r[i + 1] THEN 0 ELSE 1 END))::BIGINT]), lambda a, b: list_append(a, least(a[-1] + 1, b[1])), [(i + 1)::BIGINT]) FROM dp WHERE i < len(r)"""),
+        lambda k: [least(prow[k + 1] + 1, prow[k] + (CASE WHEN h[k] = r[i + 1] THEN 0 ELSE 1 END))::BIGINT]), lambda a, b: list_append(a,
+      least(a[-1] + 1, b[1])), [(i + 1)::BIGINT]) FROM dp WHERE i < len(r)"""),
 ]
 
 
-@query(sql(["times", "frames"], """SELECT utt_id, ref_start, len(r) AS reference_words, len(h) AS hypothesis_words, prow[-1] AS edit_errors, round(greatest(0.0::DOUBLE, 1 - prow[-1]::DOUBLE / len(r)), 6) AS accuracy,
-  round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, n_frames FROM dp JOIN cut USING (utt_id, ref_start) WHERE i = len(r) AND n_frames <= 80 * len(r) AND blanks > 0 AND blanks < n_frames""", True, _SEGMENTS))
+@query(sql(["times", "frames"], """SELECT utt_id, ref_start, len(r) AS reference_words, len(h) AS hypothesis_words, prow[-1] AS edit_errors,
+      round(greatest(0.0::DOUBLE, 1 - prow[-1]::DOUBLE / len(r)), 6) AS accuracy,
+  round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, n_frames FROM dp JOIN cut USING (utt_id,
+      ref_start) WHERE i = len(r) AND n_frames <= 80 * len(r) AND blanks > 0 AND blanks < n_frames""", True, _SEGMENTS))
 def fixed_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of 16 reference words: their times, frames, guards, words and errors, on the planted alignment."""
     out = segments.slice_utterance(_planted(spark, d).withColumns({"ref_tokens": F.col("ref_words"), "hyp_tokens": F.col("word_array")}))
@@ -345,7 +366,8 @@ _DRAWS = _RANKED + [
     ("st", "SELECT *, CASE WHEN m >= 10 THEN pool * m // 10 ELSE pool END AS f, (CASE WHEN m >= 10 THEN (pool + 1) * m // 10 ELSE pool + 1 END) - (CASE WHEN m >= 10 THEN pool * m // 10 ELSE pool END) AS z FROM pl"),
     ("dr", f"SELECT *, CAST(floor(u2 * (m - z)) AS BIGINT) AS o FROM (SELECT *, {_u('kind', 'draw')} AS u1, {_u('rank', 'draw')} AS u2 FROM st, unnest(range(0, 13)) AS t(draw)) q"),
     ("rd", "SELECT split, sample_id, draw, target, CASE WHEN u1 < 0.75 OR pools = 1 THEN f + CAST(floor(u2 * z) AS BIGINT) WHEN o < f THEN o ELSE o + z END AS rank FROM dr"),
-    ("dw", """SELECT * FROM (SELECT rd.*, segment_id, reference_words, edit_errors, coalesce(CAST(sum(reference_words) OVER (PARTITION BY rd.split, sample_id ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS words_before
+    ("dw", """SELECT * FROM (SELECT rd.*, segment_id, reference_words, edit_errors, coalesce(CAST(sum(reference_words) OVER (PARTITION BY rd.split,
+      sample_id ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS words_before
       FROM rd JOIN rk ON rk.split = rd.split AND rk.rank = rd.rank) q WHERE words_before < target OR draw < 2"""),
 ]
 
@@ -368,7 +390,8 @@ def dataset_test_draws(spark: SparkSession, d: str) -> DataFrame:
     return out.select("dataset_idx", "sample_id", F.col("draw").cast("bigint").alias("draw"), "target", "words_before", "rank", "segment_id")
 
 
-@query(sql(["segs", "frames"], """SELECT dw.split, sample_id, count(DISTINCT draw) AS n_segments, md5(string_agg(token, '|' ORDER BY draw, frame)) AS tokens_md5, count(*) AS n_frames FROM dw
+@query(sql(["segs", "frames"], """SELECT dw.split, sample_id, count(DISTINCT draw) AS n_segments, md5(string_agg(token, '|' ORDER BY draw,
+      frame)) AS tokens_md5, count(*) AS n_frames FROM dw
   JOIN segs USING (segment_id) JOIN frames ON frames.utt_id = segs.utt_id AND frame >= blk * 10 AND frame < blk * 10 + 10 GROUP BY 1, 2""", extra=_DRAWS))
 def gather_draws(spark: SparkSession, d: str) -> DataFrame:
     return _gathered(spark, d).select("split", "sample_id", "n_segments", F.md5(F.array_join("ctc_tokens", "|").cast("binary")).alias("tokens_md5"), F.size("ctc_tokens").cast("bigint").alias("n_frames"))
@@ -387,9 +410,11 @@ def ensemble_targets(spark: SparkSession, d: str) -> DataFrame:
 
 _RUNS = [("rl", """SELECT utt_id, run, b, count(*) AS len FROM (SELECT *, sum(c) OVER (PARTITION BY utt_id ORDER BY frame) AS run FROM (
   SELECT *, CASE WHEN b <> lag(b) OVER (PARTITION BY utt_id ORDER BY frame) THEN 1 ELSE 0 END AS c FROM clipped) q) q GROUP BY 1, 2, 3""")]
-_WORDS = [("wd", """SELECT utt_id, word, avg(p) AS p FROM (SELECT *, sum(CASE WHEN contains(token, '▁') OR contains(token, ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY utt_id ORDER BY place) AS word FROM (
+_WORDS = [("wd", """SELECT utt_id, word, avg(p) AS p FROM (SELECT *, sum(CASE WHEN contains(token, '▁') OR contains(token,
+      ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY utt_id ORDER BY place) AS word FROM (
   SELECT utt_id, place, first(token) AS token, max(p) AS p FROM (SELECT *, sum(c) OVER (PARTITION BY utt_id ORDER BY frame) AS place FROM (
-    SELECT *, CASE WHEN token <> lag(token) OVER (PARTITION BY utt_id ORDER BY frame) THEN 1 ELSE 0 END AS c FROM clipped) q) q GROUP BY 1, 2) q WHERE token <> '<blk>') q GROUP BY 1, 2""")]
+    SELECT *, CASE WHEN token <> lag(token) OVER (PARTITION BY utt_id ORDER BY frame) THEN 1 ELSE 0 END AS c FROM clipped) q) q GROUP BY 1,
+      2) q WHERE token <> '<blk>') q GROUP BY 1, 2""")]
 
 
 def _exploded(spark: SparkSession, d: str) -> DataFrame:
@@ -411,15 +436,25 @@ def _nearest(where: str, q: float) -> str:
 
 
 _B, _N = "b", "NOT b"
-_FEATURES = sql(["clipped"], f"""SELECT utt_id, round(b_mean / n, 6) AS ctc_blank_mean_run_fraction, round(eg, 6) AS ctc_nonblank_error_geom_mean, round(nn::DOUBLE / greatest(1, nb), 6) AS ctc_nonblank_to_blank_ratio, round(b40, 6) AS ctc_blank_p040,
-  round(n_mean / n, 6) AS ctc_nonblank_mean_run_fraction, round(nn / inv, 6) AS ctc_nonblank_harmonic_mean, round(b100 - b0, 6) AS ctc_blank_range, round(n1, 6) AS ctc_nonblank_p001, round(b_std / b_mean, 6) AS ctc_blank_run_len_cv,
-  round(ln((nb + 1.0::DOUBLE) / (nn + 1)), 6) AS ctc_blank_log_ratio, round(em + 1e-9, 6) AS ctc_nonblank_error_mean, round(b30, 6) AS ctc_blank_p030, round(n70, 6) AS ctc_nonblank_p070, round(gm, 6) AS ctc_nonblank_geom_mean, round(lt50, 6) AS ctc_nonblank_frac_lt_50,
-  round(n_le2, 6) AS ctc_nonblank_short_run_fraction, round(b0, 6) AS ctc_blank_p000, round(b_le2, 6) AS ctc_blank_short_run_fraction, round(nl50, 6) AS ctc_blank_neglog_error_p50, round(b_max / n, 6) AS ctc_blank_max_run_fraction, n::DOUBLE AS ctc_token_count,
-  round(ps, 6) AS ctc_prob_sum, words::DOUBLE AS ctc_word_count, round(wsum, 6) AS ctc_word_prob_sum, round(words / (greatest(hi - lo, 1) * 0.04::DOUBLE / 60), 6) AS ctc_wpm
-  FROM (SELECT utt_id, count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS nn, sum(raw) AS ps, {_nearest(_B, 0)} AS b0, {_nearest(_B, 30)} AS b30, {_nearest(_B, 40)} AS b40, {_nearest(_B, 100)} AS b100, {_nearest(_N, 1)} AS n1, {_nearest(_N, 70)} AS n70,
-    exp(avg(ln(p)) FILTER (NOT b)) AS gm, avg(1 - p) FILTER (NOT b) AS em, sum(1 / p) FILTER (NOT b) AS inv, exp(avg(ln(greatest(1e-9, 1 - p))) FILTER (NOT b)) AS eg, avg(CASE WHEN p < 0.5 THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT b) AS lt50,
-    quantile_cont(-ln(greatest(1e-9, 1 - p)), 0.5) FILTER (b) AS nl50, min(frame) FILTER (NOT b) AS lo, max(frame) FILTER (NOT b) AS hi FROM clipped GROUP BY 1) a
-  JOIN (SELECT utt_id, avg(len) FILTER (b) AS b_mean, avg(len) FILTER (NOT b) AS n_mean, max(len) FILTER (b) AS b_max, stddev_pop(len) FILTER (b) AS b_std, avg(CASE WHEN len <= 2 THEN 1.0::DOUBLE ELSE 0 END) FILTER (b) AS b_le2, avg(CASE WHEN len <= 2 THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT b) AS n_le2 FROM rl GROUP BY 1) r USING (utt_id)
+_FEATURES = sql(["clipped"], f"""SELECT utt_id, round(b_mean / n, 6) AS ctc_blank_mean_run_fraction, round(eg, 6) AS ctc_nonblank_error_geom_mean,
+      round(nn::DOUBLE / greatest(1, nb), 6) AS ctc_nonblank_to_blank_ratio, round(b40, 6) AS ctc_blank_p040,
+  round(n_mean / n, 6) AS ctc_nonblank_mean_run_fraction, round(nn / inv, 6) AS ctc_nonblank_harmonic_mean, round(b100 - b0, 6) AS ctc_blank_range,
+      round(n1, 6) AS ctc_nonblank_p001, round(b_std / b_mean, 6) AS ctc_blank_run_len_cv,
+  round(ln((nb + 1.0::DOUBLE) / (nn + 1)), 6) AS ctc_blank_log_ratio, round(em + 1e-9, 6) AS ctc_nonblank_error_mean, round(b30, 6) AS ctc_blank_p030,
+      round(n70, 6) AS ctc_nonblank_p070, round(gm, 6) AS ctc_nonblank_geom_mean, round(lt50, 6) AS ctc_nonblank_frac_lt_50,
+  round(n_le2, 6) AS ctc_nonblank_short_run_fraction, round(b0, 6) AS ctc_blank_p000, round(b_le2, 6) AS ctc_blank_short_run_fraction, round(nl50,
+      6) AS ctc_blank_neglog_error_p50, round(b_max / n, 6) AS ctc_blank_max_run_fraction, n::DOUBLE AS ctc_token_count,
+  round(ps, 6) AS ctc_prob_sum, words::DOUBLE AS ctc_word_count, round(wsum, 6) AS ctc_word_prob_sum, round(words / (greatest(hi - lo,
+      1) * 0.04::DOUBLE / 60), 6) AS ctc_wpm
+  FROM (SELECT utt_id, count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS nn, sum(raw) AS ps, {_nearest(_B, 0)} AS b0,
+      {_nearest(_B, 30)} AS b30, {_nearest(_B, 40)} AS b40, {_nearest(_B, 100)} AS b100, {_nearest(_N, 1)} AS n1, {_nearest(_N, 70)} AS n70,
+    exp(avg(ln(p)) FILTER (NOT b)) AS gm, avg(1 - p) FILTER (NOT b) AS em, sum(1 / p) FILTER (NOT b) AS inv, exp(avg(ln(greatest(1e-9,
+      1 - p))) FILTER (NOT b)) AS eg, avg(CASE WHEN p < 0.5 THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT b) AS lt50,
+    quantile_cont(-ln(greatest(1e-9, 1 - p)), 0.5) FILTER (b) AS nl50, min(frame) FILTER (NOT b) AS lo,
+      max(frame) FILTER (NOT b) AS hi FROM clipped GROUP BY 1) a
+  JOIN (SELECT utt_id, avg(len) FILTER (b) AS b_mean, avg(len) FILTER (NOT b) AS n_mean, max(len) FILTER (b) AS b_max,
+      stddev_pop(len) FILTER (b) AS b_std, avg(CASE WHEN len <= 2 THEN 1.0::DOUBLE ELSE 0 END) FILTER (b) AS b_le2,
+      avg(CASE WHEN len <= 2 THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT b) AS n_le2 FROM rl GROUP BY 1) r USING (utt_id)
   JOIN (SELECT utt_id, count(*) AS words, sum(p) AS wsum FROM wd GROUP BY 1) w USING (utt_id)""", extra=_RUNS + _WORDS)
 
 
@@ -454,10 +489,13 @@ def _full_sql() -> str:
     below = ", ".join(f"avg(CASE WHEN p < {t / 100} THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT b) AS lt{t}" for t in range(10, 100, 10))
     short = ", ".join(f"avg(CASE WHEN len <= {i} THEN 1.0::DOUBLE ELSE 0 END) FILTER ({c}) AS {k}_le{i}" for k, c in (("b", "b"), ("n", "NOT b")) for i in range(1, 6))
     return sql(["clipped"], f"""SELECT utt_id, {", ".join(f"round({made[f]}, 6) AS {f}" for f in features.FULL)} FROM (
-      SELECT utt_id, count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS nn, sum(raw) AS ps, list_sort(list(p) FILTER (b)) AS sb, list_sort(list(p) FILTER (NOT b)) AS sn, exp(avg(ln(p)) FILTER (NOT b)) AS gm,
+      SELECT utt_id, count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS nn, sum(raw) AS ps, list_sort(list(p) FILTER (b)) AS sb,
+      list_sort(list(p) FILTER (NOT b)) AS sn, exp(avg(ln(p)) FILTER (NOT b)) AS gm,
         avg(1 - p) FILTER (NOT b) AS em, sum(1 / p) FILTER (NOT b) AS inv, exp(avg(ln(greatest(1e-9, 1 - p))) FILTER (NOT b)) AS eg, {below},
-        quantile_cont(-ln(greatest(1e-9, 1 - p)), [{", ".join(str(q / 100) for q in features.DECILES)}]) FILTER (b) AS nl, min(frame) FILTER (NOT b) AS lo, max(frame) FILTER (NOT b) AS hi FROM clipped GROUP BY 1) a
-      JOIN (SELECT utt_id, avg(len) FILTER (b) AS b_mean, avg(len) FILTER (NOT b) AS n_mean, max(len) FILTER (b) AS b_max, stddev_pop(len) FILTER (b) AS b_std, {short} FROM rl GROUP BY 1) r USING (utt_id)
+        quantile_cont(-ln(greatest(1e-9, 1 - p)), [{", ".join(str(q / 100) for q in features.DECILES)}]) FILTER (b) AS nl,
+      min(frame) FILTER (NOT b) AS lo, max(frame) FILTER (NOT b) AS hi FROM clipped GROUP BY 1) a
+      JOIN (SELECT utt_id, avg(len) FILTER (b) AS b_mean, avg(len) FILTER (NOT b) AS n_mean, max(len) FILTER (b) AS b_max,
+      stddev_pop(len) FILTER (b) AS b_std, {short} FROM rl GROUP BY 1) r USING (utt_id)
       JOIN (SELECT utt_id, count(*) AS words, sum(p) AS wsum FROM wd GROUP BY 1) w USING (utt_id)""", extra=_RUNS + _WORDS)
 
 
@@ -471,7 +509,9 @@ def ctc_features_full_sql(spark: SparkSession, d: str) -> DataFrame:
     return features.ctc_features_sql(recs(spark, d), "utt_id", full=True).select("utt_id", *_rounded(features.FULL))
 
 
-@query(sql(["clipped"], f"""SELECT utt_id, round({_nearest(_B, 25)}, 6) AS blank_p25, round({_nearest(_N, 75)}, 6) AS nonblank_p75, round(quantile_cont(p, 0.25) FILTER (b), 6) AS blank_linear_p25, round((greatest(max(frame) FILTER (NOT b) - min(frame) FILTER (NOT b), 1)) * 0.04::DOUBLE, 6) AS speech_seconds
+@query(sql(["clipped"], f"""SELECT utt_id, round({_nearest(_B, 25)}, 6) AS blank_p25, round({_nearest(_N, 75)}, 6) AS nonblank_p75,
+      round(quantile_cont(p, 0.25) FILTER (b), 6) AS blank_linear_p25, round((greatest(max(frame) FILTER (NOT b) - min(frame) FILTER (NOT b),
+      1)) * 0.04::DOUBLE, 6) AS speech_seconds
   FROM clipped GROUP BY 1"""))
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
     f = _exploded(spark, d)
@@ -482,8 +522,10 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 _CHUNKS = [
     ("ch", "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY utt_id, blk) AS i, count(*) OVER (PARTITION BY conv_id) AS total FROM segs"),
-    ("pk", """SELECT conv_id, segment_id, i, total, 0 AS w, CASE WHEN hypothesis_words >= 64 THEN 1 ELSE 0 END AS nw, CASE WHEN hypothesis_words >= 64 THEN 0 ELSE hypothesis_words END AS n FROM ch WHERE i = 1
-      UNION ALL SELECT ch.conv_id, ch.segment_id, ch.i, ch.total, pk.nw, pk.nw + CASE WHEN pk.n + hypothesis_words >= 64 THEN 1 ELSE 0 END, CASE WHEN pk.n + hypothesis_words >= 64 THEN 0 ELSE pk.n + hypothesis_words END
+    ("pk", """SELECT conv_id, segment_id, i, total, 0 AS w, CASE WHEN hypothesis_words >= 64 THEN 1 ELSE 0 END AS nw, CASE
+      WHEN hypothesis_words >= 64 THEN 0 ELSE hypothesis_words END AS n FROM ch WHERE i = 1
+      UNION ALL SELECT ch.conv_id, ch.segment_id, ch.i, ch.total, pk.nw, pk.nw + CASE WHEN pk.n + hypothesis_words >= 64 THEN 1 ELSE 0 END,
+      CASE WHEN pk.n + hypothesis_words >= 64 THEN 0 ELSE pk.n + hypothesis_words END
       FROM pk JOIN ch ON ch.conv_id = pk.conv_id AND ch.i = pk.i + 1"""),
     ("win", "SELECT a.segment_id, a.w AS window_idx FROM pk a JOIN pk z ON z.conv_id = a.conv_id AND z.i = z.total WHERE a.w < z.nw OR z.n >= 10"),
 ]
@@ -499,8 +541,10 @@ def pack_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TARGETS = _CHUNKS + [
-    ("wt", """SELECT conv_id, window_idx, CAST(sum(edit_errors) AS BIGINT) AS edit_errors, CAST(sum(reference_words) AS BIGINT) AS ref_words, CAST(sum(hypothesis_words) AS BIGINT) AS hyp_words, count(*) OVER (PARTITION BY conv_id) AS n_windows,
-      greatest(0.0::DOUBLE, 1 - sum(edit_errors)::DOUBLE / sum(reference_words)) AS accuracy, sum(estimated_accuracy * reference_words) / sum(reference_words) AS est FROM win JOIN ests USING (segment_id) GROUP BY 1, 2"""),
+    ("wt", """SELECT conv_id, window_idx, CAST(sum(edit_errors) AS BIGINT) AS edit_errors, CAST(sum(reference_words) AS BIGINT) AS ref_words,
+      CAST(sum(hypothesis_words) AS BIGINT) AS hyp_words, count(*) OVER (PARTITION BY conv_id) AS n_windows,
+      greatest(0.0::DOUBLE, 1 - sum(edit_errors)::DOUBLE / sum(reference_words)) AS accuracy,
+      sum(estimated_accuracy * reference_words) / sum(reference_words) AS est FROM win JOIN ests USING (segment_id) GROUP BY 1, 2"""),
 ]
 
 
@@ -515,24 +559,31 @@ def _window_estimates(spark: SparkSession, d: str) -> DataFrame:
     return windows.window_targets(w, "conv_id").join(est, ["conv_id", "window_idx"])
 
 
-@query(sql(["ests"], """SELECT conv_id, round(sum(hyp_words * accuracy) / sum(hyp_words), 6) AS accuracy, round(sum(hyp_words * est) / sum(hyp_words), 6) AS estimated_accuracy, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(hyp_words) AS BIGINT) AS hyp_words, max(n_windows) AS n_windows,
-  round(sum(hyp_words * accuracy) / sum(hyp_words) - sum(hyp_words * est) / sum(hyp_words), 6) AS residual FROM wt GROUP BY 1 HAVING sum(hyp_words) > 0""", True, _TARGETS))
+@query(sql(["ests"], """SELECT conv_id, round(sum(hyp_words * accuracy) / sum(hyp_words), 6) AS accuracy, round(sum(hyp_words * est) / sum(hyp_words),
+      6) AS estimated_accuracy, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(hyp_words) AS BIGINT) AS hyp_words, max(n_windows) AS n_windows,
+  round(sum(hyp_words * accuracy) / sum(hyp_words) - sum(hyp_words * est) / sum(hyp_words),
+      6) AS residual FROM wt GROUP BY 1 HAVING sum(hyp_words) > 0""", True, _TARGETS))
 def aggregate_windows(spark: SparkSession, d: str) -> DataFrame:
     out = windows.aggregate_windows(_window_estimates(spark, d), "conv_id")
     return out.select("conv_id", r6("accuracy").alias("accuracy"), r6("estimated_accuracy").alias("estimated_accuracy"), "ref_words", "hyp_words", "n_windows", r6("residual").alias("residual"))
 
 
-@query(sql(["hyps", "times"], """SELECT c.utt_id AS file, w AS window_idx, w * 64 AS start_word, least(64, n - w * 64) AS word_count, round(a.s, 6) AS start_time, round(z.e, 6) AS end_time FROM (SELECT utt_id, count(*) AS n FROM hyps GROUP BY 1) c, unnest(range(0, (n + 63) // 64)) AS t(w)
+@query(sql(["hyps", "times"], """SELECT c.utt_id AS file, w AS window_idx, w * 64 AS start_word, least(64, n - w * 64) AS word_count, round(a.s,
+      6) AS start_time, round(z.e, 6) AS end_time FROM (SELECT utt_id, count(*) AS n FROM hyps GROUP BY 1) c, unnest(range(0, (n + 63) // 64)) AS t(w)
   JOIN times a ON a.utt_id = c.utt_id AND a.j = w * 64 JOIN times z ON z.utt_id = c.utt_id AND z.j = least(w * 64 + 64, n) - 1"""))
 def word_windows(spark: SparkSession, d: str) -> DataFrame:
     out = windows.word_windows(recs(spark, d).withColumnRenamed("utt_id", "file"), 64)
     return out.select("file", *[F.col(c).cast("bigint").alias(c) for c in ("window_idx", "start_word", "word_count")], r6("start_time").alias("start_time"), r6("end_time").alias("end_time"))
 
 
-@query(sql(["times"], """SELECT utt_id, round(coalesce(c, 0), 6) AS covered, round(least(1, coalesce(c, 0) / 9), 6) AS ratio FROM (SELECT DISTINCT utt_id FROM times) u LEFT JOIN (
-  SELECT utt_id, sum(l) AS c FROM (SELECT utt_id, isle, max(e) - min(s) AS l FROM (SELECT *, sum(fresh) OVER (PARTITION BY utt_id ORDER BY s, e) AS isle FROM (
-    SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY utt_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM (
-      SELECT utt_id, greatest(1.0::DOUBLE, s - (j % 3) * 0.2::DOUBLE) AS s, least(10.0::DOUBLE, e) AS e FROM times) q WHERE e > s) q) q GROUP BY 1, 2) q GROUP BY 1) k USING (utt_id)"""))
+@query(sql(["times"], """SELECT utt_id, round(coalesce(c, 0), 6) AS covered, round(least(1, coalesce(c, 0) / 9), 6) AS ratio
+      FROM (SELECT DISTINCT utt_id FROM times) u LEFT JOIN (
+  SELECT utt_id, sum(l) AS c FROM (SELECT utt_id, isle, max(e) - min(s) AS l FROM (SELECT *, sum(fresh) OVER (PARTITION BY utt_id ORDER BY s,
+      e) AS isle FROM (
+    SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY utt_id ORDER BY s,
+      e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM (
+      SELECT utt_id, greatest(1.0::DOUBLE, s - (j % 3) * 0.2::DOUBLE) AS s, least(10.0::DOUBLE, e) AS e FROM times) q WHERE e > s) q) q GROUP BY 1,
+      2) q GROUP BY 1) k USING (utt_id)"""))
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     rows = recs(spark, d).select("utt_id", F.posexplode("word_times").alias("j", "t")).select("utt_id", (F.col("t")[0] - (F.col("j") % 3) * 0.2).alias("s"), F.col("t")[1].alias("e"), F.lit(1.0).alias("low"), F.lit(10.0).alias("high"))
     return windows.merge_intervals(rows, "utt_id").select("utt_id", r6("covered").alias("covered"), r6("ratio").alias("ratio"))
@@ -548,8 +599,11 @@ def regression_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("split", *[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
 
 
-@query(sql(["ests"], f"""SELECT partition, dataset_idx, round(sum(w * abs(estimated_accuracy - accuracy)) / sum(w), 6) AS mae, round(sum(w * (estimated_accuracy - accuracy) ** 2) / sum(w), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation, count(*) AS n_points
-  FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'real' ELSE 'validation' END AS partition, CASE WHEN turn % 2 = 0 THEN hypothesis_words::DOUBLE ELSE 1.0 END AS w FROM ests) q GROUP BY 1, 2"""))
+@query(sql(["ests"], f"""SELECT partition, dataset_idx, round(sum(w * abs(estimated_accuracy - accuracy)) / sum(w), 6) AS mae,
+      round(sum(w * (estimated_accuracy - accuracy) ** 2) / sum(w), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation,
+      count(*) AS n_points
+  FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'real' ELSE 'validation' END AS partition,
+      CASE WHEN turn % 2 = 0 THEN hypothesis_words::DOUBLE ELSE 1.0 END AS w FROM ests) q GROUP BY 1, 2"""))
 def per_dataset_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = ests(spark, d).withColumn("partition", F.expr("CASE WHEN turn % 2 = 0 THEN 'real' ELSE 'validation' END")).withColumn("hyp_words", F.col("hypothesis_words"))
     return metrics.per_dataset_metrics(rows).select("partition", "dataset_idx", *[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
@@ -557,9 +611,11 @@ def per_dataset_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 _LEVELS = (5.0, 2.5)
 _NOISY = [
-    ("base", """SELECT conv_id, dataset_idx, CAST(sum(hypothesis_words) AS BIGINT) AS hyp_words, sum(hypothesis_words * accuracy) / sum(hypothesis_words) AS accuracy, sum(hypothesis_words * estimated_accuracy) / sum(hypothesis_words) AS est
+    ("base", """SELECT conv_id, dataset_idx, CAST(sum(hypothesis_words) AS BIGINT) AS hyp_words,
+      sum(hypothesis_words * accuracy) / sum(hypothesis_words) AS accuracy, sum(hypothesis_words * estimated_accuracy) / sum(hypothesis_words) AS est
       FROM ests WHERE split = 'test' GROUP BY 1, 2 HAVING sum(hypothesis_words) > 0"""),
-    ("noisy", """SELECT conv_id || suffix AS sample_id, dataset_idx, snr, hyp_words + extra AS hyp_words, accuracy, greatest(0.0::DOUBLE, est - extra / 100.0::DOUBLE) AS estimated_accuracy
+    ("noisy", """SELECT conv_id || suffix AS sample_id, dataset_idx, snr, hyp_words + extra AS hyp_words, accuracy, greatest(0.0::DOUBLE,
+      est - extra / 100.0::DOUBLE) AS estimated_accuracy
       FROM base, (VALUES (NULL::DOUBLE, '', 0), (5.0::DOUBLE, '_snr5', 3), (2.5::DOUBLE, '_snr2.5', 7)) AS l(snr, suffix, extra)"""),
     ("parted", """SELECT *, 'real' AS partition FROM noisy WHERE snr IS NULL UNION ALL SELECT *, 'real_snr' FROM noisy
       UNION ALL SELECT *, 'real_snr_5' FROM noisy WHERE snr IS NULL OR snr = 5.0 UNION ALL SELECT *, 'real_snr_2.5' FROM noisy WHERE snr IS NULL OR snr = 2.5"""),
@@ -582,9 +638,12 @@ def union_partitions(spark: SparkSession, d: str) -> DataFrame:
     return _noisy(spark, d).select("partition", "sample_id", "dataset_idx")
 
 
-@query(sql(["ests"], f"""SELECT partition, dataset_idx, round(sum(w * abs(estimated_accuracy - accuracy)) / sum(w), 6) AS mae, round(sum(w * (estimated_accuracy - accuracy) ** 2) / sum(w), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation, count(*) AS n_points
+@query(sql(["ests"], f"""SELECT partition, dataset_idx, round(sum(w * abs(estimated_accuracy - accuracy)) / sum(w), 6) AS mae,
+      round(sum(w * (estimated_accuracy - accuracy) ** 2) / sum(w), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation,
+      count(*) AS n_points
     FROM (SELECT partition, dataset_idx, hyp_words::DOUBLE AS w, accuracy, estimated_accuracy FROM parted
-      UNION ALL SELECT partition, NULL, CASE WHEN partition LIKE 'real_snr_%' THEN 1.0::DOUBLE ELSE hyp_words END, accuracy, estimated_accuracy FROM parted) q GROUP BY 1, 2
+      UNION ALL SELECT partition, NULL, CASE WHEN partition LIKE 'real_snr_%' THEN 1.0::DOUBLE ELSE hyp_words END, accuracy,
+      estimated_accuracy FROM parted) q GROUP BY 1, 2
   UNION ALL SELECT 'none', NULL, 0.0::DOUBLE, 0.0::DOUBLE, NULL, 0""", extra=_NOISY))
 def evaluation_snr(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of clean recordings, of all, and of clean ones with each noise level, over all datasets and by dataset."""
@@ -592,8 +651,10 @@ def evaluation_snr(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.partition_metrics(_noisy(spark, d), names).select("partition", "dataset_idx", *[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
 
 
-@query(sql(["ests"], f"""SELECT round(avg(abs(estimated_accuracy - accuracy)), 6) AS mae, round(avg((estimated_accuracy - accuracy) ** 2), 6) AS mse, {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation, count(*) AS n_points
-  FROM ests WHERE split = 'train' AND (CAST('0x' || substr(sha256(concat_ws(':', '13', segment_id)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496) < 0.2"""))
+@query(sql(["ests"], f"""SELECT round(avg(abs(estimated_accuracy - accuracy)), 6) AS mae, round(avg((estimated_accuracy - accuracy) ** 2), 6) AS mse,
+      {_guarded('estimated_accuracy', 'accuracy')} AS pearson_correlation, count(*) AS n_points
+  FROM ests WHERE split = 'train' AND (CAST('0x' || substr(sha256(concat_ws(':', '13', segment_id)), 1,
+      13) AS BIGINT)::DOUBLE / 4503599627370496) < 0.2"""))
 def validation_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics over the training rows that are held out for validation."""
     held = ests(spark, d).where((F.col("split") == "train") & metrics.is_validation("segment_id"))
@@ -689,14 +750,16 @@ def score_recordings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file", "window_idx", "word_count", "start_time", "end_time", "speech_ratio", "non_speech_ratio", "estimated_accuracy", "expected_error_count")
 
 
-@query(sql(["times"], """SELECT utt_id AS file, CAST(w AS BIGINT) AS window_idx, min(j) AS start_word, count(*) AS word_count, round(min(s), 6) AS start_time, round(max(e), 6) AS end_time, count(*) FILTER (e > s) > 0 AS spoken
+@query(sql(["times"], """SELECT utt_id AS file, CAST(w AS BIGINT) AS window_idx, min(j) AS start_word, count(*) AS word_count, round(min(s),
+      6) AS start_time, round(max(e), 6) AS end_time, count(*) FILTER (e > s) > 0 AS spoken
   FROM (SELECT *, j // 64 AS w FROM times) q GROUP BY 1, 2"""))
 def scored_windows(spark: SparkSession, d: str) -> DataFrame:
     out = score.scored_windows(recs(spark, d).withColumnRenamed("utt_id", "file"), 64)
     return out.select("file", *[F.col(c).cast("bigint").alias(c) for c in ("window_idx", "start_word", "word_count")], r6("start_time").alias("start_time"), r6("end_time").alias("end_time"), (F.col("speech_ratio") > 0).alias("spoken"))
 
 
-@query(sql(["ests"], """SELECT conv_id AS file, CAST(sum(hypothesis_words) AS BIGINT) AS words, round(sum(hypothesis_words * (1 - estimated_accuracy)), 6) AS expected_errors, count(*) AS n_windows FROM ests GROUP BY 1"""))
+@query(sql(["ests"], """SELECT conv_id AS file, CAST(sum(hypothesis_words) AS BIGINT) AS words,
+      round(sum(hypothesis_words * (1 - estimated_accuracy)), 6) AS expected_errors, count(*) AS n_windows FROM ests GROUP BY 1"""))
 def accuracy_report(spark: SparkSession, d: str) -> DataFrame:
     rows = ests(spark, d).select(
         F.col("conv_id").alias("file"), F.col("segment_id").alias("window_idx"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), F.col("hypothesis_words").alias("word_count"),
@@ -745,7 +808,9 @@ def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("dataset_idx", "split").agg(F.count("*").alias("n_rows"), F.round(F.sum("accuracy"), 5).alias("accuracy"), F.sum("reference_words").alias("ref_words"))
 
 
-@query(sql(["ests"], """SELECT conv_id AS file, CAST(sum(hypothesis_words) AS BIGINT) AS words, round(sum(hypothesis_words * (1 - estimated_accuracy)), 5) AS expected_errors, count(*) AS n_windows, min(segment_id) AS first_window FROM ests GROUP BY 1"""))
+@query(sql(["ests"], """SELECT conv_id AS file, CAST(sum(hypothesis_words) AS BIGINT) AS words,
+      round(sum(hypothesis_words * (1 - estimated_accuracy)), 5) AS expected_errors, count(*) AS n_windows,
+      min(segment_id) AS first_window FROM ests GROUP BY 1"""))
 def accuracy_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy reports written as JSON, one record a file with its windows, and read again."""
     rows = ests(spark, d).select(
