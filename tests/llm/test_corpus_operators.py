@@ -157,7 +157,10 @@ def test_family_without_its_hub_equals_brute_force(spark, monkeypatch, block_row
     assert [got[i] for i in range(400)] == want
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [96, 3])
+def test_vectors_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(cap_filters, "SMALL", small)
+    monkeypatch.setattr(cap_filters, "BLOCK_ROWS", 10 * small)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 16))
     v = [list(map(float, c + rng.normal(size=16) * rng.choice([0.05, 0.2, 0.4]))) for c in centres for _ in range(6)]

@@ -30,6 +30,8 @@ from .common import stored
 from .components import components
 
 BLOCK_ROWS = 1024
+# Filters of more rows in a block than this are compared as matrices.
+SMALL = 96
 
 
 @cache
@@ -166,24 +168,60 @@ def _links_in(rows: pa.Table, least: float, words: int, blocks: int) -> tuple[pa
     unit = _unit(rows.column("vector").chunk(0), dim)
     here = np.flatnonzero(number // words ** (blocks_of(dim, blocks) - 1) == first)
     here = here[np.argsort(number[here], kind="stable")]
-    filters, starts = np.unique(number[here], return_index=True)
-    links, root, linked = np.zeros(size, np.int64), np.arange(size), np.zeros(size, bool)
-    for a, b, bucket in zip(starts, [*starts[1:], len(here)], filters):
-        if b - a > 1:
-            met = np.sort(owner[here[a:b]])
-            if low == high or (block[met] == low).any() and (block[met] == high).any():
-                i, j = _first_met(met, unit, number, owner, int(bucket), block if low != high else None, least)
-                np.add.at(links, i, n[j])
-                np.add.at(links, j, n[i])
-                linked[i] = linked[j] = True
-                root = _roots(root, i, j)
-    used = np.flatnonzero(linked)
-    if not len(used):
+    filters, starts, sizes = np.unique(number[here], return_index=True, return_counts=True)
+    found = [_pairs_of_small(owner[here], np.repeat(sizes, sizes), number[here], unit, block if low != high else None, least)]
+    # A pair that shares a filter of an earlier first word has met there.
+    found[0] = _fresh(*found[0], number, owner, number < first * words ** (blocks_of(dim, blocks) - 1))
+    for k in np.flatnonzero(sizes > SMALL):
+        met = np.sort(owner[here[starts[k] : starts[k] + sizes[k]]])
+        found.append(_first_met(met, unit, number, owner, int(filters[k]), block if low != high else None, least))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    if not len(i):
         return None
+    i, j = np.divmod(np.unique(np.minimum(i, j) * size + np.maximum(i, j)), size)
+    links, root = np.zeros(size, np.int64), _roots(np.arange(size), i, j)
+    np.add.at(links, i, n[j])
+    np.add.at(links, j, n[i])
+    used = np.unique(np.concatenate([i, j]))
     node = rows.column("node").chunk(0)
     return node.take(pa.array(used)), links[used], node.take(pa.array(root[used]))
 
 
+def _pairs_of_small(row: np.ndarray, sizes: np.ndarray, number: np.ndarray, unit: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of rows that share a filter of at most SMALL rows here; row and number are in filter order."""
+    row, number = row[sizes <= SMALL], number[sizes <= SMALL]
+    codes = []
+    for d in range(1, SMALL):
+        at = np.flatnonzero(number[d:] == number[:-d]) if d < len(number) else np.zeros(0, np.int64)
+        if not len(at):
+            break
+        codes.append(np.minimum(row[at], row[at + d]) * len(unit) + np.maximum(row[at], row[at + d]))
+    i, j = np.divmod(np.unique(np.concatenate(codes)), len(unit)) if codes else (np.zeros(0, np.int64),) * 2
+    if block is not None:
+        apart = block[i] != block[j]
+        i, j = i[apart], j[apart]
+    near = np.zeros(len(i), bool)
+    for a in range(0, len(i), 16_384):
+        near[a : a + 16_384] = np.einsum("ij,ij->i", unit[i[a : a + 16_384]], unit[j[a : a + 16_384]]) >= least
+    return i[near], j[near]
+
+
+def _fresh(i: np.ndarray, j: np.ndarray, number: np.ndarray, owner: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that share none of the filters marked in ``before``."""
+    if not len(i) or not before.any():
+        return i, j
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    kept = before & np.isin(owner, used)
+    known, column = np.unique(number[kept], return_inverse=True)
+    has = np.zeros((len(used), len(known)), bool)
+    has[np.searchsorted(used, owner[kept]), column] = True
+    left, right = place[: len(i)], place[len(i) :]
+    fresh = np.ones(len(i), bool)
+    for a in range(0, len(i), 1024):
+        fresh[a : a + 1024] = ~(has[left[a : a + 1024]] & has[right[a : a + 1024]]).any(axis=1)
+    return i[fresh], j[fresh]
+
+
 def _first_met(met: np.ndarray, unit: np.ndarray, number: np.ndarray, owner: np.ndarray, bucket: int, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the rows ``met`` of a filter that are near and share no filter before it; of different blocks, if these are given."""
     inside = np.zeros(len(unit), np.int64) - 1
@@ -208,15 +246,7 @@ def _first_met(met: np.ndarray, unit: np.ndarray, number: np.ndarray, owner: np.
         out_i.append(some[i])
         out_j.append(j)
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
-    if len(i) and len(known):
-        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        often = uses > 1
-        kept = often[column] & np.isin(of, used)
-        has = np.zeros((len(used), int(often.sum())), np.float32)
-        has[np.searchsorted(used, of[kept]), (np.cumsum(often) - 1)[column[kept]]] = 1
-        fresh = ~((has @ has.T)[place[: len(i)], place[len(i) :]] > 0)
-        i, j = i[fresh], j[fresh]
-    return met[i], met[j]
+    return _fresh(met[i], met[j], number, owner, before)
 
 
 def _roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
