@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Recent, release_memory, running_sums, slices, stored
 
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
+# The library reads so many words in one text; much longer texts cost it more a word.
+READ_TOGETHER = 1000
 ROUND_WINDOWS = 32
 large = partial(pa.scalar, type=pa.large_string())
 
@@ -83,6 +85,8 @@ class TextIds:
 
     def _cut(self, parts: list[str], tokenizer) -> list[bytes]:
         """Ids of each part of the text that all parts make together; the library starts a word where a part starts."""
+        if len(parts) > READ_TOGETHER:
+            return [ids for a in range(0, len(parts), READ_TOGETHER) for ids in self._cut(parts[a : a + READ_TOGETHER], tokenizer)]
         if not parts:
             return []
         ids = np.asarray(tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, np.int64)
