@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, dart_minhash, language_id, line_quality, packing, piece_codec, sharding, sketches, token_counts, toxicity
+from . import cap_filters, dart_minhash, digest_index, language_id, line_quality, packing, piece_codec, sharding, sketches, token_counts, toxicity
 from .common import fold, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op11_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts are equal but for white space, by an index built up in three generations."""
+    return digest_index.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_quality": op2_line_quality,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_uniform_shards": op8_uniform_shards,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_digest_index": op11_digest_index,
 }
 
 # Everything that links reach, and the smallest id there; near (a, b) and ids (node, id) come before.
@@ -120,4 +126,7 @@ _NEAR_DUPLICATES = f"""WITH RECURSIVE spoken AS (
   {_REACH}
 SELECT doc_id, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = component_id, true) AS kept, c.node AS text_class FROM documents d LEFT JOIN component c ON c.node = md5(d.text)"""
 
-ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES}
+_EXACT_DUPLICATES = """WITH digests AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256 FROM digests WINDOW w AS (PARTITION BY text_sha256)"""
+
+ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES, "op11_digest_index": _EXACT_DUPLICATES}
