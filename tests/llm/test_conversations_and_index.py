@@ -2,11 +2,15 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from trustline.llm import digest_index
+from trustline.llm import digest_index, prefix_trie
 
 
 def normalised(text):
@@ -61,3 +65,71 @@ def test_entries_are_not_exchanged(spark, tmp_path):
     plan = new.join(index.entries().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     below_entries = plan[plan.index("SortMergeJoin") :].split("digest_entries")[0].rsplit("Sort [", 1)[1]
     assert "SortMergeJoin" in plan and "Exchange" not in below_entries
+
+
+def trie(rows):
+    """All nodes by walking every prefix of every rebuilt conversation."""
+    own = collections.defaultdict(list)
+    digest = lambda role, text: hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+    for conv, turn, role, text in sorted(((c, t, r or "", x or "") for c, t, r, x in rows if c is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2], digest(r[2], r[3]))):
+        own[conv].append((role, text))
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt[c] = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + turns[h:])
+    members = collections.defaultdict(list)
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = collections.defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    leaves, saved, out = {}, {}, []
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[q] for q in children[p]) or 1
+        saved[p] = sum(saved[q] for q in children[p]) + ((len(members[p]) - 1) * len(re.findall("[^\x20\x09-\x0d]+", p[-1][1])) if p else 0)
+        ends = ",".join(str(c) for c in sorted(members[p]) if rebuilt[c] == p)
+        out.append((min(members[p]), len(p), min(members[p[:-1]]) if p else None, len(members[p]), len(children[p]), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def nodes_of(df):
+    out = prefix_trie.prefix_trie(df)
+    assert all(t == "bigint" or c == "ends_sha256" for c, t in out.dtypes)
+    return sorted((tuple(r) for r in out.collect()), key=str)
+
+
+def odd_conversations():
+    rng = random.Random(7)
+    rows = []
+    for c in [*range(60), -7, -20, -40, 401, 820, 833]:
+        if c % 20 == 0 and c in (20, 820):
+            continue
+        like = rng.choice(range(6))
+        for t in range(rng.choice([1, 2, 3, 5, 8])):
+            rows.append((c, t, rng.choice(["user", "assistant", "", None]) if like > 4 else "ua"[t % 2], rng.choice(["a b", "c", None, "", " d\te "]) if like > 3 else f"turn {t} of {like}"))
+    # Truncations of one long conversation, copies of it, a turn number twice, no numbers, no conversation.
+    long = [("user", f"part {i} and {i * i}") for i in range(40)]
+    rows += [(1000 + 20 * k, t, *long[t]) for k in range(12) for t in range(40 - 3 * (k // 2))]
+    rows += [(7, 3, "user", "again"), (7, 3, "user", "again"), (7, None, "user", "x"), (8, None, None, None), (8, None, "z", "y"), (None, 0, "user", "lost"), (None, None, None, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("few", [10_000, 60, 0])
+def test_trie_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(prefix_trie, "FEW_ROWS", few)
+    monkeypatch.setattr(prefix_trie, "LIST_CHARS", 30)
+    rows = odd_conversations() if few else [r for r in odd_conversations() if r[0] is None or r[0] < 60]
+    df = spark.createDataFrame(rows, CONVERSATIONS).withColumn("depth", F.lit("x")).repartition(7)
+    assert nodes_of(df) == trie(rows)
+
+
+def test_trie_of_a_conversation_over_many_ranges_and_of_nothing(spark):
+    rows = [(40, t, "u", f"w{t} x") for t in range(3000)] + [(41, t, "u", f"w{t} x") for t in range(2500)] + [(c, 0, "u", "hello") for c in range(100, 130)]
+    assert nodes_of(spark.createDataFrame(rows, CONVERSATIONS)) == trie(rows)
+    assert nodes_of(spark.createDataFrame([], CONVERSATIONS)) == [] == nodes_of(spark.createDataFrame([(None, 1, "u", "x")], CONVERSATIONS))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, dart_minhash, digest_index, language_id, line_quality, packing, piece_codec, sharding, sketches, token_counts, toxicity
+from . import cap_filters, dart_minhash, digest_index, language_id, line_quality, packing, piece_codec, prefix_trie, sharding, sketches, token_counts, toxicity
 from .common import fold, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -88,6 +88,11 @@ def op11_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations' prefixes, with what each of them saves."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_quality": op2_line_quality,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_digest_index": op11_digest_index,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 # Everything that links reach, and the smallest id there; near (a, b) and ids (node, id) come before.
@@ -129,4 +135,23 @@ SELECT doc_id, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id =
 _EXACT_DUPLICATES = """WITH digests AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256 FROM digests WINDOW w AS (PARTITION BY text_sha256)"""
 
-ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES, "op11_digest_index": _EXACT_DUPLICATES}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, a byte and then a bit at a time."""
+    bits = "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)), lambda s, b: {bits}), 4294967295)"
+
+
+_PREFIX_TRIE = f"""WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+  told AS (SELECT conv_id, p, md5(length(role) || ':' || role || text) AS h, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM turns),
+  convs AS (SELECT conv_id, list({{'h': h, 'words': words}} ORDER BY p) AS own FROM told GROUP BY 1),
+  taking AS (SELECT conv_id, own, conv_id - conv_id % 20 AS donor, {_crc32('conv_id::VARCHAR')} % 4 AS h FROM convs),
+  rebuilt AS (SELECT t.conv_id, list_concat(coalesce(d.own[1:t.h], []), t.own[t.h + 1:]) AS ts FROM taking t LEFT JOIN convs d ON d.conv_id = t.donor),
+  members AS (SELECT conv_id, d AS depth, array_to_string(list_transform(ts[1:d], lambda x: x.h), '') AS key, CASE WHEN d > 0 THEN ts[d].words ELSE 0 END AS words, len(ts) = d AS ends FROM rebuilt, unnest(range(0, len(ts) + 1)) AS u(d)),
+  nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY 1, 2),
+  linked AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.key[:32 * n.depth] = n.key) AS n_children FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.key[:32 * p.depth])
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM linked a JOIN linked b ON starts_with(b.key, a.key) GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256, a.key"""
+
+ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES, "op11_digest_index": _EXACT_DUPLICATES, "op12_prefix_trie": _PREFIX_TRIE}
