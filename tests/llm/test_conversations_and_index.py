@@ -1,6 +1,7 @@
 """The digest index, the conversation trie and conversation repair, against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -10,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from trustline.llm import digest_index, prefix_trie
+from trustline.llm import conversation_repair, digest_index, prefix_trie
 
 
 def normalised(text):
@@ -133,3 +134,115 @@ def test_trie_of_a_conversation_over_many_ranges_and_of_nothing(spark):
     rows = [(40, t, "u", f"w{t} x") for t in range(3000)] + [(41, t, "u", f"w{t} x") for t in range(2500)] + [(c, 0, "u", "hello") for c in range(100, 130)]
     assert nodes_of(spark.createDataFrame(rows, CONVERSATIONS)) == trie(rows)
     assert nodes_of(spark.createDataFrame([], CONVERSATIONS)) == [] == nodes_of(spark.createDataFrame([(None, 1, "u", "x")], CONVERSATIONS))
+
+
+def repaired(turns):
+    """Faults, least cost, audit and repaired turns of one conversation's (turn, role, text) in order, by trying every edit."""
+    seen, faults = set(), []
+    for _, role, text in turns:
+        core = text.strip(" \t\n\x0b\f\r")
+        faults.append("blank" if not core else "duplicate" if (role, text) in seen else "truncated" if core[-1] not in ".!?" else "")
+        seen.add((role, text))
+    roles = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    asked = {"": "user", "s": "user", "u": "assistant", "a": "user"}
+
+    @functools.cache
+    def best(i, state, inserted):
+        found = [(0, "", ())] if i == len(turns) and state in ("", "a") else []
+        to = asked[state]
+        if inserted < 3:
+            c, a, out = best(i, to[0], inserted + 1)
+            found.append((c + 3, "I" + a, ((to, ""), *out)))
+        if i < len(turns):
+            _, role, text = turns[i]
+            c, a, out = best(i + 1, state, 0)
+            found.append((c + 4, "D" + a, out))
+            if faults[i] not in ("blank", "duplicate"):
+                more = 3 * (faults[i] == "truncated")
+                c, a, out = best(i + 1, to[0], 0)
+                found.append((c + 3 + more, "R" + a, ((to, text), *out)))
+                if (state, role[:1]) in roles:
+                    c, a, out = best(i + 1, role[0], 0)
+                    found.append((c + more, "K" + a, ((role, text), *out)))
+        return min(found, default=(10**9, "", ()))
+
+    for i in range(len(turns), 0, -1):  # back to front, so that long conversations need no deep recursion
+        for state in asked:
+            best(i, state, 0)
+    cost, audit, out = best(0, "", 0)
+    numbers = [t for t, _, _ in turns if t is not None]
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    illegal = sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, out
+
+
+def in_order(rows):
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t, role, text))
+    return {c: sorted(ts, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest())) for c, ts in by.items()}
+
+
+def broken_conversations(n=120):
+    rng = random.Random(11)
+    rows = []
+    for c in range(n):
+        for t in range(rng.choice([0, 1, 2, 4, 7, 12]) + 1):
+            rows.append((c if c else None, rng.choice([t, t, t, t + 2, None]), rng.choice(["user", "assistant", "user", "assistant", "system", "tool", None, "", "alien"]), rng.choice(["Fine.", "a b", "Cut", "why?", " ", None, f"Said {t}!", "end. \n"])))
+    return rows
+
+
+def test_repair_equals_brute_force(spark):
+    rows = broken_conversations()
+    summary, turns = conversation_repair.repair(spark.createDataFrame(rows, CONVERSATIONS).withColumn("cost", F.lit("x")).repartition(5))
+    got = {r.conv_id: tuple(r)[1:] for r in summary.collect()}
+    lines = collections.defaultdict(list)
+    for r in turns.collect():
+        assert r.place == len(lines[r.conv_id])
+        lines[r.conv_id].append((r.role, r.text))
+    want = {c: repaired(ts) for c, ts in in_order([(c, t, r or "", x or "") for c, t, r, x in rows]).items()}
+    assert got == {c: w[:-1] for c, w in want.items()}
+    assert {c: tuple(v) for c, v in lines.items()} == {c: w[-1] for c, w in want.items() if w[-1]}
+
+
+def test_damage_and_repair_equal_brute_force(spark):
+    rows = broken_conversations(300)
+    damaged = []
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        row = (c, t, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+        damaged += [] if kind == 0 else [row, row] if kind == 3 else [row]
+    want = {c: repaired(ts) for c, ts in in_order(damaged).items()}
+    none = (0, 0, 0, 0, 0, 0, "", ())
+    out = conversation_repair.damage_and_repair(spark.createDataFrame(rows, CONVERSATIONS).repartition(6)).collect()
+    assert len(out) == len({r[0] for r in rows}) and {r[0] for r in rows} > set(want)
+    for r in out:
+        *facts, lines = want.get(r.conv_id, none)
+        assert tuple(r)[1:8] == tuple(facts) and r.repaired_sha256 == hashlib.sha256("\n".join(f"{a}:{b}" for a, b in lines).encode()).hexdigest()
+    assert conversation_repair.damage_and_repair(spark.createDataFrame([], CONVERSATIONS)).count() == 0
+
+
+def test_long_conversation_over_many_ranges(spark):
+    rng = random.Random(3)
+    roles = ["system"] + [r for _ in range(20) for r in [rng.choice(["user", "assistant", "tool"])] * rng.choice([1, 1, 20, 60])]
+    rows = [(5, t, r, f"turn {t}" + rng.choice(["", "."])) for t, r in enumerate(roles)] + [(6, 0, "user", "a."), (6, 1, "assistant", "b.")]
+    summary, turns = conversation_repair.repair(spark.createDataFrame(rows, CONVERSATIONS))
+    got = {r.conv_id: r for r in summary.collect()}
+    *facts, lines = repaired([r[1:] for r in rows if r[0] == 5])
+    assert tuple(got[5])[1:] == tuple(facts) and tuple(got[6])[1:] == (0, 0, 0, 0, 0, 0, "KK")
+    assert [(r.role, r.text) for r in sorted(turns.where("conv_id = 5").collect(), key=lambda r: r.place)] == list(lines)
+
+
+def test_powers_equal_steps(monkeypatch):
+    monkeypatch.setattr(conversation_repair, "BLOCK", 7)
+    powers, rng = conversation_repair.Powers(), random.Random(5)
+    for _ in range(200):
+        symbols = [rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8]) for _ in range(rng.randrange(1, 7))]
+        counts = [rng.choice([1, 2, 9, 40]) for _ in symbols]
+        costs = conversation_repair._with_inserts(conversation_repair._END)
+        for s, n in zip(symbols[::-1], counts[::-1]):
+            costs = functools.reduce(lambda c, _: conversation_repair.before(s, c), range(n), costs)
+        cost, audit = conversation_repair.solve(symbols, counts, powers)
+        one_by_one = conversation_repair.solve([s for s, n in zip(symbols, counts) for _ in range(n)], [1] * sum(counts), powers)
+        assert cost == costs[0] and (cost, audit) == one_by_one and sum(e != "I" for e in audit) == sum(counts)

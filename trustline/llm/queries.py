@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, dart_minhash, digest_index, language_id, line_quality, packing, piece_codec, prefix_trie, sharding, sketches, token_counts, toxicity
+from . import cap_filters, conversation_repair, dart_minhash, digest_index, language_id, line_quality, packing, piece_codec, prefix_trie, sharding, sketches, token_counts, toxicity
 from .common import fold, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -93,6 +93,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the damaged conversations, and the cheapest edits that repair their structure."""
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_quality": op2_line_quality,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_digest_index": op11_digest_index,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 # Everything that links reach, and the smallest id there; near (a, b) and ids (node, id) come before.
@@ -154,4 +160,35 @@ _PREFIX_TRIE = f"""WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, co
 SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens, a.ends_sha256
 FROM linked a JOIN linked b ON starts_with(b.key, a.key) GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256, a.key"""
 
-ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES, "op11_digest_index": _EXACT_DUPLICATES, "op12_prefix_trie": _PREFIX_TRIE}
+_CONVERSATION_REPAIR = f"""WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+  kinds AS (SELECT *, {_crc32('name')} % 20 AS kind FROM named),
+  dealt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM kinds, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS t(time) WHERE kind <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i FROM dealt),
+  judged AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before FROM placed),
+  steps AS (SELECT conv_id, i, ini, fault IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM judged),
+  sizes AS (SELECT conv_id, max(i) AS n FROM steps GROUP BY 1),
+  -- The best (cost, audit) from each of the four states: nothing yet, after system, after user, after assistant.
+  best AS (SELECT conv_id, n + 1 AS i, [{{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS g FROM sizes
+    UNION ALL
+    SELECT conv_id, i, [list_min([b[1], {{'c': g2.c + 3, 'a': 'I' || g2.a}}]), list_min([b[2], {{'c': g2.c + 3, 'a': 'I' || g2.a}}]), g2, g3] AS g FROM (
+      SELECT conv_id, i, b, list_min([b[3], {{'c': b[4].c + 3, 'a': 'I' || b[4].a}}]) AS g2, list_min([b[4], {{'c': b[3].c + 3, 'a': 'I' || b[3].a}}]) AS g3 FROM (
+        SELECT s.conv_id, s.i, list_transform([1, 2, 3, 4], lambda q: list_min(list_concat([{{'c': f.g[q].c + 4, 'a': 'D' || f.g[q].a}}],
+          CASE WHEN s.goes THEN [] ELSE [{{'c': f.g[[3, 3, 4, 3][q]].c + 3 + s.more, 'a': 'R' || f.g[[3, 3, 4, 3][q]].a}}] END,
+          CASE WHEN s.goes OR (q = 1 AND s.ini NOT IN ('s', 'u')) OR (q IN (2, 4) AND s.ini <> 'u') OR (q = 3 AND s.ini <> 'a') THEN []
+            ELSE [{{'c': f.g[CASE s.ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + s.more, 'a': 'K' || f.g[CASE s.ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a}}] END))) AS b
+        FROM best f JOIN steps s ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.i = f.i - 1) q1) q2),
+  solved AS (SELECT conv_id, g[1].c AS cost, g[1].a AS audit FROM best WHERE i = 1),
+  letters AS (SELECT conv_id, p, audit[p] AS e, sum(CASE WHEN audit[p] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM solved, unnest(range(1, length(audit) + 1)) AS t(p)),
+  lines AS (SELECT l.conv_id, l.p, l.e, j.role, j.text, j.ini, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.p) AS place FROM letters l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i AND l.e <> 'I' WHERE l.e <> 'D'),
+  leads AS (SELECT conv_id, max(CASE WHEN place = 1 AND e = 'K' AND ini = 's' THEN 1 ELSE 0 END) AS lead FROM lines GROUP BY 1),
+  repaired AS (SELECT l.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS h
+    FROM lines l JOIN leads d ON d.conv_id IS NOT DISTINCT FROM l.conv_id GROUP BY 1),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  CAST(coalesce(s.cost, 0) AS BIGINT) AS cost, coalesce(s.audit, '') AS audit, coalesce(r.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+ORACLES: dict[str, str] = {"op3_cap_filters": _VECTORS, "op6_dart_minhash": _NEAR_DUPLICATES, "op11_digest_index": _EXACT_DUPLICATES, "op12_prefix_trie": _PREFIX_TRIE, "op13_conversation_repair": _CONVERSATION_REPAIR}
