@@ -240,7 +240,7 @@ def test_evaluation_with_noise_levels(spark, sf_dir):
     recs = splits.speaker_split(manifest.with_ids(fixtures.recognitions(spark, sf_dir))).where("split = 'test'")
     noisy = manifest.expand_snr(recs, [5.0])
     rows = spark.range(60).selectExpr("concat('s', id) AS sample_id", "'train' AS split", "100L AS ref_words", "id / 60.0D AS accuracy", *[f"(id * {i + 1} % 50) / 50.0D AS {n}" for i, n in enumerate(STANDARD)])
-    p = model.train(rows, STANDARD, grid=[{"step": 0.1, "depth": 2, "least_rows": 2}], rounds=2)
+    p = model.train(rows, STANDARD, grid=[{"step": 0.1, "leaves": 4, "least_rows": 2, "l2": 0.0}], rounds=2)
     out = evaluate.evaluate_partitions(noisy, p, 128, (5.0,)).groupBy("partition").count().collect()
     n = {r.partition: r["count"] for r in out}
     assert n["real_snr"] == n["real_snr_5"] == 2 * n["real"] > 0 and n["real_part_snr"] == 2 * n["real_part"] > 0

@@ -42,7 +42,7 @@ def test_model_round_trip(spark, sf_dir, tmp_path):
 
     names = STANDARD[:3]
     df = spark.range(120).selectExpr("concat('s', id) AS sample_id", "id / 120.0D AS accuracy", *[f"(id * {i + 1} % 50) / 50.0D AS {n}" for i, n in enumerate(names)])
-    p = model.train(df, names, grid=[{"step": 0.1, "depth": 2, "least_rows": 2}], rounds=3)
+    p = model.train(df, names, grid=[{"step": 0.1, "leaves": 4, "least_rows": 2, "l2": 0.0}], rounds=3)
     model.save_predictor(p, str(tmp_path / "p"), spark)
     q = model.load_predictor(spark, str(tmp_path / "p"))
     a, b = (model.predict(df, x).select("sample_id", "estimated_accuracy").orderBy("sample_id").collect() for x in (p, q))
