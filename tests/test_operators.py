@@ -246,3 +246,18 @@ def test_evaluation_with_noise_levels(spark, sf_dir):
     assert n["real_snr"] == n["real_snr_5"] == 2 * n["real"] > 0 and n["real_part_snr"] == 2 * n["real_part"] > 0
     held = model.validation_predictions(rows, p).collect()
     assert 0 < len(held) < 30 and all(r.split == "validation" and abs(r.residual - r.accuracy + r.estimated_accuracy) < 1e-12 for r in held)
+
+
+@pytest.mark.parametrize("cells", [0, 60])
+def test_long_alignments_are_those_of_the_whole_table(monkeypatch, cells):
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        ref, hyp = (rng.choice(list("abcd"), rng.integers(0, 40)).tolist() for _ in range(2))
+        whole = align.align(ref, hyp).tolist()
+        with monkeypatch.context() as m:
+            m.setattr(align, "MOST_CELLS", cells)
+            assert align.align(ref, hyp).tolist() == whole
+    ref = rng.choice(5000, 6000).astype(str).tolist()
+    hyp = [w for w in ref if rng.random() > 0.1]
+    got = align.align(ref, hyp)
+    assert (np.diff(got) >= 0).all() and sum(j < len(hyp) and hyp[j] == w for w, j in zip(ref, got)) >= len(hyp)

@@ -684,7 +684,18 @@ def calibrate_and_hold_out(spark: SparkSession, d: str) -> DataFrame:
     return ests(spark, d).select("segment_id", r6(N.calibrated("estimated_accuracy", -0.3, 1.6)).alias("calibrated"), metrics.is_validation("segment_id").alias("is_val"))
 
 
-@query()
+_TRACE = [
+    *_PAIRS[:2],
+    ("prows", "SELECT utt_id, i, prow FROM dp"),
+    # From the end: a deletion if it is on a cheapest way, else an insertion, else a match or substitution.
+    ("trace", """SELECT utt_id, len(r)::BIGINT AS i, len(h)::BIGINT AS j, -1::BIGINT AS hyp_at FROM pr UNION ALL
+      SELECT utt_id, CASE WHEN insertion THEN i ELSE i - 1 END, CASE WHEN deletion THEN j ELSE j - 1 END, CASE WHEN insertion THEN -1 WHEN deletion THEN j ELSE j - 1 END FROM (
+        SELECT t.utt_id, t.i, t.j, b.prow[t.j + 1] + 1 = a.prow[t.j + 1] AS deletion, b.prow[t.j + 1] + 1 <> a.prow[t.j + 1] AND t.j > 0 AND coalesce(a.prow[t.j], -9) + 1 = a.prow[t.j + 1] AS insertion
+        FROM trace t JOIN prows a ON a.utt_id = t.utt_id AND a.i = t.i JOIN prows b ON b.utt_id = t.utt_id AND b.i = t.i - 1 WHERE t.i > 0) q"""),
+]
+
+
+@query(sql(["tokens", "hyps"], """SELECT u.utt_id, coalesce(w, '') AS ref_to_hyp FROM tokens u LEFT JOIN (SELECT utt_id, string_agg(hyp_at::VARCHAR, ' ' ORDER BY i) AS w FROM trace WHERE hyp_at >= 0 GROUP BY 1) q USING (utt_id)""", True, _TRACE))
 def align_words(spark: SparkSession, d: str) -> DataFrame:
     """Hypothesis index of every reference word of every utterance."""
     rows = segments.with_alignment(segments.with_tokens(recs(spark, d)))
