@@ -1,6 +1,6 @@
-"""Confidence features of frame streams, twice: over exploded frames with SQL aggregates, and over arrays in Arrow batches.
+"""Confidence features of frame streams, twice: by SQL functions over a row's arrays, and by numpy in Arrow batches.
 
-Both give the same numbers. The first is declarative and can be checked in SQL; the second needs no exchange.
+Both give the same numbers and need no exchange; the first stays in the JVM.
 """
 
 from __future__ import annotations
@@ -81,71 +81,70 @@ def _sound(df: DataFrame) -> DataFrame:
     return df.where((F.size("ctc_tokens") == F.size("ctc_probs")) & (blanks > 0) & (blanks < F.size("ctc_tokens")) & finite)
 
 
-def _numbered(frames: DataFrame, key: str) -> DataFrame:
-    """frames with what one pass in frame order tells: the number of the word, and at the last frame of a run or of a
-    token's place, the run's ``length`` and the place's highest probability, ``top``."""
-    order = Window.partitionBy(key).orderBy("frame")
-    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b, t = F.col("blank"), F.col("token")
-    changes = lambda c, f: F.coalesce(c != f(c).over(order), F.lit(True))
-    rows = frames.withColumns({"run_starts": changes(b, F.lag), "run_ends": changes(b, F.lead), "starts": changes(t, F.lag), "ends": changes(t, F.lead)})
-    mark = F.col("starts") & ~b & (t.contains("▁") | t.contains(" "))
-    rows = rows.withColumns({"word": F.sum(mark.cast("int")).over(sofar), "place": F.sum(F.col("starts").cast("int")).over(sofar), "run_start": F.max(F.when(F.col("run_starts"), F.col("frame"))).over(sofar)})
-    # Places are numbered upwards, so the greatest pair so far is of this place.
-    top = F.max(F.struct("place", "prob")).over(sofar)["prob"]
-    return rows.withColumns({"top": F.when(F.col("ends") & ~b, top), "length": F.when(F.col("run_ends"), F.col("frame") - F.col("run_start") + 1)})
+def _bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later ones use several times; each step is a projection of its own."""
+    return df.withColumns(columns)
 
 
 def ctc_features_sql(df: DataFrame, key: str, frame_len: float = 0.04, full: bool = False) -> DataFrame:
-    """(key, features...): by aggregates over exploded frames. Streams that are not sound have no row.
-
-    Frames are exchanged by key and sorted once; sums are taken by word and then by stream, where they lie."""
-    frames = _numbered(explode_frames(_sound(df), key), key)
-    b, p, nb, length = F.col("blank"), F.col("prob"), ~F.col("blank"), F.col("length")
-    on = lambda c, e: F.when(c, e)
-    ends = {"b": b & length.isNotNull(), "n": nb & length.isNotNull()}
-    sums = {
-        "n": F.lit(1), "nb_blank": on(b, 1), "nb_non": on(nb, 1), "prob_sum": F.col("raw"), "log": on(nb, F.ln(p)), "err": on(nb, 1 - p), "inv": on(nb, 1 / p), "log_err": on(nb, F.ln(F.greatest(F.lit(EDGE), 1 - p))),
-        **{f"lt{t}": on(nb & (p < t / 100), 1) for t in range(10, 100, 10)},
-        **{f"{k}_runs": on(e, 1) for k, e in ends.items()}, **{f"{k}_sum": on(e, length) for k, e in ends.items()}, "b_squares": on(ends["b"], length * length),
-        **{f"{k}_le{i}": on(e & (length <= i), 1) for k, e in ends.items() for i in range(1, 6)},
-    }
-    by_word = frames.groupBy(key, "word").agg(
-        *[F.sum(e).alias(c) for c, e in sums.items()], F.avg("top").alias("mean"), F.max(on(ends["b"], length)).alias("b_max"),
-        F.collect_list(on(b, p)).alias("pb"), F.collect_list(on(nb, p)).alias("pn"), F.min(on(nb, F.col("frame"))).alias("first"), F.max(on(nb, F.col("frame"))).alias("last"),
-    )
-    total = by_word.groupBy(key).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.max("b_max").alias("b_max"), F.count("mean").alias("words"), F.coalesce(F.sum("mean"), F.lit(0.0)).alias("word_sum"),
-        F.sort_array(F.flatten(F.collect_list("pb"))).alias("pb"), F.sort_array(F.flatten(F.collect_list("pn"))).alias("pn"), F.min("first").alias("first"), F.max("last").alias("last"),
+    """(key, features...): by array functions over each row's stream. Streams that are not sound have no row.
+
+    Runs and places are found by where they start; nothing is exploded, exchanged or sorted across rows."""
+    at = lambda c, i: F.get(F.col(c) if isinstance(c, str) else c, i)
+    starts = lambda c: F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (at(c, i) != at(c, i - 1)))
+    length = lambda c, k, s, end: F.coalesce(at(c, k + 1), end) - s
+    total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
+    # A stream that an expression makes would be made again for each mention in the filter, below which nothing random goes.
+    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, F.col(c)).alias(c)
+    rows = _sound(df.select(key, once("ctc_tokens"), once("ctc_probs"))).select(key, F.transform("ctc_tokens", lambda t: F.coalesce(t, F.lit(""))).alias("t"), F.col("ctc_probs").alias("raw"))
+    rows = _bound(rows, p=F.transform("raw", clip_prob), b=F.transform("t", lambda t: t == BLANK), n=F.size("t"))
+    rows = _bound(rows, run_at=starts("b"), place_at=starts("t"), pb=F.sort_array(F.filter("p", lambda x, i: at("b", i))), pn=F.sort_array(F.filter("p", lambda x, i: ~at("b", i))))
+    # Runs take turns: those at even places are of the kind of the first frame.
+    run = F.transform("run_at", lambda s, k: length("run_at", k, s, F.col("n")))
+    # Elements of an inner stretch are read by their places: slice() would copy the whole array for each stretch.
+    over = lambda c, s, m, first, f: F.aggregate(F.sequence(s, s + m - 1), first, lambda a, i: f(a, at(c, i)))
+    place = F.transform("place_at", lambda s, k: F.struct(at("t", s).alias("t"), over("p", s, length("place_at", k, s, F.col("n")), F.lit(0.0), F.greatest).alias("top")))
+    rows = _bound(rows, run=run, token=F.filter(place, lambda x: x["t"] != BLANK))
+    marks = lambda k: (k == 0) | at("token", k)["t"].contains("▁") | at("token", k)["t"].contains(" ")
+    rows = _bound(rows, word_at=F.filter(F.sequence(F.lit(0), F.size("token") - 1), marks), top=F.transform("token", lambda x: x["top"]), **{k: F.filter("run", lambda x, i: ((i % 2 == 0) == at("b", F.lit(0))) == F.lit(k == "rb")) for k in ("rb", "rn")})
+    word = F.transform("word_at", lambda s, k: (lambda m: over("top", s, m, F.lit(0.0), lambda a, x: a + x) / m)(length("word_at", k, s, F.size("top"))))
+    of_pn = F.aggregate(
+        "pn", F.struct(*[F.lit(0.0).alias(c) for c in ("log", "err", "inv", "log_err")]),
+        lambda a, x: F.struct((a["log"] + F.ln(x)).alias("log"), (a["err"] + 1 - x).alias("err"), (a["inv"] + 1 / x).alias("inv"), (a["log_err"] + F.ln(F.greatest(F.lit(EDGE), 1 - x))).alias("log_err")),
     )
-    n, nn, runs = F.col("n"), F.col("nb_non"), {k: F.col(f"{k}_runs") for k in ends}
-    size = {c: F.size(c) for c in ("pb", "pn")}
+    rows = _bound(rows, of_pn=of_pn, words=F.size("word_at"), word_sum=total(word), prob_sum=total("raw"), b_sum=total("rb"), b_squares=total("rb", lambda x: x * x), n_sum=total("rn"))
+    rows = _bound(rows, first=F.array_position("b", False) - 1, last=F.col("n") - F.array_position(F.reverse("b"), False))
+    n, nn, nb, runs = F.col("n"), F.size("pn"), F.size("pb"), {"b": F.size("rb"), "n": F.size("rn")}
+    sums = lambda c: F.col(f"of_pn.{c}")
+    within = lambda c, most: F.size(F.filter(c, lambda x: x <= most))
+    below = lambda t: F.size(F.filter("pn", lambda x: x < t / 100))
+    size = {"pb": nb, "pn": nn}
     rank = lambda c, q: F.element_at(c, F.greatest(F.lit(1), F.ceil(F.lit(q / 100.0) * size[c]).cast("int")))
 
     def error(q: int) -> Column:
         """Linear percentile of -ln(1 - p) over blank frames; it grows with p, so places in order are those of p."""
-        at = F.lit(q / 100.0) * (size["pb"] - 1)
-        low = F.floor(at).cast("int")
+        spot = F.lit(q / 100.0) * (nb - 1)
+        low = F.floor(spot).cast("int")
         value = lambda i: -F.ln(F.greatest(F.lit(EDGE), 1 - F.get("pb", i)))
-        return value(low) + (at - low) * (value(F.least(low + 1, size["pb"] - 1)) - value(low))
+        return value(low) + (spot - low) * (value(F.least(low + 1, nb - 1)) - value(low))
 
     b_mean = F.col("b_sum") / runs["b"]
     b_std = F.sqrt(F.greatest(F.lit(0.0), F.col("b_squares") / runs["b"] - b_mean * b_mean))
     seconds = speech_seconds("first", "last", F.lit(frame_len))
     made = {
-        "ctc_blank_mean_run_fraction": b_mean / n, "ctc_nonblank_mean_run_fraction": F.col("n_sum") / runs["n"] / n, "ctc_blank_max_run_fraction": F.col("b_max") / n,
-        "ctc_nonblank_error_geom_mean": F.exp(F.col("log_err") / nn), "ctc_nonblank_geom_mean": F.exp(F.col("log") / nn), "ctc_nonblank_error_mean": F.col("err") / nn, "ctc_nonblank_harmonic_mean": nn / F.col("inv"),
-        "ctc_nonblank_to_blank_ratio": nn / F.greatest(F.lit(1), F.col("nb_blank")), "ctc_blank_log_ratio": F.ln((F.col("nb_blank") + 1.0) / (nn + 1.0)),
+        "ctc_blank_mean_run_fraction": b_mean / n, "ctc_nonblank_mean_run_fraction": F.col("n_sum") / runs["n"] / n, "ctc_blank_max_run_fraction": F.array_max("rb") / n,
+        "ctc_nonblank_error_geom_mean": F.exp(sums("log_err") / nn), "ctc_nonblank_geom_mean": F.exp(sums("log") / nn), "ctc_nonblank_error_mean": sums("err") / nn, "ctc_nonblank_harmonic_mean": nn / sums("inv"),
+        "ctc_nonblank_to_blank_ratio": nn / F.greatest(F.lit(1), nb), "ctc_blank_log_ratio": F.ln((nb + 1.0) / (nn + 1.0)),
         "ctc_blank_range": rank("pb", 100) - rank("pb", 0), "ctc_nonblank_p001": rank("pn", 1), "ctc_blank_run_len_cv": b_std / b_mean,
-        "ctc_nonblank_short_run_fraction": F.col("n_le2") / runs["n"], "ctc_blank_short_run_fraction": F.col("b_le2") / runs["b"],
+        "ctc_nonblank_short_run_fraction": within("rn", 2) / runs["n"], "ctc_blank_short_run_fraction": within("rb", 2) / runs["b"],
         "ctc_token_count": n.cast("double"), "ctc_prob_sum": F.col("prob_sum"), "ctc_word_count": F.col("words").cast("double"), "ctc_word_prob_sum": F.col("word_sum"),
         "ctc_wpm": words_per_minute("words", seconds), "ctc_blank_neglog_error_p50": error(50),
         **{f"ctc_{k}_p{q:03d}": rank(c, q) for k, c in (("blank", "pb"), ("nonblank", "pn")) for q in DECILES},
-        **{f"ctc_nonblank_frac_lt_{t}": F.col(f"lt{t}") / nn for t in range(10, 100, 10)},
-        **{f"ctc_{k}_run_le_{i}": F.col(f"{c}_le{i}") / runs[c] for k, c in (("blank", "b"), ("nonblank", "n")) for i in range(1, 6)},
+        **{f"ctc_nonblank_frac_lt_{t}": below(t) / nn for t in range(10, 100, 10)},
+        **{f"ctc_{k}_run_le_{i}": within(f"r{c}", i) / runs[c] for k, c in (("blank", "b"), ("nonblank", "n")) for i in range(1, 6)},
         **{f"ctc_blank_neglog_error_p{q:03d}": error(q) for q in DECILES},
     }
-    return total.select(key, *[made[f].alias(f) for f in (FULL if full else STANDARD)])
+    return rows.select(key, *[made[f].alias(f) for f in (FULL if full else STANDARD)])
 
 
 def stream_features(tokens: np.ndarray, probs: np.ndarray, frame_len: float = 0.04) -> dict[str, float] | None:
