@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
+from ..operators.ensemble import ensemble_samples
 from ..operators.features import STANDARD, ctc_features
 from ..operators.metrics import per_dataset_metrics, regression_metrics
-from ..operators.segments import fixed_spans, slice_utterance, with_alignment, with_tokens
+from ..operators.segments import fixed_spans, segment_dataset, slice_utterance, with_alignment, with_tokens
 from ..operators.windows import aggregate_windows, pack_windows, window_targets
 from .model import Predictor, predict
 
@@ -36,6 +37,36 @@ def evaluate_windows(windows: DataFrame, predictor: Predictor, key: str = "group
     return aggregate_windows(window_predictions(windows, predictor, key), key)
 
 
+def dataset_test_samples(recs: DataFrame, n: int, seed: int = 13, variants: DataFrame | None = None, min_words: int = 512, max_words: int = 512, min_segments: int = 2, segment_words: tuple[int, int] = (10, 256), full: bool = False) -> DataFrame:
+    """Samples with features of each dataset's own test recordings, n a dataset: sample_id, dataset_idx, split, accuracy, ref_words.
+
+    recs have split and dataset_idx; rows that are not of the test split or of no dataset are not read. All datasets are
+    segmented, drawn and gathered in one job, keyed by dataset. ``variants`` (dataset_idx, variants) tells how often each
+    dataset is segmented, once where it does not; a dataset without test segments has no samples."""
+    most = (variants.agg(F.max("variants")).first()[0] or 1) if variants is not None else 1
+    rows = recs.where((F.col("split") == "test") & F.col("dataset_idx").isNotNull())
+    # Frames stay in this table; pools are made of ids and counts.
+    parts = segment_dataset(rows, seed, most, *segment_words)
+    if variants is not None:
+        told = variants.select(F.col("dataset_idx").alias("__of"), "variants")
+        parts = parts.join(told, parts["dataset_idx"] == told["__of"], "left").where(F.col("variant") < F.coalesce("variants", F.lit(1))).drop("__of", "variants")
+    samples = ensemble_samples(checkpointed(parts), n, seed, min_words, max_words, min_segments, "dataset_idx")
+    named = samples.withColumn("sample_id", F.concat_ws("_", F.lit("test"), F.col("dataset_idx").cast("string"), F.col("sample_id").cast("string"))).withColumn("split", F.lit("test"))
+    return ctc_features(named.select("sample_id", "dataset_idx", "split", "accuracy", "ref_words", "ctc_tokens", "ctc_probs", "ctc_frame_len"), full=full)
+
+
+def sample_metrics(predictions: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """(partition, dataset_idx, mae, mse, pearson_correlation, n_points) of samples by their split and dataset; every sample weighs alike.
+
+    Of ``datasets`` (dataset_idx), those without test samples have errors of 0, no correlation and no points. Rows without a
+    dataset count in no dataset."""
+    found = regression_metrics(predictions.where("dataset_idx IS NOT NULL").withColumnRenamed("split", "partition"), ["partition", "dataset_idx"])
+    if datasets is None:
+        return found
+    named = datasets.select("dataset_idx").where("dataset_idx IS NOT NULL").distinct().select(F.lit("test").alias("partition"), "dataset_idx")
+    return named.join(found, ["partition", "dataset_idx"], "full").fillna(0.0, ["mae", "mse"]).fillna(0, ["n_points"]).select(found.columns)
+
+
 def partition_names(name: str, levels: tuple[float, ...] = ()) -> list[str]:
     """``name`` for clean rows, ``name_snr`` for clean rows and all noise levels, ``name_snr_S`` for clean rows and level S."""
     return [name, f"{name}_snr", *(f"{name}_snr_{level_name(s)}" for s in levels)]

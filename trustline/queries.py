@@ -381,8 +381,11 @@ def draw_until_target(spark: SparkSession, d: str) -> DataFrame:
     return _drawn(spark, d).select("split", "sample_id", F.col("draw").cast("bigint").alias("draw"), "target", "words_before", "rank", "segment_id")
 
 
+_TEST_SEGMENTS = "SELECT * EXCLUDE (split), CAST(dataset_idx AS VARCHAR) AS split FROM segs WHERE split = 'test'"
+
+
 @query(sql(["segs"], "SELECT CAST(split AS INTEGER) AS dataset_idx, sample_id, draw, target, words_before, rank, segment_id FROM dw",
-  extra=[("tsegs", "SELECT * EXCLUDE (split), CAST(dataset_idx AS VARCHAR) AS split FROM segs WHERE split = 'test'")] + [(n, q.replace("FROM segs", "FROM tsegs")) for n, q in _DRAWS]))
+  extra=[("tsegs", _TEST_SEGMENTS)] + [(n, q.replace("FROM segs", "FROM tsegs")) for n, q in _DRAWS]))
 def dataset_test_draws(spark: SparkSession, d: str) -> DataFrame:
     """Draws of each dataset's own test segments."""
     pools = ensemble.accuracy_deciles(segs(spark, d).where("split = 'test'"), "dataset_idx")
@@ -390,6 +393,32 @@ def dataset_test_draws(spark: SparkSession, d: str) -> DataFrame:
     return out.select("dataset_idx", "sample_id", F.col("draw").cast("bigint").alias("draw"), "target", "words_before", "rank", "segment_id")
 
 
+_EST = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, accuracy * 0.8 + 0.1 + ((sample_id * 37) % 21 - 10) / 200.0::DOUBLE))"
+_TEST_DRAWS = [("tsegs", _TEST_SEGMENTS)] + [(n, q.replace("FROM segs", "FROM tsegs")) for n, q in _DRAWS]
+_DATASET_SAMPLES = _TEST_DRAWS + [
+    ("tested", "SELECT CAST(split AS INTEGER) AS dataset_idx, sample_id, greatest(0.0::DOUBLE, 1 - sum(edit_errors)::DOUBLE / sum(reference_words)) AS accuracy FROM dw GROUP BY 1, 2"),
+    ("samples", f"""SELECT 'test' AS partition, dataset_idx, accuracy, {_EST} AS estimated_accuracy FROM tested
+      UNION ALL SELECT 'validation', dataset_idx, accuracy, estimated_accuracy FROM (SELECT dataset_idx, accuracy, least(1.0::DOUBLE, greatest(0.0::DOUBLE, accuracy * 0.8 + 0.1 + (turn - 3) / 200.0::DOUBLE)) AS estimated_accuracy FROM segs
+        WHERE split = 'train' AND (CAST('0x' || substr(sha256(concat_ws(':', '13', segment_id)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496) < 0.2) q"""),
+]
+
+
+@query(sql(["segs"], """SELECT partition, dataset_idx, round(avg(abs(estimated_accuracy - accuracy)), 6) AS mae, round(avg((estimated_accuracy - accuracy) ** 2), 6) AS mse,
+      CASE WHEN count(*) < 2 OR min(accuracy) = max(accuracy) OR min(estimated_accuracy) = max(estimated_accuracy) THEN NULL
+        ELSE round(covar_pop(accuracy, estimated_accuracy) / (stddev_pop(accuracy) * stddev_pop(estimated_accuracy)), 6) END AS pearson_correlation, count(*) AS n_points FROM samples GROUP BY 1, 2
+  UNION ALL SELECT 'test', 99, 0.0, 0.0, NULL, 0""", extra=_DATASET_SAMPLES))
+def dataset_test_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics by dataset over samples drawn from each dataset's own test segments, and over held-out training segments; a dataset without rows is there too."""
+    rows = segs(spark, d)
+    drawn = ensemble.draw_until_target(ensemble.accuracy_deciles(rows.where("split = 'test'"), "dataset_idx"), 200, 13, 96, 128, by="dataset_idx")
+    sums = drawn.groupBy("dataset_idx", "sample_id").agg(F.sum("edit_errors").alias("e"), F.sum("reference_words").alias("w"))
+    estimate = lambda shift: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("accuracy") * 0.8 + 0.1 + shift / 200.0))
+    test = sums.withColumn("accuracy", X.accuracy("e", "w")).select(F.lit("test").alias("split"), "dataset_idx", "accuracy", estimate(F.col("sample_id") * 37 % 21 - 10).alias("estimated_accuracy"))
+    held = rows.where((F.col("split") == "train") & metrics.is_validation("segment_id")).select(F.lit("validation").alias("split"), "dataset_idx", "accuracy", estimate(F.col("turn") - 3).alias("estimated_accuracy"))
+    datasets = rows.select("dataset_idx").unionByName(spark.range(1).select(F.lit(99).alias("dataset_idx")))
+    return evaluate.sample_metrics(test.unionByName(held), datasets).select("partition", "dataset_idx", *[r6(c).alias(c) for c in ("mae", "mse", "pearson_correlation")], "n_points")
+
+
 @query(sql(["segs", "frames"], """SELECT dw.split, sample_id, count(DISTINCT draw) AS n_segments, md5(string_agg(token, '|' ORDER BY draw,
       frame)) AS tokens_md5, count(*) AS n_frames FROM dw
   JOIN segs USING (segment_id) JOIN frames ON frames.utt_id = segs.utt_id AND frame >= blk * 10 AND frame < blk * 10 + 10 GROUP BY 1, 2""", extra=_DRAWS))
@@ -767,6 +796,15 @@ def train_and_test(spark: SparkSession, d: str) -> DataFrame:
     return model.predictions(samples.where("split = 'test'"), p)
 
 
+@query()
+def dataset_test_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates on samples of each dataset's own test recordings, as many a dataset as the table has utterances in four."""
+    p, _ = _predictor(spark, d)
+    rows = splits.speaker_split(manifest.with_ids(recs(spark, d)))
+    variants = segments.estimate_variants(segments.segment_dataset(rows, max_words=40, keep_ctc=False), 4 * rows.count())
+    return model.predictions(evaluate.dataset_test_samples(rows, rows.count() // 4, variants=variants, min_words=64, max_words=64, segment_words=(10, 40)), p)
+
+
 @query()
 def validation_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Estimates on the training samples that were held out when the setting was chosen."""
