@@ -46,9 +46,22 @@ def attach_recognition(rows: DataFrame, recs: DataFrame, on_missing: str = "fail
     return joined.where(check).drop("__there")
 
 
-def pending_recognitions(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows without a stored recognition that is valid."""
-    return rows.join(stored.select("utt_id"), "utt_id", "left_anti")
+def valid_recognitions(docs: DataFrame, order: str = "batch") -> DataFrame:
+    """Of each utterance's stored documents the last usable one in ``order``; a batch that was stored twice counts once.
+
+    Which document it is follows from ids alone, so only the documents that stay are exchanged."""
+    usable = validate_recognition(docs).where("reason IS NULL AND utt_id IS NOT NULL").drop("reason", "frame_warning")
+    last = usable.groupBy("utt_id").agg(F.max(order).alias(order))
+    return usable.join(last, ["utt_id", order], "left_semi").dropDuplicates(["utt_id"])
+
+
+def pending_recognitions(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that are still to be recognised: those without a usable document among the stored ones.
+
+    Documents that are no list of events, lack a final one or have arrays missing or of different lengths do not count, so
+    their utterances are recognised again."""
+    usable = validate_recognition(docs.select("utt_id", "result")).where("reason IS NULL").select("utt_id")
+    return rows.join(usable, "utt_id", "left_anti")
 
 
 # The fields of a server's accuracy event.

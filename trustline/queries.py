@@ -136,7 +136,19 @@ def final_recognition(spark: SparkSession, d: str) -> DataFrame:
       WHEN 2 THEN 'ctc_lengths_differ' WHEN 3 THEN 'words_missing' WHEN 4 THEN 'word_lengths_differ' WHEN 6 THEN 'result_not_a_list' END AS reason,
   (conv_id + turn) % 8 = 5 AS frame_warning FROM utt WHERE utt_id IN (SELECT utt_id FROM refs WHERE op <> 0)"""))
 def validate_recognition(spark: SparkSession, d: str) -> DataFrame:
-    docs = fixtures.documents_of(recs(spark, d).where("size(word_array) > 0")).withColumn("k", F.expr("(conv_id + turn) % 8"))
+    docs = _faulty(fixtures.documents_of(recs(spark, d).where("size(word_array) > 0")), "(conv_id + turn) % 8")
+    return recognition.validate_recognition(docs).select("utt_id", "reason", "frame_warning")
+
+
+@query(sql(["utt", "hyps"], "SELECT u.utt_id, u.reference, n AS n_words FROM utt u JOIN (SELECT utt_id, count(*) AS n FROM hyps WHERE conv_id % 4 <> 0 GROUP BY 1) h ON u.utt_id = h.utt_id"))
+def attach_recognition(spark: SparkSession, d: str) -> DataFrame:
+    stored = recs(spark, d).where("conv_id % 4 <> 0 AND size(word_array) > 0").select("utt_id", F.size("word_array").cast("bigint").alias("n_words"))
+    return recognition.attach_recognition(utt(spark, d).select("utt_id", "reference"), stored, on_missing="drop")
+
+
+def _faulty(docs: DataFrame, k: str) -> DataFrame:
+    """docs whose result has the fault of number ``k`` of eight; 5 and 7 are usable."""
+    docs = docs.withColumn("k", F.expr(k))
     change = F.transform(
         "result",
         lambda e: e.withField("partial_result", F.when(F.col("k") == 0, F.lit(True)).otherwise(e["partial_result"]))
@@ -146,19 +158,44 @@ def validate_recognition(spark: SparkSession, d: str) -> DataFrame:
         .withField("word_times", F.when(F.col("k") == 4, F.concat(e["word_times"], e["word_times"])).otherwise(e["word_times"]))
         .withField("audio_duration", F.when(F.col("k") == 5, e["audio_duration"] + 1.0).otherwise(e["audio_duration"])),
     )
-    docs = docs.withColumn("result", F.when(F.col("k") != 6, change))
-    return recognition.validate_recognition(docs).select("utt_id", "reason", "frame_warning")
+    return docs.withColumn("result", F.when(F.col("k") != 6, change))
 
 
-@query(sql(["utt", "hyps"], "SELECT u.utt_id, u.reference, n AS n_words FROM utt u JOIN (SELECT utt_id, count(*) AS n FROM hyps WHERE conv_id % 4 <> 0 GROUP BY 1) h ON u.utt_id = h.utt_id"))
-def attach_recognition(spark: SparkSession, d: str) -> DataFrame:
-    stored = recs(spark, d).where("conv_id % 4 <> 0 AND size(word_array) > 0").select("utt_id", F.size("word_array").cast("bigint").alias("n_words"))
-    return recognition.attach_recognition(utt(spark, d).select("utt_id", "reference"), stored, on_missing="drop")
+def _recognised_in_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stored in two batches, the second of which is stored twice; many of them are not usable."""
+    path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
+    docs = fixtures.documents_of(recs(spark, d).where("size(word_array) > 0"))
+    for batch, rows in ((0, _faulty(docs, "(conv_id + turn) % 8")), (1, docs.where("turn % 3 = 0").limit(0)), (1, _faulty(docs.where("turn % 3 = 0"), "(conv_id + 2 * turn) % 8"))):
+        files.store_recognitions(rows.select("utt_id", "audio_path", "reference", "result"), path, batch)
+    return files.stored_recognitions(spark, path)
+
 
+_STORED = [("docs", """SELECT utt_id, CASE WHEN turn % 3 = 0 AND (conv_id + 2 * turn) % 8 IN (5, 7) THEN 1 WHEN (conv_id + turn) % 8 IN (5, 7) THEN 0 END AS batch
+      FROM (SELECT DISTINCT utt_id, conv_id, turn FROM hyps) q""")]
 
-@query(sql(["utt"], "SELECT utt_id, audio_path FROM utt WHERE conv_id % 4 = 0"))
+
+@query(sql(["utt", "hyps"], "SELECT utt_id, audio_path FROM utt WHERE utt_id NOT IN (SELECT utt_id FROM docs WHERE batch IS NOT NULL)", extra=_STORED))
 def pending_recognitions(spark: SparkSession, d: str) -> DataFrame:
-    return recognition.pending_recognitions(utt(spark, d), utt(spark, d).where("conv_id % 4 <> 0")).select("utt_id", "audio_path")
+    """What is still to be recognised when two batches are stored, with many documents that are not usable."""
+    return recognition.pending_recognitions(utt(spark, d), _recognised_in_batches(spark, d)).select("utt_id", "audio_path")
+
+
+@query(sql(["utt", "hyps"], "SELECT utt_id, batch, n AS n_words FROM docs JOIN (SELECT utt_id, count(*) AS n FROM hyps GROUP BY 1) q USING (utt_id) WHERE batch IS NOT NULL", extra=_STORED))
+def valid_recognitions(spark: SparkSession, d: str) -> DataFrame:
+    """The last usable document of every utterance, and the words of its final event."""
+    rows = recognition.final_recognition(recognition.valid_recognitions(_recognised_in_batches(spark, d)))
+    return rows.select("utt_id", "batch", F.size("final.word_array").cast("bigint").alias("n_words"))
+
+
+@query(sql(["utt"], """SELECT utt_id, CASE WHEN conv_id % 13 = 0 THEN 'audio_not_present' END AS reason, CASE WHEN conv_id % 13 <> 0 THEN octet_length(encode(reference)) + 1 END AS n_bytes FROM utt WHERE trim(reference) <> ''"""))
+def audio_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest rows against a listing of files that were written before, one an utterance, some of them not: reasons and sizes."""
+    path = f"{scratch_dir(spark)}/audio-{uuid.uuid4().hex}"
+    rows = utt(spark, d).where("trim(reference) <> ''")
+    rows.where("conv_id % 13 <> 0").select("utt_id", F.col("reference").alias("value")).repartition("utt_id").write.partitionBy("utt_id").text(path)
+    listing = files.list_audio(spark, path, "*.txt").select(F.concat(F.lit("audio/"), F.regexp_extract("audio_path", "utt_id=([^/]+)/", 1), F.lit(".wav")).alias("audio_path"), "length")
+    told = manifest.rejected_manifest(rows.withColumns({"named_by_file": F.lit(False), "input_order": F.lit(0)}), listing)
+    return told.join(listing, "audio_path", "left").select("utt_id", "reason", F.col("length").alias("n_bytes"))
 
 
 @query(sql(["utt"], """SELECT file, window_idx, coalesce(s_acc, acc) AS estimated_accuracy, coalesce(s_wpm, wpm) AS words_per_minute FROM (
@@ -897,7 +934,6 @@ def accuracy_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
         "estimated_accuracy", F.lit(0.5).alias("speech_ratio"), F.lit(0.5).alias("non_speech_ratio"),
     )
     path = f"{scratch_dir(spark)}/accuracy-{uuid.uuid4().hex}"
-    report = score.accuracy_report(rows)
-    files.write_accuracy_report(report, path)
-    read = spark.read.schema(report.schema).json(path)
+    files.write_window_reports(rows, path)
+    read = spark.read.schema(score.accuracy_report(rows).schema).json(path, multiLine=True)
     return read.select("file", "words", F.round("expected_errors", 5).alias("expected_errors"), F.size("windows").cast("bigint").alias("n_windows"), F.col("windows")[0]["window_idx"].alias("first_window"))
