@@ -15,26 +15,31 @@ from .model import Predictor, predict
 
 
 def real_windows(recs: DataFrame, window: int, key: str = "group_id") -> DataFrame:
-    """Segments of fixed spans with ``window_idx``, packed by key; frames stay with the segments."""
-    aligned = with_alignment(with_tokens(recs))
+    """Segments of fixed spans with ``window_idx``, packed by key; frames stay with the segments.
+
+    recs that have ``ref_to_hyp`` and tokens are aligned already."""
+    aligned = recs if "ref_to_hyp" in recs.columns else with_alignment(with_tokens(recs))
     segments = slice_utterance(fixed_spans(aligned, window)).withColumn("chunk", F.col("ref_start"))
     # Only sizes are packed; frames meet the windows again by segment.
     placed = pack_windows(segments.select(key, "utt_id", "chunk", "hypothesis_words", "segment_id"), key, window)
     return segments.join(placed.select("segment_id", "window_idx"), "segment_id")
 
 
-def window_predictions(windows: DataFrame, predictor: Predictor, key: str = "group_id") -> DataFrame:
-    """Targets and estimates of every window; windows whose features fail have the estimate 0."""
-    targets = window_targets(windows, key)
+def window_streams(windows: DataFrame, key: str = "group_id") -> DataFrame:
+    """(key, window_idx, ctc_frame_len, ctc_tokens, ctc_probs): each window's frames end to end, by utterance and chunk."""
     frames = windows.groupBy(key, "window_idx").agg(F.array_sort(F.collect_list(F.struct("utt_id", "chunk", "ctc_tokens", "ctc_probs"))).alias("s"), F.max("ctc_frame_len").alias("ctc_frame_len"))
-    streams = frames.select(key, "window_idx", "ctc_frame_len", F.flatten(F.transform("s", lambda s: s["ctc_tokens"])).alias("ctc_tokens"), F.flatten(F.transform("s", lambda s: s["ctc_probs"])).alias("ctc_probs"))
-    features = ctc_features(streams, full=set(predictor.features) - set(STANDARD) != set(), keep_invalid=True)
-    return targets.join(predict(features, predictor).select(key, "window_idx", "estimated_accuracy"), [key, "window_idx"])
+    return frames.select(key, "window_idx", "ctc_frame_len", F.flatten(F.transform("s", lambda s: s["ctc_tokens"])).alias("ctc_tokens"), F.flatten(F.transform("s", lambda s: s["ctc_probs"])).alias("ctc_probs"))
+
+
+def window_estimates(windows: DataFrame, predictor: Predictor, key: str = "group_id") -> DataFrame:
+    """(key, window_idx, estimated_accuracy); windows whose features fail have the estimate 0."""
+    features = ctc_features(window_streams(windows, key), full=set(predictor.features) - set(STANDARD) != set(), keep_invalid=True)
+    return predict(features, predictor).select(key, "window_idx", "estimated_accuracy")
 
 
-def evaluate_windows(windows: DataFrame, predictor: Predictor, key: str = "group_id") -> DataFrame:
-    """Accuracy and estimate of every key from its windows."""
-    return aggregate_windows(window_predictions(windows, predictor, key), key)
+def evaluate_windows(windows: DataFrame, estimates: DataFrame, key: str = "group_id") -> DataFrame:
+    """Accuracy and estimate of every key from its windows and their estimates."""
+    return aggregate_windows(window_targets(windows, key).join(estimates, [key, "window_idx"]), key)
 
 
 def dataset_test_samples(recs: DataFrame, n: int, seed: int = 13, variants: DataFrame | None = None, min_words: int = 512, max_words: int = 512, min_segments: int = 2, segment_words: tuple[int, int] = (10, 256), full: bool = False) -> DataFrame:
@@ -96,7 +101,7 @@ def evaluate_partitions(recs: DataFrame, predictor: Predictor, window: int = 512
         # Sums and frames are both taken from the windows, so they are made once.
         windows = checkpointed(real_windows(recs, window, key))
         names = recs.groupBy(key).agg(F.min("dataset_idx").alias("dataset_idx"), F.max("snr").alias("snr"))
-        done = union_partitions(evaluate_windows(windows, predictor, key).join(names, key), name, levels).withColumnRenamed(key, "sample_id").drop("snr")
+        done = union_partitions(evaluate_windows(windows, window_estimates(windows, predictor, key), key).join(names, key), name, levels).withColumnRenamed(key, "sample_id").drop("snr")
         out = done if out is None else out.unionByName(done)
     return out
 

@@ -606,6 +606,49 @@ def pack_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.pack_windows(segs(spark, d).withColumn("chunk", F.col("blk")), "conv_id", 64).select("segment_id", "window_idx")
 
 
+_REAL = _SEGMENTS + [
+    ("recorded", """SELECT 'rec' || conv_id AS group_id, d.utt_id, d.ref_start, len(r) AS reference_words, len(h) AS hypothesis_words, prow[-1] AS edit_errors, start_time, end_time FROM dp d
+      JOIN cut USING (utt_id, ref_start) JOIN utt u ON u.utt_id = d.utt_id WHERE i = len(r) AND n_frames <= 80 * len(r) AND blanks > 0 AND blanks < n_frames AND conv_id % 3 <> 0"""),
+    ("ch", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY utt_id, ref_start) AS k, count(*) OVER (PARTITION BY group_id) AS total FROM recorded"),
+    ("pk", """SELECT group_id, utt_id, ref_start, k, total, 0 AS w, CASE WHEN hypothesis_words >= 16 THEN 1 ELSE 0 END AS nw, CASE WHEN hypothesis_words >= 16 THEN 0 ELSE hypothesis_words END AS n FROM ch WHERE k = 1
+      UNION ALL SELECT ch.group_id, ch.utt_id, ch.ref_start, ch.k, ch.total, pk.nw, pk.nw + CASE WHEN pk.n + hypothesis_words >= 16 THEN 1 ELSE 0 END,
+      CASE WHEN pk.n + hypothesis_words >= 16 THEN 0 ELSE pk.n + hypothesis_words END FROM pk JOIN ch ON ch.group_id = pk.group_id AND ch.k = pk.k + 1"""),
+    ("wins", "SELECT c.*, a.w FROM pk a JOIN pk z ON z.group_id = a.group_id AND z.k = z.total JOIN ch c ON c.group_id = a.group_id AND c.k = a.k WHERE a.w < z.nw OR z.n >= 10"),
+    ("streams", """SELECT group_id, w, md5(string_agg(token, '|' ORDER BY k, frame)) AS tokens_md5, count(*) AS n_frames, avg(raw) AS est FROM wins s
+      JOIN frames f ON f.utt_id = s.utt_id AND (frame + 0.5::DOUBLE) * 0.04::DOUBLE >= start_time AND (frame + 0.5::DOUBLE) * 0.04::DOUBLE < end_time GROUP BY 1, 2"""),
+    ("sums", "SELECT group_id, w, sum(edit_errors) AS e, sum(reference_words) AS r, sum(hypothesis_words) AS h, greatest(0.0::DOUBLE, 1 - sum(edit_errors)::DOUBLE / sum(reference_words)) AS accuracy FROM wins GROUP BY 1, 2"),
+]
+
+
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    rows = _planted(spark, d).withColumns({"ref_tokens": F.col("ref_words"), "hyp_tokens": F.col("word_array")}).drop("spans")
+    return evaluate.real_windows(rows, 16)
+
+
+@query(sql(["utt", "times", "frames"], "SELECT group_id, utt_id, CAST(ref_start AS BIGINT) AS ref_start, CAST(w AS INTEGER) AS window_idx, reference_words, hypothesis_words, edit_errors FROM wins", True, _REAL))
+def real_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of 16 reference words on the planted alignment, packed to windows of each recording."""
+    return _recorded(spark, d).select("group_id", "utt_id", F.col("ref_start").cast("bigint").alias("ref_start"), "window_idx", "reference_words", "hypothesis_words", "edit_errors")
+
+
+@query(sql(["utt", "times", "frames"], "SELECT group_id, CAST(w AS INTEGER) AS window_idx, tokens_md5, n_frames FROM streams", True, _REAL))
+def window_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of every window of every recording, end to end."""
+    out = evaluate.window_streams(_recorded(spark, d))
+    return out.select("group_id", "window_idx", F.md5(F.array_join("ctc_tokens", "|").cast("binary")).alias("tokens_md5"), F.size("ctc_tokens").cast("bigint").alias("n_frames"))
+
+
+@query(sql(["utt", "times", "frames"], """SELECT group_id, CAST(sum(h) AS BIGINT) AS hyp_words, round(sum(h * accuracy) / sum(h), 6) AS accuracy, round(sum(h * est) / sum(h), 6) AS estimated_accuracy, CAST(sum(r) AS BIGINT) AS ref_words,
+      count(*) AS n_windows, round(sum(h * accuracy) / sum(h) - sum(h * est) / sum(h), 6) AS residual FROM sums JOIN streams USING (group_id, w) GROUP BY 1 HAVING sum(h) > 0""", True, _REAL))
+def evaluate_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of every recording from its windows, against the mean probability of their frames as their estimates."""
+    rows = checkpointed(_recorded(spark, d))
+    mean = F.aggregate("ctc_probs", F.lit(0.0), lambda a, x: a + x) / F.size("ctc_probs")
+    estimates = evaluate.window_streams(rows).select("group_id", "window_idx", mean.alias("estimated_accuracy"))
+    out = evaluate.evaluate_windows(rows, estimates)
+    return out.select("group_id", "hyp_words", r6("accuracy").alias("accuracy"), r6("estimated_accuracy").alias("estimated_accuracy"), "ref_words", "n_windows", r6("residual").alias("residual"))
+
+
 _TARGETS = _CHUNKS + [
     ("wt", """SELECT conv_id, window_idx, CAST(sum(edit_errors) AS BIGINT) AS edit_errors, CAST(sum(reference_words) AS BIGINT) AS ref_words,
       CAST(sum(hypothesis_words) AS BIGINT) AS hyp_words, count(*) OVER (PARTITION BY conv_id) AS n_windows,
