@@ -359,26 +359,56 @@ def test_words_apart_equal_the_whole_text():
     assert 50256 in np.frombuffer(words.documents(pa.array(["one <|endoftext|> two"]))[0], f"<u{words.width}")
 
 
-def test_small_sources_keep_their_shares(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ROUND_WINDOWS", 4)
-    # Forty sources of equal size lie one after another in the table and would come so without rounds.
-    rows = [(i, "word " * 120, f"s{i // 50:02d}") for i in range(2000)]
+@pytest.mark.parametrize(("sources", "docs", "least_piece"), [(200, 30, 1), (200, 30, 64), (40, 50, 64), (3, 300, 64)])
+def test_all_sources_keep_their_shares(spark, sources, docs, least_piece):
+    # Sources of equal size lie one after another in the table.
+    rows = [(i, f"word {i % 7} " * 30, f"s{i // docs:03d}") for i in range(sources * docs)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3, "source")
-    pieces = packing.pack(df, queries.BYTE_BPE, least_share=0.1).collect()
+    pieces = packing.pack(df, queries.BYTE_BPE, least_piece=least_piece).collect()
     packed_ok(pieces, {i: token_ids(t) for i, t, _ in rows})
     windows = collections.defaultdict(collections.Counter)
     for p in pieces:
-        windows[p.sequence_id][p.doc_id // 50] += p.length
-    # After any number of windows a source is at most two rounds and a document away from its share.
-    done, quantum = collections.Counter(), sum(p.length for p in pieces) / (sum(p.length for p in pieces) // 8192) / 40
+        windows[p.sequence_id][p.doc_id // docs] += p.length
+    total, done = sum(p.length for p in pieces), collections.Counter()
+    tokens = collections.Counter()
+    for w in windows.values():
+        tokens.update(w)
+    # After any number of windows a source is at most a round, which gives it least_piece tokens or a few more, from its share.
+    slack = 2 if least_piece == 1 or sources == 3 else 2 * least_piece
     for w in sorted(windows):
         done.update(windows[w])
-        assert all(abs(done[s] - sum(done.values()) / 40) < 2 * quantum + 122 for s in range(40))
+        assert all(abs(done[s] - sum(done.values()) * tokens[s] / total) <= slack for s in range(sources))
+    if least_piece == 1:
+        assert all(abs(w[s] - 2048 * tokens[s] / total) <= 2 for i, w in windows.items() if i < max(windows) for s in range(sources))
+
+
+def test_sources_of_all_sizes(spark):
+    rng = random.Random(6)
+    sizes = [1, 1, 2, 3, 7, 20, 60, 200, 700]
+    rows = [(s, i) for s, n in enumerate(sizes) for i in range(n)]
+    rng.shuffle(rows)
+    rows = [(k, " ".join(["token"] * rng.choice([0, 1, 40, 300])), f"s{s}") for k, (s, _) in enumerate(rows)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5), queries.BYTE_BPE).collect()
+    packed_ok(pieces, {i: token_ids(t) for i, t, _ in rows})
+
+
+@pytest.mark.parametrize("tokens", [[5, 9, 6, 8], [1, 1], [64, 127, 100], [1000]])
+@pytest.mark.parametrize("rounds", [1, 2, 3, 7])
+def test_rounds_give_every_token_once(tokens, rounds):
+    r, starts = packing.Rounds(sum(tokens), rounds), [sum(tokens[:i]) for i in range(len(tokens))]
+    places = []
+    for low, n in zip(starts, tokens):
+        for at in range(n):
+            (place, one), = r.runs(at, 1, low, low + n)
+            places.append(place)
+        runs = list(r.runs(0, n, low, low + n))
+        assert sum(m for _, m in runs) == n and [p for a, m in runs for p in range(a, a + m)] == places[-n:]
+    assert sorted(places) == list(range(sum(tokens)))
 
 
 def test_packing_of_clashing_columns_and_null_sources(spark, odd):
     clash = odd.withColumnsRenamed({"lang": "part", "shard": "queue_key", "score": "ids"})
-    pieces = packing.pack(clash, queries.BYTE_BPE, least_share=0.9).collect()
+    pieces = packing.pack(clash, queries.BYTE_BPE, least_piece=2000).collect()
     assert sum(p.length for p in pieces) == sum(len(token_ids(r.text)) for r in odd.collect())
     one = packing.pack(odd, queries.BYTE_BPE, target={"s": 1.0}).collect()
     assert sum(p.length for p in one) == sum(p.length for p in pieces)

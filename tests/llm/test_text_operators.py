@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,7 +54,7 @@ def test_agendas_together_equal_the_heap_and_the_library(monkeypatch):
 
 def test_parts_that_are_forgotten_come_again():
     vocab, made = piece_codec.vocabulary(queries.PIECE_MODEL), []
-    known = Recent(lambda parts: made.extend(parts) or piece_codec._made(vocab, parts), most=3)
+    known = Recent(lambda parts: made.extend(parts) or piece_codec._made(vocab, parts), most_bytes=3, size=lambda *_: 1)
     first = known.of(["▁one", "▁two", "", "\n", "▁three"])
     assert first[2] == ("", 0, "") and known.of(["▁four", "▁one"])[1] == first[0]
     for i in range(4):
@@ -319,3 +320,26 @@ def test_fold_is_crc32_of_the_text(spark):
 def test_queries_return_a_row_a_document(spark, sf_dir, name):
     out = queries.QUERIES[name](spark, sf_dir)
     assert out.count() == out.select("doc_id").distinct().count() == table(spark, sf_dir, "documents").count()
+
+
+def test_clauses_of_long_texts_are_those_of_a_naive_reading_and_take_linear_time():
+    model = toxicity.Toxicity({"idiot": 1.0, "scum": 0.5})
+
+    def naive(text):
+        """A match's clause by looking for the nearest ends on both sides."""
+        done = -1
+        for m in model._finditer(text):
+            if m.start() >= done:
+                a = max(text.rfind(e, 0, m.start()) for e in ("\n", ". ", "? ", "! "))
+                done = min([e for e in (text.find(e, m.end()) for e in ("\n", ". ", "? ", "! ")) if e >= 0], default=len(text))
+                yield text[a + 1 : done]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["idiot", "scum", "you", " ", " ", ". ", ".", "?", "! ", "\n", ", ", "x", "not "]) for _ in range(rng.randrange(60)))
+        assert list(model.clauses(text)) == list(naive(text))
+    for line in ("they said you are an idiot of scum and more\n", "an idiot, and then some words "):
+        text = line * (5_000_000 // len(line))
+        began = time.perf_counter()
+        paths = model.paths(text)
+        assert time.perf_counter() - began < 30 and paths.sum() > 0

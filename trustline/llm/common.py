@@ -97,30 +97,31 @@ def append_columns(
 
 
 class Recent:
-    """What strings stand for, made in batches and kept while it is met: strings that a whole generation has not met go."""
+    """What strings stand for, made in batches and kept while it is met: strings that a whole generation has not met go.
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
+    A generation ends when it holds ``most_bytes``, by ``size`` of each string and its value, so a worker keeps about twice that."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most_bytes: int, size: Callable[[str, object], int]):
+        self.make, self.most, self.size, self.young, self.old, self.held = make, most_bytes, size, {}, {}, 0
 
     def of(self, strings: list[str]) -> list:
         """The values of distinct strings, in order; all that are new are made at once."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+        if self.held > self.most:
+            self.young, self.old, self.held = {}, self.young, 0
         found = list(map(self.young.get, strings))
-        new = []
+        new, met = [], []
         for row in [i for i, f in enumerate(found) if f is None]:
             if (kept := self.old.get(strings[row])) is not None:
                 found[row] = self.young[strings[row]] = kept
+                met.append(row)
             else:
                 new.append(row)
         if new:
             for row, made in zip(new, self.make([strings[row] for row in new]), strict=True):
                 found[row] = self.young[strings[row]] = made
+        self.held += sum(self.size(strings[row], found[row]) for row in (*met, *new))
         return found
 
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
 
 def running_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """df with ``out``: the sum of ``value`` over all rows before this one in the order of ``order``, which no two rows share.

@@ -7,10 +7,12 @@ taken floor(n A_s / T) tokens when n tokens are packed: windows are exactly full
 token, and any task finds its documents' windows by arithmetic from the document's place in its queue. No task steps
 through windows of others.
 
-A queue with under ``least_share`` of the tokens would get a few tokens of a window, and its documents many pieces. Such
-queues share one queue of windows, which serves them by rounds: in each round each of them has its share of the round, a
-document starts in the round that its place in its queue falls in, and what it takes beyond the share is carried to the
-rounds after. A target mixture is met while all its queues last; what is left then follows in the proportions left.
+A queue whose share of a window is under ``least_piece`` tokens would cut its documents to shreds. Such queues form classes
+by size, each of which is a queue of windows, and inside a class the same law holds for rounds: after r of R rounds the
+queues up to s of the class, with B_s tokens, have given floor(r B_s / R). A round is as long as it takes to give the
+smallest queue of its class ``least_piece`` tokens, so a source has its share, to the token, in every run of windows in
+which it is due so many. B_(s-1) and B_s travel as columns; the driver knows classes, not sources. A target mixture is met
+while all its queues last; what is left then follows in the proportions left.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache, partial
 
 import numpy as np
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import Recent, release_memory, running_sums, slices, stored
 
-CACHE_WORDS = 300_000
+# Of words and their ids that a worker keeps from task to task; a word and its place in a table take about 200 more.
+CACHE_BYTES = 96 << 20
 # The library reads so many words in one text; much longer texts cost it more a word.
 READ_TOGETHER = 1000
-ROUND_WINDOWS = 32
 large = partial(pa.scalar, type=pa.large_string())
 
 
@@ -49,7 +52,7 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Recent(self._made, CACHE_WORDS)
+        self.known = Recent(self._made, CACHE_BYTES, lambda word, ids: 200 + 2 * len(word) + len(ids))
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.apart = told["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told["normalizer"]
@@ -142,8 +145,6 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
                     [batch.column("doc_id"), batch.column("queue_key"), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "queue_key", "part", "before", "doc_tokens", "ids"],
                 )
-        # A task meets more words than are kept, so keeping them for the next one gains little.
-        words.known.clear()
         release_memory()
 
     source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), queue_key(F.col(f"`{queue_col}`")).alias("queue_key")).withColumn("part", F.spark_partition_id())
@@ -204,26 +205,45 @@ class Mixture:
         return w
 
 
-def _in_rounds(sizes: DataFrame, placed: DataFrame, shared: DataFrame, rounds: int) -> DataFrame:
-    """placed with ``at`` of the queues in ``shared`` (part, queue_key, base, tokens) set to their place in the shared queue.
-
-    A document belongs to the round in which its place in its own queue falls; rounds are served in order, and within one
-    the documents of a part and queue stay together. Only counts are exchanged here."""
-    turn = F.least(F.floor(F.col("at") / F.col("tokens") * rounds), F.lit(rounds - 1)).cast("bigint")
-    small = sizes.join(shared, ["part", "queue_key"]).withColumn("at", F.col("base") + F.col("before")).withColumn("turn", turn)
-    served = small.groupBy("turn", "part", "queue_key").agg(F.sum("doc_tokens").alias("n"), F.min("at").alias("first"))
-    starts = running_sums(served, ["turn", "part", "queue_key"], "n", "served").select("turn", "part", "queue_key", "first", "served")
-    found = placed.withColumn("turn", turn).join(stored(starts), ["turn", "part", "queue_key"], "left")
-    return found.withColumn("at", F.coalesce(F.col("served") + F.col("at") - F.col("first"), F.col("at")))
+@dataclass(frozen=True)
+class Rounds:
+    """How the queues of a class take turns: ``tokens`` of the class in ``rounds`` rounds."""
+
+    tokens: int
+    rounds: int
+
+    def taken(self, r: int, low: int, high: int) -> int:
+        """Tokens that the queue between the class's tokens ``low`` and ``high`` has given in the first r rounds."""
+        return r * high // self.rounds - r * low // self.rounds
+
+    def runs(self, at: int, n: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """(place in the class, length) of the queue's tokens from ``at`` on, a run for each round."""
+        if self.rounds == 1:
+            yield low + at, n
+            return
+        r, end = min(at * self.rounds // max(high - low, 1), self.rounds - 1), at + n
+        # The quota line is off by two tokens at most, so the round is near the guess.
+        while r > 0 and self.taken(r, low, high) > at:
+            r -= 1
+        while at < end:
+            before, after = self.taken(r, low, high), self.taken(r + 1, low, high)
+            stop = min(end, after)
+            if stop > at:
+                # What the round's queues before this one give, and what it has given itself.
+                start = r * self.tokens // self.rounds + (r + 1) * low // self.rounds - r * low // self.rounds
+                yield start + at - before, stop - at
+                at = stop
+            r += 1
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, target: dict[str, float] | None = None, least_share: float = 1 / 128,
+    df: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, target: dict[str, float] | None = None, least_piece: int = 64,
     id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source",
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents of df.
 
-    Every sequence but the last is exactly full and holds the mixture's proportions to the token. Null texts are empty and
+    Every sequence but the last is exactly full and holds the mixture's proportions to the token, for sources that are due
+    less than ``least_piece`` tokens a sequence every run of sequences in which they are due so many. Null texts are empty and
     give one token, the end id; null sources are a queue of their own; repeated rows, null ids too, are packed as often as
     they occur; an empty table gives no pieces; other columns of df are not read. A document longer than a sequence spans
     several.
@@ -235,45 +255,51 @@ def pack(
     by_queue = by_part.groupBy("queue_key").agg(F.sum("n").alias("tokens"), F.min("upto").alias("start"))
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
     wanted = {f"={name}" if name is not None else "": w for name, w in (target or {}).items()}
-    # At most 1 / least_share queues, whatever the number of sources, and those with a target.
-    own = by_queue.where((F.col("tokens") >= total * least_share) | F.col("queue_key").isin(list(wanted))).orderBy(F.desc("tokens"), "queue_key").collect()
-    counts = [r.tokens for r in own] + [total - sum(r.tokens for r in own)]
-    mixture = Mixture(counts, width, [wanted.get(r.queue_key, 0.0) for r in own] + [0.0] if target else None)
-    named = df.sparkSession.createDataFrame([(r.queue_key, i) for i, r in enumerate(own)], "queue_key string, queue int")
+    # A source that is due least_piece tokens a window, or has a target, is a class of its own; others are put together by
+    # powers of two. There are width / least_piece classes of the first kind at most, and one for each bit of the second.
+    alone = (F.col("tokens") * width >= F.lit(least_piece) * total) | F.col("queue_key").isin(list(wanted))
+    # Zeros lead: a class's name is its size, so classes are served from the largest.
+    size = lambda c: F.lpad(c.cast("string"), 20, "0")
+    named = F.when(alone, F.concat(F.lit("b"), size(F.col("tokens")), "queue_key")).otherwise(F.concat(F.lit("a"), size(F.length(F.bin("tokens")))))
+    # Where a queue begins and ends among the tokens of its class.
+    queues = running_sums(by_queue.withColumn("class", named), ["class", "queue_key"], "tokens", "below")
+    classes = queues.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.min("tokens").alias("least"), F.min("below").alias("start"), F.max("queue_key").alias("of"), F.count("*").alias("n")).orderBy(F.desc("class")).collect()
+    counts = [r.tokens for r in classes]
+    weights = [wanted.get(r.of, 0.0) if r.n == 1 else 0.0 for r in classes]
+    mixture = Mixture(counts, width, weights if any(weights) else None)
+    rounds = [Rounds(r.tokens, 1 if r.n == 1 else max(1, r.tokens // -(-least_piece * r.tokens // r.least))) for r in classes]
+    numbered = df.sparkSession.createDataFrame([(r["class"], i, r.start) for i, r in enumerate(classes)], "class string, queue int, class_start bigint")
+    low = (F.col("below") - F.col("class_start")).alias("low")
+    shares = queues.join(F.broadcast(numbered), "class").select("queue_key", "queue", "start", low, (low + F.col("tokens")).alias("high"))
     # Where the tokens of a part begin in their own queue. Written first, so that Spark knows its size: it is broadcast if
     # small enough, else ids are exchanged by part and queue.
-    places = stored(
-        by_part.join(by_queue, "queue_key").join(F.broadcast(named), "queue_key", "left")
-        .select("part", "queue_key", F.coalesce("queue", F.lit(len(own))).alias("queue"), (F.col("upto") - F.col("start")).alias("base"), "tokens")
-    )
-    at = F.col("base") + F.col("before")
-    placed = tokens.join(places, ["part", "queue_key"]).withColumn("at", at)
-    if counts[-1]:
-        placed = _in_rounds(tokens.drop("ids", "doc_id"), placed, places.where(F.col("queue") == len(own)), max(1, counts[-1] // (ROUND_WINDOWS * width)))
-    placed = placed.select("doc_id", "doc_tokens", "queue", "at", "ids")
+    places = stored(by_part.join(shares, "queue_key").select("part", "queue_key", "queue", "low", "high", (F.col("upto") - F.col("start")).alias("base")))
+    placed = tokens.join(places, ["part", "queue_key"]).select("doc_id", "doc_tokens", "queue", "low", "high", (F.col("base") + F.col("before")).alias("at"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "ids"):
                 rows, starts, lengths, crcs, windows, offsets = [], [], [], [], [], []
-                each = zip(*(batch.column(c).to_pylist() for c in ("queue", "at", "doc_tokens")), batch.column("ids"))
-                for row, (queue, at, n_ids, ids) in enumerate(each):
+                each = zip(*(batch.column(c).to_pylist() for c in ("queue", "low", "high", "at", "doc_tokens")), batch.column("ids"))
+                for row, (queue, low, high, at, n_ids, ids) in enumerate(each):
                     raw = memoryview(np.frombuffer(ids.as_buffer(), f"<u{len(ids.as_buffer()) // n_ids}").astype("<u4")).cast("B")
-                    here, end = at, at + n_ids
-                    w = mixture.window_of(here, queue)
-                    from_ = mixture.taken(w, queue)
-                    while here < end:
-                        upto = mixture.taken(w + 1, queue)
-                        stop = min(end, upto)
-                        if stop > here:
-                            n = w * width
-                            rows.append(row)
-                            starts.append(here - at)
-                            lengths.append(stop - here)
-                            crcs.append(zlib.crc32(raw[4 * (here - at) : 4 * (stop - at)]))
-                            windows.append(w)
-                            offsets.append(mixture.upto(n + width, queue - 1) - mixture.upto(n, queue - 1) + here - from_)
-                        here, from_, w = stop, upto, w + 1
+                    done = 0
+                    for here, n in rounds[queue].runs(at, n_ids, low, high):
+                        end, w = here + n, mixture.window_of(here, queue)
+                        from_ = mixture.taken(w, queue)
+                        while here < end:
+                            upto = mixture.taken(w + 1, queue)
+                            stop = min(end, upto)
+                            if stop > here:
+                                packed = w * width
+                                rows.append(row)
+                                starts.append(done)
+                                lengths.append(stop - here)
+                                crcs.append(zlib.crc32(raw[4 * done : 4 * (done + stop - here)]))
+                                windows.append(w)
+                                offsets.append(mixture.upto(packed + width, queue - 1) - mixture.upto(packed, queue - 1) + here - from_)
+                                done += stop - here
+                            here, from_, w = stop, upto, w + 1
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(take), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs)), batch.column("doc_tokens").take(take), pa.array(windows, pa.int64()), pa.array(offsets, pa.int64())],

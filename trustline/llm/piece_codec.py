@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from .common import SLICE_BYTES, Recent, append_columns
 
 SPACE = "▁"
-CACHE_PARTS = 300_000
+# Of parts, their ids and texts that a worker keeps; a string and its place in a table take about 300 more.
+CACHE_BYTES = 160 << 20
 # Agendas of longer parts are heaps, one part at a time.
 MOST_WIDTH = 128
 CHECKED_TOGETHER = 256
@@ -308,7 +309,7 @@ def _cut(strings: Strings, ids: np.ndarray, starts: np.ndarray) -> list[str]:
 
 @cache
 def known_parts(path: str) -> Recent:
-    return Recent(partial(_made, vocabulary(path)), CACHE_PARTS)
+    return Recent(partial(_made, vocabulary(path)), CACHE_BYTES, lambda part, made: 300 + 2 * len(part) + len(made[0]) + 2 * len(made[2]))
 
 
 def encode_ids(text: str | None, vocab: Vocabulary) -> list[int]:

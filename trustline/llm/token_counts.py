@@ -17,7 +17,8 @@ from .common import append_columns
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 800_000
+# Of words that a worker keeps; a word and its place in a table take about 150 more.
+CACHE_BYTES = 160 << 20
 
 
 def scored_pieces(model_path: str) -> list[tuple[str, float]]:
@@ -35,6 +36,7 @@ class Counter(dict):
         import ahocorasick
 
         super().__init__()
+        self.held = 0
         self.automaton = ahocorasick.Automaton()
         best: dict[str, float] = {}
         for piece, score in pieces:
@@ -50,8 +52,13 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> int:
         self[word] = n = self.count(word)
+        self.held += 150 + 2 * len(word)
         return n
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def count(self, word: str) -> int:
         n = len(word)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -98,7 +105,7 @@ def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", out_col
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         words = counter(model_path)
         out = [sum(map(words.__getitem__, split_words(t))) + t.count("\n") if t else 0 for t in batch.column(text_col).to_pylist()]
-        if len(words) > CACHE_WORDS:
+        if words.held > CACHE_BYTES:
             words.clear()
         return [pa.array(out, pa.int64())]
 

@@ -35,6 +35,7 @@ REPORTS = "said says wrote quoted claimed sagte schrieb behauptete dit écrit af
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_CLAUSE_END = re.compile(r"\n|[.?!] ").finditer
 STEM_LENGTHS = range(4, 11)
 # Texts of this score and more count as toxic.
 TOXIC_FROM = 0.3
@@ -144,16 +145,17 @@ class Toxicity:
         return float(paths @ self._factors)
 
     def clauses(self, text: str) -> Iterator[str]:
-        """The clauses in which something matches, in order; text is in lower case."""
-        done = -1
+        """The clauses in which something matches, in order; text is in lower case, and is gone through once."""
+        # Reported speech and negation reach over a comma, so a clause ends at a line or sentence end.
+        ends = _CLAUSE_END(text)
+        before, after, done = -1, next(ends, None), -1
         for m in self._finditer(text):
             if m.start() < done:
                 continue
-            # Reported speech and negation reach over a comma, so a clause ends at a line or sentence end.
-            a = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start()), text.rfind("? ", 0, m.start()), text.rfind("! ", 0, m.start()))
-            ends = [e for e in (text.find("\n", m.end()), text.find(". ", m.end()), text.find("? ", m.end()), text.find("! ", m.end())) if e >= 0]
-            done = min(ends, default=len(text))
-            yield text[a + 1 : done]
+            while after is not None and after.start() < m.start():
+                before, after = after.start(), next(ends, None)
+            done = after.start() if after is not None else len(text)
+            yield text[before + 1 : done]
 
     def paths(self, text: str) -> np.ndarray:
         """Weights of a whole text's scoring words, by path."""
