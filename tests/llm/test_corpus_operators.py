@@ -199,6 +199,48 @@ def test_near_pairs_share_filters(vectors):
     assert np.mean([bool(sets[i] & sets[i + 800]) for i in range(800)]) > 0.99
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_vectors_with_a_common_direction_meet_in_few_filters(common):
+    rng, n = np.random.default_rng(3), 20_000
+    direction = np.eye(64)[0] * np.sqrt(common)
+    noise = lambda k: (lambda z: np.sqrt(1 - common) * z / np.linalg.norm(z, axis=1, keepdims=True))(rng.normal(size=(k, 64)))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(direction + noise(n))
+    z = rng.normal(size=(600, 64))
+    z -= (z * x[:600]).sum(axis=1, keepdims=True) * x[:600]
+    y = 0.9501 * x[:600] + np.sqrt(1 - 0.9501**2) * unit(z)
+    how = cap_filters.Sizes.of(64, 2, n, 0.95, x.mean(axis=0))
+    assert (how.centre is None) == (common == 0)
+    places, loads = [], np.zeros(how.words**2, np.int64)
+    for part in (x, y):
+        directions, level = how.directions(part)
+        sets = [set() for _ in part]
+        for k, m in enumerate(how.lists):
+            rows = np.flatnonzero(level == k)
+            row, number = cap_filters.decode(directions[rows], 2, how.words, m)
+            loads += np.bincount(number, minlength=len(loads)) if part is x else 0
+            for r, f in zip(rows[row].tolist(), number.tolist()):
+                sets[r].add(f)
+        places.append(sets)
+    assert np.mean([bool(a & b) for a, b in zip(places[0], places[1])]) >= 0.98
+    assert (loads * (loads - 1) / 2).sum() < 0.1 * n * (n - 1) / 2
+
+
+def test_centred_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cap_filters, "CENTRED_FROM", 100)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16) * 2.2
+    centres = rng.normal(size=(90, 16)) + base
+    v = [list(map(float, c + rng.normal(size=16) * rng.choice([0.1, 0.4, 0.7]))) for c in centres for _ in range(4)] + [list(map(float, base)), [1.0, 2.0]]
+    unit = [np.array(x) / np.linalg.norm(x) for x in v]
+    links = [(a, b) for a in range(len(v)) for b in range(a) if len(v[a]) == len(v[b]) and unit[a] @ unit[b] >= 0.95]
+    degree, want = collections.Counter(i for p in links for i in p), groups(len(v), links)
+    got = {r.vec_id: r for r in cap_filters.near_vectors(spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>").repartition(3)).collect()}
+    assert 0.3 < np.mean([unit[i] @ unit[i + 7] for i in range(300)]) < 0.95
+    assert sum(got[i].n_links for i in range(len(v))) >= 0.99 * sum(degree.values()) and all(got[i].n_links <= degree[i] for i in range(len(v)))
+    assert np.mean([got[i].component_id == want[i] for i in range(len(v))]) >= 0.95
+
+
 def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     rng = np.random.default_rng(8)
     v = [list(map(float, np.ones(8) + rng.normal(size=8) * 0.02)) for _ in range(70)]

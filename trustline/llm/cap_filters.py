@@ -11,12 +11,17 @@ rows that share an earlier filter are not compared again, and each block gives a
 
 The number of filters grows with the vectors, so that a filter holds a few tens of them, and the number of filters a vector
 looks for grows with its logarithm. Of random pairs at cosine 0.9501 in 64 dimensions 99.7 % and more share a filter.
+
+Vectors that have a direction in common would all meet in the filters around it. So filters are looked for along what is
+left of a vector without the mean of all; that of two near vectors is at a lower cosine, which follows from its length, and
+the lists are made as long as random pairs at that cosine need to meet. Pairs are verified on the vectors as given.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from statistics import NormalDist
 
@@ -33,6 +38,12 @@ BLOCK_ROWS = 1024
 CELL_FILTERS = 16
 # Filters of more rows in a block than this are compared as matrices.
 SMALL = 96
+# Vectors of one length are centred if there are so many of them, and if they are at least a sixteenth of all, so that
+# sixteen means are known at most.
+CENTRED_FROM = 1000
+CENTRED_SHARE = 1 / 16
+# Cosines of centred pairs below this ask for too long lists; lists are made for it then.
+LEAST_CENTRED = 0.5
 
 
 @cache
@@ -117,18 +128,112 @@ def blocks_of(dim: int, blocks: int) -> int:
     return max(1, min(blocks, dim // 8))
 
 
-def _filtered(classes: DataFrame, blocks: int, words: int, mean_list: float) -> DataFrame:
-    """classes with ``filters`` array<bigint>, ascending."""
+@cache
+def list_length(dim: int, blocks: int, words: int, cosine: float, base: float) -> float:
+    """Filters a vector must look for, so that of random pairs at this cosine 995 in 1,000 meet: ``base`` or more.
+
+    Tried on 800 pairs, the same for every run."""
+    rng = np.random.default_rng([11, dim, words])
+    x, z = rng.normal(size=(2, 800, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    both = np.concatenate([x, cosine * x + math.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)])
+    length = base
+    while length < words**blocks / 4:
+        row, number = decode(both, blocks, words, length)
+        met = np.intersect1d(row[row < 800] * words**blocks + number[row < 800], (row[row >= 800] - 800) * words**blocks + number[row >= 800])
+        if len(np.unique(met // words**blocks)) >= 796:
+            break
+        length *= 1.25
+    return length
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How vectors of one length are filtered: around ``centre``, with lists by how much of a vector the mean leaves.
+
+    Level k of ``lists`` is for vectors of which at least ``left`` x 0.8 ** (k + 1) is left, in squared length."""
+
+    words: int
+    lists: tuple[float, ...]
+    centre: np.ndarray | None = None
+    left: float = 1.0
+
+    def directions(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors to be filtered, and the level of each."""
+        if self.centre is None:
+            return unit, np.zeros(len(unit), np.int64)
+        rest = unit - self.centre
+        size = (rest**2).sum(axis=1)
+        # What is nothing but the mean keeps its own direction.
+        rest = np.where(size[:, None] > 1e-12, rest, unit)
+        level = np.floor(np.log(np.maximum(size, 1e-12) / self.left) / math.log(0.8))
+        return rest / np.linalg.norm(rest, axis=1, keepdims=True), np.clip(level, 0, len(self.lists) - 1).astype(np.int64)
+
+    @staticmethod
+    def of(dim: int, blocks: int, vectors: int, least: float, mean: np.ndarray | None = None) -> Sizes:
+        """For so many vectors whose unit vectors have this mean."""
+        words, base = code_size(vectors)
+        left = 1 - float((mean**2).sum()) if mean is not None else 1.0
+        cosine = lambda size: 1 - (1 - least) / size if size > 0 else -1.0
+        # With little in common there is nothing to gain, with nearly all of it nothing to tell apart.
+        if mean is None or left > 0.95 or cosine(left) < LEAST_CENTRED:
+            return Sizes(words, (base,))
+        need = lambda w, size: list_length(dim, blocks_of(dim, blocks), w, round(max(cosine(size), LEAST_CENTRED), 2), base)
+        # Longer lists need more filters, else they would be fuller.
+        words = max(64, math.ceil(math.sqrt(2 * vectors * max(1.0, 3 * need(words, left) / base - 2))))
+        lists, size = [need(words, left)], left * 0.8
+        while cosine(size) > LEAST_CENTRED:
+            lists.append(need(words, size))
+            size *= 0.8
+        return Sizes(words, (*lists, need(words, 0.0)), mean, left)
+
+
+def _means(classes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """dim -> (vectors, mean of their unit vectors) for the lengths that are centred; sums are taken where rows lie."""
+    counts = {r.dim: r["count"] for r in classes.groupBy("dim").count().where(F.col("count") >= CENTRED_FROM).orderBy(F.desc("count"), "dim").limit(round(1 / CENTRED_SHARE)).collect()}
+    total = classes.count()
+    wanted = [d for d, n in counts.items() if n >= total * CENTRED_SHARE]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.intersect1d(dims, wanted).tolist():
+                part = batch.filter(pa.array(dims == dim)).column("vector")
+                have[dim] = have.get(dim, 0) + _unit(part, dim).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([v.tolist() for v in have.values()], pa.list_(pa.float64()))], names=["dim", "sum"])
+
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dim, part in zip(batch.column("dim").to_pylist(), batch.column("sum").to_pylist()):
+                have[dim] = have.get(dim, 0) + np.array(part)
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([v.tolist() for v in have.values()], pa.list_(pa.float64()))], names=["dim", "sum"])
+
+    if not wanted:
+        return {}
+    parts = classes.select("dim", "vector").mapInArrow(sums, "dim int, sum array<double>").repartition(len(wanted), "dim")
+    return {r.dim: (counts[r.dim], np.array(r["sum"]) / counts[r.dim]) for r in parts.mapInArrow(total_of, "dim int, sum array<double>").collect()}
+
+
+def _filtered(classes: DataFrame, blocks: int, sizes: dict[int, Sizes], other: Sizes) -> DataFrame:
+    """classes with ``filters`` array<bigint>, ascending; ``sizes`` by the vectors' length, ``other`` for all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(32, min(2048, (1 << 22) // words))
         for whole in batches:
             dims = whole.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = whole.filter(pa.array(dims == dim))
+            for dim in np.unique(dims).tolist():
+                part, how = whole.filter(pa.array(dims == dim)), sizes.get(dim, other)
+                step = max(32, min(2048, (1 << 22) // how.words))
                 for i in range(0, part.num_rows, step):
                     batch = part.slice(i, step)
-                    row, number = decode(_unit(batch.column("vector"), int(dim)), blocks_of(int(dim), blocks), words, mean_list)
+                    unit, level = how.directions(_unit(batch.column("vector"), dim))
+                    lists = [(np.flatnonzero(level == k), m) for k, m in enumerate(how.lists)]
+                    found = [(rows, *decode(unit[rows], blocks_of(dim, blocks), how.words, m)) for rows, m in lists if len(rows)]
+                    row, number = (np.concatenate(x) for x in zip(*((rows[r], f) for rows, r, f in found)))
+                    order = np.lexsort((number, row))
+                    row, number = row[order], number[order]
                     ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(number))], names=[*batch.schema.names, "filters"])
 
@@ -269,7 +374,8 @@ def near_vectors(df: DataFrame, least: float = 0.95, blocks: int = 2, words: int
     zero, or hold null or non-finite components, link with nothing; nor do vectors of different lengths. Equal vectors are
     one class and link with each other. Null ids: such rows take part but are no component's smallest id unless all are
     null. Repeated rows count as rows. No rows in, none out; other columns are not read. ``blocks`` of ``words`` code words
-    give words ** blocks filters, and a vector has ``mean_list`` on average; by default code_size() of the distinct vectors.
+    give words ** blocks filters, and a vector has ``mean_list`` on average; by default they follow from the number of distinct
+    vectors, and from their mean, without which they are filtered.
     """
     v = F.col(f"`{vector_col}`")
     # Single precision travels as it is and is compared in double.
@@ -285,10 +391,10 @@ def near_vectors(df: DataFrame, least: float = 0.95, blocks: int = 2, words: int
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("vector").alias("vector"))
     classes = classes.withColumnRenamed("key", "node").withColumn("dim", F.size("vector"))
     classes = stored(classes.select("node", "n", "vector", "dim", "rep"))
-    if words is None or mean_list is None:
-        size = code_size(classes.count())
-        words, mean_list = words or size[0], mean_list or size[1]
-    filtered = stored(_filtered(classes.select("node", "n", "vector", "dim"), blocks, words, mean_list))
+    size, sizes = code_size(classes.count()), {}
+    if words is None and mean_list is None:
+        sizes = {dim: Sizes.of(dim, blocks, n, least, mean) for dim, (n, mean) in _means(classes).items()}
+    filtered = stored(_filtered(classes.select("node", "n", "vector", "dim"), blocks, sizes, Sizes(words or size[0], (mean_list or size[1],))))
     cells = filtered.select("node", "dim", F.explode(F.array_distinct(F.transform("filters", lambda f: F.floor(f / CELL_FILTERS)))).alias("cell"))
     sizes = cells.groupBy("dim", "cell").agg(F.count("*").alias("size")).where("size > 1")
     # Ids find their blocks before vectors join.
