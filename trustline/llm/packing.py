@@ -257,7 +257,7 @@ def pack(
     wanted = {f"={name}" if name is not None else "": w for name, w in (target or {}).items()}
     # A source that is due least_piece tokens a window, or has a target, is a class of its own; others are put together by
     # powers of two. There are width / least_piece classes of the first kind at most, and one for each bit of the second.
-    alone = (F.col("tokens") * width >= F.lit(least_piece) * total) | F.col("queue_key").isin(list(wanted))
+    alone = (F.col("tokens") * width >= F.lit(least_piece * total).cast("bigint")) | F.col("queue_key").isin(list(wanted))
     # Zeros lead: a class's name is its size, so classes are served from the largest.
     size = lambda c: F.lpad(c.cast("string"), 20, "0")
     named = F.when(alone, F.concat(F.lit("b"), size(F.col("tokens")), "queue_key")).otherwise(F.concat(F.lit("a"), size(F.length(F.bin("tokens")))))
