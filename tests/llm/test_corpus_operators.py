@@ -283,6 +283,18 @@ def test_fingerprints_equal_brute_force(spark, odd, nothing):
     assert sketches.edited_fingerprints(df.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_fingerprints_of_one_id_and_of_ranges_that_grow(spark, monkeypatch):
+    rows = [(None if i % 3 else 5, f"text {i % 40} " * (i % 7 + 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    monkeypatch.setattr(sketches, "RANGE_BYTES", 100)
+    monkeypatch.setattr(sketches, "MOST_RANGES", 3)
+    got = sketches.edited_fingerprints(df).collect()
+    order = sorted(((i is not None, i or 0, t) for i, t in rows))
+    texts = [t for *_, t in order]
+    want = collections.Counter((i if has else None, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + texts[(k + 1) % 600][: len(t) // 2]).encode()).hexdigest()) for k, (has, i, t) in enumerate(order))
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
 def test_sketches_merge():
     hashes, starts = shingle_hashes(*text_bytes(pa.array([" ".join(f"a{i}" for i in range(3000)), " ".join(f"a{i}" for i in range(1500)), "tiny text"])))
     a, b, c = sketches.bottom_k(hashes, starts)

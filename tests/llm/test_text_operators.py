@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trustline.llm import language_id, line_quality, piece_codec, queries, token_counts, toxicity
+from trustline.llm import language_id, line_quality, piece_codec, queries, sampling, token_counts, toxicity
 from trustline.llm.common import Recent, fold, table, text_bytes
 
 ALPHABET = " \n\tab cdthe.,!é▁漢🙂\0<0x0A>1234"
@@ -343,3 +343,15 @@ def test_clauses_of_long_texts_are_those_of_a_naive_reading_and_take_linear_time
         began = time.perf_counter()
         paths = model.paths(text)
         assert time.perf_counter() - began < 30 and paths.sum() > 0
+
+
+def test_every_language_is_learned_and_samples_stay_bounded(spark):
+    rows = [(i, f"l{i % 300}" if i % 5 else "common") for i in range(6000)] + [(None, "l1"), (7000, None)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, y string")
+    got = sampling.bounded_ids(labelled, 4, 5000).groupBy("y").count().collect()
+    assert {r.y for r in got} == {y for i, y in rows if y and i is not None} and sum(r["count"] for r in got) <= 4 * len(got)
+    few = sampling.bounded_ids(labelled, 1000, 200).collect()
+    assert len(few) == 200 == len({r.y for r in few})
+    assert sampling.bounded_ids(labelled.limit(0), 4, 10).count() == 0
+    again = sampling.bounded_ids(labelled.repartition(3), 4, 5000)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in sampling.bounded_ids(labelled, 4, 5000).collect()}

@@ -132,12 +132,12 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], dims: int
     return net
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = 1200, windows_per_text: int = 3, most_languages: int = 256, lang_col: str = "lang", text_col: str = "text") -> ByteNet | None:
+def train(docs: DataFrame, may_learn: Column, per_language: int = 1200, windows_per_text: int = 3, most_texts: int = 100_000, lang_col: str = "lang", text_col: str = "text") -> ByteNet | None:
     """A network for the non-null languages of rows where ``may_learn``; None if there are none.
 
-    Fitted on ``windows_per_text`` windows, at places chosen by hash, of at most ``per_language`` texts of each of the
-    ``most_languages`` most frequent languages; others are not learned."""
-    ids = bounded_ids(docs.where(may_learn).select("doc_id", F.col(f"`{lang_col}`").cast("string").alias("y")), per_language, most_languages)
+    Fitted on ``windows_per_text`` windows, at places chosen by hash, of at most ``per_language`` texts of each language, and
+    ``most_texts`` in all: the more languages there are, the fewer texts of each; all are learned."""
+    ids = bounded_ids(docs.where(may_learn).select("doc_id", F.col(f"`{lang_col}`").cast("string").alias("y")), per_language, most_texts)
     place = F.pmod(F.xxhash64("doc_id", "i"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
     rows = (
         with_texts(docs, ids, text_col)

@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     """A field fitted to at most ``per_class`` labelled texts of each quality where ``may_learn``; None without both kinds.
 
     Texts stay on the executors; the driver gets the features of at most ``most_lines`` lines of each. Repeated rows count once."""
-    ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class)
+    ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class, 2 * per_class)
     lines = sampled_lines(with_texts(docs, ids).dropDuplicates(["doc_id", "y", "text"]), most_lines).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "y", "of", "line")])
     y, of = lines.column("y").to_numpy(), lines.column("of").to_numpy()
     if not len(y) or y.min() == y.max():

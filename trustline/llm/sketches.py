@@ -21,6 +21,8 @@ from .common import SLICE_BYTES, append_columns, shingle_hashes, slices, stored,
 
 K = 128
 RANGE_BYTES = 16 << 20
+# Beyond so many ranges, ranges grow with the table: their marks are 160 KB at most.
+MOST_RANGES = 20_000
 _BITS = 48
 
 
@@ -89,15 +91,15 @@ def edited_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataF
     The edited text is the text with its last floor(n / 2) code points replaced by as many first ones of the next document
     in ascending doc_id (after the last comes the first). Null texts are empty; null ids come first; rows with the same id
     follow each other in the order of their texts; a single document is its own next; no rows in, none out. Texts are
-    exchanged once, by ranges of ids of about RANGE_BYTES of text each, unless ``partitions`` says how many; a range's first
-    text is also sent to the range before. docs are read three times (their bytes, their ids, their texts) and must be the
+    exchanged once, by ranges of ids of about RANGE_BYTES of text each, unless ``partitions`` says how many, and of more where
+    that would be over MOST_RANGES; they stream through a range. A range's first text is also sent to the range before. docs are read three times (their bytes, their ids, their texts) and must be the
     same rows each time; otherwise an error is raised.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not whole["rows"]:
         return _compared(docs.withColumn("part", F.lit(0)).withColumn("lent", F.lit(0)))
-    wanted = partitions or max(1, math.ceil(whole["bytes"] / RANGE_BYTES))
+    wanted = min(MOST_RANGES, partitions or max(1, math.ceil(whole["bytes"] / RANGE_BYTES)))
     # Every mark is some document's id, so a range's first text is known when it is read. The marks, eight bytes a range, are
     # one row of a table; in runs, so that a row compares with few of them.
     coarse = max(1, int(wanted**0.5))

@@ -287,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     Texts stay on the executors; the driver gets counts of at most ``most_stems`` stems (the most frequent of those that pass
     the test), the stems of each toxic text, and each text's path weights."""
     seeds = {s: 1.0 for s in SEED_INSULTS}
-    ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class)
+    ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class, 2 * per_class)
     rows = stored(with_texts(docs, ids))
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
