@@ -26,6 +26,7 @@ BINS = 255
 # Rows' predictions are written anew after so many rounds; in between, the rounds' trees are walked again.
 KEEP_EVERY = 5
 RESIDUAL_BINS = 4096
+TASK_BYTES, TASK_LEAVES = 16 << 20, 256
 _NODE = 32
 
 
@@ -246,8 +247,9 @@ def _best_splits(rows: DataFrame, features: int, absolute: bool, all_rows: bool,
         kinds = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "g", "n", "gain", "feature", "cut", "left_g", "left_n"])
 
-    nodes = sum(map(len, wanted))
-    met = rows.mapInArrow(histograms, "key bigint, sums binary").repartition(min(nodes, 8), "key")
+    # A task for each sixteen megabytes of a partition's histograms; passes are many, so tasks should be few.
+    tasks = -(-sum(map(len, wanted)) * width * 16 // TASK_BYTES)
+    met = rows.mapInArrow(histograms, "key bigint, sums binary").repartition(tasks, "key")
     found = met.mapInArrow(splits, "key bigint, g double, n bigint, gain double, feature bigint, cut bigint, left_g double, left_n bigint").collect()
     told = [(r.key >> _NODE, r.key & ((1 << _NODE) - 1), r.g, r.n, tuple(r)[3:] if r.gain is not None else None) for r in found]
     seen = {(m, x) for m, x, *_ in told}
@@ -289,7 +291,7 @@ def _medians(rows: DataFrame, all_rows: bool, since: list[list[Tree]], grown: li
                 medians.append(float(sum(middle) / 2))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(medians, pa.float64())], names=["key", "median"])
 
-    met = rows.mapInArrow(counted, "key bigint, place bigint, n bigint, total double").repartition(min(8, sum(len(t.value) for t in grown)), "key")
+    met = rows.mapInArrow(counted, "key bigint, place bigint, n bigint, total double").repartition(-(-sum(len(t.value) for t in grown) // TASK_LEAVES), "key")
     return {(r.key >> _NODE, r.key & ((1 << _NODE) - 1)): r.median for r in met.mapInArrow(halved, "key bigint, median double").collect()}
 
 
