@@ -55,6 +55,8 @@ SETTINGS = [{"step": 0.1, "leaves": 6, "least_rows": 8, "l2": 0.0}, {"step": 0.3
 @pytest.mark.parametrize("loss", ["mse", "mae"])
 def test_boosting_equals_naive(spark, monkeypatch, loss):
     monkeypatch.setattr(boosting, "KEEP_EVERY", 2)
+    for name, value in (("TASK_ROWS", 200), ("TASK_BYTES", 1 << 14), ("TASK_LEAVES", 5)):
+        monkeypatch.setattr(boosting, name, value)
     df, x, y = table(spark)
     n = len(y)
     y_odd = y if loss == "mse" else y[: n - 1]

@@ -26,7 +26,8 @@ BINS = 255
 # Rows' predictions are written anew after so many rounds; in between, the rounds' trees are walked again.
 KEEP_EVERY = 5
 RESIDUAL_BINS = 4096
-TASK_BYTES, TASK_LEAVES = 16 << 20, 256
+# Passes are many and most of a short one is the start of its tasks: so many rows times settings are a task's.
+TASK_ROWS, TASK_BYTES, TASK_LEAVES = 64_000, 16 << 20, 256
 _NODE = 32
 
 
@@ -158,8 +159,8 @@ def _edges(samples: DataFrame, features: list[str]) -> list[np.ndarray]:
     return out
 
 
-def binned(samples: DataFrame, features: list[str], held: Column, models: int, base: float, edges: list[np.ndarray], target: str = "accuracy") -> DataFrame:
-    """(bins binary, y, held, raw binary): a byte for each feature and eight for each model's prediction; written once."""
+def binned(samples: DataFrame, features: list[str], held: Column, models: int, base: float, edges: list[np.ndarray], tasks: int, target: str = "accuracy") -> DataFrame:
+    """(bins binary, y, held, raw binary) in so many partitions: a byte for each feature and eight for each model's prediction; written once."""
     booster, start = Boosted(edges, base), np.full(models, base).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def binned(samples: DataFrame, features: list[str], held: Column, models: int, b
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("y"), b.column("held"), pa.array([start] * len(x), pa.binary())], names=["bins", "y", "held", "raw"])
 
     columns = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]
-    return stored(samples.select(*columns, F.col(target).cast("double").alias("y"), held.alias("held")).mapInArrow(run, "bins binary, y double, held boolean, raw binary"))
+    return stored(samples.select(*columns, F.col(target).cast("double").alias("y"), held.alias("held")).mapInArrow(run, "bins binary, y double, held boolean, raw binary").repartition(tasks))
 
 
 def _residuals(batch: pa.RecordBatch, models: int, since: list[list[Tree]], all_rows: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +248,7 @@ def _best_splits(rows: DataFrame, features: int, absolute: bool, all_rows: bool,
         kinds = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "g", "n", "gain", "feature", "cut", "left_g", "left_n"])
 
-    # A task for each sixteen megabytes of a partition's histograms; passes are many, so tasks should be few.
+    # A task for each sixteen megabytes of a partition's histograms.
     tasks = -(-sum(map(len, wanted)) * width * 16 // TASK_BYTES)
     met = rows.mapInArrow(histograms, "key bigint, sums binary").repartition(tasks, "key")
     found = met.mapInArrow(splits, "key bigint, g double, n bigint, gain double, feature bigint, cut bigint, left_g double, left_n bigint").collect()
@@ -303,11 +304,11 @@ def boost(samples: DataFrame, features: list[str], settings: list[dict], rounds:
     held = F.lit(False) if held is None else held
     absolute, models, spark = loss == "mae", len(settings), samples.sparkSession
     learned = samples.where(~held)
-    base = learned.agg(F.percentile_approx(target, 0.5, 100_000) if absolute else F.avg(target)).first()[0]
+    base, n = learned.agg(F.percentile_approx(target, 0.5, 100_000) if absolute else F.avg(target), F.count("*")).first()
     if base is None:
         raise ValueError("no samples to learn from")
     edges = _edges(learned, features)
-    rows = binned(samples, features, held, models, float(base), edges, target).persist()
+    rows = binned(samples, features, held, models, float(base), edges, -(-n * models // TASK_ROWS), target).persist()
     kept, since = [[] for _ in settings], [[] for _ in settings]
     for number in range(rounds):
         growing = [Growing(s["leaves"], s["least_rows"]) for s in settings]
