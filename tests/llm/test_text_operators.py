@@ -49,12 +49,13 @@ def test_agendas_together_equal_the_heap_and_the_library(monkeypatch):
     assert together == [vocab.library.encode(t, add_eos=True) for t in texts]
     assert [vocab.decode_ids(i[:-1]).removeprefix(" ") for i in together] == vocab.library.decode(together)
     monkeypatch.setattr(piece_codec, "MOST_WIDTH", 0)
+    monkeypatch.setattr(piece_codec, "WIDEST", 0)
     assert together == [piece_codec.encode_ids(t, vocab) for t in texts]
 
 
 def test_parts_that_are_forgotten_come_again():
     vocab, made = piece_codec.vocabulary(queries.PIECE_MODEL), []
-    known = Recent(lambda parts: made.extend(parts) or piece_codec._made(vocab, parts), most_bytes=3, size=lambda *_: 1)
+    known = Recent(lambda parts: made.extend(parts) or piece_codec._made(vocab, parts), most_bytes=3, size=lambda parts, _: len(parts))
     first = known.of(["▁one", "▁two", "", "\n", "▁three"])
     assert first[2] == ("", 0, "") and known.of(["▁four", "▁one"])[1] == first[0]
     for i in range(4):

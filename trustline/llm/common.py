@@ -99,9 +99,9 @@ def append_columns(
 class Recent:
     """What strings stand for, made in batches and kept while it is met: strings that a whole generation has not met go.
 
-    A generation ends when it holds ``most_bytes``, by ``size`` of each string and its value, so a worker keeps about twice that."""
+    A generation ends when it holds ``most_bytes``, by ``size`` of strings and their values, so a worker keeps about twice that."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most_bytes: int, size: Callable[[str, object], int]):
+    def __init__(self, make: Callable[[list[str]], Iterable], most_bytes: int, size: Callable[[list[str], list], int]):
         self.make, self.most, self.size, self.young, self.old, self.held = make, most_bytes, size, {}, {}, 0
 
     def of(self, strings: list[str]) -> list:
@@ -119,7 +119,9 @@ class Recent:
         if new:
             for row, made in zip(new, self.make([strings[row] for row in new]), strict=True):
                 found[row] = self.young[strings[row]] = made
-        self.held += sum(self.size(strings[row], found[row]) for row in (*met, *new))
+        if met or new:
+            met += new
+            self.held += self.size([strings[row] for row in met], [found[row] for row in met])
         return found
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, release_memory, running_sums, slices, stored
+from .common import SLICE_BYTES, Recent, release_memory, running_sums, slices, stored
 
 # Of words and their ids that a worker keeps from task to task; a word and its place in a table take about 200 more.
 CACHE_BYTES = 96 << 20
@@ -52,7 +52,7 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Recent(self._made, CACHE_BYTES, lambda word, ids: 200 + 2 * len(word) + len(ids))
+        self.known = Recent(self._made, CACHE_BYTES, lambda words, ids: 200 * len(words) + 2 * sum(map(len, words)) + sum(map(len, ids)))
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.apart = told["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told["normalizer"]
@@ -134,7 +134,7 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
         end = int(end_id).to_bytes(words.width, "little")
         met: dict[str, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 * SLICE_BYTES):
                 ids = [i + end for i in words.documents(batch.column("text"))]
                 sizes = [len(x) // words.width for x in ids]
                 before = []

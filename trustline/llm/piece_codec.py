@@ -309,7 +309,7 @@ def _cut(strings: Strings, ids: np.ndarray, starts: np.ndarray) -> list[str]:
 
 @cache
 def known_parts(path: str) -> Recent:
-    return Recent(partial(_made, vocabulary(path)), CACHE_BYTES, lambda part, made: 300 + 2 * len(part) + len(made[0]) + 2 * len(made[2]))
+    return Recent(partial(_made, vocabulary(path)), CACHE_BYTES, lambda parts, made: 300 * len(parts) + 2 * sum(map(len, parts)) + sum(len(m[0]) + 2 * len(m[2]) for m in made))
 
 
 def encode_ids(text: str | None, vocab: Vocabulary) -> list[int]:
