@@ -540,3 +540,17 @@ def test_pipeline(spark, sf_dir):
     bags = {d: shingles(t) for d, t in texts.items()}
     assert not [(a, b) for a in bags for b in bags if a < b and likeness(bags[a], bags[b]) >= 0.8]
     packed_ok(cp.packed(spark, kept, sf_dir).collect(), {d: token_ids(t) for d, t in texts.items()})
+
+
+def test_shards_of_the_whole_query_equal_brute_force(spark, sf_dir):
+    docs = {r.doc_id: (r.text or "").encode() for r in table(spark, sf_dir, "documents").collect()}
+    out = queries.op8_uniform_shards(spark, sf_dir).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in out} == {d: (len(t) + 1, zlib.crc32(t), "rows", None) for d, t in docs.items()} and len(out) == len(docs)
+    shards = collections.defaultdict(list)
+    for r in out:
+        shards[r["shard"]].append(r)
+    assert sorted(len(s) for s in shards.values()) == sorted(len(docs) // 16 + (k < len(docs) % 16) for k in range(16))
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in shards.values())
+    # A uniform shuffle keeps no order of ids: of neighbours in a shard about half descend.
+    orders = [a.doc_id > b.doc_id for s in shards.values() for a, b in zip(sorted(s, key=lambda r: r.slot), sorted(s, key=lambda r: r.slot)[1:])]
+    assert abs(np.mean(orders) - 0.5) < 4 * 0.5 / np.sqrt(len(orders))

@@ -356,3 +356,45 @@ def test_every_language_is_learned_and_samples_stay_bounded(spark):
     assert sampling.bounded_ids(labelled.limit(0), 4, 10).count() == 0
     again = sampling.bounded_ids(labelled.repartition(3), 4, 5000)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in sampling.bounded_ids(labelled, 4, 5000).collect()}
+
+
+def test_texts_without_spaces_are_encoded_as_the_library_does(monkeypatch):
+    vocab, rng = piece_codec.vocabulary(queries.PIECE_MODEL), random.Random(2)
+    made = ["".join(rng.choice(a) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这为之大来以个中上们漢字", "ab的é🙂z1\0", "e") for n in (129, 200, 300, 600, 1500)]
+    made += ["".join(rng.choice(["the", "king", "ation", "of", "word", "ing"]) for _ in range(n)) for n in (40, 90, 150, 400)]
+    texts = [*made, *(m + " " + n for m in made for n in made[:3]), "x " * 200 + "y" * 500]
+    for rows in (1, 10_000):
+        monkeypatch.setattr(piece_codec, "LEAST_ROWS", rows)
+        for t in texts:
+            assert piece_codec.encode_ids(t, vocab) == [*vocab.library.encode(t), vocab.eos]
+    ids, counts = vocab.encode_parts([p for t in texts for p in piece_codec.split_parts(t)])
+    assert ids.tolist() == [i for t in texts for i in piece_codec.encode_ids(t, vocab)[:-1]]
+
+
+def test_four_megabytes_of_chinese_take_seconds():
+    vocab, rng = piece_codec.vocabulary(queries.PIECE_MODEL), np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1_350_000)))
+    for t in (text, "\n".join(text[i : i + 1000] for i in range(0, len(text), 1000))):
+        began = time.process_time()
+        ids = piece_codec.encode_ids(t, vocab)
+        assert time.process_time() - began < 20 and ids == [*vocab.library.encode(t), vocab.eos]
+
+
+def test_document_scores_equal_all_labellings(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    field = line_quality.LineField(rng.normal(size=3 * line_quality.FEATURES) * 0.3, np.array([[0.4, -0.3], [-0.5, 0.6]]), 1.3, 0.2)
+    texts = ["A fine line of words.\nMENU | login | 404\n\nAnother line, as good as the first one.\n$$$ 99", "one line only", "a\nb\nc\nd\ne\nf\ng h i.", "\n\n", "x" * 300 + "\n1 2 3 4"]
+    want = []
+    for t in texts:
+        x, _, length = line_features_of(t)
+        n = len(length)
+        around = np.concatenate([x, np.vstack([np.zeros((1, x.shape[1])), x[:-1]])[:n], np.vstack([x[1:], np.zeros((1, x.shape[1]))])[:n]], axis=1)
+        z, mass, good = around @ field.weights, 0.0, np.zeros(n)
+        for labels in product((0, 1), repeat=n):
+            weight = np.exp(sum((z[i] if y else -z[i]) / 2 for i, y in enumerate(labels)) + sum(field.chain[a, b] for a, b in zip(labels, labels[1:])))
+            mass, good = mass + weight, good + weight * np.array(labels, float)
+        want.append(float(field.curve(np.array([(good / mass * length).sum() / length.sum()]))[0]) if n else 0.0)
+    got = line_quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), field).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], want, atol=1e-6)

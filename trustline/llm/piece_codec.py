@@ -28,8 +28,10 @@ from .common import SLICE_BYTES, Recent, append_columns
 SPACE = "▁"
 # Of parts, their ids and texts that a worker keeps; a string and its place in a table take about 300 more.
 CACHE_BYTES = 160 << 20
-# Agendas of longer parts are heaps, one part at a time.
-MOST_WIDTH = 128
+# Parts of more symbols than this are cut where no piece can reach across. What is longer still runs side by side up to the
+# second width, if there are so many rows of it; agendas of the rest are heaps, one part at a time.
+MOST_WIDTH, WIDEST, LEAST_ROWS = 128, 512, 64
+TABLE_CELLS = 1 << 22
 CHECKED_TOGETHER = 256
 NONE = 1 << 40
 _PART = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
@@ -90,6 +92,8 @@ class Vocabulary:
             for k in range(1, len(p)):
                 if (left := number.get(p[:k])) and (right := number.get(p[k:])):
                     self.pairs[left * self.base + right] = (place[score], number[p])
+        # Pairs of characters that stand next to each other in some piece.
+        self.inside = np.unique(np.array([number[a] * self.base + number[b] for p in pieces for a, b in zip(p, p[1:])], np.int64))
         # The same pairs in an open hash table, for lookups of whole arrays.
         self.bits = int(8 * len(self.pairs) + 16).bit_length()
         keys, self.rank, self.into = (np.full((1 << self.bits) + 256, v, np.int64) for v in (-1, NONE, 0))
@@ -123,21 +127,26 @@ class Vocabulary:
         chars = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         symbols = self.of_char[chars]
         alive = np.ones(len(chars), bool)
-        for low, high in ((1, 8), (8, 12), (12, 16), (16, 32), (32, MOST_WIDTH)):
-            rows = np.flatnonzero((size > low) & (size <= min(high, MOST_WIDTH)))
-            for a in range(0, len(rows), 1 << 15):
-                some = rows[a : a + (1 << 15)]
-                width = int(size[some].max())
-                inside = np.arange(width) < size[some][:, None]
-                at = (start[some][:, None] + np.arange(width))[inside]
+        begin, length = self._apart(symbols, start, size)
+        edges = [1, *(w for w in (8, 12, 16, 32, MOST_WIDTH, 2 * MOST_WIDTH, WIDEST) if 1 < w <= WIDEST), NONE]
+        for low, high in zip(edges, edges[1:]):
+            rows = np.flatnonzero((length > low) & (length <= high))
+            if high == NONE or low >= MOST_WIDTH and len(rows) < LEAST_ROWS:
+                for row in rows.tolist():
+                    a, b = int(begin[row]), int(begin[row] + length[row])
+                    symbols[a:b], alive[a:b] = self._run_agenda(symbols[a:b].tolist())
+                continue
+            step = min(1 << 15, TABLE_CELLS // high)
+            for a in range(0, len(rows), step):
+                some = rows[a : a + step]
+                width = int(length[some].max())
+                inside = np.arange(width) < length[some][:, None]
+                at = (begin[some][:, None] + np.arange(width))[inside]
                 table = np.zeros(inside.shape, np.int64)
                 table[inside] = symbols[at]
                 kept = inside.copy()
                 self._run_agendas(table, kept)
                 symbols[at], alive[at] = table[inside], kept[inside]
-        for row in np.flatnonzero(size > max(MOST_WIDTH, 1)).tolist():
-            a, b = int(start[row]), int(start[row] + size[row])
-            symbols[a:b], alive[a:b] = self._run_agenda(symbols[a:b].tolist())
         ids = np.where(alive, self.id_of[symbols], -2)
         each = alive.astype(np.int64)
         bare = np.flatnonzero(ids == -1)  # characters without a piece
@@ -151,6 +160,26 @@ class Vocabulary:
             out[places] = list(chain.from_iterable(raw))
         return out, counts
 
+    def _apart(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where parts begin and how long they are, long ones cut between characters that no piece holds side by side."""
+        long = np.flatnonzero(size > MOST_WIDTH)
+        if not len(long):
+            return start, size
+        here = np.repeat(start[long], size[long]) + np.arange(size[long].sum()) - np.repeat(np.cumsum(size[long]) - size[long], size[long])
+        first = np.zeros(len(symbols), bool)
+        first[start[long]] = True
+        # A character begins a piece of the part unless some piece holds it after the one before.
+        key = symbols[np.maximum(here - 1, 0)] * self.base + symbols[here]
+        spot = np.minimum(np.searchsorted(self.inside, key), max(len(self.inside) - 1, 0))
+        first[here] |= ~(self.inside[spot] == key) if len(self.inside) else True
+        cuts = here[first[here]]
+        ends = np.append(cuts[1:], 0)
+        # The last cut of a part ends where the part does.
+        last = np.append(np.searchsorted(cuts, start[long][1:]) - 1, len(cuts) - 1)
+        ends[last] = (start + size)[long]
+        short = size <= MOST_WIDTH
+        return np.concatenate([start[short], cuts]), np.concatenate([size[short], ends - cuts])
+
     def _run_agendas(self, symbols: np.ndarray, alive: np.ndarray) -> None:
         """Merges in place, a row for each part (0 beyond its end): a row's agenda is its pairs' ranks, the top its first least."""
         n, width = symbols.shape
