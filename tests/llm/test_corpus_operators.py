@@ -213,7 +213,8 @@ def test_vectors_with_a_common_direction_meet_in_few_filters(common):
     assert (how.centre is None) == (common == 0)
     places, loads = [], np.zeros(how.words**2, np.int64)
     for part in (x, y):
-        directions, level = how.directions(part)
+        directions, level, core = how.directions(part)
+        assert core.mean() < 0.01
         sets = [set() for _ in part]
         for k, m in enumerate(how.lists):
             rows = np.flatnonzero(level == k)
@@ -237,6 +238,7 @@ def test_centred_vectors_equal_brute_force(spark, monkeypatch):
     degree, want = collections.Counter(i for p in links for i in p), groups(len(v), links)
     got = {r.vec_id: r for r in cap_filters.near_vectors(spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>").repartition(3)).collect()}
     assert 0.3 < np.mean([unit[i] @ unit[i + 7] for i in range(300)]) < 0.95
+    assert degree[360] > 20 and got[360].n_links == degree[360]  # the mean itself
     assert sum(got[i].n_links for i in range(len(v))) >= 0.99 * sum(degree.values()) and all(got[i].n_links <= degree[i] for i in range(len(v)))
     assert np.mean([got[i].component_id == want[i] for i in range(len(v))]) >= 0.95
 

@@ -14,7 +14,8 @@ looks for grows with its logarithm. Of random pairs at cosine 0.9501 in 64 dimen
 
 Vectors that have a direction in common would all meet in the filters around it. So filters are looked for along what is
 left of a vector without the mean of all; that of two near vectors is at a lower cosine, which follows from its length, and
-the lists are made as long as random pairs at that cosine need to meet. Pairs are verified on the vectors as given.
+the lists are made as long as random pairs at that cosine need to meet. Vectors that are next to nothing but the mean have no
+direction left and all meet, in blocks. Pairs are verified on the vectors as given.
 """
 
 from __future__ import annotations
@@ -158,17 +159,19 @@ class Sizes:
     lists: tuple[float, ...]
     centre: np.ndarray | None = None
     left: float = 1.0
+    core: float = 0.0
 
-    def directions(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vectors to be filtered, and the level of each."""
+    def directions(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors to be filtered, the level of each, and which of them are so near the mean that what is left of two
+        near ones may point anywhere: these all meet."""
         if self.centre is None:
-            return unit, np.zeros(len(unit), np.int64)
+            return unit, np.zeros(len(unit), np.int64), np.zeros(len(unit), bool)
         rest = unit - self.centre
         size = (rest**2).sum(axis=1)
         # What is nothing but the mean keeps its own direction.
         rest = np.where(size[:, None] > 1e-12, rest, unit)
         level = np.floor(np.log(np.maximum(size, 1e-12) / self.left) / math.log(0.8))
-        return rest / np.linalg.norm(rest, axis=1, keepdims=True), np.clip(level, 0, len(self.lists) - 1).astype(np.int64)
+        return rest / np.linalg.norm(rest, axis=1, keepdims=True), np.clip(level, 0, len(self.lists) - 1).astype(np.int64), size <= self.core
 
     @staticmethod
     def of(dim: int, blocks: int, vectors: int, least: float, mean: np.ndarray | None = None) -> Sizes:
@@ -186,7 +189,8 @@ class Sizes:
         while cosine(size) > LEAST_CENTRED:
             lists.append(need(words, size))
             size *= 0.8
-        return Sizes(words, (*lists, need(words, 0.0)), mean, left)
+        # If one of two near vectors has more left than this, what is left of them is at LEAST_CENTRED or more.
+        return Sizes(words, (*lists, need(words, 0.0)), mean, left, 2 * (1 - least) / (1 - LEAST_CENTRED**2))
 
 
 def _means(classes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
@@ -228,9 +232,11 @@ def _filtered(classes: DataFrame, blocks: int, sizes: dict[int, Sizes], other: S
                 step = max(32, min(2048, (1 << 22) // how.words))
                 for i in range(0, part.num_rows, step):
                     batch = part.slice(i, step)
-                    unit, level = how.directions(_unit(batch.column("vector"), dim))
+                    unit, level, core = how.directions(_unit(batch.column("vector"), dim))
                     lists = [(np.flatnonzero(level == k), m) for k, m in enumerate(how.lists)]
                     found = [(rows, *decode(unit[rows], blocks_of(dim, blocks), how.words, m)) for rows, m in lists if len(rows)]
+                    # The core is one more filter, after all others.
+                    found.append((np.flatnonzero(core), np.arange(core.sum()), np.full(core.sum(), how.words ** blocks_of(dim, blocks))))
                     row, number = (np.concatenate(x) for x in zip(*((rows[r], f) for rows, r, f in found)))
                     order = np.lexsort((number, row))
                     row, number = row[order], number[order]
