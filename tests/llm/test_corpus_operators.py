@@ -415,6 +415,47 @@ def test_words_apart_equal_the_whole_text():
     assert 50256 in np.frombuffer(words.documents(pa.array(["one <|endoftext|> two"]))[0], f"<u{words.width}")
 
 
+class Counting:
+    """A tokenizer that counts the characters it reads."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode(self, text, **options):
+        self.chars += len(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_a_word_is_read_once_whatever_signs_follow_it():
+    words, rng = packing.TextIds(queries.BYTE_BPE), random.Random(8)
+    names = ["".join(rng.choice("aeinorst") for _ in range(9)) for _ in range(200)]
+    text = " ".join(f"{n}{sign}" for n in names for sign in ("", ".", ",", "!", "?", "###", "$$$", "&&&", "2024", "/"))
+    words.tokenizer = Counting(words.tokenizer)
+    (got,) = words.documents(pa.array([text]))
+    assert np.frombuffer(got, f"<u{words.width}").tolist() == token_ids(text)[:-1].tolist()
+    assert words.tokenizer.chars < 1.2 * sum(len(n) + 1 for n in names)
+
+
+def test_words_that_are_kept_take_bounded_memory():
+    rng, words = random.Random(9), packing.TextIds(queries.BYTE_BPE)
+    words.known.most = 20_000
+    made = lambda: "".join(rng.choice("abc'sdlevrmt.!é漢1") for _ in range(rng.randint(1, 30)))
+    often, held = [made() for _ in range(250)], []
+    for _ in range(60):
+        text = " ".join(rng.choice(often) if rng.random() < 0.5 else made() for _ in range(100))
+        assert np.frombuffer(words.documents(pa.array([text]))[0], f"<u{words.width}").tolist() == token_ids(text)[:-1].tolist()
+        held.append(words.known.held())
+    # Beyond the bound by no more than what a text adds; words went, and more than once.
+    assert max(held) < 20_000 + 20_000 and sum(b < a for a, b in zip(held, held[1:])) > 1
+
+
 @pytest.mark.parametrize(("sources", "docs", "least_piece"), [(200, 30, 1), (200, 30, 64), (40, 50, 64), (3, 300, 64)])
 def test_all_sources_keep_their_shares(spark, sources, docs, least_piece):
     # Sources of equal size lie one after another in the table.

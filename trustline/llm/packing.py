@@ -20,9 +20,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +30,99 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Recent, release_memory, running_sums, slices, stored
+from .common import SLICE_BYTES, mix64, release_memory, running_sums, slices, stored, text_bytes
 
-# Of words and their ids that a worker keeps from task to task; a word and its place in a table take about 200 more.
-CACHE_BYTES = 96 << 20
+# Of words and their ids that a worker keeps from task to task.
+CACHE_BYTES = 64 << 20
+# Words of more bytes are not kept.
+KEY_BYTES = 24
 # The library reads so many words in one text; much longer texts cost it more a word.
 READ_TOGETHER = 1000
-large = partial(pa.scalar, type=pa.large_string())
+OTHER, LETTER, DIGIT, SIGN, SPACE, BREAK, ODD = range(7)
+APOSTROPHE = ord("'")
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each byte: OTHER belongs to characters that may be anything but white space, ODD may belong to other white space."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for b in range(33, 127):
+        kinds[b] = LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN
+    kinds[[9, 11, 12, 13, 28, 29, 30, 31, 0, 0xC2, 0xE1, 0xE2, 0xE3]] = ODD
+    kinds[32], kinds[10] = SPACE, BREAK
+    return kinds
+
+
+def _pairs(holds: Callable[[int, int], bool]) -> np.ndarray:
+    return np.array([holds(i >> 3, i & 7) for i in range(64)])
+
+
+KINDS = _kinds()
+# Where a word of the pre-tokenizer begins between two bytes: at a space, around a line break, and where letters, digits and
+# signs meet, but not after an apostrophe, which may take letters with it.
+BEGINS = _pairs(lambda a, b: b in (SPACE, BREAK) or a == BREAK or (a != b and {a, b} <= {LETTER, DIGIT, SIGN}))
+DOUBLE = _pairs(lambda a, b: {a, b} <= {SPACE, BREAK})
+
+
+class Known:
+    """Ids of words that were met, by the words' bytes: sorted columns, about 50 bytes a word.
+
+    Words are looked for by a hash of their bytes and found only if all their bytes are equal. Beyond ``most_bytes`` those
+    go that were not met again since the last time."""
+
+    def __init__(self, most_bytes: int, kind: str):
+        self.most, self.kind = most_bytes, kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.keys = np.zeros(0, np.uint64), np.zeros((0, KEY_BYTES // 8), np.uint64)
+        self.starts, self.counts, self.again = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.ids = np.zeros(0, self.kind)
+
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.keys, self.starts, self.counts, self.again, self.ids))
+
+    def find(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Rows of the words, -1 for those that are not known."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        if len(self.hashes):
+            at[(self.keys[at] != keys).any(axis=1)] = -1
+            self.again[at[at >= 0]] = True
+        else:
+            at -= 1
+        return at
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Adds words that are not known; ids of all words one after another."""
+        if self.held() > self.most:
+            kept = np.flatnonzero(self.again)
+            if 2 * len(kept) > len(self.again):  # most were met again: every other one goes
+                kept = kept[::2]
+            self.ids, self.counts = gathered(self.ids, self.starts[kept], self.counts[kept]), self.counts[kept]
+            self.hashes, self.keys, self.starts, self.again = self.hashes[kept], self.keys[kept], np.cumsum(self.counts) - self.counts, np.zeros(len(kept), bool)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.starts = np.insert(self.starts, at, (len(self.ids) + np.cumsum(counts) - counts)[order])
+        self.hashes, self.keys = np.insert(self.hashes, at, hashes[order]), np.insert(self.keys, at, keys[order], axis=0)
+        self.counts, self.again = np.insert(self.counts, at, counts[order]), np.insert(self.again, at, False)
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of values, one after another."""
+    upto = np.cumsum(counts, dtype=np.int64)
+    at = np.repeat(starts - (upto - counts), counts)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class TextIds:
     """Ids of texts as little-endian unsigned numbers of ``width`` bytes, all of them from the tokenizers library.
 
-    Where the tokenizer is byte-level BPE with the usual word pattern, a text falls apart at single spaces and line breaks,
-    and words that are new in an Arrow batch are read by the library in one text; a token's number of bytes tells whose it
-    is. Texts with other white space or an added token's content, and texts of other tokenizers, are read whole."""
+    Where the tokenizer is byte-level BPE with the usual word pattern, a text falls apart at single spaces and line breaks
+    and where ASCII letters, digits and signs meet; words that are new are read by the library many in one text, and a
+    token's number of bytes tells whose it is. Texts with other white space or an added token's content, and texts of other
+    tokenizers, are read whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,7 +130,7 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Recent(self._made, CACHE_BYTES, lambda words, ids: 200 * len(words) + 2 * sum(map(len, words)) + sum(map(len, ids)))
+        self.known = Known(CACHE_BYTES, f"<u{self.width}")
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.apart = told["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told["normalizer"]
@@ -64,54 +142,130 @@ class TextIds:
         release_memory()
         self.other_space = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]").search
 
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}")
+
+    def _made(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with the space before them, of words without one, and of the line break: all ids, and each word's number.
+
+        The library starts a word where a part starts: at a space, or after a line break."""
+        ids, counts = [], np.zeros(len(starts), np.int64)
+        first = data[starts]
+        order = []
+        for rows, end in ((np.flatnonzero(first == 32), 0), (np.flatnonzero((first != 32) & (first != 10)), 1)):
+            for a in range(0, len(rows), READ_TOGETHER):
+                some = rows[a : a + READ_TOGETHER]
+                want = np.cumsum(sizes[some] + end)
+                text = np.full(want[-1], 10, np.uint8)
+                text[np.arange(want[-1]) < np.repeat(want - end, sizes[some] + end)] = gathered(data, starts[some], sizes[some])
+                got = np.asarray(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+                ends = np.cumsum(self.bytes_of[got])
+                upto = np.searchsorted(ends, want - end) + 1
+                if not (ends[upto - 1] == want - end).all() or len(got) != upto[-1] + end:
+                    raise ValueError("a token reaches across words")
+                if end:
+                    kept = np.ones(len(got), bool)
+                    kept[upto] = False
+                    got, upto = got[kept], upto - np.arange(len(upto))
+                counts[some] = np.diff(upto, prepend=0)
+                ids.append(got.astype(f"<u{self.width}"))
+                order.append(some)
+        for row in np.flatnonzero(first == 10):
+            ids.append(self.encode("\n"))
+            order.append(np.array([row]))
+            counts[row] = len(ids[-1])
+        if not order:
+            return np.zeros(0, f"<u{self.width}"), counts
+        made, order = np.concatenate(ids), np.concatenate(order)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(made, at, counts), counts
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of the distinct words begins in the ids, its number of ids, and the ids."""
+        data, offsets = text_bytes(words)
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        short = np.flatnonzero(sizes <= KEY_BYTES)
+        if len(short) == 0:
+            hashes, keys, at = np.zeros(0, np.uint64), np.zeros((0, KEY_BYTES // 8), np.uint64), np.zeros(0, np.int64)
+        else:
+            padded = np.concatenate([data, np.zeros(KEY_BYTES, np.uint8)])
+            keys = np.lib.stride_tricks.sliding_window_view(padded, KEY_BYTES)[starts[short]]
+            keys *= np.arange(KEY_BYTES) < sizes[short][:, None]
+            keys, hashes = keys.view("<u8"), np.zeros(len(short), np.uint64)
+            for c in range(keys.shape[1]):
+                hashes = mix64(hashes ^ keys[:, c]) + np.uint64(c + 1)
+            at = self.known.find(hashes, keys)
+        rows = np.full(len(words), -1, np.int64)
+        rows[short] = at
+        new = np.flatnonzero(rows < 0)
+        made, counts = self._made(data, starts[new], sizes[new])
+        where, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        old = np.flatnonzero(rows >= 0)
+        where[old], number[old] = self.known.starts[rows[old]], self.known.counts[rows[old]]
+        where[new], number[new] = len(self.known.ids) + np.cumsum(counts) - counts, counts
+        ids = np.concatenate([self.known.ids, made])
+        kept, fresh = sizes[new] <= KEY_BYTES, np.flatnonzero(at < 0)
+        if len(fresh):
+            self.known.add(hashes[fresh], keys[fresh], made[np.repeat(kept, counts)], counts[kept])
+        return where, number, ids
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin in the texts, and which texts cutting them there might change."""
+        kinds = KINDS[data]
+        odd = kinds == ODD
+        pairs = kinds[:-1] << np.uint8(3)
+        pairs |= kinds[1:]
+        begins = np.ones(len(data), bool)
+        begins[1:] = BEGINS[pairs] & ((data[:-1] != APOSTROPHE) | (kinds[1:] == SPACE) | (kinds[1:] == BREAK))
+        odd[1:] |= DOUBLE[pairs]
+        filled = offsets[:-1] < offsets[1:]
+        firsts = offsets[:-1][filled]
+        odd[firsts] = kinds[firsts] == ODD
+        odd[offsets[1:][filled] - 1] |= data[offsets[1:][filled] - 1] == 32
+        begins[firsts] = True
+        doubtful = np.zeros(len(offsets) - 1, bool)
+        doubtful[np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1] = True
+        return np.flatnonzero(begins), doubtful
+
     def whole(self, text: str) -> bool:
         """Whether cutting the text at spaces and line breaks might change a word of the pre-tokenizer, or an added token."""
         if not self.apart or text[-1] == " " or any(t in text for t in ("  ", "\n\n", " \n", "\n ", *self.added)):
             return True
         return self.other_space(text) is not None
 
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-
-    def _made(self, parts: list[str]) -> list[bytes]:
-        """Ids of words with the space before them, of words without one, and of the line break."""
-        out = [b""] * len(parts)
-        spaced = [i for i, p in enumerate(parts) if p[:1] == " "]
-        bare = [i for i, p in enumerate(parts) if p and p[:1] not in " \n"]
-        for rows, end in ((spaced, ""), (bare, "\n")):
-            for i, ids in zip(rows, self._cut([parts[i] + end for i in rows], self.tokenizer)):
-                out[i] = ids[: len(ids) - self.width] if end else ids
-        for i, p in enumerate(parts):
-            if p == "\n":
-                out[i] = self.encode(p)
-        return out
-
-    def _cut(self, parts: list[str], tokenizer) -> list[bytes]:
-        """Ids of each part of the text that all parts make together; the library starts a word where a part starts."""
-        if len(parts) > READ_TOGETHER:
-            return [ids for a in range(0, len(parts), READ_TOGETHER) for ids in self._cut(parts[a : a + READ_TOGETHER], tokenizer)]
-        if not parts:
-            return []
-        ids = np.asarray(tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum(self.bytes_of[ids])
-        want = np.cumsum(pc.binary_length(pa.array(parts, pa.string())).to_numpy().astype(np.int64))
-        upto = np.searchsorted(ends, want) + 1
-        if not (ends[upto - 1] == want).all():
-            raise ValueError("a token reaches across words")
-        raw, cuts = ids.astype(f"<u{self.width}").tobytes(), [0, *(upto * self.width).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; null and empty texts have none."""
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, f"<u{self.width}"), np.zeros(len(texts), np.int64)
+        begins, doubtful = self._cut(data, offsets)
+        if not self.apart or any(t.encode() in data.tobytes() for t in self.added):
+            doubtful[:] = np.diff(offsets) > 0
+        rows = np.flatnonzero(doubtful)
+        whole = np.array([r for r, t in zip(rows, texts.take(pa.array(rows)).to_pylist()) if self.whole(t)], np.int64)
+        if len(whole):
+            read = np.zeros(len(texts), bool)
+            read[whole] = True
+            ids, counts = self.ids(pc.if_else(pa.array(read), pa.scalar("", texts.type), texts))
+            alone = [self.encode(t) for t in texts.take(pa.array(whole)).to_pylist()]
+            counts[whole] = [len(x) for x in alone]
+            out, at = np.empty(counts.sum(), f"<u{self.width}"), np.repeat(read, counts)
+            out[at], out[~at] = np.concatenate(alone), ids
+            return out, counts
+        words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)).dictionary_encode()
+        starts, number, ids = self._ids_of(words.dictionary)
+        coded = words.indices.to_numpy()
+        counts = number[coded]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        out = gathered(ids, starts[coded], counts)
+        return out, np.diff(upto[np.searchsorted(begins, offsets)])
 
     def documents(self, texts: pa.Array) -> list[bytes]:
         """Ids of every text; null and empty texts have none."""
-        rows = texts.to_pylist()
-        whole = [bool(t) and self.whole(t) for t in rows]
-        apart = pc.if_else(pa.array(whole, pa.bool_()), large(""), pc.fill_null(texts.cast(pa.large_string()), ""))
-        marked = pc.replace_substring(pc.replace_substring(apart, " ", "\0 "), "\n", "\0\n\0")
-        lists = pc.split_pattern(marked, "\0")
-        coded = lists.flatten().dictionary_encode()
-        made = pa.array(self.known.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
-        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, made.take(coded.indices)), pa.scalar(b"", pa.large_binary())).to_pylist()
-        return [self.encode(t) if w else ids for t, w, ids in zip(rows, whole, joined)]
+        ids, counts = self.ids(texts)
+        ends = np.cumsum(counts)
+        return [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), counts.tolist())]
 
 
 @cache
@@ -131,18 +285,22 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = text_ids(tokenizer_path)
-        end = int(end_id).to_bytes(words.width, "little")
         met: dict[str, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text", 4 * SLICE_BYTES):
-                ids = [i + end for i in words.documents(batch.column("text"))]
-                sizes = [len(x) // words.width for x in ids]
+            for batch in slices(whole, "text", 8 * SLICE_BYTES):
+                ids, counts = words.ids(batch.column("text"))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                sizes = counts + 1
                 before = []
-                for s, n in zip(batch.column("queue_key").to_pylist(), sizes):
+                for s, n in zip(batch.column("queue_key").to_pylist(), sizes.tolist()):
                     before.append(met.get(s, 0))
                     met[s] = before[-1] + n
+                ends = np.concatenate([[0], np.cumsum(sizes) * words.width]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("queue_key"), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    [
+                        batch.column("doc_id"), batch.column("queue_key"), batch.column("part"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
+                    ],
                     names=["doc_id", "queue_key", "part", "before", "doc_tokens", "ids"],
                 )
         release_memory()
