@@ -4,6 +4,7 @@ import collections
 import functools
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trustline.llm import cap_filters, components, dart_minhash, packing, queries, sharding, sketches
+from trustline.llm import cap_filters, components, dart_minhash, language_id, packing, queries, sharding, sketches, toxicity
 from trustline.llm.common import shingle_hashes, table, text_bytes
 
 
@@ -415,6 +416,23 @@ def test_words_apart_equal_the_whole_text():
     assert 50256 in np.frombuffer(words.documents(pa.array(["one <|endoftext|> two"]))[0], f"<u{words.width}")
 
 
+def test_tasks_of_other_operators_let_go_of_kept_words(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "one two three"), (1, "four five six")], "doc_id bigint, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([0, 1], pa.int64()), "text": ["one two three", "four five six"]})
+    # A task as a worker runs it, in this process.
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: list(run(iter([batch]))))
+    for work in (
+        lambda: language_id.classify(df, None), lambda: toxicity.score_toxicity(df, toxicity.Toxicity({"idiot": 1.0})),
+        lambda: dart_minhash._signed(df),
+    ):
+        words = packing.text_ids(queries.BYTE_BPE)
+        assert packing.text_ids(queries.BYTE_BPE) is words
+        left = weakref.ref(words)
+        del words
+        assert work()[0].num_rows == 2
+        assert left() is None
+
+
 class Counting:
     """A tokenizer that counts the characters it reads."""
 

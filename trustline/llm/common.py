@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+T = TypeVar("T")
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
@@ -147,6 +149,24 @@ def release_memory() -> None:
         pass
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task; only one thing is kept, what was kept under another name goes first."""
+    if name not in _kept:
+        keep_nothing()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_nothing() -> None:
+    """For tasks that need a worker's room for themselves: what earlier tasks of other operators left there goes."""
+    if _kept:
+        _kept.clear()
+        release_memory()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

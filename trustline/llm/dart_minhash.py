@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cap_filters import _groups
-from .common import mix64, release_memory, shingle_hashes, slices, stored, text_bytes
+from .common import keep_nothing, mix64, release_memory, shingle_hashes, slices, stored, text_bytes
 from .components import components, joined
 
 ROWS, BANDS = 6, 40
@@ -120,6 +120,7 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _signed(docs: DataFrame) -> DataFrame:
     """(doc_id, node binary, bands array<bigint>): node is the text's MD5, null for texts without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for whole in batches:
             for batch in slices(whole, "text"):
                 hashes, starts = shingle_hashes(*text_bytes(batch.column("text")))
@@ -143,6 +144,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' weighted Jaccard similarity is at least ``least``; texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         last: tuple[bytes, dict] = (b"", {})
         for whole in batches:
             for batch in slices(whole, "text_a"):
@@ -244,6 +246,7 @@ def _compared(rest: DataFrame, texts: DataFrame, labels: DataFrame, least: float
     pairs = rows.select("node", "component", "text", "bands", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for group in _groups(batches, ["bucket", "low", "high"]):
             if (found := _forest(group, least)) is not None:
                 yield pa.RecordBatch.from_arrays(list(found), names=["a", "b"])

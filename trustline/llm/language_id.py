@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, text_bytes
+from .common import append_columns, keep_nothing, text_bytes
 from .sampling import bounded_ids, with_texts
 
 WINDOW = 256
@@ -165,6 +165,7 @@ def classify(df: DataFrame, net: ByteNet | None, text_col: str = "text", lang_co
     """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        keep_nothing()
         texts = batch.column(text_col)
         n = len(texts)
         spoken = np.fromiter((next(filter(str.isalpha, t or ""), None) is not None for t in texts.to_pylist()), bool, n)

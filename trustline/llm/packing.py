@@ -22,7 +22,6 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix64, release_memory, running_sums, slices, stored, text_bytes
+from .common import SLICE_BYTES, kept, mix64, release_memory, running_sums, slices, stored, text_bytes
 
 # Of words and their ids that a worker keeps from task to task.
 CACHE_BYTES = 64 << 20
@@ -268,9 +267,8 @@ class TextIds:
         return [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), counts.tolist())]
 
 
-@cache
 def text_ids(path: str) -> TextIds:
-    return TextIds(path)
+    return kept(f"text ids {path}", lambda: TextIds(path))
 
 
 def queue_key(name: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, slices, stored
+from .common import append_columns, keep_nothing, slices, stored
 from .sampling import bounded_ids, with_texts
 
 # A few words of each tag, in English, German, French and Spanish.
@@ -317,6 +317,7 @@ def score_toxicity(df: DataFrame, model: Toxicity, text_col: str = "text", score
     """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        keep_nothing()
         texts = [t or "" for t in batch.column(text_col).to_pylist()]
         paths = np.array([model.paths(t) for t in texts]).reshape(-1, len(PATHS))
         return [pa.array(model.score(paths, np.array([len(t) for t in texts], float)), pa.float64())]
