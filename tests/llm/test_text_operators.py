@@ -312,6 +312,18 @@ def test_toxicity_of_odd_texts(spark, sf_dir, odd, nothing):
     assert toxicity.train(nothing, table(spark, sf_dir, "labels"), F.lit(True)).stems
 
 
+def test_toxicity_sample_is_few_files_however_the_documents_are_dealt(spark, sf_dir, monkeypatch):
+    samples, store = [], toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df: samples.append(store(df)) or samples[-1])
+    docs, labels = table(spark, sf_dir, "documents").cache(), table(spark, sf_dir, "labels")
+    models = [toxicity.train(dealt, labels, fold("doc_id", 4) != 2) for dealt in (docs.repartition(40), docs.coalesce(1))]
+    assert max(len(s.inputFiles()) for s in samples) <= 8
+    many, one = (sorted(map(tuple, s.collect())) for s in samples)
+    wanted = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).join(docs, "doc_id").where("text <> ''").count()
+    assert many == one and len(many) == wanted
+    assert models[0].stems == models[1].stems and models[0].arcs == models[1].arcs and models[0].curve.tolist() == models[1].curve.tolist()
+
+
 def test_fold_is_crc32_of_the_text(spark):
     got = spark.range(50).select("id", fold("id", 4).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in got)

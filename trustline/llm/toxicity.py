@@ -39,6 +39,8 @@ _CLAUSE_END = re.compile(r"\n|[.?!] ").finditer
 STEM_LENGTHS = range(4, 11)
 # Texts of this score and more count as toxic.
 TOXIC_FROM = 0.3
+# The sample has a bounded number of rows, so it is written by so many tasks, however many read the documents.
+SAMPLE_FILES = 8
 
 
 # Prior weights of the arcs that have one; a sample moves them as far as it gives reason to.
@@ -288,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     the test), the stems of each toxic text, and each text's path weights."""
     seeds = {s: 1.0 for s in SEED_INSULTS}
     ids = bounded_ids(labels.where(may_learn).select("doc_id", F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)"), per_class, 2 * per_class)
-    rows = stored(with_texts(docs, ids))
+    rows = stored(with_texts(docs, ids).repartition(SAMPLE_FILES))
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Toxicity(seeds)
