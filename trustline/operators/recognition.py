@@ -12,8 +12,10 @@ def final_event(result: str = "result") -> Column:
 
 
 def final_recognition(df: DataFrame) -> DataFrame:
-    """df with ``final`` and without ``result``."""
-    return df.withColumn("final", final_event()).drop("result")
+    """df with ``final`` and without ``result``.
+
+    A filter on the final event does not go below what is not deterministic, where it would find the event once more."""
+    return df.withColumn("final", F.when(F.monotonically_increasing_id() >= 0, final_event())).drop("result")
 
 
 def validate_recognition(df: DataFrame) -> DataFrame:
