@@ -1,6 +1,8 @@
 """What keeps time, memory and disk in bounds when tables grow."""
 
 from trustline import queries
+from trustline.plans import score
+from trustline.sources import files
 
 
 def optimized(df):
@@ -13,3 +15,19 @@ def test_a_filter_does_not_make_recognitions_again(spark, sf_dir):
     assert plan.count("filter(array(") == 1 and plan.count("split(") == 1
     below = plan[plan.index("RepartitionByExpression") :]
     assert "transform(" not in below and "filter(" not in below
+
+
+def test_window_reports_of_many_files_are_few_text_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "r")
+    windows = spark.range(900).selectExpr(
+        "id div 3 AS file", "id % 3 AS window_idx", "0.0D AS start_time", "1.0D AS end_time", "1L AS word_count", "0.25D AS estimated_accuracy", "0.5D AS speech_ratio", "0.5D AS non_speech_ratio",
+    )
+    kind = score.accuracy_report(windows).schema
+    for most, texts in ((10_000, 1), (100, 9)):
+        monkeypatch.setattr(files, "PART_WINDOWS", most)
+        files.write_window_reports(windows, path)
+        assert 1 <= len(list((tmp_path / "r").rglob("*.txt"))) <= texts
+        read = spark.read.schema(kind).json(path, multiLine=True).select("file", "words", "windows.window_idx").collect()
+        assert sorted(map(tuple, read)) == [(k, 3, [0, 1, 2]) for k in range(300)]
+    files.write_window_reports(windows.limit(0), path)
+    assert spark.read.schema(kind).json(path, multiLine=True).count() == 0

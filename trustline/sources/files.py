@@ -13,6 +13,9 @@ EVENT = "type string, partial_result boolean, window_idx int, ctc_tokens array<s
 EVENT = ", ".join(f"{n}: {t}" for n, t in (x.strip().split(" ", 1) for x in EVENT.split(", ")))
 RECOGNITION = f"utt_id string, audio_path string, reference string, endpoint_url string, result_format string, snr double, original_utt_id string, result array<struct<{EVENT}>>"
 
+# A text file of window reports has about so many windows, two megabytes.
+PART_WINDOWS = 10_000
+
 
 def read_manifest(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:
     """Manifest rows with ``input_order`` from a JSON array, JSON lines or CSV with a header.
@@ -77,21 +80,26 @@ def write_dataset_reports(df: DataFrame, path: str, format: str = "csv") -> None
 
 
 def write_window_reports(windows: DataFrame, path: str) -> None:
-    """One nested JSON document a file, in a folder ``file=...``: its totals and its windows in order.
-
-    Every window is a line of the document. Lines come sorted and are written as they come, so no file's windows are ever in
-    one place; read documents with ``multiLine``. Of a file's windows each window_idx is one."""
-    totals = file_accuracy(windows).join(windows.groupBy("file").agg(F.min("window_idx").alias("__first")), "file")
+    """One nested JSON document a file: its name, its totals and its windows in order.
+
+    Documents are told apart in arrays, one a text file, in folders ``part=...`` by a hash of the file; an array holds about
+    ``PART_WINDOWS`` windows or a single long document, so there are as many text files as the windows need and not as there
+    are files. Every window is a line. Lines come sorted and are written as they come, so no file's windows are ever in one
+    place; read documents with ``multiLine``. Of a file's windows each window_idx is one."""
+    parts = max(1, -(-windows.count() // PART_WINDOWS))
+    totals = file_accuracy(windows).join(windows.groupBy("file").agg(F.min("window_idx").alias("__first")), "file").withColumn("part", F.pmod(F.xxhash64("file"), F.lit(parts)))
+    totals = totals.join(totals.groupBy("part").agg(F.min("file").alias("__least"), F.max("file").alias("__most")), "part")
     listed = F.struct("window_idx", "start_time", "end_time", "word_count", "estimated_accuracy", "speech_ratio", "non_speech_ratio")
-    record = F.to_json(F.struct("words", "expected_errors", "estimated_accuracy"), {"ignoreNullFields": "false"})
-    line = lambda kind, text, idx: [F.col("file"), F.lit(kind).alias("kind"), idx.alias("window_idx"), text.alias("value")]
+    record = F.to_json(F.struct("file", "words", "expected_errors", "estimated_accuracy"), {"ignoreNullFields": "false"})
+    line = lambda kind, text, idx: ["part", F.col("file"), F.lit(kind).alias("kind"), idx.alias("window_idx"), text.alias("value")]
     none = F.lit(None).cast(windows.schema["window_idx"].dataType)
-    heads = totals.select(*line(0, F.concat(F.regexp_replace(record, "\\}$", ""), F.lit(', "windows": [')), none))
+    before = F.when(F.col("file") == F.col("__least"), F.lit("[")).otherwise(F.lit(", "))
+    heads = totals.select(*line(0, F.concat(before, F.regexp_replace(record, "\\}$", ""), F.lit(', "windows": [')), none))
     comma = F.when(F.col("window_idx") == F.col("__first"), F.lit("")).otherwise(F.lit(", "))
-    items = windows.join(totals.select("file", "__first"), "file").select(*line(1, F.concat(comma, F.to_json(listed)), F.col("window_idx")))
-    ends = totals.select(*line(2, F.lit("]}"), none))
+    items = windows.join(totals.select("part", "file", "__first"), "file").select(*line(1, F.concat(comma, F.to_json(listed)), F.col("window_idx")))
+    ends = totals.select(*line(2, F.when(F.col("file") == F.col("__most"), F.lit("]}]")).otherwise(F.lit("]}")), none))
     lines = heads.unionByName(items).unionByName(ends)
-    lines.repartition("file").sortWithinPartitions("file", "kind", "window_idx").select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+    lines.repartition(parts, "part").sortWithinPartitions("part", "file", "kind", "window_idx").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_accuracy_report(df: DataFrame, path: str) -> None:
