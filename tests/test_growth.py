@@ -1,6 +1,11 @@
 """What keeps time, memory and disk in bounds when tables grow."""
 
-from trustline import queries
+from pathlib import Path
+
+import numpy as np
+
+from trustline import lineage, queries
+from trustline.operators import ensemble, features
 from trustline.plans import score
 from trustline.sources import files
 
@@ -31,3 +36,38 @@ def test_window_reports_of_many_files_are_few_text_files(spark, tmp_path, monkey
         assert sorted(map(tuple, read)) == [(k, 3, [0, 1, 2]) for k in range(300)]
     files.write_window_reports(windows.limit(0), path)
     assert spark.read.schema(kind).json(path, multiLine=True).count() == 0
+
+
+def test_sample_features_equal_those_of_joined_frames(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    kinds = ["<blk>", "<blk>", "▁a", "b", "c d", None]
+    made = []
+    for i in range(400):
+        n = int(rng.integers(1, 40))
+        tokens = [kinds[k] for k in np.repeat(rng.integers(0, 6, n), rng.integers(1, 4, n))]
+        probs = [float(x) for x in rng.random(len(tokens))]
+        if i % 50 == 0:
+            probs[0] = [None, float("nan"), float("inf")][i // 50 % 3]
+        if i % 60 == 7:
+            tokens, probs = [], []
+        made.append((f"s{i:03d}", "train" if i % 3 else "test", float(rng.random()), 10 + i % 30, i % 7, tokens, probs, [0.04, 0.02, None][i % 3]))
+    parts = spark.createDataFrame(made, "segment_id string, split string, accuracy double, reference_words bigint, edit_errors bigint, ctc_tokens array<string>, ctc_probs array<double>, ctc_frame_len double")
+    keys = ["split", "sample_id", "accuracy", "ref_words"]
+    for name, most in (("WAVE_WORDS", 5_000), ("TASK_WORDS", 1_000)):
+        monkeypatch.setattr(ensemble, name, most)
+    for full, names in ((False, features.STANDARD), (True, features.FULL)):
+        whole = features.ctc_features(ensemble.ensemble_samples(parts, 150, 5, 64, 64), full=full).select(*keys, *names)
+        got = ensemble.sample_features(features.flagged(parts), 150, 5, 64, 64, full=full).select(*keys, *names)
+        a, b = (sorted(map(tuple, df.collect())) for df in (whole, got))
+        assert len(a) > 100 and [r[:4] for r in a] == [r[:4] for r in b]
+        assert np.allclose([r[4:] for r in a], [r[4:] for r in b], rtol=1e-9, atol=1e-12)
+
+
+def test_what_a_part_exchanged_goes_when_it_is_written(spark):
+    def shuffled():
+        return sum(f.stat().st_size for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+
+    before = shuffled()
+    rows = lineage.stored_parts(spark.range(200_000).where(f"id % 3 = {k}").repartition(8, "id") for k in range(3))
+    assert rows.count() == 200_000 and shuffled() - before < 100_000
+    assert spark.conf.get(lineage.FREE) == "false"
