@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trustline import lineage, queries
 from trustline.operators import ensemble, features
@@ -71,3 +72,15 @@ def test_what_a_part_exchanged_goes_when_it_is_written(spark):
     rows = lineage.stored_parts(spark.range(200_000).where(f"id % 3 = {k}").repartition(8, "id") for k in range(3))
     assert rows.count() == 200_000 and shuffled() - before < 100_000
     assert spark.conf.get(lineage.FREE) == "false"
+
+
+def test_words_of_rows_equal_those_of_exploded_frames(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    kinds = ["<blk>", "▁a", "b", "c d", None, ""]
+    made = [(f"u{i}", [kinds[k] for k in rng.integers(0, 6, n)], [float(x) for x in rng.random(n)]) for i, n in enumerate(rng.integers(0, 30, 200))]
+    df = spark.createDataFrame(made + [("b", ["<blk>"] * 3, [0.5] * 3)], "utt_id string, ctc_tokens array<string>, ctc_probs array<double>")
+    want = features.collapse_tokens(features.explode_frames(df.withColumn("ctc_tokens", F.transform("ctc_tokens", lambda t: F.coalesce(t, F.lit("")))), "utt_id"), "utt_id")
+    a, b = (sorted((r.utt_id, r.word, round(r.prob, 9)) for r in x.collect()) for x in (want, features.collapsed_words(df, "utt_id")))
+    assert a == b and len(a) > 500
+    plan = optimized(queries.QUERIES["collapse_tokens"](spark, sf_dir))
+    assert "Window" not in plan and "Generate" not in plan
