@@ -84,3 +84,10 @@ def test_words_of_rows_equal_those_of_exploded_frames(spark, sf_dir):
     assert a == b and len(a) > 500
     plan = optimized(queries.QUERIES["collapse_tokens"](spark, sf_dir))
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_windows_meet_their_segments_without_a_sort_of_frames(spark, sf_dir):
+    plan = queries.QUERIES["window_streams"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    # Segments are read, not made again.
+    assert "split(" not in optimized(queries.QUERIES["window_streams"](spark, sf_dir))
